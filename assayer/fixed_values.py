@@ -81,11 +81,12 @@ CORP_SUFFIX = (
     r"(?i)[\s,]+(?:group|corp|corporation|inc\.?|llc|l\.l\.c\.?|ltd\.?|limited|co\.?|company|"
     r"pbc|plc|enterprises|holdings?|ag|nv|bv|sa|gmbh|a/s)$"
 )
+# credit lines and bylines, each with a text it always contains
 BYLINES = (
-    r"(?i)(?:foto|photo|image|credit|courtesy|source)\s*:\s*[^\n]+",
-    r"(?i)\b[a-zA-Z0-9_\.\-]+\s*\|\|\s*\d{4}-\d{2}-\d{2}[^\n]*",
-    r"(?i)\b[a-zA-Z0-9_\.\-]+\s*\|\|\s*\d{1,2}:\d{2}[^\n]*",
-    r"(?i)\b(?:by|author|reporter|editor|dipublikasikan oleh)\s*:\s*[a-zA-Z\s]{3,40}(?:\n|$)",
+    (":", r"(?i)(?:foto|photo|image|credit|courtesy|source)\s*:\s*[^\n]+"),
+    ("||", r"(?i)\b[a-zA-Z0-9_\.\-]+\s*\|\|\s*\d{4}-\d{2}-\d{2}[^\n]*"),
+    ("||", r"(?i)\b[a-zA-Z0-9_\.\-]+\s*\|\|\s*\d{1,2}:\d{2}[^\n]*"),
+    (":", r"(?i)\b(?:by|author|reporter|editor|dipublikasikan oleh)\s*:\s*[a-zA-Z\s]{3,40}(?:\n|$)"),
 )
 FOOTER = (
     r"(?i)^(?:read\s+more|related\s+(?:stories|articles?|posts?|links?)|"

@@ -4,13 +4,18 @@ from pyspark.sql import Column, functions as F
 
 from assayer import fixed_values as V
 
-SPACE = r"[\s\x{0B}\p{Z}]"
-TRIM = rf"^{SPACE}+|{SPACE}+$"
+WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+         "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, TRIM, "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def let(value: Column, body) -> Column:
+    """Compute a value once and use it several times, also inside lambdas, where Catalyst would repeat it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def filled(c: Column) -> Column:
@@ -58,12 +63,10 @@ def lead(body: Column) -> Column:
 
 def distilled_state(headline: Column, body: Column, max_chars: int = V.STATE_MAX_CHARS) -> Column:
     """Headline, lead and rest in the layout the model is trained on, cut to the budget."""
-    p = paragraphs(body)
-    rest = F.array_join(F.slice(p, F.lit(2), F.greatest(F.size(p), F.lit(1))), "\n\n")
-    text = F.concat(
+    text = let(paragraphs(body), lambda p: F.concat(
         F.lit("Headline: "), headline, F.lit("\n\n\nLead Paragraph:\n"),
-        F.coalesce(F.get(p, F.lit(0)), F.lit("")), F.lit("\n\nArticle Body:\n"), rest,
-    )
+        F.coalesce(F.get(p, F.lit(0)), F.lit("")), F.lit("\n\nArticle Body:\n"),
+        F.array_join(F.slice(p, F.lit(2), F.greatest(F.size(p), F.lit(1))), "\n\n")))
     return F.left(text, F.lit(max_chars))
 
 
@@ -85,9 +88,13 @@ def full_state(headline, body, media_type, source, published_at, max_chars: int
 
 
 def strip_bylines(body: Column) -> Column:
+    """Remove credits and bylines; texts without the marker of a pattern skip its regex."""
+    def without(marker, pattern):
+        return lambda b: F.when(b.contains(marker), F.regexp_replace(b, pattern, "")).otherwise(b)
+
     out = F.coalesce(body, F.lit(""))
-    for pattern in V.BYLINES:
-        out = F.regexp_replace(out, pattern, "")
+    for marker, pattern in V.BYLINES:
+        out = let(out, without(marker, pattern))
     return out
 
 
@@ -100,12 +107,14 @@ def footer_like(p: Column) -> Column:
 
 def cut_footer(body: Column) -> Column:
     """Cut at the earliest footer-like paragraph among the last seven, never before the third."""
-    p = paragraphs(body)
-    n = F.size(p)
-    start = F.greatest(F.lit(2), n - 7)
-    spots = F.filter(F.sequence(start, F.greatest(start, n - 1)), lambda i: footer_like(F.coalesce(F.get(p, i), F.lit(""))))
-    cut = F.coalesce(F.array_min(spots), n)
-    return F.when(n <= 2, body).otherwise(F.array_join(F.slice(p, F.lit(1), F.greatest(cut, F.lit(0))), "\n\n"))
+    def cut(b, p):
+        n = F.size(p)
+        start = F.greatest(F.lit(2), n - 7)
+        spots = F.filter(F.sequence(start, F.greatest(start, n - 1)), lambda i: footer_like(F.coalesce(F.get(p, i), F.lit(""))))
+        kept = F.slice(p, F.lit(1), F.coalesce(F.array_min(spots), n))
+        return F.when(n <= 2, b).otherwise(F.array_join(kept, "\n\n"))
+
+    return let(body, lambda b: let(paragraphs(b), lambda p: cut(b, p)))
 
 
 def clean_body(body: Column) -> Column:
@@ -144,8 +153,12 @@ def canonical_name(name: Column) -> Column:
     return F.coalesce(filled(bare), n)
 
 
+def without_suffix(canon: Column) -> Column:
+    return strip(F.regexp_replace(canon, V.CORP_SUFFIX, ""))
+
+
 def base_name(name: Column) -> Column:
-    return strip(F.regexp_replace(canonical_name(name), V.CORP_SUFFIX, ""))
+    return without_suffix(canonical_name(name))
 
 
 def _known_generic(c: Column) -> Column:
@@ -160,7 +173,6 @@ def _ordered(terms: Column) -> Column:
 
 def match_terms(name: Column) -> Column:
     """Strict surface forms: label, label without legal suffix, acronym, parts of hyphenated brands."""
-    canon, base = canonical_name(name), base_name(name)
     acronyms = F.filter(
         F.transform(F.regexp_extract_all(name, F.lit(V.PARENTHETICAL), F.lit(1)), strip),
         lambda q: F.length(q).between(2, 10) & ~q.contains(" ") & (F.regexp_count(q, F.lit(r"\p{Lu}")) >= 2),
@@ -171,11 +183,13 @@ def match_terms(name: Column) -> Column:
         pieces = F.filter(F.transform(F.split(c, "-"), strip), lambda x: (F.length(x) >= 3) & ~_known_generic(x))
         return F.when(c.contains("-") & ~c.startswith("-"), pieces).otherwise(none)
 
-    terms = F.concat(
-        F.array(canon), F.when(F.length(base) > 2, F.array(base)).otherwise(none),
-        acronyms, parts(canon), parts(base),
-    )
-    return _ordered(F.array_distinct(F.filter(terms, lambda t: F.length(t) >= 2)))
+    def forms(canon, base):
+        terms = F.concat(
+            F.array(canon), F.when(F.length(base) > 2, F.array(base)).otherwise(none),
+            acronyms, parts(canon), parts(base))
+        return _ordered(F.array_distinct(F.filter(terms, lambda t: F.length(t) >= 2)))
+
+    return let(canonical_name(name), lambda canon: let(without_suffix(canon), lambda base: forms(canon, base)))
 
 
 def presence_terms(name: Column) -> Column:
@@ -265,10 +279,9 @@ def numeric_literals(c: Column) -> Column:
 
 def rule_contradiction(c: Column) -> Column:
     """One literal stands both in an including and in an excluding clause."""
-    clauses = F.split(c, r"(?<=[.!?;])\s+|\n+")
-
-    def literals_where(pattern):
+    def literals_where(clauses, pattern):
         kept = F.filter(clauses, lambda x: x.rlike("(?iU)" + pattern))
         return F.flatten(F.transform(kept, quoted_literals))
 
-    return F.arrays_overlap(literals_where(V.POSITIVE_RULE), literals_where(V.NEGATIVE_RULE))
+    return let(F.split(c, r"(?<=[.!?;])\s+|\n+"), lambda clauses: F.arrays_overlap(
+        literals_where(clauses, V.POSITIVE_RULE), literals_where(clauses, V.NEGATIVE_RULE)))

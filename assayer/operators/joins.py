@@ -24,3 +24,9 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "i
     left = large.withColumn("_salt", spread)
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a scan enough tasks when the input came as a few files; larger inputs stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

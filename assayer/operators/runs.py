@@ -39,3 +39,78 @@ def skip_unresolvable(work: DataFrame, configs: DataFrame) -> DataFrame:
 def write_records(records: DataFrame, path: str) -> None:
     """Records of every outcome, one folder per run; each run is independent of the others."""
     records.write.mode("append").partitionBy("run_id").parquet(path)
+
+
+RUN_SUMS = ("base_duration_ms", "cand_duration_ms", "base_cost_usd", "cand_cost_usd", "base_class_cost_usd")
+
+
+def run_totals(perf: DataFrame, keys: list[str]) -> DataFrame:
+    return perf.groupBy(*keys).agg(F.count("*").alias("articles"), *[F.sum(c).alias(f"sum_{c}") for c in RUN_SUMS])
+
+
+def run_latency(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Average latency of both sides and the speed-up of the averages; 1.0 without a baseline time."""
+    n = F.greatest("articles", F.lit(1))
+    t = totals.withColumn("avg_base_ms", F.round(F.col("sum_base_duration_ms") / n, 2)).withColumn(
+        "avg_cand_ms", F.round(F.col("sum_cand_duration_ms") / n, 2))
+    speed = F.when(F.col("avg_base_ms") > 0, F.round(F.col("avg_base_ms") / F.greatest("avg_cand_ms", F.lit(1.0)), 2)).otherwise(1.0)
+    return t.select(*keys, "articles", "avg_base_ms", "avg_cand_ms", speed.alias("speedup"))
+
+
+def run_cost(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals, savings and multiples, for the whole call and for its classification part."""
+    b, c, k = F.col("sum_base_cost_usd"), F.col("sum_cand_cost_usd"), F.col("sum_base_class_cost_usd")
+    saved = lambda x: F.when(x > 0, F.round((x - c) / F.greatest(x, F.lit(0.00001)) * 100.0, 1)).otherwise(0.0)
+    return totals.select(
+        *keys, F.round(b, 6).alias("base_cost_usd"), F.round(k, 6).alias("base_class_cost_usd"), F.round(c, 6).alias("cand_cost_usd"),
+        F.round(b - c, 6).alias("savings_usd"), saved(b).alias("savings_pct"), F.when(c > 0, F.round(F.try_divide(b, c), 1)).alias("cost_multiple"),
+        saved(k).alias("class_savings_pct"), F.when(c > 0, F.round(k / F.greatest(c, F.lit(0.00000001)), 1)).alias("class_cost_multiple"))
+
+
+def run_counts(records: DataFrame, keys: list[str]) -> DataFrame:
+    s = F.col("status")
+    g = records.groupBy(*keys).agg(F.count("*").alias("records"), F.count_if(s == "ok").alias("total_articles"),
+                                   F.count_if(s == "failed").alias("failed"), F.count_if(s == "skipped").alias("skipped"))
+    return g.withColumn("evaluated", F.col("total_articles") > 0)
+
+
+def optimizer_summary(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Rewrite telemetry, once per cache key: the last record of a key counts."""
+    last = records.filter(F.col("cache_key").isNotNull()).groupBy(*keys, "cache_key").agg(
+        F.max_by(F.struct("cost_usd", "duration_ms", "chars_before", "chars_after"), "pos").alias("r"))
+    g = last.groupBy(*keys).agg(
+        F.count("*").alias("configs_compiled"), F.sum("r.cost_usd").alias("c"), F.sum("r.duration_ms").alias("d"),
+        F.sum("r.chars_before").alias("chars_before"), F.sum("r.chars_after").alias("chars_after"))
+    return g.select(*keys, "configs_compiled", F.round("c", 6).alias("cost_usd"), F.round("d", 2).alias("duration_ms"),
+                    "chars_before", "chars_after", pct(F.col("chars_before") - F.col("chars_after"), F.col("chars_before")).alias("reduction_pct"))
+
+
+def progress_by_config(work: DataFrame, records: DataFrame) -> DataFrame:
+    """Done and total work items per run and configuration; both sides are counted before they meet."""
+    keys = ["run_id", "config_id"]
+    total = work.groupBy(*keys).agg(F.count("*").alias("total"))
+    done = records.filter(F.col("status") == "ok").groupBy(*keys).agg(F.count_distinct("article_no").alias("done"))
+    return total.join(done, keys, "left").withColumn("done", F.coalesce("done", F.lit(0)))
+
+
+def run_status(events: DataFrame) -> DataFrame:
+    """Lifecycle from append-only events: the last status and the times of creation and completion."""
+    return events.groupBy("run_id").agg(
+        F.min("ts").alias("created_at"), F.max_by("status", F.struct("ts", "seq")).alias("status"),
+        F.max(F.when(F.col("status") == "completed", F.col("ts"))).alias("completed_at"))
+
+
+def list_runs(meta: DataFrame, summaries: DataFrame, limit: int = 1000) -> DataFrame:
+    """Runs by id, newest first, with their summary where there is one; runs with neither are not listed."""
+    return meta.join(summaries, "run_id", "full_outer").orderBy(F.desc("run_id")).limit(limit)
+
+
+def get_run(records: DataFrame, run_id: str) -> DataFrame:
+    """Records of one run; on the partitioned table only that folder is read."""
+    return records.filter(F.col("run_id") == run_id)
+
+
+def prune_runs(records: DataFrame, drop: DataFrame, active: DataFrame) -> DataFrame:
+    """Everything except the runs to delete; a run still executing is never deleted."""
+    gone = drop.select("run_id").distinct().join(active.select("run_id"), "run_id", "left_anti")
+    return join_by_size(records, gone, ["run_id"], "left_anti")

@@ -32,7 +32,7 @@ def words_in(c: str, words) -> str:
     return "(" + " or ".join(f"contains({c}, {q(w)})" for w in words) + ")"
 
 
-WS = r"[\s\x{0B}\p{Z}]"
+WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 
 
 def strip(c: str) -> str:
