@@ -1,5 +1,7 @@
 """Text expressions.  Every function takes and returns Columns, so all of it stays in the JVM."""
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from assayer import fixed_values as V
@@ -29,10 +31,7 @@ def first_filled(*cols: Column, default: str = "") -> Column:
 
 def any_of(c: Column, words) -> Column:
     """True when the text contains one of the words."""
-    out = F.lit(False)
-    for w in words:
-        out = out | c.contains(w)
-    return out
+    return c.rlike("|".join(re.escape(w) for w in words))
 
 
 def fill(template: str, **values: Column) -> Column:
@@ -40,8 +39,6 @@ def fill(template: str, **values: Column) -> Column:
 
     The text is cut at its placeholders, so a value that itself looks like a placeholder stays as it is.
     """
-    import re
-
     parts = [values[p[1:-1]] if p[:1] == "{" and p[1:-1] in values else F.lit(p)
              for p in re.split(r"(\{[a-z]+\})", template) if p]
     return F.concat(*parts)
@@ -162,7 +159,7 @@ def base_name(name: Column) -> Column:
 
 
 def _known_generic(c: Column) -> Column:
-    return F.lower(c).isin(*V.NON_DISTINCTIVE_TOKENS)
+    return F.lower(c).rlike("^(?:" + "|".join(V.NON_DISTINCTIVE_TOKENS) + ")$")
 
 
 def _ordered(terms: Column) -> Column:

@@ -38,15 +38,18 @@ def evidence_array(full_lc: Column, headline_lc: Column, lead_lc: Column, entiti
     return F.transform(F.transform(entities, one), derived)
 
 
-def presence_evidence(articles: DataFrame, sets: DataFrame, keep: tuple = ()) -> DataFrame:
-    """Articles with their evidence array and the article-wide figures the rules need."""
+def presence_evidence(articles: DataFrame, sets: DataFrame, keep: tuple = (), set_columns: tuple = ()) -> DataFrame:
+    """Articles with their evidence array and the article-wide figures the rules need.
+
+    sets(config_id, entities, ...): one row per configuration; `set_columns` of it ride along.
+    """
     a = spread(articles).select(
         "correlation_id", "config_id", *keep,
         F.lower(F.concat("headline", F.lit(" "), X.clean_body(F.col("body")))).alias("full_lc"),
         F.lower("headline").alias("headline_lc"), F.lower(X.lead(F.col("body"))).alias("lead_lc"))
-    j = join_by_size(a, sets, ["config_id"])
+    j = join_by_size(a, sets.select("config_id", "entities", *set_columns), ["config_id"])
     ev = evidence_array(F.col("full_lc"), F.col("headline_lc"), F.col("lead_lc"), F.col("entities"))
-    out = j.select("correlation_id", "config_id", *keep, ev.alias("evidence"), X.adversity(F.col("full_lc")).alias("adversity"))
+    out = j.select("correlation_id", "config_id", *keep, *set_columns, ev.alias("evidence"), X.adversity(F.col("full_lc")).alias("adversity"))
     return out.select(
         "*", F.size(F.filter("evidence", lambda e: e.in_headline)).alias("n_headline"),
         F.coalesce(F.array_max(F.transform("evidence", lambda e: e.mentions)), F.lit(0)).alias("max_mentions"),

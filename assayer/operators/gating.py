@@ -93,18 +93,22 @@ def _gate_array(evidence: Column, first: Column) -> Column:
     return F.transform(evidence, one)
 
 
-def cascade(articles: DataFrame, question_sets: DataFrame, entity_sets: DataFrame, factory, keep: tuple = ()) -> DataFrame:
+def config_sets(question_sets: DataFrame, entity_sets: DataFrame) -> DataFrame:
+    """Everything a run needs of a configuration in one row: its questions and its subjects' surface forms."""
+    wanted = ("qid", "subject_id", "tag_id", "kind", "qtype", "instructions", "criteria_labels", "criteria_texts")
+    q = question_sets.select("config_id", F.transform("questions", lambda x: F.struct(*[x[c].alias(c) for c in wanted])).alias("questions"))
+    return q.join(entity_sets, "config_id")
+
+
+def cascade(articles: DataFrame, sets: DataFrame, factory, keep: tuple = ()) -> DataFrame:
     """Presence, validation, gate, remaining questions: one row per article from start to end.
 
-    Everything an article needs rides in its own row, so both scorer passes form one narrow pipeline: no
-    shuffle between them, nothing to persist, and a lost task is recomputed from its own input alone.
+    `sets` is the table of config_sets, best written once and read back.  Everything an article needs rides in
+    its own row, so both scorer passes form one narrow pipeline: no shuffle between them, nothing to persist,
+    and a lost task is recomputed from its own input alone.
     """
-    sets = question_sets.join(entity_sets, "config_id")
     a = articles.withColumn("state", X.distilled_state(F.col("headline"), F.col("body")))
-    r = presence_evidence(a, sets.select("config_id", "entities"), ("state", *keep))
-    r = join_by_size(r, sets.select("config_id", F.transform("questions", lambda q: F.struct(
-        q.qid.alias("qid"), q.subject_id.alias("subject_id"), q.tag_id.alias("tag_id"), q.kind.alias("kind"), q.qtype.alias("qtype"),
-        q.instructions.alias("instructions"), q.criteria_labels.alias("criteria_labels"), q.criteria_texts.alias("criteria_texts"))).alias("questions")), ["config_id"])
+    r = presence_evidence(a, sets, ("state", *keep), ("questions",))
     open_valid = F.filter("questions", lambda q: (q.kind == "validation") & ~F.exists(
         "evidence", lambda e: (e.subject_id == q.subject_id) & e.certified))
     r = scoring.score(r.withColumn("ask", open_valid), factory, "ask", "first").drop("ask")

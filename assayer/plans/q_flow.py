@@ -9,6 +9,7 @@ from assayer.plans import q_sources
 from assayer.plans.q_text import BULLET, CLEAN, GENERIC, PARAS, STRICT, WORDS, article_questions, base_sql, canon_sql  # noqa: F401
 from assayer.plans.registry import query
 from assayer.plans.views_sql import bucket, q, words_in
+from assayer.session import written
 from assayer.sources import blobs as B
 
 WORD = r"[\p{L}\p{M}\p{N}_]"
@@ -45,7 +46,9 @@ EVIDENCE = {
 
 
 def sets(d):
-    return E.entity_sets(d.config_subjects.withColumn("pos", F.col("subject_id")))
+    """Questions and surface forms per configuration, written once and read by every later step."""
+    e = E.entity_sets(d.config_subjects.withColumn("pos", F.col("subject_id")))
+    return written(G.config_sets(Q.question_sets(article_questions(d)), e), "config-sets")
 
 
 def evidence(d):
@@ -150,7 +153,7 @@ SCORED = {
 
 
 def plain_run(d, keep=()):
-    return G.cascade(d.articles, Q.question_sets(article_questions(d)), sets(d), S.hash_scorer, keep)
+    return G.cascade(d.articles, sets(d), S.hash_scorer, keep)
 
 
 @query("score_batch", sql=f"""select correlation_id, {VALID} as qid, 'noul' as type, {noul_sql(VALID)} as noul, null::varchar as choice, 1.0::double as confidence from (select a.correlation_id, s.subject_id from articles a cross join subjects s)
@@ -284,7 +287,7 @@ def blob_run(d):
     base_tags = L.last_wins(F.filter(every, lambda t: t.evaluation_type == "llm"), "tag_id")
     subjects = L.last_wins(F.col("subject_results"), "subject_id")
     a = B.inbound(parsed, subjects.alias("subject_results"), base_tags.alias("base_tags"), F.col("llm_tokens"), F.col("llm_cost_usd"), F.col("stage_timings"))
-    return G.cascade(a, Q.question_sets(article_questions(d)), sets(d), S.hash_scorer, ("subject_results", "base_tags", "llm_tokens", "llm_cost_usd", "stage_timings"))
+    return G.cascade(a, sets(d), S.hash_scorer, ("subject_results", "base_tags", "llm_tokens", "llm_cost_usd", "stage_timings"))
 
 
 RUN = {
