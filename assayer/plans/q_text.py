@@ -188,12 +188,13 @@ def _(d):
     return d.usage.join(batch, ["config_id", "run_id"]).select("article_no", F.round("share", 2).alias("share_ms"))
 
 
-QUOTED_SQL = " || ".join(f"regexp_extract_all(t, {q(p)}, 1)" for p in V.QUOTE_STYLES)
+def quoted_sql(c: str) -> str:
+    inner = f"regexp_replace({strip('substr(h, 2, length(h) - 2)')}, '[,;:]+$', '')"
+    return f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({c}, {q(V.ANY_QUOTED)}, 0), lambda h: {inner}), lambda x: x <> '')))"
 
 
-@query("quoted_literals")
+@query("quoted_literals", sql=f"select page_id, len(l)::int as n, md5(array_to_string(l, '|')) as literals_md5 from (select page_id, {quoted_sql('html')} as l from pages)")
 def _(d):
-    """Quoted texts per page; checked by brute force in the tests, because a scan left to right over four styles has no short SQL."""
     lits = X.quoted_literals(F.col("html"))
     return d.table("pages").select("page_id", F.size(lits).alias("n"), F.md5(F.array_join(lits, "|")).alias("literals_md5"))
 
@@ -228,6 +229,10 @@ def fill_sql(template: str, **values) -> str:
     return " || ".join(parts)
 
 
+def lists(options: dict, vals: dict) -> str:
+    return f"[{', '.join(q(k) for k in options)}] as labels, [{', '.join(fill_sql(t, **vals) for t in options.values())}] as texts"
+
+
 def questions_sql(verbose: bool) -> str:
     texts = V.VERBOSE if verbose else V.TERSE
     policy = heading_sql("validation_prompt") if verbose else f"left({heading_sql('validation_prompt')}, {V.VALIDATION_CRITERIA_MAX_CHARS})"
@@ -240,12 +245,10 @@ def questions_sql(verbose: bool) -> str:
             title = V.CLIENT_PROMINENCE if key == "prominence" else V.CLIENT_SENTIMENT
             own = heading_sql(f"{key}_prompt")
             ins += f" || case when {own} <> '' then {q(title)} || {own} else '' end"
-        crit = " || '|' || ".join(f"{q(k)} || '=' || {fill_sql(t, **vals)}" for k, t in options.items())
-        out.append(f"select config_id, subject_id, pos, {slot} as slot, 'subj_'||subject_id||'_{key}' as qid, null::varchar as tag_id, '{kind}' as kind, '{qtype}' as qtype, {ins} as instructions, {crit} as criteria from policy_subjects")
+        out.append(f"select config_id, subject_id, pos, {slot} as slot, 'subj_'||subject_id||'_{key}' as qid, null::varchar as tag_id, '{kind}' as kind, '{qtype}' as qtype, {ins} as instructions, {lists(options, vals)} from policy_subjects")
     head, options = texts["tag"]
     vals = dict(name="s.name", tag="t.tag_name", policy=strip(f"{heading_sql('t.prompt_text')} || {GUARD.replace('tag_name', 't.tag_name')}"))
-    crit = " || '|' || ".join(f"{q(k)} || '=' || {fill_sql(t, **vals)}" for k, t in options.items())
-    out.append(f"""select t.config_id, t.subject_id, t.pos, t.tag_pos + 3, 'tag_'||t.subject_id||'_'||t.tag_id, t.tag_id, 'tag', 'noul', {fill_sql(head, **vals)}, {crit}
+    out.append(f"""select t.config_id, t.subject_id, t.pos, t.tag_pos + 3, 'tag_'||t.subject_id||'_'||t.tag_id, t.tag_id, 'tag', 'noul', {fill_sql(head, **vals)}, {lists(options, vals)}
  from policy_tags t join policy_subjects s on s.subject_id = t.subject_id where t.evaluation_type = 'llm' and coalesce(t.prompt_text, '') <> ''""")
     return " union all ".join(out)
 
@@ -257,7 +260,8 @@ def flat_criteria():
     return F.array_join(F.zip_with("criteria_labels", "criteria_texts", lambda k, t: F.concat(k, F.lit("="), t)), "|")
 
 
-QCOLS = "config_id, subject_id, pos, slot, qid, kind, qtype, md5(instructions) as instructions_md5, md5(criteria) as criteria_md5"
+QCOLS = """config_id, subject_id, pos, slot, qid, kind, qtype, md5(instructions) as instructions_md5,
+ md5(array_to_string(list_transform(range(1, len(labels) + 1), lambda i: labels[i] || '=' || texts[i]), '|')) as criteria_md5"""
 
 
 def show(qs):
