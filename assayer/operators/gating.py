@@ -261,17 +261,18 @@ def regex_candidates(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(found)).select("doc_id", "kind", F.posexplode("values").alias("pos", "value"))
 
 
-def beam_descent(starts: DataFrame, tree: DataFrame, scored: DataFrame, depth: int, beam: int) -> DataFrame:
+def beam_descent(starts: DataFrame, tree: DataFrame, score, depth: int, beam: int) -> DataFrame:
     """Keep the best paths while descending a category tree of known depth.
 
-    starts(item, node); tree(parent, child); scored(item, child, p).  One join per level, beam rows per item.
+    starts(item, node); tree(parent, child); score(item, child) gives a probability Column, so only children of
+    kept paths are ever scored.  One join per level, at most `beam` rows per item between levels.
     """
     paths = starts.select("item", "node", F.lit(1.0).alias("p"), F.col("node").cast("string").alias("path"))
+    edges = tree.select(F.col("parent").alias("node"), "child")
     w = Window.partitionBy("item").orderBy(F.desc("p"), "path")
     for _ in range(depth):
-        step = join_by_size(paths, tree.select(F.col("parent").alias("node"), "child"), ["node"])
-        step = step.join(scored.withColumnRenamed("p", "q"), ["item", "child"])
-        step = step.select("item", F.col("child").alias("node"), F.round(F.col("p") * F.col("q"), 9).alias("p"),
-                           F.concat("path", F.lit(">"), F.col("child").cast("string")).alias("path"))
+        step = join_by_size(paths, edges, ["node"])
+        p = F.round(F.col("p") * score(F.col("item"), F.col("child")), 9)
+        step = step.select("item", F.col("child").alias("node"), p.alias("p"), F.concat("path", F.lit(">"), F.col("child").cast("string")).alias("path"))
         paths = step.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= beam).drop("rank")
     return paths
