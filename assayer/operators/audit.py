@@ -55,9 +55,9 @@ def selection_counts(selected: DataFrame, config_ids: DataFrame, n: int = V.BATC
         "config_id", F.lit(n).cast("bigint").alias("requested"), F.coalesce("selected", F.lit(0)).alias("selected"))
 
 
-def round_robin(selected: DataFrame, n_configs: int) -> DataFrame:
-    """First article of each config, then the second of each: the turn is computed, not sorted globally."""
-    return selected.withColumn("work_key", (F.col("rank_in_config") - 1) * n_configs + F.col("config_pos"))
+def round_robin(selected: DataFrame) -> DataFrame:
+    """First article of each config, then the second of each: the order is a sortable key, no global sort runs here."""
+    return selected.withColumn("work_key", F.struct("rank_in_config", "config_pos"))
 
 
 def ordered_distinct(df: DataFrame, value: str, pos: str) -> DataFrame:

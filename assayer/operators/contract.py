@@ -9,7 +9,6 @@ from assayer.functions.text import filled
 from assayer.operators.joins import join_by_size
 from assayer.operators.sampling import union_all
 
-MAX_EXPRESSIONS = 5_000
 PER_PASS = 250
 FIELDS = ("country", "language", "media_type", "source")
 _SMART = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'"})
@@ -52,27 +51,26 @@ def boolean_tags(articles: DataFrame, tags: DataFrame) -> DataFrame:
     """Result per (article, boolean tag); an invalid expression is false and flagged.
 
     articles(correlation_id, config_id, headline, body, country, language, media_type, source, metadata);
-    tags(config_id, subject_id, tag_id, boolean_expression).  Distinct expressions are configuration text: their
-    number is checked, and each pass evaluates a bounded set of them.
+    tags(config_id, subject_id, tag_id, boolean_expression).  Each pass takes one hash share of the distinct
+    expressions, about `PER_PASS` of them, so neither the driver nor one plan ever holds them all.
     """
-    known = tags.select("boolean_expression").filter(filled(F.col("boolean_expression")).isNotNull()).distinct().limit(MAX_EXPRESSIONS + 1)
-    texts = sorted(r[0] for r in known.collect())
-    if len(texts) > MAX_EXPRESSIONS:
-        raise ValueError(f"more than {MAX_EXPRESSIONS} distinct expressions")
+    tags = tags.filter(filled(F.col("boolean_expression")).isNotNull()).select("config_id", "subject_id", "tag_id", "boolean_expression")
+    texts = tags.select("boolean_expression").distinct()
+    passes = max(1, -(-texts.count() // PER_PASS))
+    share = F.pmod(F.xxhash64("boolean_expression"), F.lit(passes))
     hay = articles.select("correlation_id", "config_id", *FIELDS, "metadata", F.lower(F.concat("headline", F.lit(" "), "body")).alias("haystack"))
-    passes = []
-    for i in range(0, max(len(texts), 1), PER_PASS):
-        part = texts[i:i + PER_PASS]
-        rows = join_by_size(hay, tags.filter(F.col("boolean_expression").isin(part)).select("config_id", "subject_id", "tag_id", "boolean_expression"), ["config_id"])
-        result, valid = F.when(F.lit(False), False), []
-        for t in part:
-            c = expression_column(t, hay)
-            if c is not None:
-                result = result.when(F.col("boolean_expression") == t, c)
-                valid.append(t)
-        passes.append(rows.select("correlation_id", "config_id", "subject_id", "tag_id", F.coalesce(result, F.lit(False)).alias("result"),
-                                  (~F.col("boolean_expression").isin(valid)).alias("invalid")))
-    return union_all(*passes)
+    out = []
+    for i in range(passes):
+        part = tags.filter(share == i)
+        columns = {r[0]: expression_column(r[0], hay) for r in texts.filter(share == i).collect()}
+        valid = [t for t, c in columns.items() if c is not None]
+        result = F.when(F.lit(False), False)
+        for t in valid:
+            result = result.when(F.col("boolean_expression") == t, columns[t])
+        rows = join_by_size(hay, part, ["config_id"])
+        out.append(rows.select("correlation_id", "config_id", "subject_id", "tag_id", F.coalesce(result, F.lit(False)).alias("result"),
+                               (~F.col("boolean_expression").isin(valid)).alias("invalid")))
+    return union_all(*out)
 
 
 STATE = ("STRUCT<tags: ARRAY<STRING>, subjects: ARRAY<STRUCT<subject_id: STRING, is_valid: BOOLEAN, prominence: STRING, sentiment: STRING>>, "

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import fixed_values as V
 from assayer.functions import text as X
-from assayer.operators.joins import join_by_size, spread
+from assayer.operators.joins import join_by_size, once, rows_of
 
 
 def entity_sets(subjects: DataFrame) -> DataFrame:
@@ -43,13 +43,14 @@ def presence_evidence(articles: DataFrame, sets: DataFrame, keep: tuple = (), se
 
     sets(config_id, entities, ...): one row per configuration; `set_columns` of it ride along.
     """
-    a = spread(articles).select(
+    a = articles.select(
         "correlation_id", "config_id", *keep,
         F.lower(F.concat("headline", F.lit(" "), X.clean_body(F.col("body")))).alias("full_lc"),
         F.lower("headline").alias("headline_lc"), F.lower(X.lead(F.col("body"))).alias("lead_lc"))
     j = join_by_size(a, sets.select("config_id", "entities", *set_columns), ["config_id"])
     ev = evidence_array(F.col("full_lc"), F.col("headline_lc"), F.col("lead_lc"), F.col("entities"))
-    out = j.select("correlation_id", "config_id", *keep, *set_columns, ev.alias("evidence"), X.adversity(F.col("full_lc")).alias("adversity"))
+    out = once(j, evidence=ev, adversity=X.adversity(F.col("full_lc"))).select(
+        "correlation_id", "config_id", *keep, *set_columns, "evidence", "adversity")
     return out.select(
         "*", F.size(F.filter("evidence", lambda e: e.in_headline)).alias("n_headline"),
         F.coalesce(F.array_max(F.transform("evidence", lambda e: e.mentions)), F.lit(0)).alias("max_mentions"),
@@ -57,4 +58,4 @@ def presence_evidence(articles: DataFrame, sets: DataFrame, keep: tuple = (), se
 
 
 def evidence_rows(evidence: DataFrame) -> DataFrame:
-    return evidence.select("correlation_id", "config_id", "adversity", "n_headline", "max_mentions", "n_major", F.inline("evidence"))
+    return rows_of(evidence, "evidence", "subject_id", "correlation_id", "config_id", "adversity", "n_headline", "max_mentions", "n_major")

@@ -6,7 +6,8 @@ from assayer import fixed_values as V
 from assayer.functions import text as X
 from assayer.operators import scoring
 from assayer.operators.entities import presence_evidence
-from assayer.operators.joins import join_by_size
+from assayer.operators.joins import join_by_size, once, rows_of
+from assayer.session import written
 
 
 def effective_threshold(in_lead: Column, unmatched: Column) -> Column:
@@ -112,7 +113,7 @@ def cascade(articles: DataFrame, sets: DataFrame, factory, keep: tuple = ()) ->
     open_valid = F.filter("questions", lambda q: (q.kind == "validation") & ~F.exists(
         "evidence", lambda e: (e.subject_id == q.subject_id) & e.certified))
     r = scoring.score(r.withColumn("ask", open_valid), factory, "ask", "first").drop("ask")
-    r = r.withColumn("gate", _gate_array(F.col("evidence"), F.col("first")))
+    r = once(r, gate=_gate_array(F.col("evidence"), F.col("first")))
     rest = F.filter("questions", lambda q: (q.kind != "validation") & F.exists(
         "gate", lambda g: (g.subject_id == q.subject_id) & g.passed))
     return scoring.score(r.withColumn("ask", rest), factory, "ask", "second").drop("ask")
@@ -150,18 +151,18 @@ def decision_arrays(run: DataFrame, consistent: bool = False) -> DataFrame:
         return F.struct(q.subject_id.alias("subject_id"), q.tag_id.alias("tag_id"), g.noul.alias("p_valid"),
                         F.when(g.passed, by_qid(F.col("second"), q.qid).noul).otherwise(0.0).alias("p_tag"))
 
-    return run.select("*", F.zip_with("evidence", "gate", subject).alias("subjects"),
-                      F.transform(F.filter("questions", lambda q: q.kind == "tag"), tag).alias("tags"))
+    return once(run, subjects=F.zip_with("evidence", "gate", subject),
+                tags=F.transform(F.filter("questions", lambda q: q.kind == "tag"), tag))
 
 
 def subject_decisions(run: DataFrame, keep: tuple = (), consistent: bool = False) -> DataFrame:
     """One row per (article, subject) with its final decision."""
-    return decision_arrays(run, consistent).select("correlation_id", "config_id", *keep, F.inline("subjects"))
+    return rows_of(decision_arrays(run, consistent), "subjects", "subject_id", "correlation_id", "config_id", *keep)
 
 
 def tag_decisions(run: DataFrame, keep: tuple = ()) -> DataFrame:
     """Candidate probability per (article, subject, tag); subjects behind the gate answer 0.0."""
-    return decision_arrays(run).select("correlation_id", "config_id", *keep, F.inline("tags"))
+    return rows_of(decision_arrays(run), "tags", "subject_id", "correlation_id", "config_id", *keep)
 
 
 def served_defaults(answers: DataFrame, valid_threshold: float = V.VALIDATION_THRESHOLD) -> DataFrame:
@@ -238,6 +239,7 @@ def lexical_candidates(docs: DataFrame, queries: DataFrame, n: int, k1: float =
     wanted = q_terms.select("term").distinct()
     tf = join_by_size(d.select("doc_id", "len", F.explode("w").alias("term")), wanted, ["term"], "left_semi").groupBy(
         "doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    tf = written(tf, "term-counts")  # read twice below; far smaller than the texts
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))

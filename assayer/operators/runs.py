@@ -19,13 +19,14 @@ def reuse_or_ingest(spark, path: str, ingest) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_config_files(payloads: DataFrame, path: str) -> None:
-    """One JSON folder per configuration group."""
-    payloads.write.mode("overwrite").partitionBy("config_id").text(path)
+def write_config_lines(payloads: DataFrame, path: str) -> None:
+    """Config payloads, one JSON document per line, in at most 256 folders whatever the number of configs."""
+    group = F.substring(F.md5("config_id"), 1, 2)
+    payloads.select("payload", group.alias("config_group")).write.mode("overwrite").partitionBy("config_group").text(path)
 
 
 def read_config_lines(spark, path: str) -> DataFrame:
-    return spark.read.format("text").option("wholetext", True).load(path).select(F.col("value").alias("payload"), "config_id")
+    return spark.read.text(path).select(F.col("value").alias("payload"), F.get_json_object("value", "$.metadata.config_id").alias("config_id"))
 
 
 def skip_unresolvable(work: DataFrame, configs: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
 """The scorer contract: the only place where rows leave the JVM.
 
-A scorer is injected as a factory.  It is called once per Python worker; each Arrow batch then goes through
-the model as one list of (state, questions).  Other columns pass through untouched.
+A scorer is injected as a factory and called once per Python worker.  Only the article key, the state and the
+questions of the pass travel to Python, in Arrow batches; every other column stays in the JVM.
 """
 
 import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from assayer.operators.joins import once, rows_of
+
 # this module travels to the workers by value, so executors need no installed copy
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -18,35 +22,34 @@ ANSWERS = T.ArrayType(T.StructType([
     T.StructField("confidence", T.DoubleType())]))
 
 
+REPLY = T.StructType([T.StructField("answers", ANSWERS), T.StructField("tokens", T.LongType()), T.StructField("ms", T.DoubleType())])
+
+
 def score(requests: DataFrame, factory, questions: str, out: str) -> DataFrame:
     """Add `out` (answers), `<out>_tokens` and `<out>_ms`; an article without questions is not sent to the model."""
-    extra = [T.StructField(out, ANSWERS), T.StructField(f"{out}_tokens", T.LongType()), T.StructField(f"{out}_ms", T.DoubleType())]
-    schema = T.StructType([*requests.schema.fields, *extra])
     key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
 
-    def run(batches):
-        import sys as _sys
-        import types as _types
-
-        import pyarrow as pa
+    @F.arrow_udf(REPLY)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import types
         from pyspark.sql.pandas.types import to_arrow_type
 
-        cache = _sys.modules.setdefault("_assayer_models", _types.ModuleType("_assayer_models")).__dict__
+        cache = sys.modules.setdefault("_assayer_models", types.ModuleType("_assayer_models")).__dict__
         if key not in cache:
             cache[key] = factory()
-        model = cache[key]
-        types = [to_arrow_type(f.dataType, prefers_large_types=False) for f in extra]
-        for b in batches:
-            ids, states, asks = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("correlation_id", "state", questions))
+        model, reply_type = cache[key], to_arrow_type(REPLY)
+        for ids, states, asks in batches:
+            ids, states, asks = ids.to_pylist(), states.to_pylist(), asks.to_pylist()
             todo = [i for i, a in enumerate(asks) if a]
-            replies = model([ids[i] for i in todo], [states[i] for i in todo], [asks[i] for i in todo])
-            answers, tokens, ms = [[] for _ in asks], [0] * len(asks), [0.0] * len(asks)
-            for i, (a, t, m) in zip(todo, replies):
-                answers[i], tokens[i], ms[i] = a, t, m
-            cols = [*b.columns, pa.array(answers, types[0]), pa.array(tokens, types[1]), pa.array(ms, types[2])]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, out, f"{out}_tokens", f"{out}_ms"])
+            rows = [{"answers": [], "tokens": 0, "ms": 0.0} for _ in asks]
+            for i, (a, t, m) in zip(todo, model([ids[i] for i in todo], [states[i] for i in todo], [asks[i] for i in todo])):
+                rows[i] = {"answers": a, "tokens": t, "ms": m}
+            yield pa.array(rows, reply_type)
 
-    return requests.mapInArrow(run, schema)
+    # The argument comes out of a generator, as lambdas inside a Python call are not planned; and a model call is
+    # never repeated or moved, so filters on its answers stay above it.
+    r = once(requests, _ask=F.col(questions)).withColumn("_reply", run.asNondeterministic()("correlation_id", "state", "_ask"))
+    return r.select(*requests.columns, F.col("_reply.answers").alias(out), F.col("_reply.tokens").alias(f"{out}_tokens"), F.col("_reply.ms").alias(f"{out}_ms"))
 
 
 def hash_scorer():
@@ -72,4 +75,4 @@ def hash_scorer():
 
 
 def answers_rows(scored: DataFrame, col: str) -> DataFrame:
-    return scored.select("correlation_id", "config_id", F.inline(col))
+    return rows_of(scored, col, "qid", "correlation_id", "config_id")

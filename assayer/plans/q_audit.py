@@ -54,12 +54,11 @@ def selected_ids(d):
 
 
 def positions(d):
-    from pyspark.sql import Window
-    w = Window.partitionBy(F.lit(0)).orderBy("id")
-    return selected_ids(d).select("config_id", (F.row_number().over(w) - 1).alias("config_pos"))
+    """Selected configs; a config's turn is the place of its first mention."""
+    return selected_ids(d).withColumnRenamed("id", "config_pos")
 
 
-IDS = {"ids": """select config_id, row_number() over (order by id) - 1 as config_pos, id from (select trim(c) as config_id, min(id) as id from (
+IDS = {"ids": """select config_id, id as config_pos, id from (select trim(c) as config_id, min(id) as id from (
  select id, case when id % 3 = 0 then '  '||config_id when id % 7 = 0 then ' ' else config_id end as c from audit_log) where trim(c) <> '' group by 1)"""}
 NEWEST = f"""select l.*, i.config_pos, row_number() over (partition by l.config_id order by created_at desc, l.id desc) as rank_in_config from ({LATEST}) l join ids i using (config_id)"""
 
@@ -80,12 +79,11 @@ def _(d):
     return A.selection_counts(A.newest_per_config(d.audit_log, ids), ids)
 
 
-@query("round_robin", sql=f"select config_id, correlation_id, row_number() over (order by rank_in_config, config_pos) as turn from ({NEWEST}) where rank_in_config <= 50", extra=IDS)
+@query("round_robin", sql=f"select config_id, correlation_id, rank_in_config as round, config_pos as turn from ({NEWEST}) where rank_in_config <= 50", extra=IDS)
 def _(d):
-    """Position of every work item when configurations take turns (50 per configuration at most)."""
-    from pyspark.sql import Window
-    work = A.round_robin(A.newest_per_config(d.audit_log, positions(d)), 1000)
-    return work.select("config_id", "correlation_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("work_key")).alias("turn"))
+    """Work items in the order of their key: round first, then the config's turn."""
+    work = A.round_robin(A.newest_per_config(d.audit_log, positions(d)))
+    return work.select("config_id", "correlation_id", F.col("work_key.rank_in_config").alias("round"), F.col("work_key.config_pos").alias("turn"))
 
 
 @query("list_blobs", sql="""select name, config_id, processed_at from (select correlation_id||'_archive.json' as name, config_id, case when status = 'completed' then created_at end as processed_at

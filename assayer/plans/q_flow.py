@@ -52,7 +52,7 @@ def sets(d):
 
 
 def evidence(d):
-    return E.evidence_rows(E.presence_evidence(d.articles, sets(d)))
+    return E.evidence_rows(E.presence_evidence(d.articles_spread, sets(d)))
 
 
 @query("mention_counts", sql="select correlation_id, subject_id, mentions from evidence", extra=EVIDENCE)
@@ -153,13 +153,13 @@ SCORED = {
 
 
 def plain_run(d, keep=()):
-    return G.cascade(d.articles, sets(d), S.hash_scorer, keep)
+    return G.cascade(d.articles_spread, sets(d), S.hash_scorer, keep)
 
 
 @query("score_batch", sql=f"""select correlation_id, {VALID} as qid, 'noul' as type, {noul_sql(VALID)} as noul, null::varchar as choice, 1.0::double as confidence from (select a.correlation_id, s.subject_id from articles a cross join subjects s)
  union all select correlation_id, {PROM}, 'choice', null, {first_max(W3)}, round(greatest(wp0,wp1,wp2)::double / (wp0+wp1+wp2), 6) from (select *, {', '.join(f'{weight_sql(PROM, x)} as {c}' for x, c in W3.items())} from (select a.correlation_id, s.subject_id from articles a cross join subjects s))""")
 def _(d):
-    r = Q.request_table(d.articles, Q.question_sets(article_questions(d)))
+    r = Q.request_table(d.articles_spread, Q.question_sets(article_questions(d)))
     r = r.withColumn("ask", F.filter("questions", lambda x: x.slot < 2))
     return S.answers_rows(S.score(r, S.hash_scorer, "ask", "answers"), "answers").select(
         "correlation_id", "qid", "type", "noul", "choice", F.round("confidence", 6).alias("confidence"))

@@ -50,9 +50,9 @@ def _(d):
 
 @query("load_config_snapshots", sql="select config_id, count(*) as n_subjects from policy_subjects group by config_id")
 def _(d):
-    """Config files are written one per configuration group and read back with the id from the file name."""
+    """Config documents are stored and read back as text; each carries its own id."""
     path = work_path(d.spark, "configs")
-    runs.write_config_files(config_payloads_plain(d), path)
+    runs.write_config_lines(config_payloads_plain(d), path)
     s = C.snapshot_unwrap(runs.read_config_lines(d.spark, path))
     return s.select("config_id", F.size("snapshot.subjects").cast("bigint").alias("n_subjects"))
 
@@ -60,7 +60,7 @@ def _(d):
 def config_payloads_plain(d):
     s = d.policy_subjects.groupBy("config_id").agg(F.array_sort(F.collect_list(F.struct(
         F.col("pos").alias("sort_order"), F.col("subject_id").cast("string").alias("id"), "name"))).alias("subjects"))
-    return s.select("config_id", F.to_json(F.struct(F.struct("subjects").alias("snapshot"))).alias("payload"))
+    return s.select("config_id", F.to_json(F.struct(F.struct("subjects").alias("snapshot"), F.struct("config_id").alias("metadata"))).alias("payload"))
 
 
 NAMES_SQL = """select case when page_id % 5 = 0 then 'validation-failure/' when page_id % 5 = 1 then 'delivery-audit/' else '' end

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from assayer import fixed_values as V
 from assayer.functions import labels as L, text as X
 from assayer.operators import questions as Q
+from assayer.operators.joins import join_by_size
 from assayer.plans.registry import query
 from assayer.plans.views_sql import WS, q, strip, words_in
 from assayer.sources import configs as C
@@ -73,7 +74,7 @@ def noisy(d):
            .when(k5 == 3, "\nx-1 || 9:30 update").otherwise(""))
     two = (F.when(k6 == 0, "\nRead more: other story\ntail").when(k6 == 1, "\nRead more").when(k6 == 2, "\n• Related: this\nAlso on - that")
            .when(k6 == 3, "\nNewsletter sign up").otherwise(""))
-    return d.articles.select("correlation_id", "doc_id", "headline", F.concat("body", one, two).alias("body"))
+    return d.articles_spread.select("correlation_id", "doc_id", "headline", F.concat("body", one, two).alias("body"))
 
 
 @query("strip_bylines", sql=f"select correlation_id, length(b) as n, md5(b) as body_md5 from (select correlation_id, {byline_sql('body')} as b from noisy)", extra={"noisy": NOISY})
@@ -185,7 +186,7 @@ def _(d):
 def _(d):
     """Time of a batch shared evenly by its members: totals are aggregated first and joined back."""
     batch = d.usage.groupBy("config_id", "run_id").agg((F.sum("cand_duration_ms") / F.count("*")).alias("share"))
-    return d.usage.join(batch, ["config_id", "run_id"]).select("article_no", F.round("share", 2).alias("share_ms"))
+    return join_by_size(d.usage, batch, ["config_id", "run_id"]).select("article_no", F.round("share", 2).alias("share_ms"))
 
 
 def quoted_sql(c: str) -> str:

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer import fixed_values as V
+from assayer.operators.joins import spread
 
 SUBJECTS = ((1, "Thon Corp"), (2, "Inoran (THTH)"), (3, "Hehely-Ther"), (4, "Thin All"))
 TAGS = (("toxic", "Toxic partner", "llm"), ("long", "Developer notes", "llm"), ("kw", "Keyword", "boolean"))
@@ -46,10 +47,9 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    @cached_property
-    def articles(self) -> DataFrame:
+    def _articles(self, documents: DataFrame) -> DataFrame:
         head = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-        return self.table("documents").select(
+        return documents.select(
             F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("correlation_id"), "doc_id",
             F.col("source").alias("config_id"), F.col("lang").alias("language"),
             F.when(F.col("doc_id") % 10 == 0, "radio").when(F.col("doc_id") % 10 == 1, "television")
@@ -58,6 +58,15 @@ class Domain:
             F.col("text").substr(F.length(head) + 2, F.length("text")).alias("body"), "n_chars",
         )
 
+    @cached_property
+    def articles(self) -> DataFrame:
+        return self._articles(self.table("documents"))
+
+    @cached_property
+    def articles_spread(self) -> DataFrame:
+        """The same rows with enough tasks for text work."""
+        return self._articles(spread(self.table("documents")))
+
     @cached_property
     def config_ids(self) -> DataFrame:
         return self.table("documents").select(F.col("source").alias("config_id")).distinct()
@@ -231,7 +240,7 @@ class Domain:
         groups = F.array(
             F.struct(F.lit("g1").alias("group_id"), F.lit("Safety").alias("name"), F.array(tag("toxic", "llm", ~toxic), tag("kw", "boolean", toxic)).alias("tags")),
             F.struct(F.lit("g2").alias("group_id"), F.lit("Again").alias("name"), F.array(tag("toxic", "llm", toxic)).alias("tags")))
-        a = self.articles.join(self.table("labels"), "doc_id", "left")
+        a = self.articles_spread.join(self.table("labels"), "doc_id", "left")
         return a.select(
             "doc_id", "correlation_id", "config_id",
             F.when(d % 10 == 2, F.col("headline")).alias("headline"),
