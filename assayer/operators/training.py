@@ -1,13 +1,15 @@
 """Supervised sequences from archived decisions, and checks on their splits."""
 
 import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from assayer import fixed_values as V
 from assayer.functions import labels as L
-from assayer.operators.joins import join_by_size
+from assayer.operators.joins import join_by_size, once
 
 # the tokenizer step travels to the workers by value, so executors need no installed copy
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -61,39 +63,63 @@ def whitespace_tokenizer():
     return encode
 
 
-def tokenize_sequences(rows: DataFrame, factory, max_len: int = V.MAX_LEN, head_len: int = V.HEAD_MAX_LEN) -> DataFrame:
-    """State and question to token ids with one marker per option; a row drops out when options do not fit.
+def labelled_questions(subject_results: Column, base_tags: Column, questions: Column) -> Column:
+    """The questions of an article that its archive answers, with label and target, inside the article's row."""
+    def one(q):
+        s = F.get(F.filter(subject_results, lambda x: x.subject_id == q.subject_id.cast("string")), F.lit(0))
+        t = F.get(F.filter(base_tags, lambda x: x.tag_id == q.tag_id), F.lit(0))
+        value = (
+            F.when(q.kind == "validation", F.when(s.isNotNull(), F.coalesce(s.is_valid, F.lit(False)).cast("string")))
+            .when(q.kind == "prominence", s.prominence).when(q.kind == "sentiment", s.sentiment)
+            .otherwise(F.when(t.isNotNull(), F.coalesce(t.result, F.lit(False)).cast("string"))))
+        code = F.when(q.qtype == "choice", 0).when(q.qtype == "score", 1).otherwise(2)
+        return F.struct(q.qid.alias("qid"), q.kind.alias("kind"), code.alias("qtype"), L.label_index(q.kind, value).alias("label"),
+                        q.instructions.alias("instructions"), q.criteria_labels.alias("criteria_labels"), q.criteria_texts.alias("criteria_texts"))
 
-    rows need state, instructions, criteria_labels, criteria_texts.  The question head takes at most `head_len`
-    tokens, the state fills what is left of `max_len`.
+    return F.filter(F.transform(questions, one), lambda x: x.label.isNotNull())
+
+
+TOKENS = T.ArrayType(T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("markers", T.ArrayType(T.LongType()))]))
+
+
+def tokenize_sequences(articles: DataFrame, sets: DataFrame, factory, max_len: int = V.MAX_LEN, head_len: int = V.HEAD_MAX_LEN) -> DataFrame:
+    """Training sequences: token ids of question and state, one marker per option, label and one-hot target.
+
+    articles(correlation_id, config_id, state, subject_results, base_tags); sets(config_id, questions).  An article
+    goes to the tokenizer once, with all its labelled questions, so its text is encoded once and never copied per
+    question.  The question head takes at most `head_len` tokens, the state fills what is left of `max_len`; a
+    sequence whose options do not all fit is dropped.
     """
-    keep = [c for c in rows.columns if c not in ("state", "instructions", "criteria_labels", "criteria_texts")]
-    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("markers", T.ArrayType(T.LongType()))])
-
-    def run(batches):
-        import pyarrow as pa
-
-        encode = factory()
-        for b in batches:
-            col = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
-            ids, markers, mask = [], [], []
-            for state, ins, labels, texts in zip(col("state"), col("instructions"), col("criteria_labels"), col("criteria_texts")):
-                head, marks = encode(ins), []
-                for label, text in zip(labels, texts):
-                    piece = encode(f"{label}: {text}")
-                    if len(head) + len(piece) + 1 <= head_len:
-                        marks.append(len(head))
-                        head += [1, *piece]
-                ok = len(marks) == len(labels)
-                mask.append(ok)
-                if ok:
-                    ids.append((head + encode(state))[:max_len])
-                    markers.append(marks)
-            kept = b.filter(pa.array(mask, pa.bool_()))
-            cols = [kept.column(kept.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int64())), pa.array(markers, pa.list_(pa.int64()))], names=[*keep, "ids", "markers"])
-
-    return rows.mapInArrow(run, schema)
+    j = join_by_size(articles, sets.select("config_id", "questions"), ["config_id"])
+    j = once(j, labelled=labelled_questions(F.col("subject_results"), F.col("base_tags"), F.col("questions")))
+
+    @F.arrow_udf(TOKENS)
+    def encode_all(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        encode, reply = factory(), to_arrow_type(TOKENS)
+        for states, asks in batches:
+            rows = []
+            for state, questions in zip(states.to_pylist(), asks.to_pylist()):
+                body, out = encode(state) if questions else [], []
+                for q in questions or []:
+                    head, marks = encode(q["instructions"]), []
+                    for label, text in zip(q["criteria_labels"], q["criteria_texts"]):
+                        piece = [1, *encode(f"{label}: {text}")]
+                        if len(head) + len(piece) <= head_len:
+                            marks.append(len(head))
+                            head += piece
+                    fits = len(marks) == len(q["criteria_labels"])
+                    out.append({"ids": (head + body)[:max_len], "markers": marks} if fits else None)
+                rows.append(out)
+            yield pa.array(rows, reply)
+
+    t = j.select("correlation_id", "config_id", "labelled", encode_all.asNondeterministic()("state", "labelled").alias("tokens"))
+    rows = t.select("correlation_id", "config_id", F.inline_outer(F.arrays_zip("labelled", "tokens")))
+    rows = rows.filter(F.col("tokens").isNotNull())
+    label, kind = F.col("labelled.label"), F.col("labelled.kind")
+    return rows.select("correlation_id", "config_id", F.col("labelled.qid").alias("qid"), kind.alias("kind"), "tokens.ids", "tokens.markers",
+                       F.col("labelled.qtype").alias("qtype"), L.one_hot(label, L.kind_width(kind)).alias("target"), label.alias("label"))
 
 
 def label_distribution(seqs: DataFrame, keys=("kind", "label")) -> DataFrame:

@@ -280,14 +280,18 @@ def _(d):
 
 # --- the full run over archived records ------------------------------------------------------------------------------
 
-def blob_run(d):
-    """Archived records through the cascade; the archived decision rides in the same row, so comparing needs no join."""
+def archived(d):
+    """Archived records with their decisions in the same row."""
     parsed = B.parse_blobs(q_sources.raw(d))
     every = F.flatten(F.transform(F.col("scored_attributes.tag_groups"), lambda g: g.tags))
     base_tags = L.last_wins(F.filter(every, lambda t: t.evaluation_type == "llm"), "tag_id")
     subjects = L.last_wins(F.col("subject_results"), "subject_id")
-    a = B.inbound(parsed, subjects.alias("subject_results"), base_tags.alias("base_tags"), F.col("llm_tokens"), F.col("llm_cost_usd"), F.col("stage_timings"))
-    return G.cascade(a, sets(d), S.hash_scorer, ("subject_results", "base_tags", "llm_tokens", "llm_cost_usd", "stage_timings"))
+    return B.inbound(parsed, subjects.alias("subject_results"), base_tags.alias("base_tags"), F.col("llm_tokens"), F.col("llm_cost_usd"), F.col("stage_timings"))
+
+
+def blob_run(d):
+    """Archived records through the cascade; the archived decision rides in the same row, so comparing needs no join."""
+    return G.cascade(archived(d), sets(d), S.hash_scorer, ("subject_results", "base_tags", "llm_tokens", "llm_cost_usd", "stage_timings"))
 
 
 RUN = {

@@ -61,14 +61,15 @@ def _(d):
     return T.label_join(rows, article_questions(d)).select("correlation_id", "config_id", "qid", "kind")
 
 
-@query("tokenize_sequences")
-def _(d):
-    """Token ids and option markers of every (article, question); ids are hashes of the stand-in tokenizer, so rows only."""
-    from assayer.operators.joins import join_by_size
-    a = d.articles.select("correlation_id", "config_id", X.distilled_state(F.col("headline"), F.col("body")).alias("state"))
-    rows = join_by_size(a, article_questions(d).select("config_id", "qid", "instructions", "criteria_labels", "criteria_texts"), ["config_id"])
-    t = T.tokenize_sequences(rows, T.whitespace_tokenizer)
-    return t.select("correlation_id", "qid", F.size("ids").alias("n_ids"), F.size("markers").alias("n_markers"))
+@query("tokenize_sequences", sql="""select correlation_id, config_id, qid, kind, label, case kind when 'prominence' then 3 when 'sentiment' then 4 else 2 end as n_markers,
+ case when kind in ('validation','tag') then 2 else 0 end as qtype, true as fits from seqs join kept using (correlation_id)""", extra={**SEQS, **q_sources.EXTRA})
+def _(d):
+    """The gold rows straight from archived records; token ids are hashes of the stand-in tokenizer."""
+    from assayer.plans.q_flow import archived, sets
+    a = archived(d).withColumn("state", X.distilled_state(F.col("headline"), F.col("body")))
+    t = T.tokenize_sequences(a.select("correlation_id", "config_id", "state", "subject_results", "base_tags"), sets(d), T.whitespace_tokenizer)
+    return t.select("correlation_id", "config_id", "qid", "kind", "label", F.size("markers").alias("n_markers"), "qtype",
+                    F.size("ids").between(1, V.MAX_LEN).alias("fits"))
 
 
 @query("label_distribution", sql="select kind, label, count(*) as n from seqs group by kind, label", extra=SEQS)
