@@ -51,8 +51,13 @@ def softmax(logits: Column, t=1.0) -> Column:
     return F.transform(logits, lambda x: F.exp(x / t - lse))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half-up on the scaled value; round() itself looks at the printed digits, which other engines do not."""
+    return F.round(x * float(10 ** digits), 0) / float(10 ** digits)
+
+
 def pct(part: Column, whole: Column, digits: int = 1, empty=None) -> Column:
-    ratio = F.round(F.try_divide(part * 100.0, whole), digits)
+    ratio = rounded(F.try_divide(part * 100.0, whole), digits)
     return ratio if empty is None else F.coalesce(ratio, F.lit(empty))
 
 

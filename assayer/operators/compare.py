@@ -128,11 +128,11 @@ def article_performance(rows: DataFrame) -> DataFrame:
     tiny = 0.00000001
     return rows.select(
         "*",
-        F.when(bd > 0, F.round(bd / F.greatest(cd, F.lit(1.0)), 2)).otherwise(1.0).alias("speedup_ratio"),
-        F.round(bc - cc, 9).alias("savings_usd"),
-        F.when(bc > 0, F.round((bc - cc) / F.greatest(bc, F.lit(0.00001)) * 100.0, 1)).otherwise(0.0).alias("savings_pct"),
-        F.when(cc > 0, F.round(kc / F.greatest(cc, F.lit(tiny)), 1)).alias("class_cost_multiple"),
-        F.when(kc > 0, F.round((kc - cc) / F.greatest(kc, F.lit(tiny)) * 100.0, 1)).otherwise(0.0).alias("class_savings_pct"))
+        F.when(bd > 0, L.rounded(bd / F.greatest(cd, F.lit(1.0)), 2)).otherwise(1.0).alias("speedup_ratio"),
+        L.rounded(bc - cc, 9).alias("savings_usd"),
+        F.when(bc > 0, L.rounded((bc - cc) / F.greatest(bc, F.lit(0.00001)) * 100.0, 1)).otherwise(0.0).alias("savings_pct"),
+        F.when(cc > 0, L.rounded(kc / F.greatest(cc, F.lit(tiny)), 1)).alias("class_cost_multiple"),
+        F.when(kc > 0, L.rounded((kc - cc) / F.greatest(kc, F.lit(tiny)) * 100.0, 1)).otherwise(0.0).alias("class_savings_pct"))
 
 
 def compare_articles(run: DataFrame, tag_threshold: float = V.TAG_THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -61,7 +61,7 @@ def fit_temperature(preds: DataFrame, min_rows: int = 1, lowest: float = 0.1, hi
     types = preds.sparkSession.createDataFrame([(k,) for k in V.QTYPE_CODES], "qtype STRING")
     out = types.join(best, "qtype", "left")
     return out.select("qtype", F.coalesce("n", F.lit(0)).alias("n"),
-                      F.when(F.coalesce("n", F.lit(0)) >= min_rows, F.round(t, 4)).otherwise(1.0).alias("temperature"))
+                      F.when(F.coalesce("n", F.lit(0)) >= min_rows, L.rounded(t, 4)).otherwise(1.0).alias("temperature"))
 
 
 def apply_temperature(preds: DataFrame, temperatures: dict[str, float]) -> DataFrame:
@@ -96,4 +96,4 @@ def agreement_lift(before: DataFrame, after: DataFrame) -> DataFrame:
     """Accuracy per kind before and after, and the difference."""
     pick = lambda df, n: df.filter(F.col("level") == "kind").select("kind", F.col("accuracy_pct").alias(n))
     j = pick(before, "before_pct").join(pick(after, "after_pct"), "kind", "full_outer")
-    return j.withColumn("lift", F.round(F.col("after_pct") - F.col("before_pct"), 2))
+    return j.withColumn("lift", L.rounded(F.col("after_pct") - F.col("before_pct"), 2))

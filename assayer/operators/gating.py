@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import fixed_values as V
-from assayer.functions import text as X
+from assayer.functions import labels as L, text as X
 from assayer.operators import scoring
 from assayer.operators.entities import presence_evidence
 from assayer.operators.joins import join_by_size, once, rows_of
@@ -62,7 +62,7 @@ def sentiment_weights(p: Column, adversity: Column) -> list[Column]:
     w = [F.when(hard, pos).otherwise(pos * 0.55), F.when(hard, neg * 1.5).otherwise(neg * 0.85),
          F.when(hard, neu * 0.9).otherwise(neu * 1.8), bal * 0.5]
     total = w[0] + w[1] + w[2] + w[3]
-    return [F.when(total > 0, F.round(x / total, 4)).otherwise(x) for x in w]
+    return [F.when(total > 0, L.rounded(x / total, 4)).otherwise(x) for x in w]
 
 
 def sentiment_recalibration(choice: Column, p: Column, valid: Column, adversity: Column) -> Column:
@@ -244,7 +244,7 @@ def lexical_candidates(docs: DataFrame, queries: DataFrame, n: int, k1: float =
     idf = df.select("term", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
     scored = join_by_size(tf, idf, ["term"]).select("doc_id", "term", part.alias("part"))
-    hits = join_by_size(scored, q_terms, ["term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    hits = join_by_size(scored, q_terms, ["term"]).groupBy("query_id", "doc_id").agg(L.rounded(F.sum("part"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
@@ -274,7 +274,7 @@ def beam_descent(starts: DataFrame, tree: DataFrame, score, depth: int, beam: in
     w = Window.partitionBy("item").orderBy(F.desc("p"), "path")
     for _ in range(depth):
         step = join_by_size(paths, edges, ["node"])
-        p = F.round(F.col("p") * score(F.col("item"), F.col("child")), 9)
+        p = L.rounded(F.col("p") * score(F.col("item"), F.col("child")), 9)
         step = step.select("item", F.col("child").alias("node"), p.alias("p"), F.concat("path", F.lit(">"), F.col("child").cast("string")).alias("path"))
         paths = step.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= beam).drop("rank")
     return paths

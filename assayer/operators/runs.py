@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.functions.labels import pct
+from assayer.functions.labels import pct, rounded
 from assayer.operators.joins import join_by_size
 
 
@@ -52,20 +52,20 @@ def run_totals(perf: DataFrame, keys: list[str]) -> DataFrame:
 def run_latency(totals: DataFrame, keys: list[str]) -> DataFrame:
     """Average latency of both sides and the speed-up of the averages; 1.0 without a baseline time."""
     n = F.greatest("articles", F.lit(1))
-    t = totals.withColumn("avg_base_ms", F.round(F.col("sum_base_duration_ms") / n, 2)).withColumn(
-        "avg_cand_ms", F.round(F.col("sum_cand_duration_ms") / n, 2))
-    speed = F.when(F.col("avg_base_ms") > 0, F.round(F.col("avg_base_ms") / F.greatest("avg_cand_ms", F.lit(1.0)), 2)).otherwise(1.0)
+    t = totals.withColumn("avg_base_ms", rounded(F.col("sum_base_duration_ms") / n, 2)).withColumn(
+        "avg_cand_ms", rounded(F.col("sum_cand_duration_ms") / n, 2))
+    speed = F.when(F.col("avg_base_ms") > 0, rounded(F.col("avg_base_ms") / F.greatest("avg_cand_ms", F.lit(1.0)), 2)).otherwise(1.0)
     return t.select(*keys, "articles", "avg_base_ms", "avg_cand_ms", speed.alias("speedup"))
 
 
 def run_cost(totals: DataFrame, keys: list[str]) -> DataFrame:
     """Totals, savings and multiples, for the whole call and for its classification part."""
     b, c, k = F.col("sum_base_cost_usd"), F.col("sum_cand_cost_usd"), F.col("sum_base_class_cost_usd")
-    saved = lambda x: F.when(x > 0, F.round((x - c) / F.greatest(x, F.lit(0.00001)) * 100.0, 1)).otherwise(0.0)
+    saved = lambda x: F.when(x > 0, rounded((x - c) / F.greatest(x, F.lit(0.00001)) * 100.0, 1)).otherwise(0.0)
     return totals.select(
-        *keys, F.round(b, 6).alias("base_cost_usd"), F.round(k, 6).alias("base_class_cost_usd"), F.round(c, 6).alias("cand_cost_usd"),
-        F.round(b - c, 6).alias("savings_usd"), saved(b).alias("savings_pct"), F.when(c > 0, F.round(F.try_divide(b, c), 1)).alias("cost_multiple"),
-        saved(k).alias("class_savings_pct"), F.when(c > 0, F.round(k / F.greatest(c, F.lit(0.00000001)), 1)).alias("class_cost_multiple"))
+        *keys, rounded(b, 6).alias("base_cost_usd"), rounded(k, 6).alias("base_class_cost_usd"), rounded(c, 6).alias("cand_cost_usd"),
+        rounded(b - c, 6).alias("savings_usd"), saved(b).alias("savings_pct"), F.when(c > 0, rounded(F.try_divide(b, c), 1)).alias("cost_multiple"),
+        saved(k).alias("class_savings_pct"), F.when(c > 0, rounded(k / F.greatest(c, F.lit(0.00000001)), 1)).alias("class_cost_multiple"))
 
 
 def run_counts(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,7 +82,7 @@ def optimizer_summary(records: DataFrame, keys: list[str]) -> DataFrame:
     g = last.groupBy(*keys).agg(
         F.count("*").alias("configs_compiled"), F.sum("r.cost_usd").alias("c"), F.sum("r.duration_ms").alias("d"),
         F.sum("r.chars_before").alias("chars_before"), F.sum("r.chars_after").alias("chars_after"))
-    return g.select(*keys, "configs_compiled", F.round("c", 6).alias("cost_usd"), F.round("d", 2).alias("duration_ms"),
+    return g.select(*keys, "configs_compiled", rounded(F.col("c"), 6).alias("cost_usd"), rounded(F.col("d"), 2).alias("duration_ms"),
                     "chars_before", "chars_after", pct(F.col("chars_before") - F.col("chars_after"), F.col("chars_before")).alias("reduction_pct"))
 
 

@@ -186,7 +186,7 @@ def _(d):
 def _(d):
     """Time of a batch shared evenly by its members: totals are aggregated first and joined back."""
     batch = d.usage.groupBy("config_id", "run_id").agg((F.sum("cand_duration_ms") / F.count("*")).alias("share"))
-    return join_by_size(d.usage, batch, ["config_id", "run_id"]).select("article_no", F.round("share", 2).alias("share_ms"))
+    return join_by_size(d.usage, batch, ["config_id", "run_id"]).select("article_no", L.rounded(F.col("share"), 2).alias("share_ms"))
 
 
 def quoted_sql(c: str) -> str:
