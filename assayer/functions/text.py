@@ -277,7 +277,7 @@ def numeric_literals(c: Column) -> Column:
 def rule_contradiction(c: Column) -> Column:
     """One literal stands both in an including and in an excluding clause."""
     def literals_where(clauses, pattern):
-        kept = F.filter(clauses, lambda x: x.rlike("(?iU)" + pattern))
+        kept = F.filter(clauses, lambda x: F.lower(x).rlike(pattern))
         return F.flatten(F.transform(kept, quoted_literals))
 
     return let(F.split(c, r"(?<=[.!?;])\s+|\n+"), lambda clauses: F.arrays_overlap(

@@ -35,13 +35,17 @@ def qtype_of(kind):
     return F.when(kind.isin("validation", "tag"), "noul").otherwise("choice")
 
 
-def _grid_loss(preds, grid, low):
-    """Mean loss per question type and temperature.  All temperatures are aggregate columns of one pass, so
-    rows are never multiplied and only a few sums per type are shuffled."""
-    sums = [F.avg(L.cross_entropy(F.col("logits"), F.col("label"), F.exp(low + F.lit(g)))).alias(f"g{i}") for i, g in enumerate(grid)]
-    rows = preds.groupBy("qtype").agg(F.count("*").alias("n"), F.first(low).alias("low"), *sums)
-    points = F.array(*[F.struct(F.col(f"g{i}").alias("loss"), F.lit(i).alias("i"), (F.col("low") + F.lit(g)).alias("log_t")) for i, g in enumerate(grid)])
-    return rows.select("qtype", "n", F.array_min(points).alias("best"))
+def _best_on_grid(preds: DataFrame, low, steps: int, width: float) -> DataFrame:
+    """Best log-temperature per question type on `steps` + 1 points from `low` on.
+
+    Every row meets every point inside its own task and is averaged there at once: only one partial mean per
+    (type, point) is shuffled.
+    """
+    grid = preds.select("qtype", "logits", "label", low.alias("low"), F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"))
+    log_t = F.col("low") + F.col("i") * F.lit(width)
+    loss = grid.groupBy("qtype", "i").agg(F.count("*").alias("n"), F.avg(L.cross_entropy(F.col("logits"), F.col("label"), F.exp(log_t))).alias("loss"),
+                                          F.max(log_t).alias("log_t"))
+    return loss.groupBy("qtype").agg(F.min(F.struct("loss", "i", "log_t", "n")).alias("b")).select("qtype", "b.log_t", "b.n")
 
 
 def fit_temperature(preds: DataFrame, min_rows: int = 1, lowest: float = 0.1, highest: float = 8.0, steps: int = 40) -> DataFrame:
@@ -50,14 +54,12 @@ def fit_temperature(preds: DataFrame, min_rows: int = 1, lowest: float = 0.1, hi
     A log-spaced grid of `steps` intervals over [lowest, highest] is searched first, then the two intervals
     around the best point with the same number of steps: the result is within one part in a few hundred.
     """
-    p = preds.withColumn("qtype", qtype_of(F.col("kind")))
+    p = preds.select(qtype_of(F.col("kind")).alias("qtype"), "logits", "label")
     start, width = math.log(lowest), (math.log(highest) - math.log(lowest)) / steps
-    coarse = _grid_loss(p, [i * width for i in range(steps + 1)], F.lit(start))
-    center = coarse.select("qtype", F.col("best.log_t").alias("center"))
-    fine = [(2 * i / steps - 1) * width for i in range(steps + 1)]
+    center = _best_on_grid(p, F.lit(start), steps, width).select("qtype", F.col("log_t").alias("center"))
     q = p.join(F.broadcast(center), "qtype")  # one row per question type, three at most
-    best = _grid_loss(q, fine, F.col("center"))
-    t = F.least(F.greatest(F.exp("best.log_t"), F.lit(lowest)), F.lit(highest))
+    best = _best_on_grid(q, F.col("center") - F.lit(width), steps, 2 * width / steps)
+    t = F.least(F.greatest(F.exp("log_t"), F.lit(lowest)), F.lit(highest))
     types = preds.sparkSession.createDataFrame([(k,) for k in V.QTYPE_CODES], "qtype STRING")
     out = types.join(best, "qtype", "left")
     return out.select("qtype", F.coalesce("n", F.lit(0)).alias("n"),

@@ -58,7 +58,7 @@ def detect_anomalies(subjects: DataFrame, tags: DataFrame) -> DataFrame:
     """Questions whose source is no usable policy, with the first code that applies."""
     t = source_texts(subjects, tags)
     code = (
-        F.when(F.col("text").rlike("(?iU)" + V.CONFIGURATOR), "configurator_facing")
+        F.when(F.lower("text").rlike(V.CONFIGURATOR), "configurator_facing")
         .when(X.rule_contradiction(F.col("text")), "contradictory_policy")
         .when(F.col("tag_name").isNotNull() & tag_name_mismatch(F.col("text"), F.col("tag_name"), F.col("siblings")), "tag_name_mismatch"))
     return t.select("config_id", "qid", code.alias("code")).filter(F.col("code").isNotNull())
@@ -108,13 +108,12 @@ def violations(diff: DataFrame, literals: DataFrame, defective: DataFrame) -> Da
     d = diff.join(literals, ["config_id", "qid"], "left").join(defective.select("config_id", "qid", F.lit(True).alias("defective")), ["config_id", "qid"], "left")
     s_text, r_text = all_text("s_"), all_text("r_")
     d = d.withColumn("s_text", s_text).withColumn("r_text", r_text).withColumn("s_lc", F.lower("s_text")).withColumn("r_lc", F.lower("r_text"))
-    s, r = F.col("s_text"), F.col("r_text")
-    prose = F.lit(False)
-    policy = F.col("s_lc")
+    s, r, s_lc, r_lc = (F.col(c) for c in ("s_text", "r_text", "s_lc", "r_lc"))
+    any_form = "|".join(V.OUTPUT_FORMS)  # all patterns are lower-case and meet lower-cased text, so they need no flags
+    policy = s_lc
     for p in V.OUTPUT_FORMS:
-        prose = prose | r.rlike("(?iU)" + p)
-        policy = F.regexp_replace(policy, "(?iU)" + p, "")
-    d = d.withColumn("policy", policy)
+        policy = F.regexp_replace(policy, p, "")
+    d = d.withColumn("policy", F.when(s_lc.rlike(any_form), policy).otherwise(s_lc))
     same = F.lit(True)
     for c in ("qtype", "instructions", "criteria_labels", "criteria_texts"):
         same = same & F.col(f"s_{c}").eqNullSafe(F.col(f"r_{c}"))
@@ -122,10 +121,10 @@ def violations(diff: DataFrame, literals: DataFrame, defective: DataFrame) -> Da
     protected = F.array_union(F.array_union(X.quoted_literals(s), X.numeric_literals(s)), F.coalesce("literals", F.array().cast("array<string>")))
     checks = [
         ("type", F.col("s_qtype") != F.col("r_qtype")), ("labels", F.col("s_criteria_labels") != F.col("r_criteria_labels")),
-        ("empty_text", blank), ("output_prose", prose), ("lost_literal", F.size(lost_literals(protected, r)) > 0)]
+        ("empty_text", blank), ("output_prose", r_lc.rlike(any_form)), ("lost_literal", F.size(lost_literals(protected, r)) > 0)]
     for marker, (have, kept) in V.POLICY_MARKERS.items():
-        checks.append((f"lost_{marker}", F.col("policy").rlike("(?iU)" + have) & ~F.col("r_lc").rlike("(?iU)" + kept)))
-    checks.append(("lost_negation", F.col("s_lc").rlike("(?U)" + V.NEGATION_SOURCE) & ~F.col("r_lc").rlike("(?U)" + V.NEGATION_KEPT)))
+        checks.append((f"lost_{marker}", F.col("policy").rlike(have) & ~r_lc.rlike(kept)))
+    checks.append(("lost_negation", s_lc.rlike(V.NEGATION_SOURCE) & ~r_lc.rlike(V.NEGATION_KEPT)))
     found = F.filter(F.array(*[F.when(hit, code) for code, hit in checks]), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
     codes = (

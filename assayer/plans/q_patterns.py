@@ -84,7 +84,7 @@ def _(d):
     r, n = d.table("region"), d.table("nation")
     tree = r.select(F.lit("root").alias("parent"), F.col("r_name").alias("child")).unionByName(
         n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child")))
-    starts = d.table("documents").select(F.col("doc_id").alias("item"), F.lit("root").alias("node"))
+    starts = d.table("documents").select(F.col("doc_id").alias("item"), F.when(F.col("doc_id") >= 0, "root").alias("node"))
     return G.beam_descent(starts, tree, lambda item, child: (T.keyed("beam", child, item) + 1) / 100.0, depth=2, beam=2)
 
 

@@ -44,7 +44,7 @@ def _(d):
     split = F.split("validation_prompt", r"(?<=[.!?;])\s+|\n+")
 
     def side(p):
-        return F.flatten(F.transform(F.filter("clauses", lambda x: x.rlike("(?iU)" + p)), X.quoted_literals))
+        return F.flatten(F.transform(F.filter("clauses", lambda x: F.lower(x).rlike(p)), X.quoted_literals))
 
     s = d.policy_subjects.select("subject_id", split.alias("clauses")).select("subject_id", F.array_sort(F.array_intersect(side(V.POSITIVE_RULE), side(V.NEGATIVE_RULE))).alias("shared"))
     return s.filter(F.size("shared") > 0).withColumn("shared", F.array_join("shared", "|"))

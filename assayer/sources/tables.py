@@ -43,9 +43,12 @@ def policy_config() -> Column:
 class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._tables = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     def _articles(self, documents: DataFrame) -> DataFrame:
         head = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
