@@ -165,20 +165,40 @@ def tag_decisions(run: DataFrame, keep: tuple = ()) -> DataFrame:
     return rows_of(decision_arrays(run), "tags", "subject_id", "correlation_id", "config_id", *keep)
 
 
-def served_defaults(answers: DataFrame, valid_threshold: float = V.VALIDATION_THRESHOLD) -> DataFrame:
-    """Two-stage form used when serving: one plain threshold and other default confidences.
+def _default_answers(questions: Column, shut: Column) -> Column:
+    """Answers of questions that are not asked: the subject did not pass, so its labels take the default."""
+    def labelled(q, kind, choice):
+        probs, conf = V.SERVED_GATE[kind]
+        m = F.create_map(*[x for k, v in probs.items() for x in (F.lit(k), F.lit(v))])
+        return F.struct(q.qid.alias("qid"), F.lit("choice").alias("type"), F.lit(None).cast("double").alias("noul"), F.lit(choice).alias("choice"),
+                        m.alias("probabilities"), F.lit(conf).alias("confidence"))
 
-    answers(correlation_id, subject_id, p_valid, prominence, sentiment, p_tag): scored rows of all kinds.
+    def one(q):
+        tag = F.struct(q.qid.alias("qid"), F.lit("noul").alias("type"), F.lit(0.0).alias("noul"), F.lit(None).cast("string").alias("choice"),
+                       F.lit(None).cast("map<string,double>").alias("probabilities"), F.lit(1.0).alias("confidence"))
+        return F.when(q.kind == "prominence", labelled(q, "prominence", "passing")).when(q.kind == "sentiment", labelled(q, "sentiment", "neutral")).otherwise(tag)
+
+    return F.transform(F.filter(questions, shut), one)
+
+
+def two_stage_cascade(requests: DataFrame, factory, threshold: float = V.VALIDATION_THRESHOLD) -> DataFrame:
+    """The form used when serving: one plain threshold, other defaults, no presence evidence.
+
+    requests(correlation_id, config_id, state, questions) gains `answers` with one answer per question.  Without
+    both kinds of questions everything is asked at once and nothing is gated.
     """
-    ok = F.col("p_valid") >= valid_threshold
-    p, s = V.SERVED_GATE["prominence"], V.SERVED_GATE["sentiment"]
-    return answers.select(
-        "correlation_id", "subject_id", "p_valid", ok.alias("stage_two"),
-        F.when(ok, F.col("prominence")).otherwise("passing").alias("prominence"),
-        F.when(ok, F.lit(None).cast("double")).otherwise(p[1]).alias("prominence_conf"),
-        F.when(ok, F.col("sentiment")).otherwise("neutral").alias("sentiment"),
-        F.when(ok, F.lit(None).cast("double")).otherwise(s[1]).alias("sentiment_conf"),
-        F.when(ok, F.col("p_tag")).otherwise(0.0).alias("p_tag"))
+    staged = F.exists("questions", lambda q: q.kind == "validation") & F.exists("questions", lambda q: q.kind != "validation")
+    r = once(requests, ask=F.filter("questions", lambda q: ~staged | (q.kind == "validation")), staged=staged)
+    r = scoring.score(r, factory, "ask", "first").drop("ask")
+
+    def passed(q):
+        return F.coalesce(by_qid(F.col("first"), subject_qid(q.subject_id, "valid")).noul >= threshold, F.lit(False))
+
+    later = lambda q: F.col("staged") & (q.kind != "validation")
+    r = once(r, ask=F.filter("questions", lambda q: later(q) & passed(q)), shut=_default_answers(F.col("questions"), lambda q: later(q) & ~passed(q)))
+    r = scoring.score(r, factory, "ask", "second")
+    return r.select("correlation_id", "config_id", F.concat("first", "shut", "second").alias("answers"),
+                    (F.col("first_tokens") + F.col("second_tokens")).alias("tokens"))
 
 
 def merge_answers(*stages: DataFrame) -> DataFrame:

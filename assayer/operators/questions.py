@@ -75,7 +75,7 @@ def request_table(articles: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact scorer input per article: state and the question array of its configuration, without fan-out."""
     state = X.distilled_state(F.col("headline"), F.col("body"))
     rows = articles.select("correlation_id", "config_id", state.alias("state"))
-    return join_by_size(rows, sets, ["config_id"]).withColumn("question_count", F.size("questions").cast("bigint"))
+    return join_by_size(rows, sets.select("config_id", "questions"), ["config_id"]).withColumn("question_count", F.size("questions").cast("bigint"))
 
 
 def parse_qid(qid: Column):

@@ -102,13 +102,6 @@ def _(d):
     return G.validation_gate(rows).select("correlation_id", "subject_id", "effective_threshold", "noul", "passed")
 
 
-@query("two_stage_cascade", sql="""select correlation_id, subject_id, p_valid, p_valid >= 0.45 as stage_two, case when p_valid >= 0.45 then prominence else 'passing' end as prominence,
- case when p_valid >= 0.45 then null else 0.92 end::double as prominence_conf, case when p_valid >= 0.45 then sentiment else 'neutral' end as sentiment,
- case when p_valid >= 0.45 then null else 0.9 end::double as sentiment_conf, case when p_valid >= 0.45 then p_toxic else 0.0 end::double as p_tag from answers""")
-def _(d):
-    return G.served_defaults(d.answers.withColumnRenamed("p_toxic", "p_tag"))
-
-
 # --- scoring with the deterministic stand-in ----------------------------------------------------------------
 
 def noul_sql(qid: str) -> str:
@@ -156,13 +149,34 @@ def plain_run(d, keep=()):
     return G.cascade(d.articles_spread, sets(d), S.hash_scorer, keep)
 
 
-@query("score_batch", sql=f"""select correlation_id, {VALID} as qid, 'noul' as type, {noul_sql(VALID)} as noul, null::varchar as choice, 1.0::double as confidence from (select a.correlation_id, s.subject_id from articles a cross join subjects s)
- union all select correlation_id, {PROM}, 'choice', null, {first_max(W3)}, round(greatest(wp0,wp1,wp2)::double / (wp0+wp1+wp2), 6) from (select *, {', '.join(f'{weight_sql(PROM, x)} as {c}' for x, c in W3.items())} from (select a.correlation_id, s.subject_id from articles a cross join subjects s))""")
+PAIRS = f"""select *, {noul_sql(VALID)} as p_raw, {', '.join(f'{weight_sql(PROM, x)} as {c}' for x, c in W3.items())}, {', '.join(f'{weight_sql(SENT, x)} as {c}' for x, c in W4.items())},
+ {noul_sql("'tag_'||subject_id||'_toxic'")} as t_toxic, {noul_sql("'tag_'||subject_id||'_long'")} as t_long from (select a.correlation_id, a.config_id, s.subject_id from articles a join config_subjects s using (config_id))"""
+TOP3, TOP4 = "round(greatest(wp0,wp1,wp2)::double / (wp0+wp1+wp2), 6)", "round(greatest(ws0,ws1,ws2,ws3)::double / (ws0+ws1+ws2+ws3), 6)"
+
+
+def answers_sql(gated: bool) -> str:
+    """All five answers of each (article, subject); with the gate, subjects under the threshold take the defaults."""
+    def g(answer, default):
+        return f"case when p_raw >= 0.45 then {answer} else {default} end" if gated else answer
+    rows = ((VALID, "'noul'", "p_raw", "null::varchar", "1.0::double"), (PROM, "'choice'", "null", g(first_max(W3), "'passing'"), g(TOP3, "0.92::double")),
+            (SENT, "'choice'", "null", g(first_max(W4), "'neutral'"), g(TOP4, "0.9::double")), ("'tag_'||subject_id||'_toxic'", "'noul'", g("t_toxic", "0::double"), "null", "1.0"),
+            ("'tag_'||subject_id||'_long'", "'noul'", g("t_long", "0::double"), "null", "1.0"))
+    return " union all ".join(f"select correlation_id, {qid} as qid, {t} as type, {p} as noul, {c} as choice, {k} as confidence from pairs" for qid, t, p, c, k in rows)
+
+
+def show_answers(df):
+    return S.answers_rows(df, "answers").select("correlation_id", "qid", "type", "noul", "choice", F.round("confidence", 6).alias("confidence"))
+
+
+@query("score_batch", sql=answers_sql(False), extra={"pairs": PAIRS})
+def _(d):
+    r = Q.request_table(d.articles_spread, sets(d))
+    return show_answers(S.score(r, S.hash_scorer, "questions", "answers"))
+
+
+@query("two_stage_cascade", sql=answers_sql(True), extra={"pairs": PAIRS})
 def _(d):
-    r = Q.request_table(d.articles_spread, Q.question_sets(article_questions(d)))
-    r = r.withColumn("ask", F.filter("questions", lambda x: x.slot < 2))
-    return S.answers_rows(S.score(r, S.hash_scorer, "ask", "answers"), "answers").select(
-        "correlation_id", "qid", "type", "noul", "choice", F.round("confidence", 6).alias("confidence"))
+    return show_answers(G.two_stage_cascade(Q.request_table(d.articles_spread, sets(d)).drop("question_count"), S.hash_scorer))
 
 
 @query("prominence_rules", sql="select correlation_id, subject_id, prominence, round(prominence_conf, 6) as prominence_conf from decisions", extra=SCORED)
@@ -299,6 +313,7 @@ RUN = {
     "dec": "select * from decisions where correlation_id in (select correlation_id from kept)",
     "scm": """select *, val_base = val_cand as val_match, prom_base = prom_cand as prom_match, sent_base = sent_cand as sent_match from (
  select x.correlation_id, x.config_id, x.subject_id, x.name, b.is_valid as val_base, x.p_valid >= 0.45 as val_cand, x.p_valid as val_prob, b.prominence as prom_base,
+ round(case when x.p_valid >= 0.45 then x.prominence_conf else 1 end, 6)::double as prom_conf, round(case when x.p_valid >= 0.45 then x.s_conf else 1 end, 6)::double as sent_conf,
  case when x.p_valid >= 0.45 then x.prominence else 'passing' end as prom_cand, b.sentiment as sent_base, case when x.p_valid >= 0.45 then x.sentiment else 'neutral' end as sent_cand
  from dec x join baseline_subjects b on b.correlation_id = x.correlation_id and b.subject_id = x.subject_id)""",
     "tcm": """select *, base_result = cand_result as match from (select x.correlation_id, x.config_id, x.subject_id, t.tag_id, coalesce(b.result, false) as base_result,
@@ -308,9 +323,10 @@ RUN = {
 }
 
 
-@query("compare_articles", sql="""select correlation_id, config_id, subject_id, name, val_base, val_cand, val_prob, prom_base, prom_cand, sent_base, sent_cand, val_match, prom_match, sent_match from scm""", extra=RUN)
+@query("compare_articles", sql="""select correlation_id, config_id, subject_id, name, val_base, val_cand, val_prob, prom_base, prom_cand, prom_conf, sent_base, sent_cand, sent_conf, val_match, prom_match, sent_match from scm""", extra=RUN)
 def _(d):
-    return K.compare_articles(blob_run(d))[0].drop("prom_conf", "sent_conf")
+    s = K.compare_articles(blob_run(d))[0]
+    return s.withColumn("prom_conf", F.round("prom_conf", 6)).withColumn("sent_conf", F.round("sent_conf", 6))
 
 
 @query("run_summary", sql=accuracy_sql("config_id", "null"), extra=RUN)
@@ -413,9 +429,9 @@ def _(d):
     return R.run_status(run_events(d))
 
 
-@query("list_runs", sql="""select s.run_id, s.status, c.total_articles from status_now s full join (select run_id, count(*) as total_articles from usage where status = 'ok' and config_id <> 'cfg1' group by run_id) c using (run_id) order by run_id desc limit 1000""", extra=EVENTS)
+@query("list_runs", sql="""select s.run_id, s.status, c.total_articles from status_now s full join (select run_id, count(*) as total_articles from usage where status = 'ok' group by run_id) c using (run_id) order by run_id desc limit 1000""", extra=EVENTS)
 def _(d):
-    summary = d.usage.filter("status = 'ok' and config_id <> 'cfg1'").groupBy("run_id").agg(F.count("*").alias("total_articles"))
+    summary = d.usage.filter("status = 'ok'").groupBy("run_id").agg(F.count("*").alias("total_articles"))
     return R.list_runs(R.run_status(run_events(d)).select("run_id", "status"), summary)
 
 

@@ -328,14 +328,15 @@ def _(d):
     return E.agreement_lift(E.accuracy_by_kind(before), E.accuracy_by_kind(d.predictions))
 
 
-METRICS = f"select user_id, {bucket('cast(event_id as varchar)')} as b from events where value > 30"
+METRICS = f"""select *, case b % 13 {' '.join(f'when {i} then {q(x)}' for i, x in enumerate(E.REQUIRED_METRICS))} else 'other' end as metric from (select concat(event_type, '-', user_id) as run, {bucket('cast(event_id as varchar)')} as b from events)"""
 
 
-@query("missing_metrics", sql=f"""with m as (select *, case {' '.join(f'when b % 13 = {i} then {q(x)}' for i, x in enumerate(E.REQUIRED_METRICS))} else 'other' end as metric from ({METRICS}))
- select u.user_id, r.metric from (select distinct user_id from m) u cross join (values {', '.join(f'({q(x)})' for x in E.REQUIRED_METRICS)}) r(metric) where not exists (select 1 from m where m.user_id = u.user_id and m.metric = r.metric)""")
+@query("missing_metrics", sql=f"""with m as ({METRICS}), seen as (select distinct run, metric from m) select u.run, r.metric from (select distinct run from m) u cross join (values {', '.join(f'({q(x)})' for x in E.REQUIRED_METRICS)}) r(metric)
+ left join seen on seen.run = u.run and seen.metric = r.metric where seen.run is null""")
 def _(d):
     b = tables.bucket(F.col("event_id").cast("string")) % 13
     metric = F.lit("other")
     for i, x in enumerate(E.REQUIRED_METRICS):
         metric = F.when(b == i, x).otherwise(metric)
-    return E.missing_metrics(d.table("events").filter("value > 30").select("user_id", metric.alias("metric")), "user_id")
+    run = F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"))
+    return E.missing_metrics(d.table("events").select(run.alias("run"), metric.alias("metric")), "run")
