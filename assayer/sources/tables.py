@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer import fixed_values as V
-from assayer.operators.joins import spread
+from assayer.operators.joins import once, spread
 
 SUBJECTS = ((1, "Thon Corp"), (2, "Inoran (THTH)"), (3, "Hehely-Ther"), (4, "Thin All"))
 TAGS = (("toxic", "Toxic partner", "llm"), ("long", "Developer notes", "llm"), ("kw", "Keyword", "boolean"))
@@ -263,6 +263,7 @@ class Domain:
         """Payload text per record; about one in twenty is cut short, as a broken upload would be."""
         json = F.to_json(F.struct(*[F.col(c) for c in self.blob_rows.columns if c != "doc_id"]))
         cut = keyed("cut", F.col("doc_id")) < 5
-        return self.blob_rows.select(
-            F.when(cut, F.left(json, F.length(json) - 5)).otherwise(json).alias("payload"),
+        rows = once(self.blob_rows, json=json)
+        return rows.select(
+            F.when(cut, F.left("json", F.length("json") - 5)).otherwise(F.col("json")).alias("payload"),
             F.concat(F.col("correlation_id"), F.lit("_archive.json")).alias("name"))
