@@ -117,29 +117,34 @@ OUTPUT_FORMS = (
     r"\bapi\s+choice\b",
     r"\bjson\b",
 )
-# marker: (pattern in the source, pattern that keeps it in the rewrite)
+# marker: (text every match contains, pattern in the source, pattern that keeps it in the rewrite)
 POLICY_MARKERS = {
     "include": (
+        "include",
         r"\binclude(?:s|d|ing)?\s+(?:conditions?|rules?|if|when|only|\(|:)",
         r"\b(?:includ(?:e|es|ed|ing)|qualif(?:y|ies)|true\s+when|relevant\s+when)\b",
     ),
     "exclude": (
+        "exclud",
         r"\bexclud(?:e|es|ed|ing)\b",
         r"\b(?:exclud(?:e|es|ed|ing)|reject(?:ed)?|false\s+when|not\s+qualif(?:y|ies)|irrelevant)\b",
     ),
     "exception": (
+        "except",
         r"\bexcept(?:ion|ions)?\b",
         r"\b(?:except(?:ion|ions)?|override(?:s|d)?|despite|however)\b",
     ),
-    "only": (r"\bonly\b", r"\bonly\b"),
-    "unless": (r"\bunless\b", r"\b(?:unless|except\s+when)\b"),
+    "only": ("only", r"\bonly\b", r"\bonly\b"),
+    "unless": ("unless", r"\bunless\b", r"\b(?:unless|except\s+when)\b"),
     "regardless": (
+        "regardless",
         r"\bregardless\b",
         r"\b(?:regardless|even\s+if|despite|before|precedence|override(?:s|d)?|"
         r"supersed(?:e|es|ed|ing)|priorit(?:y|ize|izes|ized))\b",
     ),
-    "before": (r"\bbefore\b", r"\b(?:before|prior|first|precedence)\b"),
+    "before": ("before", r"\bbefore\b", r"\b(?:before|prior|first|precedence)\b"),
     "after": (
+        "after",
         r"\bafter\b",
         r"\b(?:after|then|following|before|prior|first|precedence|override(?:s|d)?|"
         r"supersed(?:e|es|ed|ing)|priority)\b",

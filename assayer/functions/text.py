@@ -271,7 +271,8 @@ def quoted_literals(c: Column) -> Column:
 def numeric_literals(c: Column) -> Column:
     """Distinct numbers, amounts, percentages and ranges; markers of numbered lists are layout, not policy."""
     text = F.regexp_replace(c, r"(?Um)^([^\S\n]*)(?<!\w)\d+(?=[.)](?!\d))", "$1")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + V.NUMBER), F.lit(0))))
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + V.NUMBER), F.lit(0))))
+    return F.when(c.rlike(r"(?U)\d"), found).otherwise(F.array().cast("array<string>"))
 
 
 def rule_contradiction(c: Column) -> Column:

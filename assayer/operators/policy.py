@@ -122,8 +122,8 @@ def violations(diff: DataFrame, literals: DataFrame, defective: DataFrame) -> Da
     checks = [
         ("type", F.col("s_qtype") != F.col("r_qtype")), ("labels", F.col("s_criteria_labels") != F.col("r_criteria_labels")),
         ("empty_text", blank), ("output_prose", r_lc.rlike(any_form)), ("lost_literal", F.size(lost_literals(protected, r)) > 0)]
-    for marker, (have, kept) in V.POLICY_MARKERS.items():
-        checks.append((f"lost_{marker}", F.col("policy").rlike(have) & ~r_lc.rlike(kept)))
+    for marker, (stem, have, kept) in V.POLICY_MARKERS.items():
+        checks.append((f"lost_{marker}", F.col("policy").contains(stem) & F.col("policy").rlike(have) & ~r_lc.rlike(kept)))
     checks.append(("lost_negation", s_lc.rlike(V.NEGATION_SOURCE) & ~r_lc.rlike(V.NEGATION_KEPT)))
     found = F.filter(F.array(*[F.when(hit, code) for code, hit in checks]), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")

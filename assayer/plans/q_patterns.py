@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from assayer import fixed_values as V
 from assayer.functions import labels as L
 from assayer.operators import audit as A, gating as G
-from assayer.operators.joins import join_by_size
+from assayer.operators.joins import join_by_size, spread
 from assayer.plans import q_sources
 from assayer.plans.q_text import AQ, AQID, article_questions
 from assayer.plans.registry import query
@@ -64,7 +64,7 @@ BM25 = """with d as (select doc_id, w, len(w) as n from (select doc_id, regexp_e
 @query("lexical_candidates", sql=BM25)
 def _(d):
     q = d.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return G.lexical_candidates(d.table("documents").select("doc_id", "text"), q, 5).select("query_id", "doc_id", "rank")
+    return G.lexical_candidates(spread(d.table("documents").select("doc_id", "text")), q, 5).select("query_id", "doc_id", "rank")
 
 
 @query("regex_candidates", sql=" union all ".join(f"select doc_id, '{k}' as kind, (i - 1)::int as pos, v[i] as value from (select doc_id, v, unnest(range(1, len(v) + 1)) as i from (select doc_id, regexp_extract_all(text, '{p}') as v from documents))" for k, p in G.CANDIDATE_PATTERNS.items()))

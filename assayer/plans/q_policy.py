@@ -112,7 +112,7 @@ def codes_sql() -> str:
     lits = f"list_concat(list_concat({quoted_sql('st')}, regexp_extract_all(st, '[$€£]?\\d+(?:[,.]\\d+)*%?', 0)), coalesce(literals, []))"
     checks = [("type", "s_qtype <> r_qtype"), ("labels", "s_labels <> r_labels"), ("empty_text", f"trim(r_ins) = '' or len(list_filter(r_texts, lambda t: {strip('t')} = '')) > 0"),
               ("output_prose", any_form), ("lost_literal", f"len(list_filter({lits}, lambda x: not contains(rt, x))) > 0")]
-    for m, (have, kept) in V.POLICY_MARKERS.items():
+    for m, (_, have, kept) in V.POLICY_MARKERS.items():
         checks.append((f"lost_{m}", f"regexp_matches(policy, {q('(?i)' + have)}) and not regexp_matches(lower(rt), {q('(?i)' + kept)})"))
     checks.append(("lost_negation", f"regexp_matches(lower(st), {q(V.NEGATION_SOURCE)}) and not regexp_matches(lower(rt), {q(V.NEGATION_KEPT)})"))
     found = "array_to_string(list_filter([" + ", ".join(f"case when {hit} then '{code}' end" for code, hit in checks) + "], lambda x: x is not null), ',')"
