@@ -227,13 +227,22 @@ def names_any(text_lc: Column, terms: Column) -> Column:
     return F.exists(terms, lambda t: word_count(text_lc, F.lower(t)) > 0)
 
 
-def venue_only(text_lc: Column, terms: Column) -> Column:
+def hits_per_term(text_lc: Column, terms: Column) -> Column:
+    """Windows of every hit, one array per term: one scan of the text serves counting, presence and venues."""
+    return F.transform(terms, lambda t: word_windows(text_lc, F.lower(t)))
+
+
+def venue_hits(text_lc: Column, hits: Column) -> Column:
     """Every hit stands before a venue word and nothing in the text speaks of sponsorship."""
-    windows = F.flatten(F.transform(terms, lambda t: word_windows(text_lc, F.lower(t))))
+    windows = F.flatten(hits)
     return (F.size(windows) > 0) & F.forall(windows, lambda w: any_of(w, V.VENUE_SUFFIXES)) & ~any_of(
         text_lc, V.SPONSOR_PHRASES)
 
 
+def venue_only(text_lc: Column, terms: Column) -> Column:
+    return venue_hits(text_lc, hits_per_term(text_lc, terms))
+
+
 def list_context(text_lc: Column, terms: Column) -> Column:
     """The name stands in an enumeration or inside parentheses."""
     def one(t):

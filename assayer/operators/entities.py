@@ -20,12 +20,15 @@ def entity_sets(subjects: DataFrame) -> DataFrame:
 
 def evidence_array(full_lc: Column, headline_lc: Column, lead_lc: Column, entities: Column) -> Column:
     def one(e):
-        venue = X.venue_only(full_lc, e.presence)
-        return F.struct(
-            e.subject_id.alias("subject_id"), e["name"].alias("name"),
-            X.names_any(headline_lc, e.strict).alias("in_headline"), X.names_any(lead_lc, e.strict).alias("in_lead"),
-            X.total_mentions(full_lc, e.strict).alias("mentions"), X.names_any(full_lc, e.presence).alias("named"),
-            venue.alias("venue_only"), X.list_context(full_lc, e.strict).alias("in_list"))
+        def flags(hits):
+            counted = F.zip_with(e.presence, hits, lambda t, h: F.when(F.array_contains(e.strict, t), F.size(h)).otherwise(0))
+            return F.struct(
+                e.subject_id.alias("subject_id"), e["name"].alias("name"),
+                X.names_any(headline_lc, e.strict).alias("in_headline"), X.names_any(lead_lc, e.strict).alias("in_lead"),
+                F.aggregate(counted, F.lit(0), lambda acc, n: acc + n).alias("mentions"), F.exists(hits, lambda h: F.size(h) > 0).alias("named"),
+                X.venue_hits(full_lc, hits).alias("venue_only"), X.list_context(full_lc, e.strict).alias("in_list"))
+
+        return X.let(X.hits_per_term(full_lc, e.presence), flags)  # the strict forms are among the presence forms
 
     def derived(e):
         mention = e.named & ~e.venue_only
