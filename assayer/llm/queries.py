@@ -2,20 +2,129 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import minhash
+from assayer.llm import bpe, forest, hnsw, langid, minhash, packing, pii, quality, urls, warc
 from assayer.llm.shared import table
+from assayer.session import work_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+#: Key of the surrogates that the registered query and the pipeline draw; a deployment sets its own.
+SURROGATE_KEY = "surrogate-key-1"
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
 
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+    return add
 
-@query
+
+@query("""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+long AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+linked AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM long a JOIN long b ON a.x = b.x AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM sets s JOIN least USING (doc_id)
+""")
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+
+
+@query()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = quality.scored(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", langid.held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"),
+                       (F.col("quality_score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+@query()
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query()
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return rows.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+                       (~F.col("lang_kept")).alias("rejected"))
+
+
+@query("""
+WITH RECURSIVE ok AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+linked AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM linked GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)
+""")
+def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2("data", 256).alias("decoded_sha256"))
+
+
+@query("""
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NOT NULL AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archive(table(spark, sf_dir, "pages"), work_path(spark, "warc"))
+    stored = F.col("record_type") == "response"  # of these the digest and the size are those of the bytes read back
+    return rows.select("page_id", F.when(stored, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+                       F.when(stored, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
+
+
+@query("""
+WITH cut AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS h FROM cut),
+named AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(rest, length(h) + 1), '^[^?#]*', 0) AS path FROM parts),
+rules (action, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+hits AS (SELECT page_id, rh || rp AS rule, action FROM named JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+best AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action FROM hits GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM named LEFT JOIN best USING (page_id)
+""")
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, RULES))
+
+
+@query()
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)

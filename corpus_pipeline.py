@@ -1,18 +1,63 @@
-"""Corpus pipeline: documents through five stages, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: documents through five stages, each written as Parquet and read again as the next one's input.
+
+Each stage works on every document its predecessor kept.  Nulls, empty texts, repeated rows and further columns are
+treated as the operators state; rows of null doc_id count as documents of their own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from assayer.llm import langid, minhash, packing, pii, quality
+from assayer.llm.queries import SURROGATE_KEY
+from assayer.llm.shared import small_or_shuffled, table
 from assayer.session import written
 
-STAGES: list = []
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text lies near the centroids of a learned language."""
+    return langid.identify(docs, langid.train(docs)).where("lang_kept").select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least the cut."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).where(F.col("quality_score") >= quality.CUT).select(*docs.columns)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near duplicates (five words, similarity 0.8)."""
+    gone = written(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dedup-gone")
+    left = docs.join(small_or_shuffled(gone, gone.count()), "doc_id", "left_anti")
+    repeated = written(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-repeated")
+    repeated = small_or_shuffled(repeated, repeated.count())
+    once = left.join(repeated, "doc_id", "left_anti")
+    return once.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced; n_chars follows the text."""
+    changed = pii.pseudonymised(docs, SURROGATE_KEY)
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withColumn("n_chars", F.when(F.col("n_entities") > 0, length).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences with their token bytes."""
+    return packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("quality", quality_classifier), ("near_duplicates", minhash_dedup), ("personal_data", pii_surrogates), ("packing", pack)]
+
+#: The stages learn models and hash shingles, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs
