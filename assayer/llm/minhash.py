@@ -4,7 +4,7 @@ Texts that have the same shingle set fall into one class first, so any number of
 Each class gets one signature from a single permutation; empty bins borrow from a filled bin chosen by a hash of the
 bin (optimal densification).  Bands of the signature are buckets.  Round 1 proposes one star edge per class, to the
 smallest member of its buckets.  Round 2 looks only at buckets whose members still lie in different components, block
-by block, and proposes each pair whose signatures agree often enough.  Every proposed pair is confirmed on full sets.
+by block, and hands on the links that join them.  Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -165,26 +165,53 @@ def _confirmer(k: int, percent: int):
     return confirm
 
 
-def _proposer(least: float):
-    def propose(key, pdf):
+def _resolver(k: int, percent: int, rows: int):
+    """Links between members of one bucket (or pair of its blocks) that lie in different components.
+
+    Pairs whose signatures agree too seldom, or that share an earlier band, are passed over; the others are confirmed on
+    full sets, the most alike first, until their components have met.  So the output grows with the members.
+    """
+    least = (percent / 100 - SLACK) * BINS
+
+    def resolve(key, pdf):
         import pandas as pd
 
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), BINS)
-        ids, comp, side = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["side"].to_numpy()
-        # a pair of two blocks holds both; side tells them apart.  A block with itself compares all its members
-        rows, cols = (np.flatnonzero(side == s) for s in (0, 1)) if key[1] != key[2] else (np.arange(len(ids)),) * 2
-        out = []
-        for i in rows:
-            other = cols[comp[cols] != comp[i]]
+        bands = sketch.reshape(len(pdf), -1, rows)
+        ids, side, band = pdf["id"].to_numpy(), pdf["side"].to_numpy(), int(pdf["band"].iloc[0])
+        comp, texts = pdf["comp"].to_numpy().copy(), pdf["text"].tolist()
+        sets: dict = {}
+
+        def of(i):
+            if i not in sets:
+                sets[i] = shingle_sets([(texts[i] or "").encode("utf-8", "surrogatepass")], k)[0]
+            return sets[i]
+
+        a, b = [], []
+        for i in range(len(ids)):
             if key[1] == key[2]:
-                other = other[ids[other] > ids[i]]
-            if len(other):
-                alike = other[(sketch[other] == sketch[i]).sum(1) >= least * BINS]
-                out.append(np.stack([np.minimum(ids[alike], ids[i]), np.maximum(ids[alike], ids[i])], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return propose
+                other = np.flatnonzero((comp != comp[i]) & (ids > ids[i]))
+            else:
+                other = np.flatnonzero((comp != comp[i]) & (side == 1)) if side[i] == 0 else ()
+            if not len(other):
+                continue
+            alike = (sketch[other] == sketch[i]).sum(1)
+            other, alike = other[alike >= least], alike[alike >= least]
+            if len(other) and band:
+                fresh = ~(bands[other, :band] == bands[i, :band]).all(2).any(1)
+                other, alike = other[fresh], alike[fresh]
+            for j in other[np.argsort(-alike, kind="stable")]:
+                if comp[i] == comp[j]:
+                    continue
+                x, y = of(i), of(j)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                if both and 100 * both >= percent * (x.size + y.size - both):
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return resolve
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -204,28 +231,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(linkable.join(classes.select(F.col("rep").alias("id"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2")), "id")
                    .where("fp1 = c1 and fp2 = c2").select("id", "bands", "sketch").dropDuplicates(["id"]), "minhash-reps")
 
-    every = reps.select("id", F.explode("bands").alias("bucket"))
+    every = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
-    members = written(every.join(shared, "bucket").select("bucket", "id", "center"), "minhash-members")
+    members = written(every.join(shared, "bucket").select("bucket", "band", "id", "center"), "minhash-members")
     stars = written(members.where("id <> center").groupBy("id").agg(F.min("center").alias("a")).select("a", F.col("id").alias("b")), "minhash-stars")
     wanted = members.select("id").distinct()
     texts = written(source.join(small_or_shuffled(wanted, wanted.count()), "id").dropDuplicates(["id"]), "minhash-texts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        return written(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-                       .mapInArrow(_confirmer(words, percent), "a long, b long"), "minhash-links")
-
-    links = confirmed(stars)
+    a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    links = written(stars.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+                    .mapInArrow(_confirmer(words, percent), "a long, b long"), "minhash-links")
     found = written(components(links), "minhash-components")
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "id", F.coalesce("comp", "id").alias("comp"))
+        "bucket", "band", "id", F.coalesce("comp", "id").alias("comp"))
     placed = written(placed, "minhash-placed")
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "n")
-    dealt = in_blocks(placed, ["bucket"], "id", mixed).join(reps.select("id", "sketch"), "id")
-    rest = dealt.groupBy("bucket", "block_a", "block_b").applyInPandas(_proposer(percent / 100 - SLACK), "a long, b long").distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "minhash-rest")
-    final = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(confirmed(rest)))
+    dealt = in_blocks(placed, ["bucket"], "id", mixed).join(reps.select("id", "sketch").join(texts, "id"), "id")
+    rest = written(dealt.groupBy("bucket", "block_a", "block_b").applyInPandas(_resolver(words, percent, rows), "a long, b long"), "minhash-rest")
+    final = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(rest))
 
     classed = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("comp"))
     result = signed.select("id", "n_shingles", F.when(F.expr("n_shingles > 0 and id is not null"), F.col("fp1")).alias("fp1"), "fp2").join(classed, ["fp1", "fp2"], "left")

@@ -17,7 +17,7 @@ def cloud(seed=0, n=700, dim=8, ball=120):
     x = rng.normal(size=(n, dim))
     x[1:200:2] = x[0:200:2] + rng.normal(size=(100, dim)) * 0.2
     x[200:240] = x[200]
-    x[n - ball:] = x[300] + rng.normal(size=(ball, dim)) * 0.05
+    x[n - ball:] = x[n // 2] + rng.normal(size=(ball, dim)) * 0.05
     return x
 
 
