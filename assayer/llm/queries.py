@@ -91,7 +91,7 @@ def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    rows = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("data", 256).alias("decoded_sha256"))
 
