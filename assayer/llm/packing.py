@@ -8,6 +8,7 @@ task can be short; those are cut to powers of two.
 
 from __future__ import annotations
 
+import re
 import sys
 
 import numpy as np
@@ -19,29 +20,62 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEQUENCE, SEGMENTS = 2048, 512
 WINDOW = 2000
-CACHE = 400_000
+CACHE = 700_000
 _state: dict = {}
 
 
+#: A word of Latin letters (ASCII, Latin-1) with punctuation after it: two slices of the tokenizer's own split.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as it is, the rest from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokenizer:
-    """A public tokenizer that drops white space: ids of a text are those of its words, each looked up once."""
+    """A public tokenizer that drops white space: ids of a text are those of its words, each looked up once.
+
+    Simple words go to the tokenizer's model directly, lower-cased; all others take the tokenizer's whole way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.inner.model
         self.cache: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def _slice(self, text: str) -> bytes:
+        got = self.stems.get(text)
+        if got is None:
+            shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+            got = self.stems[text] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+        return got
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        simple = SIMPLE.fullmatch(text)
+        if not simple:
+            return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        stem, marks = simple.groups()
+        got = self._slice(stem.lower())
+        return got + self._slice(marks) if marks else got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = list({w for ws in words for w in ws if w not in cache})
-        for w, e in zip(new, self.inner.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+        for cache in (self.cache, self.stems):
+            if len(cache) > CACHE:
+                cache.clear()
+        cache, word = self.cache, self._word
+        for w in {w for ws in words for w in ws if w not in cache}:
+            cache[w] = word(w)
         return [b"".join(map(cache.__getitem__, ws)) for ws in words]
 
 
@@ -63,49 +97,56 @@ class Packer:
             self.pool.append((key, whole, ids, loss))
 
     def pack(self, last: bool = False) -> None:
-        """Pack the pool; unless it is the last time, what cannot fill a sequence stays in it."""
-        while self.pool and (last or len(self.pool) >= WINDOW // 2):
-            pool, limits = self.pool, self.limits
-            need = np.array([(len(ids) - at, 1, len(ids) - at if loss is None else loss[at:].sum()) for _, at, ids, loss in pool], float)
-            left, taken, fits = limits.copy(), [], np.ones(len(pool), bool)
-            while left[0] >= 1 and left[1] >= 1 and fits.any():
-                good = np.flatnonzero(fits & (need <= left).all(1))
+        """Pack the pool; unless it is the last time, half a window stays for the next."""
+        pool, limits = self.pool, self.limits
+        start = [at for _, at, _, _ in pool]
+
+        def vector(i: int) -> tuple[int, int, int]:
+            _, _, ids, loss = pool[i]
+            return len(ids) - start[i], 1, len(ids) - start[i] if loss is None else int(loss[start[i]:].sum())
+
+        need = np.array([vector(i) for i in range(len(pool))], float).reshape(-1, 3)
+        alive = np.ones(len(pool), bool)
+        waiting = len(pool)
+        while waiting > (0 if last else WINDOW // 2):
+            left, taken, free = limits.copy(), [], alive.copy()
+            while left[0] >= 1 and left[1] >= 1 and free.any():
+                good = np.flatnonzero(free & (need <= left).all(1))
                 if len(good):
-                    i = int(good[np.argmax((need[good] / limits) @ (left / limits))])
+                    i = int(good[np.argmax(need[good] @ (left / limits ** 2))])
                     cut = int(need[i, 0])
-                else:  # none fits whole: cut the longest that can give a piece
-                    rest = np.flatnonzero(fits)
+                else:  # none fits whole: cut the longest
+                    rest = np.flatnonzero(free)
                     i = int(rest[np.argmax(need[rest, 0])])
-                    _, at, ids, loss = pool[i]
                     cut = int(min(need[i, 0], left[0]))
-                    if loss is None:
-                        cut = int(min(cut, left[2]))
-                    else:
-                        cut = int(np.searchsorted(np.cumsum(loss[at:at + cut]), left[2], "right"))
-                fits[i] = False
+                    loss = pool[i][3]
+                    cut = int(min(cut, left[2])) if loss is None else int(np.searchsorted(np.cumsum(loss[start[i]:start[i] + cut]), left[2], "right"))
+                free[i] = False
                 if cut:
-                    bears = cut if pool[i][3] is None else pool[i][3][pool[i][1]:pool[i][1] + cut].sum()
+                    loss = pool[i][3]
                     taken.append((i, cut))
-                    left -= (cut, 1, bears)
+                    left -= (cut, 1, cut if loss is None else loss[start[i]:start[i] + cut].sum())
             if not taken:
                 raise ValueError("an example cannot be placed under these limits")
             total = int(limits[0] - left[0])
-            if last and total < limits[0] and sum(c for _, c in taken) == need[:, 0].sum() and total & (total - 1):
+            if last and total < limits[0] and total == need[alive, 0].sum() and total & (total - 1):
                 total = 1 << (total.bit_length() - 1)  # the end of a partition: powers of two need no padding
-            self._emit(taken, total)
-
-    def _emit(self, taken: list[tuple[int, int]], total: int) -> None:
-        offset, gone = 0, {}
-        for i, cut in taken:
-            cut = min(cut, total - offset)
-            if not cut:
-                break
-            key, at, ids, _ = self.pool[i]
-            self.rows.append((key, at, ids[at:at + cut], len(ids), self.next, offset))
-            offset += cut
-            gone[i] = cut
-        self.next += 1
-        self.pool = [(k, at + gone.get(i, 0), ids, loss) for i, (k, at, ids, loss) in enumerate(self.pool) if at + gone.get(i, 0) < len(ids)]
+            offset = 0
+            for i, cut in taken:
+                cut = min(cut, total - offset)
+                if not cut:
+                    break
+                key, _, ids, _ = pool[i]
+                self.rows.append((key, start[i], ids[start[i]:start[i] + cut], len(ids), self.next, offset))
+                offset += cut
+                start[i] += cut
+                if start[i] == len(ids):
+                    alive[i] = False
+                    waiting -= 1
+                else:
+                    need[i] = vector(i)
+            self.next += 1
+        self.pool = [(pool[i][0], start[i], *pool[i][2:]) for i in np.flatnonzero(alive)]
 
 
 def _batch(rows, id_col: str, kind: pa.DataType) -> pa.RecordBatch:
