@@ -13,6 +13,7 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,8 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TREES = 8
 LEAF_ROWS = 512
 MARGIN = 0.01
-#: A node that sends a larger share than this to both sides is a ball of near copies that no cut divides; it becomes one
-#: leaf as it is, compared block by block.
+#: A node of which more than this share lies within the margin of its median is a ball of near copies that no cut
+#: divides; it becomes one leaf as it is, compared block by block.
 TIGHT = 0.4
 
 
@@ -36,36 +37,50 @@ def usable(vec: Column) -> Column:
     return F.coalesce(~bad & F.exists(x, lambda v: v != 0.0), F.lit(False))
 
 
+def _projector(trees: int, depth: int, seed: int):
+    def project(batches):
+        for batch in batches:
+            vecs = batch.column(2)
+            sizes = np.diff(vecs.offsets.to_numpy())
+            at = np.zeros((batch.num_rows, trees, depth), np.float32)
+            flat, ends = vecs.values.to_numpy(), vecs.offsets.to_numpy()
+            for dim in np.unique(sizes):
+                own = np.flatnonzero(sizes == dim)
+                way = np.random.default_rng([seed, int(dim)]).normal(size=(dim, trees * depth))
+                x = flat[ends[own][:, None] + np.arange(dim)]
+                at[own] = (x @ (way / np.sqrt((way * way).sum(0)))).reshape(len(own), trees, depth)
+            places = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, depth, dtype=np.int32)), pa.array(at.ravel()))
+            take = np.repeat(np.arange(batch.num_rows), trees)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)),
+                                              pa.array(np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)), places], names=["id", "grp", "tree", "at"])
+
+    return project
+
+
 def leaves(points: DataFrame, trees: int, leaf_rows: int, margin: float, seed: int) -> DataFrame:
     """(id, leaf) for every leaf of every tree that a point lies in.  points: id, grp, vec (unit length)."""
     most = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    depth = max(0, math.ceil(math.log2(max(1, most / leaf_rows)))) + (4 if most > leaf_rows else 0)
-
-    def projected(tree: Column, level: int) -> Column:
-        signed = F.transform("vec", lambda x, i: F.when(F.xxhash64(F.lit(seed), tree, F.lit(level), i) > 0, x).otherwise(-x))
-        return (F.aggregate(signed, F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.size("vec"))).cast("float")
-
-    tree = F.col("tree")
-    now = points.select("id", "grp", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), "vec")
-    now = now.select("id", F.xxhash64("grp", "tree").alias("node"), F.array(*[projected(tree, i) for i in range(depth)]).cast("array<float>").alias("at"))
+    if most <= leaf_rows:  # every group is one leaf, so one tree finds all that others would
+        return points.select("id", F.xxhash64("grp").alias("leaf"))
+    depth = math.ceil(math.log2(most / leaf_rows)) + 4
+    now = points.select("id", "grp", "vec").mapInArrow(_projector(trees, depth, seed), "id long, grp long, tree int, at array<float>")
+    now = written(now.select("id", F.xxhash64("grp", "tree").alias("node"), "at"), "forest-level")
     done = None
-    now = written(now, "forest-level")
     for level in range(depth):
         here = F.col("at")[level]
-        sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.percentile_approx(here, 0.5, 1000).alias("cut"))
-        placed = now.join(sizes, "node").withColumn("low", here < F.col("cut") + margin).withColumn("high", here >= F.col("cut") - margin)
-        # a ball shows in the share that goes both ways, which is an aggregate over the node as well
-        both = placed.groupBy("node").agg(F.avg((F.col("low") & F.col("high")).cast("int")).alias("share"))
-        large = sizes.join(both, "node").where((F.col("n") > leaf_rows) & (F.col("share") <= TIGHT)).select("node", "cut")
-        split = now.join(written(large, "forest-cuts"), "node", "left")
+        # where 40 % of a node lie within the margin of its median it is a ball, which no cut divides
+        sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.percentile_approx(here, [0.5 - TIGHT / 2, 0.5, 0.5 + TIGHT / 2], 1000).alias("q"))
+        large = sizes.where((F.col("n") > leaf_rows) & (F.col("q")[2] - F.col("q")[0] >= 2 * margin)).select("node", F.col("q")[1].alias("cut"))
+        split = now.join(large, "node", "left")
         split = split.withColumn("side", F.explode(F.expr(f"""CASE WHEN cut IS NULL THEN array(-1) ELSE
             filter(array(IF(at[{level}] < cut + {margin}, 0, -2), IF(at[{level}] >= cut - {margin}, 1, -2)), s -> s >= 0) END""")))
         split = written(split.select("id", F.when(F.col("side") < 0, F.col("node")).otherwise(F.xxhash64("node", "side")).alias("node"), "side", "at"), "forest-level")
         ended = split.where("side < 0").select("id", F.col("node").alias("leaf"))
         done = ended if done is None else done.unionAll(ended)
         now = split.where("side >= 0").select("id", "node", "at")
-    rest = now.select("id", F.col("node").alias("leaf"))
-    return rest if done is None else done.unionAll(rest)
+        if now.isEmpty():
+            return done
+    return done.unionAll(now.select("id", F.col("node").alias("leaf")))
 
 
 def _stars(linked: np.ndarray) -> np.ndarray:
