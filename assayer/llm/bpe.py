@@ -54,18 +54,23 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 STEP, START = _automaton()
 #: The characters with Unicode's White_Space property (fixed values).
 WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
-_state: dict = {}
+
+
+def _kept() -> dict:
+    """What a Python worker keeps from task to task; functions travel by value, so module globals do not last."""
+    return sys.__dict__.setdefault("_assayer_bpe", {})
 
 
 def _kinds() -> np.ndarray:
     """Class of every code point, before what follows is looked at."""
-    if "kinds" not in _state:
+    kept = _kept()
+    if "kinds" not in kept:
         first = {"L": LETTER, "N": NUMBER}
         kinds = np.array([first.get(unicodedata.category(chr(i))[0], OTHER) for i in range(sys.maxunicode + 1)], np.uint8)
         kinds[WHITE_SPACE] = BLANK
         kinds[32] = SPACE
-        _state["kinds"] = kinds
-    return _state["kinds"]
+        kept["kinds"] = kinds
+    return kept["kinds"]
 
 
 def classes(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
@@ -205,9 +210,10 @@ class Vocabulary:
 
 
 def _vocabulary(path: str) -> Vocabulary:
-    if path not in _state:
-        _state[path] = Vocabulary(path)
-    return _state[path]
+    kept = _kept()
+    if path not in kept:
+        kept[path] = Vocabulary(path)
+    return kept[path]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:

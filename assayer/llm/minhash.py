@@ -36,11 +36,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: list = []
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ODD**i and its inverse modulo 2**64, for i < n."""
+    """ODD**i and its inverse modulo 2**64, for i < n; a Python worker keeps them from task to task."""
+    _powers = sys.__dict__.setdefault("_assayer_powers", [])
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK + 1024)
         inverse = np.uint64(pow(int(ODD), -1, 1 << 64))

@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEQUENCE, SEGMENTS = 2048, 512
-WINDOW = 2000
+WINDOW = 800
 CACHE = 700_000
-_state: dict = {}
 
 
 #: A word of Latin letters (ASCII, Latin-1) with punctuation after it: two slices of the tokenizer's own split.
@@ -178,9 +177,11 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int
     source = docs.select(*columns)
 
     def run(batches):
-        if tokenizer not in _state:
-            _state[tokenizer] = WordTokenizer(tokenizer)
-        words, packer = _state[tokenizer], Packer(limits, TaskContext.get().partitionId() << 32)
+        # a Python worker keeps it from task to task; functions travel by value, so module globals do not last
+        kept = sys.__dict__.setdefault("_assayer_packing", {})
+        if tokenizer not in kept:
+            kept[tokenizer] = WordTokenizer(tokenizer)
+        words, packer = kept[tokenizer], Packer(limits, TaskContext.get().partitionId() << 32)
         end, kind = np.array([end_id], "<u4"), pa.null()
         for batch in batches:
             kind = batch.column(0).type
