@@ -129,15 +129,18 @@ def fingerprint(c: Column) -> Column:
 
 
 def halvings(length: Column, budget: int) -> Column:
-    """How often a text must be halved to fit, three times at most."""
-    need = F.ceil(F.log2(length / F.lit(float(budget))))
-    return F.when(length <= budget, F.lit(0)).otherwise(F.least(F.lit(3), F.greatest(F.lit(0), need))).cast("int")
+    """How often a text is halved, three times at most; what is halved again carries the notice already."""
+    def step(s: Column, _) -> Column:
+        over = s.n > budget
+        return F.struct(F.when(over, F.floor(s.n / 2) + len(V.BUDGET_NOTICE)).otherwise(s.n).cast("int").alias("n"), (s.k + over.cast("int")).alias("k"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.struct(length.cast("int").alias("n"), F.lit(0).alias("k")), step).k
 
 
 def state_budget(c: Column, budget: int) -> Column:
-    k = halvings(F.length(c), budget)
-    keep = F.floor(F.length(c) / F.pow(F.lit(2.0), k)).cast("int")
-    return F.when(k == 0, c).otherwise(F.concat(F.left(c, keep), F.lit(V.BUDGET_NOTICE)))
+    """Halved with a notice, three times at most, until it fits."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(3)), c, lambda t, _: F.when(
+        F.length(t) > budget, F.concat(F.left(t, F.floor(F.length(t) / 2).cast("int")), F.lit(V.BUDGET_NOTICE))).otherwise(t))
 
 
 # --- subject names ------------------------------------------------------------------------------

@@ -104,12 +104,11 @@ def disagreement_by_subject_label(subjects: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(rows: DataFrame, prob: str, truth: str, thresholds) -> DataFrame:
-    """Agreement at each threshold, from counts per distinct probability: every row is read once."""
-    bins = rows.groupBy(F.col(prob).alias("p"), F.col(truth).alias("truth")).agg(F.count("*").alias("n"))
-    grid = bins.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
-    hit = (F.col("p") >= F.col("threshold")) == F.col("truth")
-    return grid.groupBy("threshold").agg(F.sum("n").alias("n"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("agree")).withColumn(
-        "agreement_pct", pct(F.col("agree"), F.col("n"), 2))
+    """Agreement at each threshold: one aggregate with a count per threshold, then its single row as a column."""
+    counts = [F.count_if((F.col(prob) >= float(t)) == F.col(truth)).alias(f"t{i}") for i, t in enumerate(thresholds)]
+    one = rows.agg(F.count("*").alias("n"), *counts).filter("n > 0")
+    grid = one.select("n", F.inline(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("agree")) for i, t in enumerate(thresholds)])))
+    return grid.select("threshold", "n", "agree", pct(F.col("agree"), F.col("n"), 2).alias("agreement_pct"))
 
 
 def human_agreement(rows: DataFrame) -> DataFrame:

@@ -15,16 +15,10 @@ def latest_per_key(log: DataFrame, keys=KEY, order=("created_at", "id")) -> Data
     return log.groupBy(*keys).agg(newest).select(*keys, "r.*")
 
 
-def scan_size(limit: int, offset: int) -> tuple[int, int, int]:
-    limit, offset = max(1, min(int(limit), 1000)), max(0, int(offset))
-    return limit, offset, min(max((limit + offset) * 10, 500), 5000)
-
-
-def recent_articles(log: DataFrame, limit: int = 100, offset: int = 0, exact: bool = False) -> DataFrame:
-    """A page of the newest articles; bounded mode looks only at the newest slice of the log."""
-    limit, offset, scan = scan_size(limit, offset)
+def recent_articles(log: DataFrame, limit: int = 100, offset: int = 0, scan: int | None = None) -> DataFrame:
+    """A page of the newest articles; with `scan` only that many of the newest log rows are looked at."""
     newest_first = [F.desc("created_at"), F.desc("id")]
-    rows = log if exact else log.orderBy(*newest_first).limit(scan)
+    rows = log if scan is None else log.orderBy(*newest_first).limit(scan)
     return latest_per_key(rows).orderBy(*newest_first).offset(offset).limit(limit)
 
 
@@ -92,9 +86,10 @@ def classification_only(names: DataFrame) -> DataFrame:
     return names.filter(n.endswith(".json") & ~n.startswith("validation-failure/") & ~n.startswith("delivery-audit/"))
 
 
-def uncached_remote(remote: DataFrame, index: DataFrame, limit: int) -> DataFrame:
-    """Listed names not yet indexed, the first ones by name."""
-    return classification_only(remote).join(index.select("name"), "name", "left_anti").orderBy("name").limit(limit)
+def uncached_remote(remote: DataFrame, index: DataFrame, limit: int | None = None) -> DataFrame:
+    """Listed names not yet indexed; with `limit` the first ones by name."""
+    missing = classification_only(remote).join(index.select("name"), "name", "left_anti")
+    return missing if limit is None else missing.orderBy("name").limit(limit)
 
 
 def fetch_by_ids(blobs: DataFrame, wanted: DataFrame) -> DataFrame:

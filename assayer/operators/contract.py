@@ -1,76 +1,110 @@
 """Boolean tags, ordered rules and scored attributes of the processing contract."""
 
 import re
+import sys
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.errors import ParseException
 
 from assayer.functions.text import filled
 from assayer.operators.joins import join_by_size
-from assayer.operators.sampling import union_all
 
-PER_PASS = 250
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FIELDS = ("country", "language", "media_type", "source")
 _SMART = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'"})
 _WORD = re.compile(r'"[^"]*"|[()]|[^\s()"]+(?:"[^"]*")?')
+_BINDS = {"OR": 1, "AND": 2, "NOT": 3}
+_STEPS = "expression STRING, steps ARRAY<STRUCT<op: STRING, field: STRING, term: STRING>>"
 
 
-def _predicate(word: str) -> str:
-    """SQL predicate of one term: a contained phrase, a field qualifier, or a blank check."""
+def _term(word: str) -> tuple[str, str, str]:
+    """(op, field, term) of one word: a contained phrase, a field qualifier, or a blank check."""
     field, _, value = word.partition(":")
-    name = field.lower()
-    column = "haystack"
+    name, where = field.lower(), "haystack"
     if value and (name in FIELDS or re.fullmatch(r"metadata\.[a-z0-9_]+", name)):
-        column = name if name in FIELDS else f"get_json_object(metadata, '$.{name[9:]}')"
-        column = f"lower(coalesce({column}, ''))"
-        word = value
+        where, word = name, value
         if word == '""':
-            return f"({column} = '')"
-    term = word.strip('"').rstrip("*").lower().replace("\\", "\\\\").replace("'", "\\'")
+            return "blank", where, ""
+    term = word.strip('"').rstrip("*").lower()
     if not term:
         raise ValueError("empty term")
-    return f"contains({column}, '{term}')"
+    return "has", where, term
+
+
+def postfix(expression: str) -> list[tuple[str, str, str]] | None:
+    """An expression's steps with operators behind their operands (NOT binds before AND before OR); None if invalid."""
+    out, waiting, operand = [], [], True  # operand: whether one must come next
+    for w in _WORD.findall(expression.translate(_SMART)):
+        op = w.upper()
+        if op in ("(", "NOT"):
+            if not operand:
+                return None
+            waiting.append(op)
+        elif op in (")", "AND", "OR"):
+            if operand:
+                return None
+            while waiting and waiting[-1] != "(" and (op == ")" or _BINDS[waiting[-1]] >= _BINDS[op]):
+                out.append((waiting.pop(), "", ""))
+            if op != ")":
+                waiting.append(op)
+                operand = True
+            elif not waiting or waiting.pop() != "(":
+                return None
+        else:
+            if not operand:
+                return None
+            try:
+                out.append(_term(w))
+            except ValueError:
+                return None
+            operand = False
+    if operand or "(" in waiting:
+        return None
+    return out + [(op, "", "") for op in reversed(waiting)]
 
 
-def expression_column(expression: str, over: DataFrame) -> Column | None:
-    """A boolean expression as a Column over the given rows, or None when it is invalid.
+def _parsed(batches):
+    for batch in batches:
+        yield pd.DataFrame({"expression": batch["expression"], "steps": [
+            None if (steps := postfix(e)) is None else [dict(zip(("op", "field", "term"), s)) for s in steps] for e in batch["expression"]]})
 
-    Terms become predicates; AND, OR, NOT and parentheses already mean in Spark SQL what they mean here, so
-    Spark reads the result itself.
-    """
-    try:
-        words = _WORD.findall(expression.translate(_SMART))
-        sql = " ".join(w.upper() if w in "()" or w.upper() in ("AND", "OR", "NOT") else _predicate(w) for w in words)
-        over.select(F.expr(sql))  # analysis only, no job
-        return F.expr(sql)
-    except (ValueError, ParseException):
-        return None
+
+def _result(steps: Column) -> Column:
+    """Steps folded over a stack of booleans."""
+    def value(s: Column) -> Column:
+        kept = F.when(s.field == "haystack", F.col("haystack"))
+        for f in FIELDS:
+            kept = kept.when(s.field == f, F.lower(F.col(f)))
+        kept = kept.otherwise(F.lower(F.try_element_at(F.col("facts"), F.substring(s.field, F.lit(10), F.length(s.field)))))
+        return F.coalesce(kept, F.lit(""))
+
+    def step(stack: Column, s: Column) -> Column:
+        n = F.size(stack)
+        last, before = F.get(stack, n - 1), F.get(stack, n - 2)
+        rest = lambda k: F.slice(stack, F.lit(1), n - k)
+        return (F.when(s.op == "has", F.concat(stack, F.array(F.contains(value(s), s.term)))).when(s.op == "blank", F.concat(stack, F.array(value(s) == "")))
+                .when(s.op == "NOT", F.concat(rest(1), F.array(~last))).when(s.op == "AND", F.concat(rest(2), F.array(before & last)))
+                .otherwise(F.concat(rest(2), F.array(before | last))))
+
+    return F.get(F.aggregate(steps, F.array().cast("array<boolean>"), step), F.lit(0))
 
 
 def boolean_tags(articles: DataFrame, tags: DataFrame) -> DataFrame:
     """Result per (article, boolean tag); an invalid expression is false and flagged.
 
     articles(correlation_id, config_id, headline, body, country, language, media_type, source, metadata);
-    tags(config_id, subject_id, tag_id, boolean_expression).  Each pass takes one hash share of the distinct
-    expressions, about `PER_PASS` of them, so neither the driver nor one plan ever holds them all.
+    tags(config_id, subject_id, tag_id, boolean_expression).  Each distinct expression is parsed once, into an array of
+    steps that joins like any data: one scan of the articles and one plan, however many expressions there are.
     """
-    tags = tags.filter(filled(F.col("boolean_expression")).isNotNull()).select("config_id", "subject_id", "tag_id", "boolean_expression")
-    texts = tags.select("boolean_expression").distinct()
-    passes = max(1, -(-texts.count() // PER_PASS))
-    share = F.pmod(F.xxhash64("boolean_expression"), F.lit(passes))
-    hay = articles.select("correlation_id", "config_id", *FIELDS, "metadata", F.lower(F.concat("headline", F.lit(" "), "body")).alias("haystack"))
-    out = []
-    for i in range(passes):
-        part = tags.filter(share == i)
-        columns = {r[0]: expression_column(r[0], hay) for r in texts.filter(share == i).collect()}
-        valid = [t for t, c in columns.items() if c is not None]
-        result = F.when(F.lit(False), False)
-        for t in valid:
-            result = result.when(F.col("boolean_expression") == t, columns[t])
-        rows = join_by_size(hay, part, ["config_id"])
-        out.append(rows.select("correlation_id", "config_id", "subject_id", "tag_id", F.coalesce(result, F.lit(False)).alias("result"),
-                               (~F.col("boolean_expression").isin(valid)).alias("invalid")))
-    return union_all(*out)
+    tags = tags.filter(filled(F.col("boolean_expression")).isNotNull()).select("config_id", "subject_id", "tag_id", F.col("boolean_expression").alias("expression"))
+    parsed = tags.select("expression").distinct().mapInPandas(_parsed, _STEPS)
+    hay = articles.select("correlation_id", "config_id", *FIELDS, F.from_json("metadata", "map<string,string>").alias("facts"),
+                          F.lower(F.concat("headline", F.lit(" "), "body")).alias("haystack"))
+    rows = hay.join(tags.join(parsed, "expression"), "config_id")
+    return rows.select("correlation_id", "config_id", "subject_id", "tag_id", F.coalesce(_result(F.col("steps")), F.lit(False)).alias("result"),
+                       F.col("steps").isNull().alias("invalid"))
 
 
 STATE = ("STRUCT<tags: ARRAY<STRING>, subjects: ARRAY<STRUCT<subject_id: STRING, is_valid: BOOLEAN, prominence: STRING, sentiment: STRING>>, "

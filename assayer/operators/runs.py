@@ -101,9 +101,10 @@ def run_status(events: DataFrame) -> DataFrame:
         F.max(F.when(F.col("status") == "completed", F.col("ts"))).alias("completed_at"))
 
 
-def list_runs(meta: DataFrame, summaries: DataFrame, limit: int = 1000) -> DataFrame:
+def list_runs(meta: DataFrame, summaries: DataFrame, limit: int | None = None) -> DataFrame:
     """Runs by id, newest first, with their summary where there is one; runs with neither are not listed."""
-    return meta.join(summaries, "run_id", "full_outer").orderBy(F.desc("run_id")).limit(limit)
+    runs = meta.join(summaries, "run_id", "full_outer").orderBy(F.desc("run_id"))
+    return runs if limit is None else runs.limit(limit)
 
 
 def get_run(records: DataFrame, run_id: str) -> DataFrame:

@@ -116,8 +116,12 @@ def stratified_eval_sample(preds, key, max_items: int = 600, seed=123) -> DataFr
     return take(preds, ["kind", "label"], key, seed, eval_quotas(sizes, max_items))
 
 
-def equal_shards(df, key, shards: int, seed=1234) -> DataFrame:
-    """Shuffled equal shards; the remainder is dropped, as every worker must take the same number of steps."""
+def equal_shards(df, key, shards: int, seed=1234, drop_remainder: bool = False) -> DataFrame:
+    """Shuffled shards whose sizes differ by one row at most; drop_remainder leaves rows out so that all are equal, for
+    workers that must take the same number of steps."""
+    if not drop_remainder:
+        r = hash_rank(df, [], key, seed)
+        return r.withColumn("shard", F.floor((F.col("rank") - 1) * shards / F.col("group_rows")).cast("bigint")).drop("rank", "group_rows")
     per = F.floor(F.col("group_rows") / shards)
     r = hash_rank(df, [], key, seed).withColumn("shard", F.floor((F.col("rank") - 1) / per).cast("bigint"))
     return r.filter((per > 0) & (F.col("shard") < shards)).drop("rank", "group_rows")

@@ -17,16 +17,14 @@ def _(d):
     return A.latest_per_key(d.audit_log)
 
 
-@query("recent_articles", sql="""with scan as (select * from audit_log order by created_at desc, id desc limit 1200)
- select * exclude (rn) from (select *, row_number() over (partition by config_id, correlation_id order by created_at desc, id desc) rn from scan) where rn = 1
- order by created_at desc, id desc limit 100 offset 20""")
+@query("recent_articles", sql=f"select * from ({LATEST}) order by created_at desc, id desc limit 1500")
 def _(d):
-    return A.recent_articles(d.audit_log, 100, 20)
+    return A.recent_articles(d.audit_log, 1500)
 
 
 @query("recent_articles_exact", sql=f"select * from ({LATEST}) order by created_at desc, id desc limit 100 offset 20")
 def _(d):
-    return A.recent_articles(d.audit_log, 100, 20, exact=True)
+    return A.recent_articles(d.audit_log, 100, 20)
 
 
 @query("config_counts", sql="select config_id, count(distinct correlation_id) as n_articles, max(created_at) as last_processed_at from audit_log group by config_id")

@@ -429,7 +429,7 @@ def _(d):
     return R.run_status(run_events(d))
 
 
-@query("list_runs", sql="""select s.run_id, s.status, c.total_articles from status_now s full join (select run_id, count(*) as total_articles from usage where status = 'ok' group by run_id) c using (run_id) order by run_id desc limit 1000""", extra=EVENTS)
+@query("list_runs", sql="""select s.run_id, s.status, c.total_articles from status_now s full join (select run_id, count(*) as total_articles from usage where status = 'ok' group by run_id) c using (run_id)""", extra=EVENTS)
 def _(d):
     summary = d.usage.filter("status = 'ok'").groupBy("run_id").agg(F.count("*").alias("total_articles"))
     return R.list_runs(R.run_status(run_events(d)).select("run_id", "status"), summary)

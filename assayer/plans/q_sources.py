@@ -88,10 +88,10 @@ def _(d):
 
 
 @query("uncached_remote", sql="""select name from names where name like '%.json' and name not like 'validation-failure/%' and name not like 'delivery-audit/%'
- and name not in (select 'p'||doc_id||'.json' from labels) order by name limit 100""", extra={"names": NAMES_SQL})
+ and name not in (select 'p'||doc_id||'.json' from labels)""", extra={"names": NAMES_SQL})
 def _(d):
     index = d.table("labels").select(F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(".json")).alias("name"))
-    return audit.uncached_remote(page_names(d), index, 100)
+    return audit.uncached_remote(page_names(d), index)
 
 
 @query("fetch_by_ids", sql="select correlation_id, n_chars from articles where doc_id in (select doc_id from labels where toxic = 1)")

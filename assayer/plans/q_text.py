@@ -157,8 +157,12 @@ def _(d):
     return d.policy_tags.select("subject_id", "tag_id", X.fingerprint(F.to_json(F.struct("evaluation_type", "tag_id", "tag_name"))).alias("fingerprint"))
 
 
-@query("state_budget", sql=f"""select doc_id, k, md5(case when k = 0 then text else left(text, floor(length(text) / pow(2, k))::int) || {q(V.BUDGET_NOTICE)} end) as text_md5 from (
- select *, case when length(text) <= 2000 then 0 else least(3, greatest(0, ceil(log2(length(text) / 2000.0)))) end::int as k from documents)""")
+def halved_sql(t: str) -> str:
+    return f"case when length({t}) > 2000 then left({t}, length({t}) // 2) || {q(V.BUDGET_NOTICE)} else {t} end"
+
+
+@query("state_budget", sql=f"""select doc_id, (length(text) > 2000)::int + (length(t1) > 2000)::int + (length(t2) > 2000)::int as k, md5({halved_sql('t2')}) as text_md5
+ from (select *, {halved_sql('t1')} as t2 from (select *, {halved_sql('text')} as t1 from documents))""")
 def _(d):
     t = F.col("text")
     return d.table("documents").select("doc_id", X.halvings(F.length(t), 2000).alias("k"), F.md5(X.state_budget(t, 2000)).alias("text_md5"))

@@ -174,7 +174,7 @@ def _(d):
     return S.stratified_eval_sample(d.predictions.select("vec_id", "kind", "label"), ["vec_id"], 300)
 
 
-@query("equal_shards", sql=f"select correlation_id, qid, (rk - 1) // per as shard from (select *, count(*) over () // 7 as per from ({ranked('seqs', '', 1234)})) where (rk - 1) // per < 7", extra=SEQS)
+@query("equal_shards", sql=f"select correlation_id, qid, ((rk - 1) * 7) // n as shard from (select *, count(*) over () as n from ({ranked('seqs', '', 1234)}))", extra=SEQS)
 def _(d):
     return S.equal_shards(seqs(d), KEY, 7).select("correlation_id", "qid", "shard")
 

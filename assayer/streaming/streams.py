@@ -25,18 +25,22 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def bounded_ingest(stream: DataFrame, path: str, checkpoint: str, rows: int, poll_seconds: float = 0.2) -> int:
-    """Stop once about `rows` rows were read: whole batches only, so it may overshoot by one batch."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
-    seen = 0
-    while q.isActive:
-        seen = sum(p["numInputRows"] for p in q.recentProgress)
-        idle = not q.status["isDataAvailable"] and not q.status["isTriggerActive"]
-        if seen >= rows or (seen > 0 and idle):
-            q.stop()
+    """Stop once about `rows` rows were read: whole batches only, so it may overshoot by a batch or two.
+
+    Ends by itself when all that has arrived is read, also when that is nothing.  Set maxFilesPerTrigger on the stream,
+    or all is one batch.  Progress is kept by batch, as the query itself remembers only the latest hundred.
+    """
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    by_batch: dict[int, int] = {}
+    while True:
+        active = q.isActive
+        by_batch |= {p["batchId"]: p["numInputRows"] for p in q.recentProgress}
+        if not active or sum(by_batch.values()) >= rows:
             break
         time.sleep(poll_seconds)
+    q.stop()
     q.awaitTermination()
-    return seen
+    return sum(by_batch.values())
 
 
 def stream_rows(stream: DataFrame, transform, path: str, checkpoint: str) -> None:

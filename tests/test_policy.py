@@ -122,17 +122,18 @@ def test_boolean_grammar(spark):
                               "correlation_id STRING, config_id STRING, headline STRING, body STRING, country STRING, language STRING, media_type STRING, source STRING, metadata STRING")
     cases = {"fox": (True, False), "FOX AND cat": (False, False), "cat OR NOT dog AND fox": (True, False), "NOT (fox OR dog)": (False, False), '"quick brown"': (True, False),
              "“brown quick”": (False, False), "qui*": (True, False), 'country:""': (True, False), 'language:""': (False, False), "language:EN AND media_type:radio": (True, False),
-             "metadata.kind:x1": (True, False), "isn't": (True, False), "fox AND (": (False, True), "AND fox": (False, True), "fox cat": (False, True), "news": (True, False)}
+             "metadata.kind:x1": (True, False), "isn't": (True, False), "fox AND (": (False, True), "AND fox": (False, True), "fox cat": (False, True), "fox AND": (False, True), "fox OR": (False, True), "fox NOT": (False, True), "NOT": (False, True), "AND": (False, True),
+             "NOT AND fox": (False, True), "NOT ()": (False, True), "()": (False, True), "fox AND AND fox": (False, True), "fox)": (False, True), "NOT NOT fox": (True, False), "news": (True, False)}
     t = spark.createDataFrame([("k", 1, str(i), e) for i, e in enumerate(cases)], "config_id STRING, subject_id INT, tag_id STRING, boolean_expression STRING")
     got = {r.tag_id: (r.result, r.invalid) for r in C.boolean_tags(a, t).collect()}
     assert got == {str(i): v for i, v in enumerate(cases.values())}
 
 
-def test_boolean_passes_cover_every_expression(spark, monkeypatch):
-    monkeypatch.setattr(C, "PER_PASS", 3)
+def test_boolean_many_expressions_in_one_plan(spark):
     a = spark.createDataFrame([("c", "k", "w1 w5 w9", "", "", "", "", "", "{}")], "correlation_id STRING, config_id STRING, headline STRING, body STRING, country STRING, language STRING, media_type STRING, source STRING, metadata STRING")
-    t = spark.createDataFrame([("k", 1, str(i), f"w{i}") for i in range(10)], "config_id STRING, subject_id INT, tag_id STRING, boolean_expression STRING")
-    assert {r.tag_id for r in C.boolean_tags(a, t).filter("result").collect()} == {"1", "5", "9"}
+    t = spark.createDataFrame([("k", 1, str(i), f"w{i} AND NOT v{i}") for i in range(2000)], "config_id STRING, subject_id INT, tag_id STRING, boolean_expression STRING")
+    rows = C.boolean_tags(a, t).collect()
+    assert len(rows) == 2000 and {r.tag_id for r in rows if r.result} == {"1", "5", "9"} and not any(r.invalid for r in rows)
 
 
 def test_later_stage_wins(spark):

@@ -60,6 +60,8 @@ def test_eval_sample_tops_up_from_the_largest_pools(spark):
 
 def test_shards_are_equal(spark):
     sizes = [r.n for r in S.equal_shards(rows(spark, 4), KEY, 7).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 7 and sum(sizes) == 1711 and max(sizes) - min(sizes) <= 1
+    sizes = [r.n for r in S.equal_shards(rows(spark, 4), KEY, 7, drop_remainder=True).groupBy("shard").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 7 and set(sizes) == {1711 // 7}
 
 

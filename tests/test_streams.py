@@ -38,6 +38,7 @@ def test_bounded_ingest_stops_early(spark, tmp_path):
     assert seen >= 2
     S.ingest(B.stream_files(spark, str(src)), out, mark)
     assert spark.read.parquet(out).count() == 12
+    assert S.bounded_ingest(B.stream_files(spark, str(src), 1), out, mark, rows=2) == 0  # nothing new: it returns
 
 
 def test_malformed_payloads_are_kept_apart(spark):
