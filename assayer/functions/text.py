@@ -58,21 +58,21 @@ def lead(body: Column) -> Column:
     return F.coalesce(F.get(paragraphs(body), F.lit(0)), F.lit(""))
 
 
-def distilled_state(headline: Column, body: Column, max_chars: int = V.STATE_MAX_CHARS) -> Column:
-    """Headline, lead and rest in the layout the model is trained on, cut to the budget."""
+def distilled_state(headline: Column, body: Column, max_chars: int | None = None) -> Column:
+    """Headline, lead and rest in the layout the model is trained on; whole unless a budget is given."""
     text = let(paragraphs(body), lambda p: F.concat(
         F.lit("Headline: "), headline, F.lit("\n\n\nLead Paragraph:\n"),
         F.coalesce(F.get(p, F.lit(0)), F.lit("")), F.lit("\n\nArticle Body:\n"),
         F.array_join(F.slice(p, F.lit(2), F.greatest(F.size(p), F.lit(1))), "\n\n")))
-    return F.left(text, F.lit(max_chars))
+    return text if max_chars is None else F.left(text, F.lit(max_chars))
 
 
 def is_clip(media_type: Column) -> Column:
     return F.lower(media_type).isin(*V.CLIP_MEDIA)
 
 
-def full_state(headline, body, media_type, source, published_at, max_chars: int = V.FULL_STATE_MAX_CHARS) -> Column:
-    """Item kind, optional source and date, headline and body; over-long text is cut with a notice."""
+def full_state(headline, body, media_type, source, published_at, max_chars: int | None = None) -> Column:
+    """Item kind, optional source and date, headline and body; with a budget, longer text is cut with a notice."""
     kind = F.when(is_clip(media_type), "clip (broadcast transcript)").otherwise("written article")
     text = F.concat(
         F.lit("Item Type: "), kind, F.lit("\n"),
@@ -80,6 +80,8 @@ def full_state(headline, body, media_type, source, published_at, max_chars: int
         F.when(filled(published_at).isNotNull(), F.concat(F.lit("Published: "), published_at, F.lit("\n"))).otherwise(""),
         F.lit("\nHeadline: "), headline, F.lit("\n\nBody:\n"), body,
     )
+    if max_chars is None:
+        return text
     cut = F.concat(F.left(text, F.lit(max_chars)), F.lit(V.FULL_STATE_NOTICE))
     return F.when(F.length(text) > max_chars, cut).otherwise(text)
 

@@ -24,7 +24,7 @@ def _subject_qid(kind: str) -> Column:
     return F.concat(F.lit("subj_"), F.col("subject_id").cast("string"), F.lit(f"_{kind}"))
 
 
-def build_questions(subjects: DataFrame, tags: DataFrame, verbose: bool = False) -> DataFrame:
+def build_questions(subjects: DataFrame, tags: DataFrame, verbose: bool = False, max_policy_chars: int | None = None) -> DataFrame:
     """Validation, prominence and sentiment per subject, then one question per model-judged tag.
 
     subjects(config_id, pos, subject_id, name, entity_definition, validation_prompt, prominence_prompt,
@@ -34,8 +34,8 @@ def build_questions(subjects: DataFrame, tags: DataFrame, verbose: bool = False)
     texts = V.VERBOSE if verbose else V.TERSE
     s = subjects.withColumn("name", F.coalesce(X.filled(F.col("name")), F.concat(F.lit("Subject "), F.col("subject_id").cast("string"))))
     name, policy = F.col("name"), X.sanitize_heading(F.col("validation_prompt"))
-    if not verbose:
-        policy = F.left(policy, F.lit(V.VALIDATION_CRITERIA_MAX_CHARS))
+    if max_policy_chars is not None:
+        policy = F.left(policy, F.lit(max_policy_chars))
     entity = X.sanitize_heading(F.col("entity_definition"))
 
     def client(title, col):

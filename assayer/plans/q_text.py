@@ -18,8 +18,8 @@ def heading_sql(c: str) -> str:
 
 
 PARAS = f"list_filter(list_transform(string_split(body, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
-STATE = f"""left('Headline: ' || headline || repeat(chr(10), 3) || 'Lead Paragraph:' || chr(10) || coalesce(p[1], '') || repeat(chr(10), 2) || 'Article Body:' || chr(10)
- || array_to_string(p[2:], repeat(chr(10), 2)), {V.STATE_MAX_CHARS})"""
+STATE = """'Headline: ' || headline || repeat(chr(10), 3) || 'Lead Paragraph:' || chr(10) || coalesce(p[1], '') || repeat(chr(10), 2) || 'Article Body:' || chr(10)
+ || array_to_string(p[2:], repeat(chr(10), 2))"""
 STATES = {"states": f"select *, {STATE} as state from (select *, {PARAS} as p from articles)"}
 
 ROUGH = """select conv_id, turn, case turn % 4 when 0 then '## ' || text when 1 then '  # ' || replace(text, chr(10), chr(10) || '### ') when 2 then chr(9) || text || chr(10) else text end as t from conversations"""
@@ -39,9 +39,10 @@ def _(d):
     return d.articles.select("correlation_id", F.size(p).cast("bigint").alias("n"), F.md5(F.array_join(p, "|")).alias("joined_md5"))
 
 
-@query("distilled_state", sql="select correlation_id, length(state) as n, md5(state) as state_md5 from states", extra=STATES)
+@query("distilled_state", sql=f"select correlation_id, length(left(state, {V.STATE_MAX_CHARS})) as n, md5(left(state, {V.STATE_MAX_CHARS})) as state_md5 from states", extra=STATES)
 def _(d):
-    a = d.articles.select("correlation_id", X.distilled_state(F.col("headline"), F.col("body")).alias("s"))
+    """The one query that shows the cut to a model's budget; everything else takes whole texts."""
+    a = d.articles.select("correlation_id", X.distilled_state(F.col("headline"), F.col("body"), V.STATE_MAX_CHARS).alias("s"))
     return a.select("correlation_id", F.length("s").alias("n"), F.md5("s").alias("state_md5"))
 
 
@@ -240,7 +241,7 @@ def lists(options: dict, vals: dict) -> str:
 
 def questions_sql(verbose: bool) -> str:
     texts = V.VERBOSE if verbose else V.TERSE
-    policy = heading_sql("validation_prompt") if verbose else f"left({heading_sql('validation_prompt')}, {V.VALIDATION_CRITERIA_MAX_CHARS})"
+    policy = heading_sql("validation_prompt")
     out = []
     for slot, (key, kind, qtype) in enumerate((("valid", "validation", "noul"), ("prominence", "prominence", "choice"), ("sentiment", "sentiment", "choice"))):
         head, options = texts[key]

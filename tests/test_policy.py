@@ -34,9 +34,11 @@ def test_question_order_types_and_labels(spark):
     assert "'Subject 8'" in rows[4].instructions
 
 
-def test_validation_policy_is_cut(spark):
-    q = Q.build_questions(subjects(spark, (1, "A", "x" * 900)), tags(spark)).filter("slot = 0").first()
-    assert q.criteria_texts[0].endswith(": " + "x" * V.VALIDATION_CRITERIA_MAX_CHARS)
+def test_validation_policy_is_whole_unless_cut(spark):
+    s = subjects(spark, (1, "A", "x" * 900))
+    assert Q.build_questions(s, tags(spark)).filter("slot = 0").first().criteria_texts[0].endswith(": " + "x" * 900)
+    cut = Q.build_questions(s, tags(spark), max_policy_chars=V.VALIDATION_CRITERIA_MAX_CHARS).filter("slot = 0").first()
+    assert cut.criteria_texts[0].endswith(": " + "x" * V.VALIDATION_CRITERIA_MAX_CHARS)
 
 
 def test_names_that_look_like_placeholders(spark):

@@ -21,7 +21,9 @@ def test_state_layout_and_cut(spark):
     got = one(spark, X.distilled_state, "H", " lead \n\n two\nthree ")
     assert got == "Headline: H\n\n\nLead Paragraph:\nlead\n\nArticle Body:\ntwo\n\nthree"
     assert one(spark, X.distilled_state, "H", "") == "Headline: H\n\n\nLead Paragraph:\n\n\nArticle Body:\n"
-    assert len(one(spark, X.distilled_state, "H", "x" * 9000)) == V.STATE_MAX_CHARS
+    whole = one(spark, X.distilled_state, "H", "x" * 9000)
+    assert whole.count("x") == 9000
+    assert one(spark, lambda h, b: X.distilled_state(h, b, 4000), "H", "x" * 9000) == whole[:4000]
 
 
 def test_full_state(spark):
