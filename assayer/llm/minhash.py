@@ -24,8 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BINS = 192
 #: Signatures of a pair at the threshold agree in this share less with a chance of about 1e-6.
 SLACK = 0.12
-#: Bytes of text hashed at once by one task.
-CHUNK = 1 << 21
+#: Bytes of text hashed at once by one task; its arrays take about 64 times that.
+CHUNK = 1 << 19
 ODD, A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
