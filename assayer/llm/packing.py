@@ -20,7 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEQUENCE, SEGMENTS = 2048, 512
 WINDOW = 800
-CACHE = 700_000
+#: Words, and simple words without their marks, whose ids a worker keeps; a full cache starts anew.
+WORDS, STEMS = 200_000, 400_000
 
 
 #: A word of Latin letters (ASCII, Latin-1) with punctuation after it: two slices of the tokenizer's own split.
@@ -69,8 +70,8 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        for cache in (self.cache, self.stems):
-            if len(cache) > CACHE:
+        for cache, size in ((self.cache, WORDS), (self.stems, STEMS)):
+            if len(cache) > size:
                 cache.clear()
         cache, word = self.cache, self._word
         for w in {w for ws in words for w in ws if w not in cache}:
