@@ -95,7 +95,6 @@ FOOTER = (
     r"editors'?\s+picks?|advertisement|sign\s+up\s+for|subscribe\s+to|newsletter|"
     r"share\s+this\s+article|follow\s+us\s+on|copyright\s+©|all\s+rights\s+reserved)[:\s-]"
 )
-QUOTE_STYLES = (r'"([^"\n]+)"', r"'([^'\n]+)'", r"“([^”\n]+)”", r"‘([^’\n]+)’")
 ANY_QUOTED = r'"([^"\n]+)"|' + r"'([^'\n]+)'|“([^”\n]+)”|‘([^’\n]+)’"
 NUMBER = r"(?<!\w)[$€£]?\d+(?:[,.]\d+)*(?:%|[–—-]\d+(?:[,.]\d+)*)?(?!\w)"
 CONFIGURATOR = (

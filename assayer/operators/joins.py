@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_BYTES = 256 * 1024 * 1024
+#: Bytes of a side as JSON text; its hashed rows may take several times that on every executor.
+BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 

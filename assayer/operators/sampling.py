@@ -36,8 +36,9 @@ def hash_rank(df: DataFrame, groups: list[str], key: list[str], seed, quotas: Da
     """
     h, offsets = _spread(df, groups, key, seed, prefix)
     if quotas is not None:
-        offsets = offsets.join(quotas, groups) if groups else offsets.join(quotas)
-        offsets = offsets.filter(F.col("_before") < F.col("quota"))
+        if not groups:
+            raise ValueError("quotas belong to groups; one quota for all rows is n")
+        offsets = offsets.join(quotas, groups).filter(F.col("_before") < F.col("quota"))
     elif n is not None:
         offsets = offsets.filter(F.col("_before") < n)
     on = [*groups, "_p"]

@@ -6,7 +6,7 @@ from assayer import fixed_values as V
 from assayer.functions import labels as L, text as X
 from assayer.operators import analysis as A, compare as K, entities as E, gating as G, questions as Q, runs as R, scoring as S
 from assayer.plans import q_sources
-from assayer.plans.q_text import BULLET, CLEAN, GENERIC, PARAS, STRICT, WORDS, article_questions, base_sql, canon_sql  # noqa: F401
+from assayer.plans.q_text import CLEAN, PARAS, STRICT, WORDS, article_questions, base_sql, canon_sql
 from assayer.plans.registry import query
 from assayer.plans.views_sql import bucket, q, words_in
 from assayer.session import written

@@ -291,7 +291,6 @@ def _(d):
 
 def article_questions(d):
     """Questions of the article side: the configured subjects and model-judged tags of each source."""
-    from assayer.sources.tables import TAGS  # noqa: F401
     s = d.config_subjects.select("config_id", F.col("subject_id").alias("pos"), "subject_id", "name", F.lit("").alias("entity_definition"),
                                  F.concat(F.lit("Stories on "), "name").alias("validation_prompt"), F.lit("").alias("prominence_prompt"), F.lit("").alias("sentiment_prompt"))
     t = d.config_tags.select("config_id", F.col("subject_id").alias("pos"), "subject_id", F.when(F.col("tag_id") == "toxic", 0).otherwise(1).alias("tag_pos"), "tag_id", "tag_name",
