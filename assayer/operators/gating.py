@@ -249,8 +249,8 @@ def link_action(score: Column) -> Column:
 def lexical_candidates(docs: DataFrame, queries: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 top-n documents per query.
 
-    Only terms that some query uses are kept before anything is shuffled; scores are added up with map-side
-    combine, and the final top-n per query runs per task first.
+    Only counts of terms that some query uses are shuffled, once, by document.  There a document's scores are complete,
+    so no (query, document) pair is shuffled but each task's n best of a query.
     """
     word = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     q_terms = queries.select("query_id", F.explode(F.array_distinct(word)).alias("term"))
@@ -261,10 +261,11 @@ def lexical_candidates(docs: DataFrame, queries: DataFrame, n: int, k1: float =
         "doc_id", "len", "term").agg(F.count("*").alias("tf"))
     tf = written(tf, "term-counts")  # read twice below; far smaller than the texts
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
+    weight = df.select("term", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
+    weighted = written(q_terms.join(weight, "term"), "query-terms")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-    scored = join_by_size(tf, idf, ["term"]).select("doc_id", "term", part.alias("part"))
-    hits = join_by_size(scored, q_terms, ["term"]).groupBy("query_id", "doc_id").agg(L.rounded(F.sum("part"), 6).alias("score"))
+    parts = join_by_size(tf.repartition("doc_id"), weighted, ["term"]).select("query_id", "doc_id", part.alias("part"))
+    hits = parts.groupBy("query_id", "doc_id").agg(L.rounded(F.sum("part"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 

@@ -53,23 +53,24 @@ def score(requests: DataFrame, factory, questions: str, out: str) -> DataFrame:
 
 
 def hash_scorer():
-    """Deterministic stand-in for a model: probabilities are buckets of md5(question | label | article)."""
+    """Deterministic stand-in for a model: probabilities are buckets of md5(question | label | article | md5 of the state)."""
     from hashlib import md5
 
     def bucket(*parts):
         return int(md5("|".join(parts).encode()).hexdigest()[:8], 16) % 100
 
-    def answer(cid, q):
+    def answer(of, q):
         if q["qtype"] == "noul":
-            return {"qid": q["qid"], "type": "noul", "noul": bucket(q["qid"], cid) / 100.0, "confidence": 1.0}
-        w = [bucket(q["qid"], label, cid) + 1 for label in q["criteria_labels"]]
+            return {"qid": q["qid"], "type": "noul", "noul": bucket(q["qid"], *of) / 100.0, "confidence": 1.0}
+        w = [bucket(q["qid"], label, *of) + 1 for label in q["criteria_labels"]]
         p = [x / sum(w) for x in w]
         best = p.index(max(p))
         return {"qid": q["qid"], "type": "choice", "choice": q["criteria_labels"][best],
                 "probabilities": list(zip(q["criteria_labels"], p)), "confidence": p[best]}
 
     def predict(ids, states, asks):
-        return [([answer(c, q) for q in a], len(s) // 4, len(a) * 2.5) for c, s, a in zip(ids, states, asks)]
+        keys = [(c, md5(s.encode()).hexdigest()) for c, s in zip(ids, states)]
+        return [([answer(k, q) for q in a], len(s) // 4, len(a) * 2.5) for k, s, a in zip(keys, states, asks)]
 
     return predict
 

@@ -6,7 +6,7 @@ from assayer import fixed_values as V
 from assayer.functions import labels as L, text as X
 from assayer.operators import analysis as A, compare as K, entities as E, gating as G, questions as Q, runs as R, scoring as S
 from assayer.plans import q_sources
-from assayer.plans.q_text import CLEAN, PARAS, STRICT, WORDS, article_questions, base_sql, canon_sql
+from assayer.plans.q_text import CLEAN, PARAS, STATES, STRICT, WORDS, article_questions, base_sql, canon_sql
 from assayer.plans.registry import query
 from assayer.plans.views_sql import bucket, q, words_in
 from assayer.session import written
@@ -105,11 +105,11 @@ def _(d):
 # --- scoring with the deterministic stand-in ----------------------------------------------------------------
 
 def noul_sql(qid: str) -> str:
-    return f"{bucket(f'concat({qid}, {q(chr(124))}, correlation_id)')}::double / 100"
+    return f"{bucket(f'concat({qid}, {q(chr(124))}, seen)')}::double / 100"
 
 
 def weight_sql(qid: str, label: str) -> str:
-    return f"({bucket(f'concat({qid}, {q(chr(124) + label + chr(124))}, correlation_id)')} + 1)"
+    return f"({bucket(f'concat({qid}, {q(chr(124) + label + chr(124))}, seen)')} + 1)"
 
 
 def first_max(cols: dict) -> str:
@@ -122,10 +122,12 @@ def first_max(cols: dict) -> str:
 VALID, PROM, SENT = ("'subj_'||subject_id||'_%s'" % x for x in ("valid", "prominence", "sentiment"))
 W3 = {x: f"wp{i}" for i, x in enumerate(V.PROMINENCE_LABELS)}
 W4 = {x: f"ws{i}" for i, x in enumerate(V.SENTIMENT_LABELS)}
+# what the stand-in answers depend on, next to the question: the article and the whole state it was shown
+SEEN = {**STATES, "seen_states": "select correlation_id, concat(correlation_id, '|', md5(state)) as seen from states"}
 SCORED = {
-    **EVIDENCE,
+    **EVIDENCE, **SEEN,
     "weights": f"""select *, {noul_sql(VALID)} as p_raw, {', '.join(f'{weight_sql(PROM, x)} as {c}' for x, c in W3.items())}, {', '.join(f'{weight_sql(SENT, x)} as {c}' for x, c in W4.items())},
- {noul_sql("'tag_'||subject_id||'_toxic'")} as t_toxic, {noul_sql("'tag_'||subject_id||'_long'")} as t_long from evidence e""",
+ {noul_sql("'tag_'||subject_id||'_toxic'")} as t_toxic, {noul_sql("'tag_'||subject_id||'_long'")} as t_long from evidence e join seen_states using (correlation_id)""",
     "gated": f"""select e.*, {THRESH} as effective_threshold, case when certified then 1.0 else p_raw end::double as p_valid, certified or p_raw >= {THRESH} as passed from weights e""",
     "raw_choices": f"""select *, p_valid >= 0.45 as valid, case when passed then {first_max(W3)} else 'passing' end as p_choice,
  case when passed then greatest(wp0, wp1, wp2)::double / (wp0 + wp1 + wp2) else 1.0 end as p_conf, case when passed then {first_max(W4)} else 'neutral' end as s_choice,
@@ -150,7 +152,7 @@ def plain_run(d, keep=()):
 
 
 PAIRS = f"""select *, {noul_sql(VALID)} as p_raw, {', '.join(f'{weight_sql(PROM, x)} as {c}' for x, c in W3.items())}, {', '.join(f'{weight_sql(SENT, x)} as {c}' for x, c in W4.items())},
- {noul_sql("'tag_'||subject_id||'_toxic'")} as t_toxic, {noul_sql("'tag_'||subject_id||'_long'")} as t_long from (select a.correlation_id, a.config_id, s.subject_id from articles a join config_subjects s using (config_id))"""
+ {noul_sql("'tag_'||subject_id||'_toxic'")} as t_toxic, {noul_sql("'tag_'||subject_id||'_long'")} as t_long from (select a.correlation_id, a.config_id, s.subject_id, x.seen from articles a join config_subjects s using (config_id) join seen_states x using (correlation_id))"""
 TOP3, TOP4 = "round(greatest(wp0,wp1,wp2)::double / (wp0+wp1+wp2), 6)", "round(greatest(ws0,ws1,ws2,ws3)::double / (ws0+ws1+ws2+ws3), 6)"
 
 
@@ -168,13 +170,13 @@ def show_answers(df):
     return S.answers_rows(df, "answers").select("correlation_id", "qid", "type", "noul", "choice", F.round("confidence", 6).alias("confidence"))
 
 
-@query("score_batch", sql=answers_sql(False), extra={"pairs": PAIRS})
+@query("score_batch", sql=answers_sql(False), extra={**SEEN, "pairs": PAIRS})
 def _(d):
     r = Q.request_table(d.articles_spread, sets(d))
     return show_answers(S.score(r, S.hash_scorer, "questions", "answers"))
 
 
-@query("two_stage_cascade", sql=answers_sql(True), extra={"pairs": PAIRS})
+@query("two_stage_cascade", sql=answers_sql(True), extra={**SEEN, "pairs": PAIRS})
 def _(d):
     return show_answers(G.two_stage_cascade(Q.request_table(d.articles_spread, sets(d)).drop("question_count"), S.hash_scorer))
 

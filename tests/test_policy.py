@@ -232,3 +232,9 @@ def test_scorer_skips_articles_without_questions(spark):
         return predict
 
     assert S.score(calls, never, "ask", "out").first().out == []
+
+
+def test_stand_in_answers_depend_on_the_state():
+    ask = [{"qid": "subj_1_valid", "qtype": "noul"}, {"qid": "subj_1_sentiment", "qtype": "choice", "criteria_labels": ["a", "b", "c"]}]
+    seen, empty, again = (S.hash_scorer()(["c1"], [s], [ask])[0][0] for s in ("whole text", "", "whole text"))
+    assert seen == again and seen != empty
