@@ -35,6 +35,19 @@ def find_discrepancies(mismatches: DataFrame, failures: DataFrame) -> DataFrame:
     return d.withColumn("type", F.lit("disagreement")).unionByName(f)
 
 
+def discrepancy_records(mismatches: DataFrame, failures: DataFrame, articles: DataFrame) -> DataFrame:
+    """One record per article that differs or failed: its headline, configuration, mismatch list and error.
+
+    failures(correlation_id, error); articles(correlation_id, config_id, headline).  A list is bounded by the subjects
+    and tags of the article's configuration; the long rows of `mismatch_long` stay the form to aggregate.
+    """
+    item = F.struct("dimension", "item", "base", "cand")
+    d = mismatches.groupBy("correlation_id").agg(F.sort_array(F.collect_list(item)).alias("mismatches"))
+    d = d.select("correlation_id", F.lit("disagreement").alias("type"), "mismatches", F.lit(None).cast("string").alias("error"))
+    f = failures.select("correlation_id", F.lit("execution_failure").alias("type"), F.array().cast(d.schema["mismatches"].dataType).alias("mismatches"), "error")
+    return d.unionByName(f).join(articles.select("correlation_id", "config_id", "headline"), "correlation_id")
+
+
 def first_n(issues: DataFrame, n: int | None, key: str = "correlation_id") -> DataFrame:
     """First n issues in key order; none or zero means all."""
     return issues.orderBy(key).limit(n) if n else issues

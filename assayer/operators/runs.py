@@ -68,6 +68,25 @@ def run_cost(totals: DataFrame, keys: list[str]) -> DataFrame:
         saved(k).alias("class_savings_pct"), F.when(c > 0, rounded(k / F.greatest(c, F.lit(0.00000001)), 1)).alias("class_cost_multiple"))
 
 
+def run_record(records: DataFrame) -> DataFrame:
+    """The summary of each run and of each configuration in it: counts, latency, costs and savings in one row.
+
+    records: run_id, config_id, status and the columns of RUN_SUMS; latency and costs are those of its `ok` rows.
+    Rows are summed per (run, configuration) once; the run's row adds up those sums.  Sums are decimal, so a total on
+    the edge of two rounded values is the same in any order of rows.
+    """
+    s = F.col("status")
+    part = records.groupBy("run_id", "config_id").agg(
+        F.count("*").alias("records"), F.count_if(s == "ok").alias("articles"), F.count_if(s == "failed").alias("failed"), F.count_if(s == "skipped").alias("skipped"),
+        *[F.sum(F.when(s == "ok", F.col(c)).otherwise(0.0).cast("decimal(28,12)")).alias(f"sum_{c}") for c in RUN_SUMS])
+    counts, sums = ["records", "articles", "failed", "skipped"], [f"sum_{c}" for c in RUN_SUMS]
+    every = part.groupingSets([["run_id", "config_id"], ["run_id"]], "run_id", "config_id").agg(
+        F.when(F.grouping("config_id") == 1, "run").otherwise("config").alias("scope"), *[F.sum(c).alias(c) for c in counts], *[F.sum(c).cast("double").alias(c) for c in sums])
+    keys = ["run_id", "config_id", "scope", "records", "failed", "skipped"]
+    latency = run_latency(every, keys + sums)
+    return run_cost(latency, [*keys, "articles", "avg_base_ms", "avg_cand_ms", "speedup"])
+
+
 def run_counts(records: DataFrame, keys: list[str]) -> DataFrame:
     s = F.col("status")
     g = records.groupBy(*keys).agg(F.count("*").alias("records"), F.count_if(s == "ok").alias("total_articles"),

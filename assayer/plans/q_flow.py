@@ -239,11 +239,11 @@ def subject_facts(d):
     return K.subject_comparison(d.config_subjects, base, given(d))
 
 
-def tag_facts(d):
+def tag_facts(d, subjects=None):
     a = given(d).select("correlation_id", "config_id", "subject_id", F.inline(F.array(
         F.struct(F.lit("toxic").alias("tag_id"), F.col("p_toxic").alias("p_tag")), F.struct(F.lit("long").alias("tag_id"), F.col("p_valid").alias("p_tag")),
         F.struct(F.lit("kw").alias("tag_id"), F.col("p_valid").alias("p_tag")))))
-    return K.tag_comparison(d.config_tags, a, d.baseline_tags, subject_facts(d))
+    return K.tag_comparison(d.config_tags, a, d.baseline_tags, subject_facts(d) if subjects is None else subjects)
 
 
 @query("subject_comparison", sql="select * from scm", extra=FACTS)
@@ -405,6 +405,20 @@ def _(d):
     return R.run_counts(d.usage, ["run_id"])
 
 
+RECORD = """select run_id, config_id, scope, records, articles, failed, skipped, avg_base_ms, avg_cand_ms, case when avg_base_ms > 0 then round(avg_base_ms / greatest(avg_cand_ms, 1.0), 2) else 1.0 end::double as speedup,
+ round(b, 6) as base_cost_usd, round(k, 6) as base_class_cost_usd, round(c, 6) as cand_cost_usd, round(b - c, 6) as savings_usd, case when b > 0 then round((b - c) / greatest(b, 0.00001) * 100.0, 1) else 0 end::double as savings_pct,
+ case when c > 0 then round(b / c, 1) end as cost_multiple, case when k > 0 then round((k - c) / greatest(k, 0.00001) * 100.0, 1) else 0 end::double as class_savings_pct, case when c > 0 then round(k / greatest(c, 0.00000001), 1) end as class_cost_multiple
+ from (select run_id, config_id, case when grouping(config_id) = 1 then 'run' else 'config' end as scope, count(*) as records, count(*) filter (where status = 'ok') as articles, count(*) filter (where status = 'failed') as failed,
+ count(*) filter (where status = 'skipped') as skipped, round(coalesce(sum(base_duration_ms::decimal(28,12)) filter (where status = 'ok'), 0)::double / greatest(count(*) filter (where status = 'ok'), 1), 2) as avg_base_ms,
+ round(coalesce(sum(cand_duration_ms::decimal(28,12)) filter (where status = 'ok'), 0)::double / greatest(count(*) filter (where status = 'ok'), 1), 2) as avg_cand_ms, coalesce(sum(base_cost_usd::decimal(28,12)) filter (where status = 'ok'), 0)::double as b,
+ coalesce(sum(cand_cost_usd::decimal(28,12)) filter (where status = 'ok'), 0)::double as c, coalesce(sum(base_class_cost_usd::decimal(28,12)) filter (where status = 'ok'), 0)::double as k from perf group by grouping sets ((run_id, config_id), (run_id)))"""
+
+
+@query("run_record", sql=RECORD, extra=PERF)
+def _(d):
+    return R.run_record(perf(d))
+
+
 @query("optimizer_summary", sql="""select run_id, count(*) as configs_compiled, round(sum(output_tokens / 1e5), 6) as cost_usd, round(sum(base_duration_ms), 2) as duration_ms, sum(input_tokens)::bigint as chars_before, sum(cand_input_tokens)::bigint as chars_after,
  round((sum(input_tokens) - sum(cand_input_tokens)) * 100.0::double / sum(input_tokens), 1) as reduction_pct from (select *, row_number() over (partition by run_id, cache_key order by article_no desc) rn from usage) where rn = 1 group by run_id""")
 def _(d):
@@ -460,13 +474,20 @@ ISSUES = {**FACTS, "pairs": LONG, "mism": "select * from pairs where not match a
 
 
 def mismatches(d):
-    return A.mismatch_long(subject_facts(d), tag_facts(d))
+    """Subject facts are written once; tags read them instead of comparing again."""
+    s = written(subject_facts(d), "subject-facts")
+    return A.mismatch_long(s, tag_facts(d, s))
+
+
+def issue_parts(d):
+    """Mismatches, written once, and the failed articles among which none is."""
+    m = written(mismatches(d), "mismatches")
+    failed = d.articles.filter("n_chars < 300").select("correlation_id", F.concat(F.lit("only "), F.col("n_chars").cast("string"), F.lit(" characters")).alias("error"))
+    return m, failed.join(m, "correlation_id", "left_anti")
 
 
 def issues(d):
-    m = mismatches(d)
-    failed = d.articles.filter("n_chars < 300").select("correlation_id").join(m.select("correlation_id").distinct(), "correlation_id", "left_anti")
-    return A.find_discrepancies(m, failed)
+    return A.find_discrepancies(*issue_parts(d))
 
 
 @query("mismatch_long", sql="select * from mism", extra=ISSUES)
@@ -479,6 +500,17 @@ def _(d):
     return issues(d)
 
 
+@query("discrepancy_records", sql="""with lists as (select correlation_id, count(*) as n_mismatches, string_agg(x, ';' order by x) as mismatches from (
+ select correlation_id, dimension || '|' || item || '|' || coalesce(base, '-') || '|' || coalesce(cand, '-') as x from mism) group by correlation_id)
+ select a.correlation_id, a.config_id, a.headline, i.type, coalesce(l.n_mismatches, 0)::int as n_mismatches, coalesce(l.mismatches, '') as mismatches,
+ case when i.type = 'execution_failure' then 'only ' || a.n_chars || ' characters' end as error from issues i join articles a using (correlation_id) left join lists l using (correlation_id)""", extra=ISSUES)
+def _(d):
+    """What differed in each article, in full."""
+    text = F.transform("mismatches", lambda x: F.concat_ws("|", x.dimension, x["item"], F.coalesce(x.base, F.lit("-")), F.coalesce(x.cand, F.lit("-"))))
+    r = A.discrepancy_records(*issue_parts(d), d.articles)
+    return r.select("correlation_id", "config_id", "headline", "type", F.size("mismatches").alias("n_mismatches"), F.array_join(F.array_sort(text), ";").alias("mismatches"), "error")
+
+
 @query("first_n_disagreements", sql="select correlation_id, n_validation from issues where type = 'disagreement' order by correlation_id limit 25", extra=ISSUES)
 def _(d):
     return A.first_n(issues(d).filter("type = 'disagreement'"), 25).select("correlation_id", "n_validation")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from assayer import fixed_values as V
 from assayer.operators import evaluate as E, runs as R, sampling as S, training as T
 from assayer.plans import q_sources
+from assayer.plans.q_flow import PERF, RECORD, perf
 from assayer.plans.q_text import article_questions
 from assayer.plans.registry import query
 from assayer.plans.views_sql import bucket, q
@@ -232,11 +233,11 @@ def _(d):
     return d.spark.read.parquet(path).groupBy("run_id", "status").agg(F.count("*").alias("n"))
 
 
-@query("write_run_summary", sql="""select run_id, count(*) as records, count(*) filter (where status = 'ok') as total_articles, count(*) filter (where status = 'failed') as failed,
- count(*) filter (where status = 'skipped') as skipped, count(*) filter (where status = 'ok') > 0 as evaluated from usage group by run_id""")
+@query("write_run_summary", sql=RECORD, extra=PERF)
 def _(d):
+    """The whole record of each run, written and read back."""
     path = work_path(d.spark, "summaries")
-    R.write_records(R.run_counts(d.usage, ["run_id"]), path)
+    R.write_records(R.run_record(perf(d)), path)
     return d.spark.read.parquet(path)
 
 
