@@ -48,18 +48,42 @@ def stream_rows(stream: DataFrame, transform, path: str, checkpoint: str) -> Non
     ingest(transform(stream), path, checkpoint)
 
 
-def stream_latest(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Newest row per key as rows arrive: each batch adds its own newest rows in a folder of its own."""
+#: Batches after which their newest rows are merged into one table.
+MERGE_EVERY = 16
+
+
+def stream_latest(stream: DataFrame, path: str, checkpoint: str, merge_every: int = MERGE_EVERY) -> None:
+    """Newest row per key as rows arrive: each batch adds its own newest rows in a folder of its own, and every
+    `merge_every` batches these and the merged table before them become the next merged table.
+
+    So a read takes one merged table and fewer than merge_every folders, and a key is rewritten once in merge_every
+    batches; the number stays the same for a path.  A batch that runs again overwrites the same folders from the same
+    input.  Folders before the newest merged table are no longer read and may be removed by their owner.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_per_key(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        latest_per_key(batch).write.mode("overwrite").parquet(f"{path}/batches/batch_id={batch_id}")
+        if (batch_id + 1) % merge_every == 0:
+            before = batch_id - merge_every if batch_id >= merge_every else None
+            _latest_since(batch.sparkSession, path, before).write.mode("overwrite").parquet(f"{path}/merged/{batch_id}")
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
+def _latest_since(spark: SparkSession, path: str, merged: int | None) -> DataFrame:
+    """Newest row per key of a merged table, if there is one, and of the batches after it."""
+    rows = spark.read.parquet(f"{path}/batches")
+    if merged is None:
+        return latest_per_key(rows.drop("batch_id"))
+    rows = rows.filter(F.col("batch_id") > merged).drop("batch_id")
+    return latest_per_key(rows.unionByName(spark.read.parquet(f"{path}/merged/{merged}")))
+
+
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """Newest row per key over all batches."""
-    return latest_per_key(spark.read.parquet(path).drop("batch_id"))
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/merged/*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done) or []
+    return _latest_since(spark, path, max((int(f.getPath().getParent().getName()) for f in found), default=None))
 
 
 def stream_progress(records: DataFrame, path: str, checkpoint: str) -> None:

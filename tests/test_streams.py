@@ -77,3 +77,18 @@ def test_progress_across_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
         S.stream_progress(spark.readStream.schema(schema).parquet(src), out, mark)
     assert sorted(map(tuple, S.read_progress(spark, out).collect())) == [("r", "k", 2, 1, 0), ("r", "z", 0, 0, 1)]
+
+
+def test_newest_rows_are_merged_and_complete(spark, tmp_path):
+    src, out, mark = str(tmp_path / "log"), str(tmp_path / "latest"), str(tmp_path / "mark")
+    for i in range(7):  # one file a batch; key k0 comes in each, k<i> in one
+        rows = [("cfg", "k0", i, i), ("cfg", f"k{i}", i, i)]
+        spark.createDataFrame(rows, "config_id STRING, correlation_id STRING, id LONG, created_at LONG").coalesce(1).write.mode("append").parquet(src)
+    log = lambda: spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    S.stream_latest(log(), out, mark, merge_every=3)
+    got = {r.correlation_id: r.id for r in S.read_latest(spark, out).collect()}
+    assert got == {"k0": 6} | {f"k{i}": i for i in range(1, 7)}
+    assert sorted(p.name for p in (tmp_path / "latest" / "merged").iterdir()) == ["2", "5"]
+    spark.createDataFrame([("cfg", "k2", 9, 9)], "config_id STRING, correlation_id STRING, id LONG, created_at LONG").coalesce(1).write.mode("append").parquet(src)
+    S.stream_latest(log(), out, mark, merge_every=3)
+    assert {r.correlation_id: r.id for r in S.read_latest(spark, out).collect()} == got | {"k2": 9}
