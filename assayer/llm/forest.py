@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a random-projection tree forest: split with spill overlap, compare within leaves, verify, union.
 
 Every tree splits all vectors of a label level by level at the median of a random projection; vectors within `margin` of
-the cut go to both sides.  Levels are Spark aggregates and joins over narrow rows (id, projections).  A leaf compares its
+the cut go to both sides.  Margin and number of trees follow from the cosine, the dimension and the depth.  Levels are Spark aggregates and joins over narrow rows (id, projections).  A leaf compares its
 members by a matrix product.  A pair that meets in several leaves counts in the one with the smallest number, so counts
 are exact without listing pairs, and each leaf hands on a spanning star of its links for the union.
 """
@@ -22,12 +22,26 @@ from assayer.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TREES = 8
 LEAF_ROWS = 512
-MARGIN = 0.01
 #: A node of which more than this share lies within the margin of its median is a ball of near copies that no cut
 #: divides; it becomes one leaf as it is, compared block by block.
 TIGHT = 0.4
+#: Fewest trees, and the chance that a pair at the cosine meets in no leaf of any tree.
+TREES, MISS = 8, 1e-4
+#: The gap between the projections of a pair is normal, so with a margin of half its deviation on both sides of a cut it
+#: exceeds both by this many deviations on average; a node that is no ball holds at most TIGHT per two margins at its cut.
+BEYOND = 2 * (math.exp(-0.5) / math.sqrt(2 * math.pi) - 0.5 * math.erfc(math.sqrt(0.5)))
+
+
+def margin_of(cosine: float, dim: int) -> float:
+    """Half the standard deviation of the gap between the random projections of two unit vectors at this cosine."""
+    return max(math.sqrt(max(2 - 2 * cosine, 0) / dim) / 2, 1e-6)
+
+
+def trees_of(most: int, leaf_rows: int) -> int:
+    """Trees after which a pair at the cosine is parted in all of them with a chance of about MISS."""
+    kept = (1 - TIGHT * BEYOND) ** math.ceil(math.log2(max(most / leaf_rows, 2)))
+    return max(TREES, math.ceil(math.log(MISS) / math.log(1 - kept)))
 
 
 def usable(vec: Column) -> Column:
@@ -37,7 +51,7 @@ def usable(vec: Column) -> Column:
     return F.coalesce(~bad & F.exists(x, lambda v: v != 0.0), F.lit(False))
 
 
-def _projector(trees: int, depth: int, seed: int):
+def _projector(trees: int, depth: int, seed: int, margin: float | None, cosine: float):
     def project(batches):
         for batch in batches:
             vecs = batch.column(2)
@@ -48,7 +62,8 @@ def _projector(trees: int, depth: int, seed: int):
                 own = np.flatnonzero(sizes == dim)
                 way = np.random.default_rng([seed, int(dim)]).normal(size=(dim, trees * depth))
                 x = flat[ends[own][:, None] + np.arange(dim)]
-                at[own] = (x @ (way / np.sqrt((way * way).sum(0)))).reshape(len(own), trees, depth)
+                unit = margin_of(cosine, int(dim)) if margin is None else margin  # projections are told in margins
+                at[own] = (x @ (way / np.sqrt((way * way).sum(0))) / unit).reshape(len(own), trees, depth)
             places = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, depth, dtype=np.int32)), pa.array(at.ravel()))
             take = np.repeat(np.arange(batch.num_rows), trees)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)),
@@ -57,30 +72,33 @@ def _projector(trees: int, depth: int, seed: int):
     return project
 
 
-def leaves(points: DataFrame, trees: int, leaf_rows: int, margin: float, seed: int) -> DataFrame:
+def leaves(points: DataFrame, trees: int | None, leaf_rows: int, margin: float | None, seed: int, cosine: float) -> DataFrame:
     """(id, leaf) for every leaf of every tree that a point lies in.  points: id, grp, vec (unit length)."""
     most = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     if most <= leaf_rows:  # every group is one leaf, so one tree finds all that others would
         return points.select("id", F.xxhash64("grp").alias("leaf"))
-    depth = math.ceil(math.log2(most / leaf_rows)) + 4
-    now = points.select("id", "grp", "vec").mapInArrow(_projector(trees, depth, seed), "id long, grp long, tree int, at array<float>")
-    now = written(now.select("id", F.xxhash64("grp", "tree").alias("node"), "at"), "forest-level")
+    trees = trees_of(most, leaf_rows) if trees is None else trees
+    depth = math.ceil(math.log(most / leaf_rows, 1 / (0.5 + TIGHT / 2))) + 2
+    now = points.select("id", "grp", "vec").mapInArrow(_projector(trees, depth, seed, margin, cosine), "id long, grp long, tree int, at array<float>")
+    # a group that is not split at all is the same leaf in all trees
+    now = written(now.select("id", F.xxhash64("grp").alias("leaf"), F.xxhash64("grp", "tree").alias("node"), "at"), "forest-level")
     done = None
     for level in range(depth):
         here = F.col("at")[level]
         # where 40 % of a node lie within the margin of its median it is a ball, which no cut divides
         sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.percentile_approx(here, [0.5 - TIGHT / 2, 0.5, 0.5 + TIGHT / 2], 1000).alias("q"))
-        large = sizes.where((F.col("n") > leaf_rows) & (F.col("q")[2] - F.col("q")[0] >= 2 * margin)).select("node", F.col("q")[1].alias("cut"))
+        large = sizes.where((F.col("n") > leaf_rows) & (F.col("q")[2] - F.col("q")[0] >= 2)).select("node", F.col("q")[1].alias("cut"))
         split = now.join(large, "node", "left")
         split = split.withColumn("side", F.explode(F.expr(f"""CASE WHEN cut IS NULL THEN array(-1) ELSE
-            filter(array(IF(at[{level}] < cut + {margin}, 0, -2), IF(at[{level}] >= cut - {margin}, 1, -2)), s -> s >= 0) END""")))
-        split = written(split.select("id", F.when(F.col("side") < 0, F.col("node")).otherwise(F.xxhash64("node", "side")).alias("node"), "side", "at"), "forest-level")
-        ended = split.where("side < 0").select("id", F.col("node").alias("leaf"))
+            filter(array(IF(at[{level}] < cut + 1, 0, -2), IF(at[{level}] >= cut - 1, 1, -2)), s -> s >= 0) END""")))
+        below = F.xxhash64("node", "side")
+        split = written(split.select("id", F.when(F.col("side") < 0, F.col("leaf")).otherwise(below).alias("leaf"), "side", "at"), "forest-level")
+        ended = split.where("side < 0").select("id", "leaf")
         done = ended if done is None else done.unionAll(ended)
-        now = split.where("side >= 0").select("id", "node", "at")
+        now = split.where("side >= 0").select("id", "leaf", F.col("leaf").alias("node"), "at")
         if now.isEmpty():
             return done
-    return done.unionAll(now.select("id", F.col("node").alias("leaf")))
+    return done.unionAll(now.select("id", "leaf"))
 
 
 def _stars(linked: np.ndarray) -> np.ndarray:
@@ -129,7 +147,7 @@ def _comparer(least: float):
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label",
-                           cosine: float = 0.93, trees: int = TREES, leaf_rows: int = LEAF_ROWS, margin: float = MARGIN, seed: int = 17) -> DataFrame:
+                           cosine: float = 0.93, trees: int | None = None, leaf_rows: int = LEAF_ROWS, margin: float | None = None, seed: int = 17) -> DataFrame:
     """One row per row of df: (id_col, n_links, component_id, kept).
 
     Vectors of equal, non-null group and equal length are linked if their cosine, in double precision, is at least
@@ -144,7 +162,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     classes = written(rows.where("grp is not null").groupBy("cls", "grp", "vec").agg(F.min("id").alias("id"), F.count("*").alias("w")), "forest-classes")
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     points = classes.select("id", "grp", F.transform("vec", lambda x: x / length).alias("vec"))
-    placed = written(leaves(points, trees, leaf_rows, margin, seed).distinct(), "forest-leaves")
+    placed = written(leaves(points, trees, leaf_rows, margin, seed, cosine).distinct(), "forest-leaves")
     sizes = placed.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     own = placed.groupBy("id").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     dealt = in_blocks(placed, ["leaf"], "id", sizes, leaf_rows).join(classes.select("id", "vec", "w").join(own, "id"), "id")

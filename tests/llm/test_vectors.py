@@ -59,6 +59,26 @@ def test_links_are_all_found(spark, leaf_rows):
     check_links(rows, all_links(ids, x, [i % 2 for i in ids], 0.93), ids)
 
 
+def groups(n, count, cosine, dim=64):
+    """n unit vectors in groups of this mutual cosine."""
+    rng = np.random.default_rng(n + count)
+    centers = rng.normal(size=(count, dim))
+    x = np.sqrt(cosine) * (centers / np.linalg.norm(centers, axis=1)[:, None])[np.arange(n) % count]
+    x += np.sqrt((1 - cosine) / dim) * rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_links_in_large_labels_with_production_constants(spark):
+    labels = [groups(2500, 1, 0.95), groups(3000, 5, 0.94)]
+    rows = [(label * 10000 + i, v.tolist(), label) for label, x in enumerate(labels) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in forest.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for label, (x, count) in enumerate(zip(labels, (1, 5))):
+        want = (x @ x.T >= 0.93).sum(1) - 1
+        have = np.array([got[label * 10000 + i].n_links for i in range(len(x))])
+        assert have.sum() >= 0.9999 * want.sum() and (have <= want + 1).all()
+        assert all(got[label * 10000 + i].component_id == label * 10000 + i % count for i in range(len(x)) if want[i])
+
+
 def test_given_vectors(spark):
     df = table(spark, "/root/testdata/sf0.01", "embeddings")
     got = df.collect()
