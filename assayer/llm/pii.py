@@ -17,14 +17,16 @@ _MALE = "Mr|Herrn?|Monsieur|Señor|Господин|Signor"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Госпожа|Signora|Signorina"
 _TITLE = f"(?:(?:{_MALE}|{_FEMALE}|Sra?|Dr|Prof)\\.?)"
 _NAME = "\\p{Lu}[\\p{L}'’\\-]+"
+#: Names of secrets, in any case and behind any prefix (db_password, accessToken); the prefix stays.
+_KEY = "(?i:password|passwd|pwd|token|secret|api_?key)"
 _HOST = "(?:[\\p{L}\\p{N}\\-]+\\.)+\\p{L}{2,}"
 
 #: Type and pattern, in the order in which they are tried at a place.  Each begins where no longer token runs, so no
 #: pattern is tried again within a run of its own characters.
 PATTERNS = (
     ("email", f"(?<![\\p{{L}}\\p{{N}}._%+\\-])[\\p{{L}}\\p{{N}}._%+\\-]{{1,64}}@{_HOST}"),
-    ("secret", "(?<![A-Za-z0-9_\\-])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\\-]{20,}"
-               "|(?:password|passwd|pwd|token|secret|api_?key)\\s{0,3}[=:]\\s{0,3}(?:\"[^\"\\s]{6,200}\"|'[^'\\s]{6,200}'|[^\\s\"',;]{6,200}))"),
+    ("secret", "(?:(?<![A-Za-z0-9_\\-])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_\\-]{20,}+)"
+               f"|{_KEY}\\s{{0,3}}[=:]\\s{{0,3}}(?:\"[^\"\\s]{{6,}}+\"|'[^'\\s]{{6,}}+'|[^\\s\"',;]{{6,}}+))"),
     ("iban", "(?<![\\p{L}\\p{N}])[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}\\p{N}])"),
     ("card", "(?<![\\p{L}\\p{N}.+\\-])(?:\\d{4}[ \\-]?){3}\\d{1,7}(?![\\p{L}\\p{N}]|[.\\-]\\d)"),
     ("phone", "(?<![\\p{L}\\p{N}])(?:\\+\\d{1,3}[ .\\-]?\\(\\d{1,4}\\)[ .\\-]?\\d{2,5}(?:[.\\-]?\\d{2,5}){0,3}"
@@ -36,7 +38,7 @@ PATTERNS = (
 )
 ANY = "|".join(p for _, p in PATTERNS)
 #: What every entity holds; texts without it are not searched.
-HINT = f"[@0-9]|(?i:pass|pwd|token|secret|key)|AKIA|{_TITLE} \\p{{Lu}}"
+HINT = f"[@0-9]|(?i:pass|pwd|token|secret|key)|AKIA|gh[pousr]_|sk-|{_TITLE} \\p{{Lu}}"
 PARTS = "array<struct<kind:string,canon:string>>"
 
 
@@ -133,7 +135,7 @@ def surrogate(key: str) -> Column:
     digits = _spelled(key, canon, F.lit(1))
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     valid = _check_digit(F.substring(canon, F.lit(1), F.length(canon) - 1)) == F.substring(canon, -1, 1)
-    head = F.regexp_extract(canon, "^(?:AKIA|gh[pousr]_|sk-|(?i:password|passwd|pwd|token|secret|api_?key)\\s*[=:]\\s*)", 0)
+    head = F.regexp_extract(canon, f"^(?:AKIA|gh[pousr]_|sk-|{_KEY}\\s*[=:]\\s*)", 0)
     value = F.substring(canon, F.length(head) + 1, F.length(canon))
     hexed = F.concat(head, F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), _pick("0123456789abcdef", _draw(key, i, 16))).otherwise(c)), ""))
     country = F.when(canon.startswith("+1") | canon.startswith("+7"), 2).when(canon.startswith("+"), 3).otherwise(0)

@@ -76,6 +76,26 @@ def test_clashes_are_drawn_again(spark):
     assert len({r.fake for r in got}) == 40 and not {r.fake for r in got} & {c for _, c in own}
 
 
+def test_secrets_in_any_case_and_length(spark):
+    long = "aB3_" * 75
+    texts = ['TOKEN = "9233A8EC0011"', "Password: hunter22x", "API_KEY=ab12cd34", "db_password=s3cr3tpw", "accessToken=zz91zz92", f"token={long}",
+             f'secret = "{long}"', "ghp_" + "abcdefghij" * 3, "say sk-" + "abcdefghij" * 3 + " now"]
+    hidden = ["9233A8EC0011", "hunter22x", "ab12cd34", "s3cr3tpw", "zz91zz92", "aB3_aB3_", "aB3_aB3_", "abcdefghij", "abcdefghij"]
+    _, rows = run(spark, list(enumerate(texts)))
+    out = {r.doc_id: r for r in rows}
+    for i, (text, value) in enumerate(zip(texts, hidden)):
+        assert value not in out[i].text and out[i].n_entities == 1 and len(out[i].text) == len(text)
+    assert re.fullmatch(r'TOKEN = "[0-9A-Z]{12}"', out[0].text) and out[3].text.startswith("db_password=") and out[8].text.endswith(" now")
+
+
+def test_secrets_of_given_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").where(F.col("text").rlike("(?i)(password|passwd|pwd|token|secret|api_?key)\\s{0,3}[=:]"))
+    rows = pii.pseudonymised(docs, "k").withColumnRenamed("text", "new").join(docs, "doc_id").collect()
+    own = [(r, v) for r in rows for v in re.findall(r"(?i)(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9]{6,})", r.text)]
+    assert any("TOKEN =" in r.text for r, _ in own)
+    assert not [(r.doc_id, v) for r, v in own if v in r.new]
+
+
 def test_given_documents(spark, sf):
     docs = table(spark, sf, "documents")
     rows = pii.pseudonymised(docs.select("doc_id", "text"), "k").withColumnRenamed("text", "new").join(docs, "doc_id").collect()
