@@ -19,6 +19,8 @@ _TITLE = f"(?:(?:{_MALE}|{_FEMALE}|Sra?|Dr|Prof)\\.?)"
 _NAME = "\\p{Lu}[\\p{L}'’\\-]+"
 #: Names of secrets, in any case and behind any prefix (db_password, accessToken); the prefix stays.
 _KEY = "(?i:password|passwd|pwd|token|secret|api_?key)"
+#: A value that repeats one sign, such as ********, hides its secret already.
+_NO_MASK = "(?![\"']?(?<sign>[^\\p{L}\\p{N}\\s\"',;])\\k<sign>*+[.!?)\\]]*+(?:[\\s\"',;]|$))"
 _HOST = "(?:[\\p{L}\\p{N}\\-]+\\.)+\\p{L}{2,}"
 
 #: Type and pattern, in the order in which they are tried at a place.  Each begins where no longer token runs, so no
@@ -26,7 +28,7 @@ _HOST = "(?:[\\p{L}\\p{N}\\-]+\\.)+\\p{L}{2,}"
 PATTERNS = (
     ("email", f"(?<![\\p{{L}}\\p{{N}}._%+\\-])[\\p{{L}}\\p{{N}}._%+\\-]{{1,64}}@{_HOST}"),
     ("secret", "(?:(?<![A-Za-z0-9_\\-])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_\\-]{20,}+)"
-               f"|{_KEY}\\s{{0,3}}[=:]\\s{{0,3}}(?:\"[^\"\\s]{{6,}}+\"|'[^'\\s]{{6,}}+'|[^\\s\"',;]{{6,}}+))"),
+               f"|{_KEY}\\s{{0,3}}[=:]\\s{{0,3}}{_NO_MASK}(?:\"[^\"\\s]{{6,}}+\"|'[^'\\s]{{6,}}+'|[^\\s\"',;]{{6,}}+))"),
     ("iban", "(?<![\\p{L}\\p{N}])[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}\\p{N}])"),
     ("card", "(?<![\\p{L}\\p{N}.+\\-])(?:\\d{4}[ \\-]?){3}\\d{1,7}(?![\\p{L}\\p{N}]|[.\\-]\\d)"),
     ("phone", "(?<![\\p{L}\\p{N}])(?:\\+\\d{1,3}[ .\\-]?\\(\\d{1,4}\\)[ .\\-]?\\d{2,5}(?:[.\\-]?\\d{2,5}){0,3}"
@@ -90,7 +92,7 @@ _LATIN, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзик
 def _like(key: str, char: Column, i: Column) -> Column:
     """A character of the same script, case and kind."""
     low = F.lower(char)
-    drawn = (F.when(char.rlike("[0-9]"), _pick("0123456789", _draw(key, i, 10)))
+    drawn = (F.when(char.rlike("\\p{N}"), _pick("0123456789", _draw(key, i, 10)))
              .when(low.rlike("\\p{IsCyrillic}"), _pick(_CYRILLIC, _draw(key, i, len(_CYRILLIC))))
              .when(low.rlike("\\p{IsGreek}"), _pick(_GREEK, _draw(key, i, len(_GREEK))))
              .when(low.rlike("\\p{L}"), _pick(_LATIN, _draw(key, i, 26))).otherwise(char))
@@ -139,14 +141,19 @@ def surrogate(key: str) -> Column:
     value = F.substring(canon, F.length(head) + 1, F.length(canon))
     hexed = F.concat(head, F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), _pick("0123456789abcdef", _draw(key, i, 16))).otherwise(c)), ""))
     country = F.when(canon.startswith("+1") | canon.startswith("+7"), 2).when(canon.startswith("+"), 3).otherwise(0)
+    # values with nothing, or too little, to draw anew would clash for ever: from the third attempt on they grow by letters
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.col("attempt") - 1, F.lit(1))), lambda i: _pick(_LATIN, _draw(key, i + 1000, 26))), "")
+    more = F.when(F.col("attempt") > 1, more).otherwise("")
+    opened = F.length(F.regexp_extract(canon, f"^(?:AKIA|gh[pousr]_|sk-|{_KEY}\\s*[=:]\\s*[\"']?)", 0))
+    grown = lambda fake: F.concat(F.substring(fake, F.lit(1), opened), more, F.substring(fake, opened + 1, F.length(fake)))
     return (F.when(kind.startswith("given_") | (kind == "surname"), _syllables(key, ENDINGS))
-            .when(kind == "email", F.concat(_spelled(key, F.substring(canon, F.lit(1), F.length(canon) - F.length(zone)), F.lit(0)), zone))
+            .when(kind == "email", F.concat(more, _spelled(key, F.substring(canon, F.lit(1), F.length(canon) - F.length(zone)), F.lit(0)), zone))
             .when(kind == "ip", octets)
             .when((kind == "card") & valid, F.concat(body, _check_digit(body)))
             .when(kind == "card", digits)
             .when(kind == "iban", _spelled(key, canon, F.lit(2)))
-            .when((kind == "secret") & value.rlike("^[\"']?[0-9a-f]+[\"']?$"), hexed)
-            .when(kind == "secret", _spelled(key, canon, F.length(head)))
+            .when((kind == "secret") & value.rlike("^[\"']?[0-9a-f]+[\"']?$"), grown(hexed))
+            .when(kind == "secret", grown(_spelled(key, canon, F.length(head))))
             .otherwise(_spelled(key, canon, country)))
 
 

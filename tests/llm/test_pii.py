@@ -88,6 +88,18 @@ def test_secrets_in_any_case_and_length(spark):
     assert re.fullmatch(r'TOKEN = "[0-9A-Z]{12}"', out[0].text) and out[3].text.startswith("db_password=") and out[8].text.endswith(" now")
 
 
+def test_values_without_anything_to_draw(spark):
+    """Masks stay; signs alone, other digits and used-up alphabets get surrogates, and the redraws end."""
+    texts = ["password=********", "pwd: --------.", 'token = "######"', "password=١٢٣٤٥٦", "password=!@#$%^&", "secret = '<>-<>-'", "sk-" + "_" * 20, "-@-.com"]
+    texts += [f"password={i}*****" for i in range(10)]
+    _, rows = run(spark, list(enumerate(texts)))
+    out = {r.doc_id: r for r in rows}
+    assert all(out[i].text == texts[i] and out[i].n_entities == 0 for i in range(3))
+    assert all(out[i].text != texts[i] and out[i].n_entities == 1 for i in range(3, len(texts)))
+    assert len({r.text for r in rows}) == len(texts) and not {out[i].text for i in range(3, len(texts))} & set(texts)
+    assert re.fullmatch(r"password=[0-9]{6}", out[3].text) and re.fullmatch(r"secret = '[a-z]+<>-<>-'", out[5].text)
+
+
 def test_secrets_of_given_documents(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").where(F.col("text").rlike("(?i)(password|passwd|pwd|token|secret|api_?key)\\s{0,3}[=:]"))
     rows = pii.pseudonymised(docs, "k").withColumnRenamed("text", "new").join(docs, "doc_id").collect()
