@@ -22,8 +22,9 @@ from assayer.session import written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINS = 192
-#: Signatures of a pair at the threshold agree in this share less with a chance of about 1e-6.
-SLACK = 0.12
+#: Signatures of a pair at the threshold agree in this share less with a chance below 1e-3 if both sets have SIGNED_WELL
+#: shingles.  Smaller sets fill few bins, so their agreement is uneven: they are always confirmed.
+SLACK, SIGNED_WELL = 0.12, 64
 #: Bytes of text hashed at once by one task; its arrays take about 64 times that.
 CHUNK = 1 << 19
 ODD, A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -163,11 +164,12 @@ def _confirmer(k: int, percent: int):
     return confirm
 
 
-def _resolver(k: int, percent: int, rows: int):
+def _resolver(k: int, percent: int):
     """Links between members of one bucket (or pair of its blocks) that lie in different components.
 
-    Pairs whose signatures agree too seldom, or that share an earlier band, are passed over; the others are confirmed on
-    full sets, the most alike first, until their components have met.  So the output grows with the members.
+    Pairs of sizes that can't reach the threshold, pairs of large sets whose signatures agree too seldom, and pairs that
+    share an earlier band are passed over; the others are confirmed on full sets, the most alike first, until their
+    components have met.  So the output grows with the members.
     """
     least = (percent / 100 - SLACK) * BINS
 
@@ -175,7 +177,7 @@ def _resolver(k: int, percent: int, rows: int):
         import pandas as pd
 
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), BINS)
-        bands = sketch.reshape(len(pdf), -1, rows)
+        bands, size = np.stack(pdf["bands"].to_numpy()), pdf["n_shingles"].to_numpy()
         ids, side, band = pdf["id"].to_numpy(), pdf["side"].to_numpy(), int(pdf["band"].iloc[0])
         comp, texts = pdf["comp"].to_numpy().copy(), pdf["text"].tolist()
         sets: dict = {}
@@ -194,9 +196,11 @@ def _resolver(k: int, percent: int, rows: int):
             if not len(other):
                 continue
             alike = (sketch[other] == sketch[i]).sum(1)
-            other, alike = other[alike >= least], alike[alike >= least]
+            small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+            may = (100 * small >= percent * large) & ((alike >= least) | (small < SIGNED_WELL))
+            other, alike = other[may], alike[may]
             if len(other) and band:
-                fresh = ~(bands[other, :band] == bands[i, :band]).all(2).any(1)
+                fresh = ~(bands[other, :band] == bands[i, :band]).any(1)
                 other, alike = other[fresh], alike[fresh]
             for j in other[np.argsort(-alike, kind="stable")]:
                 if comp[i] == comp[j]:
@@ -227,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linkable = signed.where("n_shingles > 0 and id is not null")
     classes = linkable.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"))
     reps = written(linkable.join(classes.select(F.col("rep").alias("id"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2")), "id")
-                   .where("fp1 = c1 and fp2 = c2").select("id", "bands", "sketch").dropDuplicates(["id"]), "minhash-reps")
+                   .where("fp1 = c1 and fp2 = c2").select("id", "n_shingles", "bands", "sketch").dropDuplicates(["id"]), "minhash-reps")
 
     every = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
@@ -244,8 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "bucket", "band", "id", F.coalesce("comp", "id").alias("comp"))
     placed = written(placed, "minhash-placed")
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "n")
-    dealt = in_blocks(placed, ["bucket"], "id", mixed).join(reps.select("id", "sketch").join(texts, "id"), "id")
-    rest = written(dealt.groupBy("bucket", "block_a", "block_b").applyInPandas(_resolver(words, percent, rows), "a long, b long"), "minhash-rest")
+    dealt = in_blocks(placed, ["bucket"], "id", mixed).join(reps.join(texts, "id"), "id")
+    rest = written(dealt.groupBy("bucket", "block_a", "block_b").applyInPandas(_resolver(words, percent), "a long, b long"), "minhash-rest")
     final = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(rest))
 
     classed = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("comp"))

@@ -72,6 +72,18 @@ def test_near_duplicates_of_edited_copies(spark, k, threshold):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """A text and its copy without the last word; the smallest member of their buckets is a neighbour that links with neither."""
+    texts = []
+    for i in range(600):
+        w = [f"w{i}x{j}" for j in range(9)]
+        texts += [(3 * i, " ".join([*w[:7], "other"])), (3 * i + 1, " ".join(w)), (3 * i + 2, " ".join(w[:8]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want, _ = brute([t for t in texts if t[0] < 30], 5, 80)
+    assert all(want[3 * i + 2] == 3 * i + 1 for i in range(10))
+    assert [i for i in range(600) if got[3 * i + 2] != 3 * i + 1 or got[3 * i] != 3 * i] == []
+
+
 def test_near_duplicates_of_given_documents(spark, sf):
     docs = table(spark, sf, "documents")
     texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
