@@ -16,7 +16,9 @@ from assayer.session import written
 _MALE = "Mr|Herrn?|Monsieur|Señor|Господин|Signor"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Госпожа|Signora|Signorina"
 _TITLE = f"(?:(?:{_MALE}|{_FEMALE}|Sra?|Dr|Prof)\\.?)"
-_NAME = "\\p{Lu}[\\p{L}'’\\-]+"
+#: A genitive 's is no part of a name.
+_INNER = "(?:['’\\-](?!s(?!\\p{L}))\\p{L}++)"
+_NAME = f"\\p{{Lu}}(?:\\p{{L}}++{_INNER}*+|{_INNER}++)"
 #: Names of secrets, in any case and behind any prefix (db_password, accessToken); the prefix stays.
 _KEY = "(?i:password|passwd|pwd|token|secret|api_?key)"
 #: A value that repeats one sign, such as ********, hides its secret already.
@@ -36,11 +38,13 @@ PATTERNS = (
               "|\\(\\d{3}\\) ?\\d{3}[ .\\-]\\d{4}|\\d{3}[ .\\-]\\d{3}[ .\\-]\\d{4})(?!\\p{N})"),
     ("ssn", "(?<![\\p{L}\\p{N}\\-])\\d{3}-\\d{2}-\\d{4}(?![\\p{L}\\p{N}\\-])"),
     ("ip", "(?<![\\p{L}\\p{N}.])(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)(?![\\p{L}\\p{N}]|\\.\\d)"),
-    ("person", f"(?<!\\p{{L}}){_TITLE} {_NAME}(?: {_NAME}){{0,2}}"),
+    ("person", f"(?<!\\p{{L}}){_TITLE} {_NAME}(?: (?!{_TITLE} ){_NAME})*+"),
 )
 ANY = "|".join(p for _, p in PATTERNS)
 #: What every entity holds; texts without it are not searched.
 HINT = f"[@0-9]|(?i:pass|pwd|token|secret|key)|AKIA|gh[pousr]_|sk-|{_TITLE} \\p{{Lu}}"
+#: A word that is a name if the text has a person of that name.
+BARE = f"(?<![\\p{{L}}]){_NAME}"
 PARTS = "array<struct<kind:string,canon:string>>"
 
 
@@ -62,7 +66,7 @@ def _plain(entity: Column) -> Column:
 
 def parts_of(kind: Column, entity: Column) -> Column:
     """Canonical parts that get a surrogate: one for most types; a person's given names and last name are parts of their
-    own, with the gender of the title, so that a later mention by last name alone is replaced alike."""
+    own, with the gender of the title, so that a mention by last name alone is replaced alike."""
     one = lambda k, c: F.array(F.struct(k.alias("kind"), c.alias("canon")))
     words = F.split(entity, " ")
     gender = F.when(words[0].rlike(f"^(?:{_MALE}|Sr)\\.?$"), "m").when(words[0].rlike(f"^(?:{_FEMALE}|Sra)\\.?$"), "f").otherwise("n")
@@ -201,9 +205,28 @@ def _rebuilt(kind: Column, entity: Column, parts: Column, fakes: Column) -> Colu
             .otherwise(_filled(entity, first)))
 
 
+def _respelled(piece: Column, names: Column) -> Column:
+    """A piece of text between entities with its words that are names of the text's own persons replaced."""
+    def fake(word: Column) -> Column:
+        new = F.element_at(names, F.lower(word))
+        return F.coalesce(F.when(word == F.upper(word), F.upper(new)).otherwise(F.initcap(new)), word)
+
+    gaps = F.split(piece, BARE, -1)
+    words = F.regexp_extract_all(piece, F.lit(BARE), F.lit(0))
+    new = F.concat(F.array_join(F.transform(words, lambda w, i: F.concat(F.get(gaps, i), fake(w))), ""), F.element_at(gaps, -1))
+    return F.when(names.isNull(), piece).otherwise(new)
+
+
+def _bare(pieces: Column, names: Column) -> Column:
+    """Number of words in these pieces that are replaced as names of the text's own persons."""
+    own = lambda p: F.size(F.filter(F.regexp_extract_all(p, F.lit(BARE), F.lit(0)), lambda w: F.map_contains_key(names, F.lower(w))))
+    return F.when(names.isNull(), 0).otherwise(F.aggregate(pieces, F.lit(0), lambda n, p: n + own(p)))
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with text_col's entities replaced, and n_entities, how many were.
 
+    Names of a person found in a text are replaced wherever they stand in that text, with or without the title.
     Equal entities get equal surrogates in all documents, different ones different.  Null and empty texts, and texts
     without entities, stay as they are, with n_entities 0.  Rows are neither dropped nor joined by an id, so ids may be
     null or repeat; other columns are carried through, a column n_entities is replaced.
@@ -225,9 +248,14 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     looked = looked.join(fakes, ["kind", "canon"]).groupBy("entity").agg(F.map_from_entries(F.collect_set(F.struct(_name_of(F.col("part")), "fake"))).alias("fakes"))
     rebuilt = spelled.join(looked, "entity").select("entity", _rebuilt(F.col("kind"), F.col("entity"), F.col("parts"), F.col("fakes")).alias("fake"))
     per_text = texts.select("_key", "entity").join(rebuilt, "entity").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "fake"))).alias("_fakes"))
+    # a bare word that is both a given name and a surname of the text's persons counts as the given name
+    people = mentioned.where("kind = 'person'").select("_key", F.col("part.kind").alias("kind"), F.col("part.canon").alias("canon")).distinct()
+    people = people.join(fakes, ["kind", "canon"]).groupBy("_key", "canon").agg(F.min_by("fake", "kind").alias("fake"))
+    people = people.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("canon", "fake"))).alias("_names"))
     between = F.split(F.col(text_col), ANY, -1)
-    whole = F.concat(F.array_join(F.transform("_found", lambda e, i: F.concat(F.get(between, i), F.element_at("_fakes", e))), ""),
-                     F.element_at(between, -1))
-    changed = hits.join(per_text, "_key").select(
-        *[whole.alias(c) if c == text_col else F.col(c) for c in names], F.size("_found").cast("long").alias("n_entities"))
+    own = F.col("_names")
+    whole = F.concat(F.array_join(F.transform("_found", lambda e, i: F.concat(_respelled(F.get(between, i), own), F.element_at("_fakes", e))), ""),
+                     _respelled(F.element_at(between, -1), own))
+    changed = hits.join(per_text.join(people, "_key", "left"), "_key").select(
+        *[whole.alias(c) if c == text_col else F.col(c) for c in names], (F.size("_found") + _bare(between, own)).cast("long").alias("n_entities"))
     return clean.unionAll(changed)

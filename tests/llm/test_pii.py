@@ -100,6 +100,19 @@ def test_values_without_anything_to_draw(spark):
     assert re.fullmatch(r"password=[0-9]{6}", out[3].text) and re.fullmatch(r"secret = '[a-z]+<>-<>-'", out[5].text)
 
 
+def test_bare_mentions_of_found_persons(spark):
+    texts = ["Smith called. Mr. John Smith came. Smith left, John's dog and SMITH's cat stayed; Smithers too. Mr. Smith’s car, me@x.org and Smith.",
+             "Frau Anna Maria Luise Größe kam. Luise Größe ging, Maria blieb, Anna-Lena nicht. Господин Петров ушёл. Петров!",
+             "Smith alone, me@x.org."]
+    _, rows = run(spark, list(enumerate(texts)))
+    out = {r.doc_id: r for r in rows}
+    m = re.fullmatch(r"(\w+rn) called\. Mr\. (\w+ro) (\w+rn) came\. (\w+rn) left, (\w+ro)'s dog and ([A-Z]+RN)'s cat stayed; Smithers too\. Mr\. (\w+rn)’s car, \S+ and (\w+rn)\.", out[0].text)
+    assert m and m[2] == m[5] and {m[1], m[3], m[4], m[6].capitalize(), m[7], m[8]} == {m[1]} and out[0].n_entities == 8
+    m = re.fullmatch(r"Frau (\w+na) (\w+na) (\w+na) (\w+rn) kam\. (\w+na) (\w+rn) ging, (\w+na) blieb, Anna-Lena nicht\. Господин (\w+рн) ушёл\. (\w+рн)!", out[1].text)
+    assert m and (m[5], m[6], m[7], m[9]) == (m[3], m[4], m[2], m[8]) and out[1].n_entities == 6
+    assert out[2].text.startswith("Smith alone, ") and out[2].n_entities == 1
+
+
 def test_secrets_of_given_documents(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").where(F.col("text").rlike("(?i)(password|passwd|pwd|token|secret|api_?key)\\s{0,3}[=:]"))
     rows = pii.pseudonymised(docs, "k").withColumnRenamed("text", "new").join(docs, "doc_id").collect()
