@@ -9,6 +9,7 @@ is rejected.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMS = 4096
 CENTROIDS = 4
-#: Bound of the labelled sample that the centroids are fitted on, per language.
-PER_LANGUAGE = 500
-LANGUAGES = 200
+#: Bounds of the labelled sample that the centroids are fitted on: texts of a language, and languages, the most frequent.
+PER_LANGUAGE, LANGUAGES = 500, 200
 #: A text is rejected below this share of the lowest training cosine at its length.
 REJECT = 0.5
 CHUNK = 1 << 20
@@ -98,8 +98,18 @@ def fit(counts: np.ndarray, langs: list[str], k: int = CENTROIDS, reject: float
     owner = [l for l, c in parts.items() for _ in c]
     near = (x @ centroids.T).max(1)
     size = np.log2(np.maximum(counts.sum(1), 1)).astype(int)
-    floors = np.array([reject * near[size == s].min() if (size == s).sum() >= 5 else 0.0 for s in range(40)])
-    return Model(idf, centroids, owner, floors)
+    return Model(idf, centroids, owner, floors_of(near, size, reject))
+
+
+def floors_of(near: np.ndarray, size: np.ndarray, reject: float) -> np.ndarray:
+    """Least cosine by the size class of a text: a share of the lowest training cosine in it.  A class of fewer than five
+    texts borrows from the nearest filled one; below that, a cosine shrinks as the root of the number of grams."""
+    filled = [s for s in range(40) if (size == s).sum() >= 5]
+    if not filled:
+        return np.zeros(40)
+    own = {s: reject * near[size == s].min() for s in filled}
+    nearest = [min(filled, key=lambda f: (abs(f - s), f)) for s in range(40)]
+    return np.array([own[f] * 0.5 ** (max(0, f - s) / 2) for s, f in enumerate(nearest)])
 
 
 def held_out(id_col: str) -> Column:
@@ -111,11 +121,13 @@ def lettered(text: Column) -> Column:
     return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Centroids from a bounded sample: about per_language rows of each language, chosen by a hash of the id."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+          languages: int = LANGUAGES) -> Model:
+    """Centroids from a bounded sample: about per_language rows of each language, chosen by a hash of the id, for the
+    `languages` most frequent languages; texts of any further language take the nearest of these, or are rejected."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & lettered(F.col(text_col)))
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return fit(np.zeros((0, DIMS)), [])
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
@@ -140,26 +152,34 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     return fit(x, list(got["lang"]))
 
 
+def language_of(text: Column, model: Model) -> Column:
+    """(lang_pred, lang_score, lang_kept) of a text: language, cosine (0 to 1), and false if it is rejected."""
+    @F.arrow_udf("struct<lang_pred: string, lang_score: double, lang_kept: boolean>")
+    def judge(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, letters in parts:
+            langs, scores, kept = [], [], []
+            real = np.array(letters.to_pylist(), bool)
+            for lo in range(0, len(texts), 512):
+                lang, score, keep = model.predict([t or "" for t in texts.slice(lo, 512).to_pylist()])
+                langs += lang
+                scores.append(score)
+                kept.append(keep)
+            score, keep = (np.concatenate(x) if x else np.zeros(0) for x in (scores, kept))
+            yield pa.StructArray.from_arrays([pa.array([l if r else UNKNOWN for l, r in zip(langs, real)], pa.string()), pa.array(np.where(real, score, 0.0), pa.float64()),
+                                              pa.array(keep.astype(bool) & real, pa.bool_())], ["lang_pred", "lang_score", "lang_kept"])
+
+    text = text.cast("string")
+    return judge(text, lettered(text))
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and lang_pred, lang_score (cosine, 0 to 1), lang_kept (false: rejected).
+    """All columns of docs and lang_pred, lang_score, lang_kept (language_of); columns of these names are replaced.
 
     A text that is null, empty or has no letter is `und`, with score 0, and rejected.  With nothing to learn from, all
-    texts are.  Ties between centroids go to the language that sorts first.  Each row is judged by its text alone.
+    texts are.  Texts of any length are judged whole, each by itself, so repeated rows get the same result.  Ties between
+    centroids go to the language that sorts first.
     """
     added = ("lang_pred", "lang_score", "lang_kept")
-    clash = [c for c in docs.columns if c.lower() in added]
-    if clash:
-        docs = docs.drop(*clash)
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts, real = part.column("_text").to_pylist(), np.array(part.column("_real").to_pylist(), bool)
-                lang, score, kept = model.predict([t or "" for t in texts])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array([l if r else UNKNOWN for l, r in zip(lang, real)]),
-                                                  pa.array(np.where(real, score, 0.0)), pa.array(kept & real)], names=[*part.schema.names[:-2], *added])
-
-    source = docs.withColumn("_text", F.col(text_col).cast("string")).withColumn("_real", lettered(F.col(text_col)))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, lang_score double, lang_kept boolean")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
+    made = docs.select(row.alias("row"), language_of(F.col(f"`{text_col}`"), model).alias("made"))
+    return made.select("row.*", *[f"made.{c}" for c in added])

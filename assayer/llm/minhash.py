@@ -117,7 +117,7 @@ def band_rows(threshold: float, miss: float = 1e-3) -> int:
     return max(r for r in (1, 2, 3, 4, 6, 8, 12, 16) if r == 1 or (1 - threshold ** r) ** (BINS // r) <= miss)
 
 
-SIGNED = "id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
+SIGNED = "id long, content long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
 
 def _signer(k: int, rows: int):
@@ -126,7 +126,7 @@ def _signer(k: int, rows: int):
 
     def sign(batches):
         for batch in batches:
-            ids, texts = batch.column(0), [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             sizes, fps, bands, sketches = [], [], [], []
             for s in shingle_sets(texts, k):
                 sizes.append(len(s))
@@ -140,9 +140,9 @@ def _signer(k: int, rows: int):
                     bands.append(np.zeros(0, np.int64))
                     sketches.append(b"")
             yield pa.RecordBatch.from_arrays([
-                ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array([int(f[0]) for f in fps], pa.int64()),
+                batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([int(f[0]) for f in fps], pa.int64()),
                 pa.array([int(f[1]) for f in fps], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["id", "n_shingles", "fp1", "fp2", "bands", "sketch"])
+                names=["id", "content", "n_shingles", "fp1", "fp2", "bands", "sketch"])
 
     return sign
 
@@ -216,29 +216,33 @@ def _resolver(k: int, percent: int):
     return resolve
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row per row of docs: (id_col, n_shingles, component_id, kept).
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, content, text): content is a hash of the text, which tells rows of one id apart."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
 
-    Two texts are linked if the Jaccard similarity of their sets of `words`-word shingles is at least `threshold` (to a
-    hundredth).  component_id is the smallest id reachable, kept says whether the id is that.  Null or empty text: no
-    shingles, no links, kept.  Null id: component null, kept.  Repeated ids: each row gets the same result, of its
-    text's class.  Only id_col and text_col are read, so further columns never clash.  Empty input: empty result.
+
+def classified(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
+    """(id, content, n_shingles, first) for each row of docs; first is the smallest (id, content) of the row's component,
+    null for rows that take no part (no shingle, or no id).
+
+    Rows of equal shingle sets are one class.  A class is a node of its own number, so an id may repeat with other texts.
     """
-    spark = docs.sparkSession
     percent, rows = round(threshold * 100), band_rows(threshold)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = _source(docs, id_col, text_col)
     signed = written(source.mapInArrow(_signer(words, rows), SIGNED), "minhash-signed")
     linkable = signed.where("n_shingles > 0 and id is not null")
-    classes = linkable.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"))
-    reps = written(linkable.join(classes.select(F.col("rep").alias("id"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2")), "id")
-                   .where("fp1 = c1 and fp2 = c2").select("id", "n_shingles", "bands", "sketch").dropDuplicates(["id"]), "minhash-reps")
+    classes = linkable.groupBy("fp1", "fp2").agg(F.min(F.struct("id", "content")).alias("first")).select("first", F.col("fp1").alias("c1"), F.col("fp2").alias("c2"))
+    classes = classes.select("first.id", "first.content", "c1", "c2")
+    reps = linkable.join(classes, ["id", "content"]).where("fp1 = c1 and fp2 = c2").dropDuplicates(["fp1", "fp2"])
+    reps = written(reps.select(F.struct("id", "content").alias("first"), "fp1", "fp2", "n_shingles", "bands", "sketch").withColumn("id", F.monotonically_increasing_id()), "minhash-reps")
 
     every = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
     members = written(every.join(shared, "bucket").select("bucket", "band", "id", "center"), "minhash-members")
     stars = written(members.where("id <> center").groupBy("id").agg(F.min("center").alias("a")).select("a", F.col("id").alias("b")), "minhash-stars")
-    wanted = members.select("id").distinct()
-    texts = written(source.join(small_or_shuffled(wanted, wanted.count()), "id").dropDuplicates(["id"]), "minhash-texts")
+    wanted = written(members.select("id").distinct().join(reps.select("id", "first"), "id").select(F.col("id").alias("node"), "first.id", "first.content"), "minhash-wanted")
+    texts = written(source.join(small_or_shuffled(wanted, wanted.count()), ["id", "content"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"]), "minhash-texts")
 
     a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     links = written(stars.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
@@ -248,11 +252,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "bucket", "band", "id", F.coalesce("comp", "id").alias("comp"))
     placed = written(placed, "minhash-placed")
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "n")
-    dealt = in_blocks(placed, ["bucket"], "id", mixed).join(reps.join(texts, "id"), "id")
+    dealt = in_blocks(placed, ["bucket"], "id", mixed).join(reps.select("id", "n_shingles", "bands", "sketch").join(texts, "id"), "id")
     rest = written(dealt.groupBy("bucket", "block_a", "block_b").applyInPandas(_resolver(words, percent), "a long, b long"), "minhash-rest")
     final = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(rest))
 
-    classed = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("comp"))
-    result = signed.select("id", "n_shingles", F.when(F.expr("n_shingles > 0 and id is not null"), F.col("fp1")).alias("fp1"), "fp2").join(classed, ["fp1", "fp2"], "left")
-    component = F.coalesce("comp", "id")
-    return result.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    joined = written(final.join(reps.select(F.col("id").alias("node"), "first"), "node"), "minhash-joined")  # nodes with links only
+    least = joined.groupBy("comp").agg(F.min("first").alias("least"))
+    firsts = reps.select("id", "fp1", "fp2", "first").join(joined.join(least, "comp").select(F.col("node").alias("id"), "least"), "id", "left")
+    firsts = firsts.select("fp1", "fp2", F.coalesce("least", "first").alias("first"))
+    result = signed.select("id", "content", "n_shingles", F.when(F.expr("n_shingles > 0 and id is not null"), F.col("fp1")).alias("fp1"), "fp2").join(firsts, ["fp1", "fp2"], "left")
+    return result.select("id", "content", "n_shingles", "first")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row per row of docs: (id_col, n_shingles, component_id, kept).
+
+    Two texts are linked if the Jaccard similarity of their sets of `words`-word shingles is at least `threshold` (to a
+    hundredth).  component_id is the smallest id reachable, kept says whether the id is that.  Null or empty text: no
+    shingles, no links, kept.  Null id: component null, kept.  Repeated ids: each row gets the result of its own text, so
+    rows of one id with other texts are not linked by their id.  Only id_col and text_col are read, so further columns
+    never clash.  Texts of any length are taken whole.  Empty input: empty result.
+    """
+    rows = classified(docs, id_col, text_col, words, threshold)
+    component = F.coalesce("first.id", "id")
+    return rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs of which one of each group of near duplicates stays: the one of smallest id.
+
+    A row goes only because of its own text: rows that share an id but not a text are judged apart.  Of rows of equal id and
+    text one stays.  Rows of null id or, under different ids, without text stay all.  Columns of any name are carried through.
+    """
+    rows = classified(docs, id_col, text_col, words, threshold)
+    gone = written(rows.where("first is not null and first <> struct(id, content)").select("id", "content").distinct(), "dedup-gone")
+    whole = ["id", "content"]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias(whole[0]),
+                        F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias(whole[1]))
+    repeated = written(rows.where("id is not null").groupBy("id", "content").count().where("count > 1").select("id", "content"), "dedup-repeated")
+    left = keyed.join(small_or_shuffled(gone, gone.count()), whole, "left_anti")
+    repeated = small_or_shuffled(repeated, repeated.count())
+    once = left.join(repeated, whole, "left_anti").unionByName(left.join(repeated, whole, "left_semi").dropDuplicates(whole))
+    return once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

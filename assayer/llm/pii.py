@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assayer.operators.joins import once
 from assayer.session import written
 
 _MALE = "Mr|Herrn?|Monsieur|Señor|Господин|Signor"
@@ -228,34 +229,39 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
 
     Names of a person found in a text are replaced wherever they stand in that text, with or without the title.
     Equal entities get equal surrogates in all documents, different ones different.  Null and empty texts, and texts
-    without entities, stay as they are, with n_entities 0.  Rows are neither dropped nor joined by an id, so ids may be
-    null or repeat; other columns are carried through, a column n_entities is replaced.
-    """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "n_entities"])
-    names = docs.columns
-    hits = docs.withColumn("_found", found(F.col(text_col)))
-    clean = hits.where(F.size("_found") == 0).select(*names, F.lit(0).cast("long").alias("n_entities"))
-    hits = hits.where(F.size("_found") > 0).withColumn("_key", F.sha2(F.col(text_col).cast("binary"), 256))
+    without entities, stay as they are, with n_entities 0; texts of any length are searched whole.  Where patterns tie at a
+    place, the first of PATTERNS wins.  Rows are neither dropped nor joined by an id, so ids may be null or repeat; columns
+    of any other name are carried through, a column n_entities is replaced.
 
-    texts = hits.select("_key", F.explode(F.array_distinct("_found")).alias("entity")).distinct()
+    Each text is searched once: the rows and what was found in them are written, and every later step reads that.
+    """
+    names = [c for c in docs.columns if c.lower() != "n_entities"]
+    text = F.col(f"`{text_col}`").cast("string")
+    row = F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]) if len(names) > 1 else F.lit(None).cast("string")
+    hits = once(docs.select(row.alias("row"), text.alias("text")), found=found(F.col("text")))
+    hits = written(hits.withColumn("key", F.when(F.size("found") > 0, F.sha2(F.col("text").cast("binary"), 256))), "pii-rows")
+    back = lambda text, n: [*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names], n.cast("long").alias("n_entities")]
+    clean = hits.where("key is null").select(*back(F.col("text"), F.lit(0)))
+    hits = hits.where("key is not null")
+
+    texts = hits.select("key", F.explode(F.array_distinct("found")).alias("entity")).distinct()
     texts = texts.withColumn("kind", kind_of(F.col("entity"))).withColumn("parts", parts_of(F.col("kind"), F.col("entity")))
     texts = written(texts, "pii-found")
-    mentioned = texts.select("_key", "entity", "kind", "parts", F.explode("parts").alias("part"))
+    mentioned = texts.select("key", "entity", "kind", "parts", F.explode("parts").alias("part"))
     fakes = surrogates(mentioned.select("part.kind", "part.canon"), key)
     # a value's surrogate is the same everywhere, so each distinct entity is rebuilt once, then handed to its texts
     spelled = texts.select("entity", "kind", "parts").distinct()
     looked = spelled.select("entity", F.explode("parts").alias("part")).select("entity", "part", F.col("part.kind").alias("kind"), F.col("part.canon").alias("canon"))
     looked = looked.join(fakes, ["kind", "canon"]).groupBy("entity").agg(F.map_from_entries(F.collect_set(F.struct(_name_of(F.col("part")), "fake"))).alias("fakes"))
     rebuilt = spelled.join(looked, "entity").select("entity", _rebuilt(F.col("kind"), F.col("entity"), F.col("parts"), F.col("fakes")).alias("fake"))
-    per_text = texts.select("_key", "entity").join(rebuilt, "entity").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "fake"))).alias("_fakes"))
+    per_text = texts.select("key", "entity").join(rebuilt, "entity").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "fake"))).alias("fakes"))
     # a bare word that is both a given name and a surname of the text's persons counts as the given name
-    people = mentioned.where("kind = 'person'").select("_key", F.col("part.kind").alias("kind"), F.col("part.canon").alias("canon")).distinct()
-    people = people.join(fakes, ["kind", "canon"]).groupBy("_key", "canon").agg(F.min_by("fake", "kind").alias("fake"))
-    people = people.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("canon", "fake"))).alias("_names"))
-    between = F.split(F.col(text_col), ANY, -1)
-    own = F.col("_names")
-    whole = F.concat(F.array_join(F.transform("_found", lambda e, i: F.concat(_respelled(F.get(between, i), own), F.element_at("_fakes", e))), ""),
+    people = mentioned.where("kind = 'person'").select("key", F.col("part.kind").alias("kind"), F.col("part.canon").alias("canon")).distinct()
+    people = people.join(fakes, ["kind", "canon"]).groupBy("key", "canon").agg(F.min_by("fake", "kind").alias("fake"))
+    people = people.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("canon", "fake"))).alias("people"))
+    between = F.split(F.col("text"), ANY, -1)
+    own = F.col("people")
+    whole = F.concat(F.array_join(F.transform("found", lambda e, i: F.concat(_respelled(F.get(between, i), own), F.element_at("fakes", e))), ""),
                      _respelled(F.element_at(between, -1), own))
-    changed = hits.join(per_text.join(people, "_key", "left"), "_key").select(
-        *[whole.alias(c) if c == text_col else F.col(c) for c in names], (F.size("_found") + _bare(between, own)).cast("long").alias("n_entities"))
-    return clean.unionAll(changed)
+    changed = hits.join(per_text.join(people, "key", "left"), "key").select("row", F.struct(whole.alias("text"), (F.size("found") + _bare(between, own)).alias("n")).alias("new"))
+    return clean.unionAll(changed.select(*back(F.col("new.text"), F.col("new.n"))))

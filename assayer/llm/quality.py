@@ -8,11 +8,12 @@ texts lie below as are labelled bad; scores are logistic in the distance from th
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.llm.langid import held_out
 from assayer.llm.minhash import word_hashes
@@ -131,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col:
     """Model from at most `labelled` labelled rows, those with the smallest hash of the id."""
     known = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("_good"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(labelled)  # a top-k per task, then of those
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(F.broadcast(known), "_id")
 
     def run(batches):
         for batch in batches:
@@ -148,21 +149,22 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col:
     return fit(x[order], good[order])
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs and quality_score (0 to 1, higher is better); a document passes at CUT or above.
+def score_of(text: Column, model: Model) -> Column:
+    """The score of a text (0 to 1, higher is better); a document passes at CUT or above."""
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            out = [model.score(shape([(t or "").encode("utf-8", "surrogatepass") for t in texts.slice(lo, ROWS).to_pylist()])) for lo in range(0, len(texts), ROWS)]
+            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    Null and empty texts are scored as texts without words.  With no labels of both kinds everything passes.  Each row
-    is scored by its text alone, so repeated rows get the same score; ties need no rule.
-    """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "quality_score"])
+    return score(F.coalesce(text.cast("string"), F.lit("")))
 
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
-                score = model.score(shape([(t or "").encode("utf-8", "surrogatepass") for t in part.column("_text").to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64())], names=[*part.schema.names[:-1], "quality_score"])
 
-    source = docs.withColumn("_text", F.col(text_col).cast("string"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return source.mapInArrow(run, f"{kinds}, quality_score double")
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of docs and quality_score (score_of); a column of that name is replaced.
+
+    Null and empty texts are scored as texts without words, texts of any length whole.  With no labels of both kinds
+    everything passes.  Each row is scored by its text alone, so repeated rows get the same score; ties need no rule.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "quality_score"]
+    return docs.select(*kept, score_of(F.col(f"`{text_col}`"), model).alias("quality_score"))
