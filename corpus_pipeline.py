@@ -11,38 +11,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import langid, minhash, packing, pii, quality
 from assayer.llm.queries import SURROGATE_KEY
-from assayer.llm.shared import small_or_shuffled, table
+from assayer.llm.shared import table
 from assayer.session import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text lies near the centroids of a learned language."""
-    return langid.identify(docs, langid.train(docs)).where("lang_kept").select(*docs.columns)
+    return docs.where(langid.language_of(F.col("text"), langid.train(docs))["lang_kept"])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least the cut."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(F.col("quality_score") >= quality.CUT).select(*docs.columns)
+    return docs.where(quality.score_of(F.col("text"), model) >= quality.CUT)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near duplicates (five words, similarity 0.8)."""
-    gone = written(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dedup-gone")
-    left = docs.join(small_or_shuffled(gone, gone.count()), "doc_id", "left_anti")
-    repeated = written(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-repeated")
-    repeated = small_or_shuffled(repeated, repeated.count())
-    once = left.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    return minhash.deduplicated(docs)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced; n_chars follows the text."""
-    changed = pii.pseudonymised(docs, SURROGATE_KEY)
+    """Personal data replaced; n_chars follows a text that changed."""
+    given = docs.withColumnRenamed("n_entities", "n_entities given") if "n_entities" in docs.columns else docs
+    changed = pii.pseudonymised(given, SURROGATE_KEY)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         changed = changed.withColumn("n_chars", F.when(F.col("n_entities") > 0, length).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    return changed.drop("n_entities").withColumnRenamed("n_entities given", "n_entities").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
