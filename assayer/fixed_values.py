@@ -15,6 +15,8 @@ CLIP_MEDIA = ("radio", "television", "tv")
 # --- budgets ----------------------------------------------------------------------
 MAX_LEN = 1024
 HEAD_MAX_LEN = 256
+#: Tokens of the state that two neighbouring windows of a sequence share.
+WINDOW_OVERLAP = 128
 STATE_MAX_CHARS = 4000
 FULL_STATE_MAX_CHARS = 120_000
 FULL_STATE_NOTICE = "\n\n[... article body truncated due to context window limits ...]"

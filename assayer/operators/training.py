@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import fixed_values as V
 from assayer.functions import labels as L
@@ -54,11 +54,19 @@ def supervised_labels(blobs: DataFrame, questions: DataFrame, tags: DataFrame) -
 
 
 def whitespace_tokenizer():
-    """Stand-in tokenizer: a word's id is a hash of it."""
-    from zlib import crc32
+    """Stand-in tokenizer: a word's id comes from its md5, which other engines can compute too."""
+    from hashlib import md5
+
+    known: dict[str, int] = {}
 
     def encode(text):
-        return [crc32(w.encode()) % 50_000 for w in text.split()]
+        if len(known) > 200_000:
+            known.clear()
+        words = text.split()
+        for w in words:
+            if w not in known:
+                known[w] = int(md5(w.encode("utf-8", "replace")).hexdigest()[:7], 16) % 50_000
+        return [known[w] for w in words]
 
     return encode
 
@@ -79,47 +87,99 @@ def labelled_questions(subject_results: Column, base_tags: Column, questions: Co
     return F.filter(F.transform(questions, one), lambda x: x.label.isNotNull())
 
 
-TOKENS = T.ArrayType(T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("markers", T.ArrayType(T.LongType()))]))
+#: Why a question of an article gives no sequence.
+HEAD_TOO_LONG, NO_ROOM = "question and options exceed the head budget", "no room for the state beside the head"
+WINDOWS = """correlation_id string, config_id string, qid string, kind string, qtype int, label int, window int, windows int, state_start long, state_tokens long,
+ head_tokens long, ids array<long>, markers array<long>, reason string"""
+#: Token ids that the tokenizer step gathers before it hands them on.
+FLUSH_IDS = 1 << 20
+
 
+def encode_windows(articles: DataFrame, sets: DataFrame, factory, max_len: int = V.MAX_LEN, head_len: int = V.HEAD_MAX_LEN, overlap: int = V.WINDOW_OVERLAP) -> DataFrame:
+    """Training sequences of whole states: a row per (article, labelled question, window), or one with a reason.
 
-def tokenize_sequences(articles: DataFrame, sets: DataFrame, factory, max_len: int = V.MAX_LEN, head_len: int = V.HEAD_MAX_LEN) -> DataFrame:
-    """Training sequences: token ids of question and state, one marker per option, label and one-hot target.
+    articles(correlation_id, config_id, state, subject_results, base_tags); sets(config_id, questions).  The question's
+    head (instructions, then a marker and the text of each option) stands in front of every window of the state.  Windows
+    hold what max_len leaves beside the head and share `overlap` tokens with the next one (all but one, if there is less
+    room), so every token of a state lies in some window; a state without tokens has one window.  markers are the places
+    of the options in ids, state_start is the window's first token in the state.  A question whose head takes more than
+    head_len tokens, or leaves no room, gives one row with its reason and no ids.
 
-    articles(correlation_id, config_id, state, subject_results, base_tags); sets(config_id, questions).  An article
-    goes to the tokenizer once, with all its labelled questions, so its text is encoded once and never copied per
-    question.  The question head takes at most `head_len` tokens, the state fills what is left of `max_len`; a
-    sequence whose options do not all fit is dropped.
+    An article goes to the tokenizer once with all its questions; windows leave the worker as they are made, so neither a
+    long state nor many questions are held at once.
     """
     j = join_by_size(articles, sets.select("config_id", "questions"), ["config_id"])
     j = once(j, labelled=labelled_questions(F.col("subject_results"), F.col("base_tags"), F.col("questions")))
-
-    @F.arrow_udf(TOKENS)
-    def encode_all(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        encode, reply = factory(), to_arrow_type(TOKENS)
-        for states, asks in batches:
-            rows = []
-            for state, questions in zip(states.to_pylist(), asks.to_pylist()):
-                body, out = encode(state) if questions else [], []
-                for q in questions or []:
-                    head, marks = encode(q["instructions"]), []
-                    for label, text in zip(q["criteria_labels"], q["criteria_texts"]):
-                        piece = [1, *encode(f"{label}: {text}")]
-                        if len(head) + len(piece) <= head_len:
-                            marks.append(len(head))
-                            head += piece
-                    fits = len(marks) == len(q["criteria_labels"])
-                    out.append({"ids": (head + body)[:max_len], "markers": marks} if fits else None)
-                rows.append(out)
-            yield pa.array(rows, reply)
-
-    t = j.select("correlation_id", "config_id", "labelled", encode_all.asNondeterministic()("state", "labelled").alias("tokens"))
-    rows = t.select("correlation_id", "config_id", F.inline_outer(F.arrays_zip("labelled", "tokens")))
-    rows = rows.filter(F.col("tokens").isNotNull())
-    label, kind = F.col("labelled.label"), F.col("labelled.kind")
-    return rows.select("correlation_id", "config_id", F.col("labelled.qid").alias("qid"), kind.alias("kind"), "tokens.ids", "tokens.markers",
-                       F.col("labelled.qtype").alias("qtype"), L.one_hot(label, L.kind_width(kind)).alias("target"), label.alias("label"))
+    j = j.select(F.col("correlation_id").cast("string"), F.col("config_id").cast("string"), "state", "labelled").filter(F.size("labelled") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        encode, heads, rows, held = factory(), {}, [], 0
+
+        def flush() -> pa.RecordBatch:
+            ids = [np.asarray(r[-3] if r[-3] is not None else (), np.int64) for r in rows]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.int32())
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64()), mask=pa.array([r[-3] is None for r in rows], pa.bool_()))
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows))[:11], [pa.string()] * 4 + [pa.int32()] * 4 + [pa.int64()] * 3)]
+            columns += [ids, pa.array([r[-2] for r in rows], pa.list_(pa.int64())), pa.array([r[-1] for r in rows], pa.string())]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in WINDOWS.split(",")])
+
+        def head_of(q) -> tuple[list[int], list[int]]:
+            key = (q["instructions"], *q["criteria_labels"], *q["criteria_texts"])
+            if key not in heads:
+                if len(heads) > 50_000:
+                    heads.clear()
+                head, marks = encode(q["instructions"]), []
+                for label, text in zip(q["criteria_labels"], q["criteria_texts"]):
+                    marks.append(len(head))
+                    head = [*head, 1, *encode(f"{label}: {text}")]
+                heads[key] = head, marks
+            return heads[key]
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                article, config, state, asked = (batch.column(c)[i].as_py() for c in range(4))
+                body = encode(state or "")
+                for q in asked:
+                    head, marks = head_of(q)
+                    room = max_len - len(head)
+                    reason = HEAD_TOO_LONG if len(head) > head_len else NO_ROOM if room < 1 else None
+                    key = (article, config, q["qid"], q["kind"], q["qtype"], q["label"])
+                    if reason:
+                        rows.append((*key, None, 0, None, len(body), len(head), None, None, reason))
+                        continue
+                    step = max(1, room - overlap)
+                    n = 1 + max(0, -(-(len(body) - room) // step))
+                    for w in range(n):
+                        at = w * step
+                        ids = head + body[at:at + room]
+                        rows.append((*key, w, n, at, len(body), len(head), ids, marks, None))
+                        held += len(ids)
+                        if held > FLUSH_IDS:
+                            yield flush()
+                            held = 0
+            if rows:
+                yield flush()
+                held = 0
+
+    return j.mapInArrow(run, WINDOWS)
+
+
+def sequences(windows: DataFrame) -> DataFrame:
+    """The windows that became sequences, with their one-hot targets."""
+    rows = windows.filter(F.col("reason").isNull()).drop("reason")
+    return rows.withColumn("target", L.one_hot(F.col("label"), L.kind_width(F.col("kind"))))
+
+
+def quarantined(windows: DataFrame) -> DataFrame:
+    """Questions of an article that gave no sequence, with the reason."""
+    return windows.filter(F.col("reason").isNotNull()).select("correlation_id", "config_id", "qid", "kind", "label", "head_tokens", "state_tokens", "reason")
+
+
+def tokenize_sequences(articles: DataFrame, sets: DataFrame, factory, max_len: int = V.MAX_LEN, head_len: int = V.HEAD_MAX_LEN, overlap: int = V.WINDOW_OVERLAP) -> DataFrame:
+    return sequences(encode_windows(articles, sets, factory, max_len, head_len, overlap))
 
 
 def label_distribution(seqs: DataFrame, keys=("kind", "label")) -> DataFrame:

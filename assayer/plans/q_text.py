@@ -312,3 +312,13 @@ def _(d):
 def _(d):
     r = Q.request_table(d.articles, Q.question_sets(article_questions(d)))
     return r.select("correlation_id", "config_id", F.md5("state").alias("state_md5"), "question_count", F.array_join(F.transform("questions", lambda x: x.qid), ",").alias("qids"))
+
+
+# the same questions in SQL, over the article side
+ASKED = {
+    "asked_subjects": """select config_id, subject_id as pos, subject_id, name, '' as entity_definition, 'Stories on ' || name as validation_prompt, '' as prominence_prompt, '' as sentiment_prompt
+ from config_subjects""",
+    "asked_tags": """select config_id, subject_id as pos, subject_id, case tag_id when 'toxic' then 0 else 1 end as tag_pos, tag_id, tag_name, evaluation_type, 'Judge the text.' as prompt_text from config_tags""",
+    "asked": questions_sql(False).replace("policy_subjects", "asked_subjects").replace("policy_tags", "asked_tags").replace(
+        "on s.subject_id = t.subject_id", "on s.config_id = t.config_id and s.subject_id = t.subject_id"),
+}

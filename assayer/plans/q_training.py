@@ -6,9 +6,9 @@ from assayer import fixed_values as V
 from assayer.operators import evaluate as E, runs as R, sampling as S, training as T
 from assayer.plans import q_sources
 from assayer.plans.q_flow import PERF, RECORD, perf
-from assayer.plans.q_text import article_questions
+from assayer.plans.q_text import ASKED, STATES, article_questions
 from assayer.plans.registry import query
-from assayer.plans.views_sql import bucket, q
+from assayer.plans.views_sql import WS, bucket, q
 from assayer.session import work_path
 from assayer.sources import blobs as B, tables
 from assayer.functions import labels as L, text as X
@@ -62,15 +62,62 @@ def _(d):
     return T.label_join(rows, article_questions(d)).select("correlation_id", "config_id", "qid", "kind")
 
 
-@query("tokenize_sequences", sql="""select correlation_id, config_id, qid, kind, label, case kind when 'prominence' then 3 when 'sentiment' then 4 else 2 end as n_markers,
- case when kind in ('validation','tag') then 2 else 0 end as qtype, true as fits from seqs join kept using (correlation_id)""", extra={**SEQS, **q_sources.EXTRA})
-def _(d):
-    """The gold rows straight from archived records; token ids are hashes of the stand-in tokenizer."""
+def tokens_sql(c: str) -> str:
+    """Ids of the stand-in tokenizer."""
+    return f"list_transform(list_filter(regexp_split_to_array({c}, '{WS}+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 7))::bigint % 50000)"
+
+
+def windows_sql(head_len: int) -> dict:
+    """Every window, or the reason for none, from whole states and whole question texts."""
+    return {
+        **SEQS, **q_sources.EXTRA, **STATES, **ASKED,
+        "heads": f"""select config_id, qid, qtype, {tokens_sql('instructions')} as ins, list_transform(range(1, len(labels) + 1), lambda i: list_prepend(1::bigint, {tokens_sql("labels[i] || ': ' || texts[i]")})) as opts from asked""",
+        "headed": """select config_id, qid, case qtype when 'choice' then 0 when 'score' then 1 else 2 end as qtype, ins || flatten(opts) as head,
+ list_transform(range(1, len(opts) + 1), lambda i: len(ins) + coalesce(list_sum(list_transform(opts[1:i - 1], lambda o: len(o))), 0)::bigint) as markers from heads""",
+        "bodies": f"select correlation_id, config_id, {tokens_sql('state')} as body from states join kept using (correlation_id, config_id)",
+        "encoded": f"""select s.correlation_id, b.config_id, s.qid, s.kind, s.label, h.qtype, h.head, h.markers, b.body, {V.MAX_LEN} - len(h.head) as room, greatest(1, {V.MAX_LEN} - len(h.head) - {V.WINDOW_OVERLAP}) as step,
+ case when len(h.head) > {head_len} then {q(T.HEAD_TOO_LONG)} when len(h.head) >= {V.MAX_LEN} then {q(T.NO_ROOM)} end as reason from seqs s join bodies b using (correlation_id) join headed h on h.config_id = b.config_id and h.qid = s.qid""",
+        "windowed": """select *, w * step as state_start, head || body[w * step + 1 : w * step + room] as ids from (select *, unnest(range(0, n)) as w from (
+ select *, 1 + greatest(0, ceil((len(body) - room) / step::double))::bigint as n from encoded where reason is null))""",
+    }
+
+
+SHORT_HEAD = 40
+
+
+def windows(d, head_len: int = V.HEAD_MAX_LEN):
     from assayer.plans.q_flow import archived, sets
     a = archived(d).withColumn("state", X.distilled_state(F.col("headline"), F.col("body")))
-    t = T.tokenize_sequences(a.select("correlation_id", "config_id", "state", "subject_results", "base_tags"), sets(d), T.whitespace_tokenizer)
-    return t.select("correlation_id", "config_id", "qid", "kind", "label", F.size("markers").alias("n_markers"), "qtype",
-                    F.size("ids").between(1, V.MAX_LEN).alias("fits"))
+    return T.encode_windows(a.select("correlation_id", "config_id", "state", "subject_results", "base_tags"), sets(d), T.whitespace_tokenizer, head_len=head_len)
+
+
+SHOWN = """select correlation_id, config_id, qid, kind, label, qtype, w::int as "window", state_start, len(ids) as n_ids, md5(array_to_string(ids, ',')) as ids_md5, array_to_string(markers, ',') as markers from windowed"""
+
+
+def shown(seqs):
+    return seqs.select("correlation_id", "config_id", "qid", "kind", "label", "qtype", "window", "state_start", F.size("ids").cast("bigint").alias("n_ids"),
+                       F.md5(F.array_join("ids", ",")).alias("ids_md5"), F.array_join("markers", ",").alias("markers"))
+
+
+@query("tokenize_sequences", sql=SHOWN, extra=windows_sql(V.HEAD_MAX_LEN))
+def _(d):
+    """The gold rows straight from archived records: ids, option places and window of every sequence, whole states."""
+    return shown(T.sequences(windows(d)))
+
+
+@query("sequence_windows", sql="""select correlation_id, qid, len(body)::bigint as state_tokens, count(*) as windows, min(state_start) as first_token, max(state_start + len(ids) - len(head))::bigint as end_token,
+ sum(len(ids) - len(head))::bigint as window_tokens from windowed group by correlation_id, qid, body, head""", extra=windows_sql(V.HEAD_MAX_LEN))
+def _(d):
+    """How the windows of each sequence cover its state, from its first to its last token."""
+    held = F.size("ids") - F.col("head_tokens")
+    return T.sequences(windows(d)).groupBy("correlation_id", "qid", "state_tokens").agg(
+        F.count("*").alias("windows"), F.min("state_start").alias("first_token"), F.max(F.col("state_start") + held).alias("end_token"), F.sum(held).alias("window_tokens"))
+
+
+@query("sequence_quarantine", sql="select correlation_id, config_id, qid, kind, label, len(head)::bigint as head_tokens, len(body)::bigint as state_tokens, reason from encoded where reason is not null", extra=windows_sql(SHORT_HEAD))
+def _(d):
+    """With a small head budget some questions are refused; each refusal is a row with its reason."""
+    return T.quarantined(windows(d, SHORT_HEAD))
 
 
 @query("label_distribution", sql="select kind, label, count(*) as n from seqs group by kind, label", extra=SEQS)
