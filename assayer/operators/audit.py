@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from assayer import fixed_values as V
 from assayer.functions.text import first_filled
+from assayer.operators.ranking import numbered
 
 KEY = ["config_id", "correlation_id"]
 
@@ -50,8 +51,8 @@ def selection_counts(selected: DataFrame, config_ids: DataFrame, n: int = V.BATC
 
 
 def round_robin(selected: DataFrame) -> DataFrame:
-    """First article of each config, then the second of each: the order is a sortable key, no global sort runs here."""
-    return selected.withColumn("work_key", F.struct("rank_in_config", "config_pos"))
+    """The ordered work list: the first article of each config in turn, then the second of each; `position` counts from 1."""
+    return numbered(selected, [F.col("rank_in_config"), F.col("config_pos")])
 
 
 def ordered_distinct(df: DataFrame, value: str, pos: str) -> DataFrame:

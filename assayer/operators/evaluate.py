@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer import fixed_values as V
 from assayer.functions import labels as L
+from assayer.session import written
 
 
 def with_prediction(preds: DataFrame) -> DataFrame:
@@ -35,35 +36,56 @@ def qtype_of(kind):
     return F.when(kind.isin("validation", "tag"), "noul").otherwise("choice")
 
 
-def _best_on_grid(preds: DataFrame, low, steps: int, width: float) -> DataFrame:
-    """Best log-temperature per question type on `steps` + 1 points from `low` on.
+def _slopes(preds: DataFrame, betas: dict[str, tuple[float, ...]]) -> dict[str, tuple]:
+    """{type: (rows, [(mean slope, mean curvature) at each beta])} of the loss of softmax(beta * logits), from one aggregate."""
+    width = max(len(b) for b in betas.values())
 
-    Every row meets every point inside its own task and is averaged there at once: only one partial mean per
-    (type, point) is shuffled.
-    """
-    grid = preds.select("qtype", "logits", "label", low.alias("low"), F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"))
-    log_t = F.col("low") + F.col("i") * F.lit(width)
-    loss = grid.groupBy("qtype", "i").agg(F.count("*").alias("n"), F.avg(L.cross_entropy(F.col("logits"), F.col("label"), F.exp(log_t))).alias("loss"),
-                                          F.max(log_t).alias("log_t"))
-    return loss.groupBy("qtype").agg(F.min(F.struct("loss", "i", "log_t", "n")).alias("b")).select("qtype", "b.log_t", "b.n")
+    def at(i: int):
+        beta = F.lit(None).cast("double")
+        for kind, values in betas.items():
+            beta = F.when(F.col("qtype") == kind, F.lit(values[min(i, len(values) - 1)])).otherwise(beta)
+        z = F.col("logits")
+        w = F.transform(z, lambda x: F.exp(beta * (x - F.array_max(z))))
+        total, one, two = (F.aggregate(F.zip_with(z, w, f), F.lit(0.0), lambda a, x: a + x) for f in (lambda x, p: p, lambda x, p: p * x, lambda x, p: p * x * x))
+        mean = one / total
+        return F.avg(mean - F.get(z, F.col("label"))).alias(f"slope{i}"), F.avg(two / total - mean * mean).alias(f"curve{i}")
+
+    rows = preds.filter(F.col("qtype").isin(*betas)).groupBy("qtype").agg(F.count("*").alias("n"), *[c for i in range(width) for c in at(i)]).collect()
+    return {r.qtype: (r.n, [(r[f"slope{i}"], r[f"curve{i}"]) for i in range(len(betas[r.qtype]))]) for r in rows}  # a row per question type
 
 
-def fit_temperature(preds: DataFrame, min_rows: int = 1, lowest: float = 0.1, highest: float = 8.0, steps: int = 40) -> DataFrame:
+def fit_temperature(preds: DataFrame, min_rows: int = 1, lowest: float = 0.1, highest: float = 8.0, precision: float = 1e-7, steps: int = 60) -> DataFrame:
     """One temperature per question type with the lowest loss; 1.0 for types with fewer than `min_rows` rows.
 
-    A log-spaced grid of `steps` intervals over [lowest, highest] is searched first, then the two intervals
-    around the best point with the same number of steps: the result is within one part in a few hundred.
+    The loss is convex in beta = 1 / temperature, so its slope has one zero.  Newton steps find it; each needs the mean
+    slope and curvature of all rows, one aggregate, and a step that leaves the interval known to hold the zero halves that
+    interval instead.  A slope that keeps its sign over the range gives the end of the range.
     """
-    p = preds.select(qtype_of(F.col("kind")).alias("qtype"), "logits", "label")
-    start, width = math.log(lowest), (math.log(highest) - math.log(lowest)) / steps
-    center = _best_on_grid(p, F.lit(start), steps, width).select("qtype", F.col("log_t").alias("center"))
-    q = p.join(F.broadcast(center), "qtype")  # one row per question type, three at most
-    best = _best_on_grid(q, F.col("center") - F.lit(width), steps, 2 * width / steps)
-    t = F.least(F.greatest(F.exp("log_t"), F.lit(lowest)), F.lit(highest))
-    types = preds.sparkSession.createDataFrame([(k,) for k in V.QTYPE_CODES], "qtype STRING")
-    out = types.join(best, "qtype", "left")
-    return out.select("qtype", F.coalesce("n", F.lit(0)).alias("n"),
-                      F.when(F.coalesce("n", F.lit(0)) >= min_rows, L.rounded(t, 4)).otherwise(1.0).alias("temperature"))
+    p = written(preds.select(qtype_of(F.col("kind")).alias("qtype"), "logits", "label"), "logits")
+    low, high = 1 / highest, 1 / lowest
+    counts, found, open_ = {}, {}, {}
+    for kind, (n, ((left, _), (right, _), _)) in _slopes(p, {k: (low, high, 1.0) for k in V.QTYPE_CODES}).items():
+        counts[kind] = n
+        if left >= 0 or right <= 0:
+            found[kind] = low if left >= 0 else high
+        else:
+            open_[kind] = (low, high, 1.0)
+    for _ in range(steps):
+        if not open_:
+            break
+        for kind, (_, ((slope, curve),)) in _slopes(p, {k: (b,) for k, (_, _, b) in open_.items()}).items():
+            lo, hi, beta = open_[kind]
+            lo, hi = (lo, beta) if slope > 0 else (beta, hi)
+            after = beta - slope / curve if curve > 0 else math.sqrt(lo * hi)
+            if not lo <= after <= hi:
+                after = math.sqrt(lo * hi)
+            open_[kind] = (lo, hi, after)
+            if abs(math.log(after / beta)) < precision:
+                found[kind] = after
+        open_ = {k: v for k, v in open_.items() if k not in found}
+    found |= {k: b for k, (_, _, b) in open_.items()}
+    rows = [(k, counts.get(k, 0), round(1 / found[k], 4) if k in found and counts[k] >= min_rows else 1.0) for k in V.QTYPE_CODES]
+    return preds.sparkSession.createDataFrame(rows, "qtype STRING, n LONG, temperature DOUBLE")
 
 
 def apply_temperature(preds: DataFrame, temperatures: dict[str, float]) -> DataFrame:

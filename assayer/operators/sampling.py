@@ -1,10 +1,9 @@
 """Reproducible samplers, quotas and splits.
 
 All of them order rows by md5(seed | key) instead of rand(), so a result never depends on partitioning.
-The exact rank of a row inside an arbitrarily large group comes from two cheap steps: rows are counted per
-(group, hash prefix), the few thousand counts are summed up, and only the rows of one prefix are sorted
-together.  No group is ever sorted in one task, and when a quota is known the rows of prefixes beyond it
-are dropped before the shuffle.
+The exact rank of a row inside an arbitrarily large group comes from counts per (group, hash prefix): prefixes that
+hold too many rows are split by further digits, those beyond a quota are left out, until each holds few.  Then the
+counts are summed up and only the rows of one prefix are sorted together.  No group is ever sorted in one task.
 """
 
 from functools import reduce
@@ -12,43 +11,71 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import fixed_values as V
+from assayer.session import written
+
+#: Hex digits of the hash that one step looks at, all it has, and the most rows that are ranked together.
+DIGITS, ALL_DIGITS, CELL_ROWS = 3, 32, 50_000
 
 
 def hash_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *cols))
 
 
-def _spread(df, groups, key, seed, prefix):
-    """Rows with hash and prefix, and per (group, prefix) how many rows of the group come before it."""
-    h = df.withColumn("_h", hash_key(seed, *key)).withColumn("_p", F.substring("_h", 1, prefix))
-    counts = h.groupBy(*groups, "_p").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(*groups, "_p", before.alias("_before"), F.sum("_n").over(w).alias("group_rows"))
-    return h, offsets
+def _joined(rows: DataFrame, other: DataFrame, groups: list[str], *on: str) -> DataFrame:
+    """Rows with the columns of `other` that are not in the key; a null group meets a null group."""
+    renamed = other.select(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(groups)], *[c for c in other.columns if c not in groups])
+    return rows.join(renamed, [F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)] + [rows[c] == renamed[c] for c in on]).drop(
+        *[f"_g{i}" for i in range(len(groups))], *[renamed[c] for c in on])
+
+
+def cells(h: DataFrame, groups: list[str], wanted, bound: int) -> list[tuple[int, DataFrame]]:
+    """(digits, table) pairs; a table has (groups..., _p, _n, _before, group_rows) for prefixes `_p` of that many digits.
+
+    Together the prefixes are disjoint and hold every wanted row.  A prefix holds at most `bound` rows, unless all digits
+    are used.  `_before` is how many rows of the group come before it; `wanted` leaves out prefixes that no one asks for.
+    """
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))  # at most 16 ** DIGITS prefixes of a group
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = h.groupBy(*groups, F.substring("_h", 1, DIGITS).alias("_p")).agg(F.count("*").alias("_n"))
+    now, digits, out = counts.select("*", earlier(whole).alias("_before"), F.sum("_n").over(whole).alias("group_rows")), DIGITS, []
+    while True:
+        now = written(wanted(now), "rank-cells")
+        large = now.filter(F.col("_n") > bound)
+        if digits >= ALL_DIGITS or large.isEmpty():
+            return [*out, (digits, now)]
+        out.append((digits, now.filter(F.col("_n") <= bound)))
+        inside = _joined(h.withColumn("_q", F.substring("_h", 1, digits)), large.select(*groups, F.col("_p").alias("_q"), F.col("_before").alias("_base"), "group_rows"), groups, "_q")
+        digits += DIGITS
+        counts = inside.groupBy(*groups, "_q", F.substring("_h", 1, digits).alias("_p")).agg(
+            F.count("*").alias("_n"), F.max("_base").alias("_base"), F.max("group_rows").alias("group_rows"))
+        now = counts.select(*groups, "_p", "_n", (F.col("_base") + earlier(Window.partitionBy(*groups, "_q"))).alias("_before"), "group_rows")
 
 
 def hash_rank(df: DataFrame, groups: list[str], key: list[str], seed, quotas: DataFrame | None = None,
-              n: int | None = None, prefix: int = 3) -> DataFrame:
+              n: int | None = None, bound: int = CELL_ROWS) -> DataFrame:
     """Add `rank` (1-based, exact) and `group_rows`; with a quota keep only the first rows of each group.
 
-    `key` must identify a row.  `quotas` is a small table (groups..., quota); `n` is one quota for all groups.
+    `key` must identify a row.  `quotas` is a small table (groups..., quota); `n` is one quota for all groups.  At most
+    about `bound` rows are ranked in one task, however large a group is.
     """
-    h, offsets = _spread(df, groups, key, seed, prefix)
-    if quotas is not None:
-        if not groups:
-            raise ValueError("quotas belong to groups; one quota for all rows is n")
-        offsets = offsets.join(quotas, groups).filter(F.col("_before") < F.col("quota"))
-    elif n is not None:
-        offsets = offsets.filter(F.col("_before") < n)
-    on = [*groups, "_p"]
-    w = Window.partitionBy(*on).orderBy("_h", *key)
-    out = h.join(offsets, on).withColumn("rank", (F.col("_before") + F.row_number().over(w)).cast("bigint"))
+    if quotas is not None and not groups:
+        raise ValueError("quotas belong to groups; one quota for all rows is n")
+    h = df.withColumn("_h", hash_key(seed, *key))
+
+    def wanted(table: DataFrame) -> DataFrame:
+        if quotas is not None:
+            return _joined(table, quotas, groups).filter(F.col("_before") < F.col("quota")).drop("quota")
+        return table if n is None else table.filter(F.col("_before") < n)
+
+    def ranked(digits: int, table: DataFrame) -> DataFrame:
+        rows = _joined(h.withColumn("_p", F.substring("_h", 1, digits)), table.drop("_n"), groups, "_p")
+        w = Window.partitionBy(*groups, "_p").orderBy("_h", *key)
+        return rows.withColumn("rank", (F.col("_before") + F.row_number().over(w)).cast("bigint")).drop("_h", "_p", "_before")
+
+    out = reduce(DataFrame.unionByName, [ranked(*c) for c in cells(h, groups, wanted, bound)])
     if quotas is not None:
-        out = out.filter(F.col("rank") <= F.col("quota")).drop("quota")
-    elif n is not None:
-        out = out.filter(F.col("rank") <= n)
-    return out.drop("_h", "_p", "_before")
+        return _joined(out, quotas, groups).filter(F.col("rank") <= F.col("quota")).drop("quota")
+    return out if n is None else out.filter(F.col("rank") <= n)
 
 
 def take(df, groups, key, seed, quotas=None, n=None) -> DataFrame:

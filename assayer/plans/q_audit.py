@@ -77,11 +77,11 @@ def _(d):
     return A.selection_counts(A.newest_per_config(d.audit_log, ids), ids)
 
 
-@query("round_robin", sql=f"select config_id, correlation_id, rank_in_config as round, config_pos as turn from ({NEWEST}) where rank_in_config <= 50", extra=IDS)
+@query("round_robin", sql=f"select row_number() over (order by rank_in_config, config_pos) as position, config_id, correlation_id, rank_in_config as round, config_pos as turn from ({NEWEST}) where rank_in_config <= 50", extra=IDS)
 def _(d):
-    """Work items in the order of their key: round first, then the config's turn."""
+    """The work list of a run, numbered: round first, then the config's turn."""
     work = A.round_robin(A.newest_per_config(d.audit_log, positions(d)))
-    return work.select("config_id", "correlation_id", F.col("work_key.rank_in_config").alias("round"), F.col("work_key.config_pos").alias("turn"))
+    return work.select("position", "config_id", "correlation_id", F.col("rank_in_config").alias("round"), F.col("config_pos").alias("turn"))
 
 
 @query("list_blobs", sql="""select name, config_id, processed_at from (select correlation_id||'_archive.json' as name, config_id, case when status = 'completed' then created_at end as processed_at

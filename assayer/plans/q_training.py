@@ -345,14 +345,20 @@ def grid_sql(src: str, log_t: str) -> str:
 
 
 WIDTH = "((ln(8.0::double) - ln(0.1::double)) / 40)"
+def finer(level: int) -> str:
+    """A grid of 41 points over the two intervals beside the last grid's best point."""
+    width = f"({WIDTH} / {20 ** level}::double)"
+    return grid_sql(f"(select t.*, c.log_t as center, g.i from typed t join (select qtype, log_t from grid{level}) c using (qtype) cross join range(0, 41) g(i))", f"(center + (2 * i / 40.0::double - 1) * {width})")
+
+
 TEMPS = {
     "typed": "select *, case when kind in ('validation','tag') then 'noul' else 'choice' end as qtype from predictions",
-    "coarse": grid_sql("(select * from typed cross join range(0, 41) g(i))", f"(ln(0.1::double) + i * {WIDTH})"),
-    "fine": grid_sql("(select t.*, c.log_t as center, g.i from typed t join (select qtype, log_t from coarse) c using (qtype) cross join range(0, 41) g(i))", f"(center + (2 * i / 40.0::double - 1) * {WIDTH})"),
+    "grid0": grid_sql("(select * from typed cross join range(0, 41) g(i))", f"(ln(0.1::double) + i * {WIDTH})"),
+    **{f"grid{i + 1}": finer(i) for i in range(5)},
 }
 
 
-@query("fit_temperature", sql="select t.qtype, coalesce(n, 0)::bigint as n, case when n is null then 1.0 else round(least(greatest(exp(log_t), 0.1), 8.0), 4) end::double as temperature from (values ('choice'),('score'),('noul')) t(qtype) left join fine using (qtype)", extra=TEMPS)
+@query("fit_temperature", sql="select t.qtype, coalesce(n, 0)::bigint as n, case when n is null then 1.0 else round(least(greatest(exp(log_t), 0.1), 8.0), 4) end::double as temperature from (values ('choice'),('score'),('noul')) t(qtype) left join grid5 using (qtype)", extra=TEMPS)
 def _(d):
     return E.fit_temperature(d.predictions)
 
