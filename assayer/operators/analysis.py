@@ -88,6 +88,30 @@ def analysis_rollup(issues: DataFrame, verdicts: DataFrame) -> DataFrame:
         F.count_if(d & (p == "cand")).alias("cand_preferred"), F.count_if(d & p.isNotNull() & ~p.isin("base", "cand")).alias("ties"))
 
 
+ANALYSIS = """run_id string, entry string, correlation_id string, config_id string, headline string, type string, preferred string, error string,
+ mismatches array<struct<dimension: string, item: string, base: string, cand: string>>, totals map<string, bigint>"""
+
+
+def error_analysis(records: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The whole analysis of each run as rows: its totals, an evaluation of every article that differs, and its failures.
+
+    records(run_id, correlation_id, config_id, headline, type, mismatches, error) as discrepancy_records gives them, with
+    their run; verdicts(correlation_id, preferred).  entry is `rollup` (one row a run, figures in `totals`), `evaluation`
+    (a disagreement, its mismatches and the preferred side, null without a verdict) or `failure`.
+    """
+    j = records.join(verdicts.select("correlation_id", "preferred"), "correlation_id", "left")
+    d, p = F.col("type") == "disagreement", F.col("preferred")
+    per_article = j.select("run_id", F.when(d, "evaluation").otherwise("failure").alias("entry"), "correlation_id", "config_id", "headline", "type",
+                           F.when(d, p).alias("preferred"), "error", "mismatches", F.lit(None).cast("map<string,bigint>").alias("totals"))
+    counts = {"total_issues": F.count("*"), "disagreements": F.count_if(d), "failures": F.count_if(~d), "sample_analyzed": F.count_if(d & p.isNotNull()),
+              "base_preferred": F.count_if(d & (p == "base")), "cand_preferred": F.count_if(d & (p == "cand")), "ties": F.count_if(d & p.isNotNull() & ~p.isin("base", "cand"))}
+    rollup = j.groupBy("run_id").agg(F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), c)]).alias("totals"))
+    none = lambda t: F.lit(None).cast(t)
+    rollup = rollup.select("run_id", F.lit("rollup").alias("entry"), F.lit("").alias("correlation_id"), *[none("string").alias(c) for c in ("config_id", "headline", "type", "preferred", "error")],
+                           none(per_article.schema["mismatches"].dataType).alias("mismatches"), "totals")
+    return per_article.unionByName(rollup)
+
+
 def noise_reduction(rows: DataFrame) -> DataFrame:
     """Discrepancy events before and after null hygiene."""
     decided = F.col("base").isNotNull() | F.col("cand").isNotNull()

@@ -1,26 +1,57 @@
 """Lint of policy text and validation of rewritten questions."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import fixed_values as V
 from assayer.functions import labels as L, text as X
+from assayer.operators.store import Store
+from assayer.session import written
+
+
+def alias_names(rows: DataFrame, details: str, keys: list[str]) -> DataFrame:
+    """(keys..., names): the names in a JSON text, at any depth.
+
+    From the top, only values under a key `name`, or one that holds `alias`, are followed, through objects and lists; the
+    strings met there are names, trimmed.  Each pass goes one level down, until nothing is left to follow.
+    """
+    key = F.lower("key")
+    spark = rows.sparkSession
+    level = rows.select(*keys, F.try_parse_json(details).alias("v"), F.lit("").alias("at")).filter(F.col("v").isNotNull())
+    found = []
+    while True:
+        items = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select("key", F.col("value").alias("child")))
+        at = F.coalesce(key, F.col("at"))
+        items = items.select(*keys, at.alias("at"), F.col("child").alias("v")).filter((F.col("at") == "name") | F.col("at").contains("alias") | (F.col("at") == ""))
+        level = written(items, "alias-level")
+        found.append(level.filter((F.schema_of_variant("v") == "STRING") & (F.col("at") != "")).select(*keys, X.strip(F.variant_get("v", "$", "string")).alias("name")))
+        level = level.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        if level.isEmpty():
+            break
+    names = reduce(DataFrame.unionByName, found).filter(F.col("name") != "")
+    return names.groupBy(*keys).agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 def known_literals(subjects: DataFrame, tags: DataFrame) -> DataFrame:
     """Names a rewrite must keep, per question: the subject's, and for a tag question also the tag's.
 
-    Optional ARRAY columns `aliases` on either side are names too.
+    A JSON text in an optional column `details` on either side holds further names (alias_names).
     """
-    def names(df, col):
+    none = F.array().cast("array<string>")
+
+    def names(df, col, keys):
         own = F.array(X.strip(F.coalesce(F.col(col), F.lit(""))))
-        every = F.concat(own, F.transform(F.coalesce("aliases", F.array().cast("array<string>")), X.strip)) if "aliases" in df.columns else own
-        return F.filter(every, lambda x: x != "")
+        if "details" in df.columns:
+            df = df.join(alias_names(df, "details", keys).withColumnRenamed("names", "_more"), keys, "left")
+            own = F.concat(own, F.coalesce("_more", none))
+        return df.withColumn("_names", F.filter(F.array_distinct(own), lambda x: x != ""))
 
-    s = subjects.select("config_id", "subject_id", names(subjects, "name").alias("names"))
+    s = names(subjects, "name", ["config_id", "subject_id"]).select("config_id", "subject_id", F.col("_names").alias("names"))
     sid = F.col("subject_id").cast("string")
     per_subject = s.select("config_id", F.explode(F.array(*[F.concat(F.lit("subj_"), sid, F.lit(f"_{k}")) for k in ("valid", "prominence", "sentiment")])).alias("qid"),
                            F.col("names").alias("literals"))
-    t = llm_tags(tags).select("config_id", "subject_id", "tag_id", names(tags, "tag_name").alias("tag_names")).join(s, ["config_id", "subject_id"])
+    t = names(llm_tags(tags), "tag_name", ["config_id", "subject_id", "tag_id"]).select("config_id", "subject_id", "tag_id", F.col("_names").alias("tag_names")).join(s, ["config_id", "subject_id"])
     per_tag = t.select("config_id", F.concat(F.lit("tag_"), sid, F.lit("_"), "tag_id").alias("qid"), F.array_union("names", "tag_names").alias("literals"))
     return per_subject.unionByName(per_tag).select("config_id", "qid", F.array_sort("literals").alias("literals"))
 
@@ -166,15 +197,46 @@ def cache_key(questions: DataFrame, *identity: str) -> DataFrame:
     return questions.groupBy("config_id").agg(F.sha2(F.concat_ws("|", *[F.lit(i) for i in identity], parts), 256).alias("cache_key"))
 
 
-def artifact_reuse(source: DataFrame, rewritten: DataFrame, artifacts: DataFrame, checked: DataFrame, defective: DataFrame, *identity: str) -> DataFrame:
+#: A stored rewrite: the key of the source it was made from, its questions, and the sizes it was accepted with.
+ARTIFACTS = """cache_key string, config_id string, questions array<struct<qid: string, instructions: string, criteria_texts: array<string>>>, chars_before long, chars_after long"""
+
+
+def artifact_store(spark, path: str, digits: int = 2) -> Store:
+    """Rewrites by content key, in 16 ** digits parts of the key, so a look-up reads its keys' parts alone."""
+    return Store(spark, path, ARTIFACTS, ["cache_key"], ["cache_key"], digits)
+
+
+def parts_of(store: Store, keys: DataFrame) -> list[str]:
+    return sorted(r.part for r in keys.select(store.part_of(F.col("cache_key")).alias("part")).distinct().collect())  # at most 16 ** digits names
+
+
+def store_artifacts(store: Store, source: DataFrame, rewritten: DataFrame, checked: DataFrame, *identity: str) -> int:
+    """Store accepted rewrites whose key is not stored yet; returns how many were new.
+
+    checked(config_id, accepted, chars_before, chars_after) comes from validate_rewrite.  An entry that is stored under its
+    key is left alone, so a run over unchanged sources writes nothing; a changed source has another key.
+    """
+    keys = cache_key(source, *identity).join(checked.filter("accepted").select("config_id", "chars_before", "chars_after"), "config_id")
+    have = store.read(parts_of(store, keys)).select("cache_key")
+    item = F.struct("qid", "instructions", "criteria_texts")
+    texts = rewritten.groupBy("config_id").agg(F.array_sort(F.collect_list(item)).alias("questions"))
+    new = written(keys.join(have, "cache_key", "left_anti").join(texts, "config_id"), "artifacts")
+    n = new.count()
+    if n:
+        store.put(new)
+    return n
+
+
+def artifact_reuse(source: DataFrame, store: Store, checked: DataFrame, defective: DataFrame, *identity: str) -> DataFrame:
     """Questions to use: the stored rewrite where its key, sizes and checks hold, else the source; defective ones verbatim.
 
-    artifacts(config_id, cache_key, chars_before, chars_after); `checked` comes from validate_rewrite.
+    The stored text is what is used.  Only the parts of the store that hold one of the wanted keys are read.
     """
-    now = cache_key(source, *identity).withColumnRenamed("cache_key", "key_now")
-    ok = artifacts.join(now, "config_id").join(checked.select("config_id", "accepted", F.col("chars_before").alias("b"), F.col("chars_after").alias("a")), "config_id")
-    ok = ok.filter((F.col("cache_key") == F.col("key_now")) & F.col("accepted") & (F.col("chars_before") == F.col("b")) & (F.col("chars_after") == F.col("a")))
-    r = rewritten.join(ok.select("config_id"), "config_id", "left_semi").join(defective.select("config_id", "qid"), ["config_id", "qid"], "left_anti")
+    now = written(cache_key(source, *identity), "artifact-keys")
+    known = store.read(parts_of(store, now)).drop("config_id").join(now, "cache_key")
+    ok = known.join(checked.select("config_id", "accepted", F.col("chars_before").alias("b"), F.col("chars_after").alias("a")), "config_id")
+    ok = ok.filter("accepted and chars_before = b and chars_after = a")
+    r = ok.select("config_id", F.inline("questions")).join(defective.select("config_id", "qid"), ["config_id", "qid"], "left_anti")
     r = r.select("config_id", "qid", F.col("instructions").alias("new_instructions"), F.col("criteria_texts").alias("new_texts"))
     return source.join(r, ["config_id", "qid"], "left").select(
         "config_id", "qid", F.coalesce("new_instructions", "instructions").alias("instructions"),

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions.labels import pct, rounded
-from assayer.operators.joins import join_by_size
+from assayer.operators.store import Store
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -37,9 +37,16 @@ def skip_unresolvable(work: DataFrame, configs: DataFrame) -> DataFrame:
         "reason", F.when(F.col("_known").isNull(), "no published configuration")).drop("_known")
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Records of every outcome, one folder per run; each run is independent of the others."""
-    records.write.mode("append").partitionBy("run_id").parquet(path)
+def record_store(spark: SparkSession, path: str, schema, key: list[str]) -> Store:
+    """Records of runs: each run is a part of its own; a record written again under its key replaces the one before."""
+    return Store(spark, path, schema, key, ["run_id"])
+
+
+def write_records(records: DataFrame, path: str, key: list[str]) -> Store:
+    """Records of every outcome, one for each (run, key), whatever the number of attempts that write them."""
+    store = record_store(records.sparkSession, path, records.schema, key)
+    store.put(records)
+    return store
 
 
 RUN_SUMS = ("base_duration_ms", "cand_duration_ms", "base_cost_usd", "cand_cost_usd", "base_class_cost_usd")
@@ -131,7 +138,7 @@ def get_run(records: DataFrame, run_id: str) -> DataFrame:
     return records.filter(F.col("run_id") == run_id)
 
 
-def prune_runs(records: DataFrame, drop: DataFrame, active: DataFrame) -> DataFrame:
-    """Everything except the runs to delete; a run still executing is never deleted."""
+def prune_runs(store: Store, drop: DataFrame, active: DataFrame) -> None:
+    """Delete the runs of `drop` from the store; a run still executing is never deleted."""
     gone = drop.select("run_id").distinct().join(active.select("run_id"), "run_id", "left_anti")
-    return join_by_size(records, gone, ["run_id"], "left_anti")
+    store.drop([r.part for r in gone.select(store.part_of(F.col("run_id")).alias("part")).collect()])  # one short name for each run

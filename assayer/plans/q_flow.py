@@ -9,7 +9,7 @@ from assayer.plans import q_sources
 from assayer.plans.q_text import CLEAN, PARAS, STATES, STRICT, WORDS, article_questions, base_sql, canon_sql
 from assayer.plans.registry import query
 from assayer.plans.views_sql import bucket, q, words_in
-from assayer.session import written
+from assayer.session import work_path, written
 from assayer.sources import blobs as B
 
 WORD = r"[\p{L}\p{M}\p{N}_]"
@@ -458,8 +458,12 @@ def _(d):
 
 @query("prune_runs", sql="select article_no, run_id from usage where run_id not in (select run_id from status_now where run_id < '4' and status <> 'in_progress')", extra=EVENTS)
 def _(d):
+    """Runs are deleted from the stored records, folders and all; what is left is read from the store."""
+    rows = d.usage.select("article_no", "run_id", "status")
+    store = R.write_records(rows, work_path(d.spark, "records"), ["article_no"])
     status = R.run_status(run_events(d))
-    return R.prune_runs(d.usage, status.filter("run_id < '4'"), status.filter("status = 'in_progress'")).select("article_no", "run_id")
+    R.prune_runs(store, status.filter("run_id < '4'"), status.filter("status = 'in_progress'"))
+    return store.read().select("article_no", "run_id")
 
 
 # --- discrepancies ---------------------------------------------------------------------------------------------------

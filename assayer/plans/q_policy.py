@@ -1,5 +1,7 @@
 """Policy lint, rewrite validation, boolean tags, rules and prompt assembly."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from assayer import fixed_values as V
@@ -8,7 +10,7 @@ from assayer.operators import contract as C, policy as P, questions as Q
 from assayer.plans.q_text import QUESTIONS, heading_sql, quoted_sql
 from assayer.plans.registry import query
 from assayer.plans.views_sql import bucket, q, strip
-from assayer.session import written
+from assayer.session import work_path, written
 from assayer.sources import configs, tables as T
 
 LLM = "evaluation_type = 'llm' and coalesce(prompt_text, '') <> ''"
@@ -16,9 +18,19 @@ LITS = {"lits": f"""select config_id, 'subj_'||subject_id||'_'||k as qid, [{stri
  union all select t.config_id, 'tag_'||t.subject_id||'_'||t.tag_id, list_sort(list_distinct([{strip('s.name')}, {strip('t.tag_name')}])) from policy_tags t join policy_subjects s on s.subject_id = t.subject_id where {LLM}"""}
 
 
-@query("known_literals", sql="select config_id, qid, array_to_string(literals, '|') as literals from lits", extra=LITS)
+# subjects whose stored entry has further names, some of them deep in lists and objects, and strings that are none
+DETAILS = """'{{"name":"' || {n} || ' Group","notes":{{"alias":"no name"}},"aliases":["' || {n} || ' A",{{"name":" ' || {n} || ' B ","label":"no name"}},[{{"former_aliases":{{"name":["' || {n} || ' C"],"alias_eu":{{"name":"' || {n} || ' D","x":"no"}}}}}}],7,null,""]}}'"""
+NESTED = {**LITS, "nested": f"""select config_id, qid, list_sort(list_distinct(list_concat(literals, case when subject_id % 3 = 0 then [name || ' Group', name || ' A', name || ' B', name || ' C', name || ' D'] else [] end))) as literals
+ from lits join (select subject_id, {strip('name')} as name from policy_subjects) s on regexp_extract(qid, '^[a-z]+_([^_]+)_', 1) = s.subject_id::varchar"""}
+
+
+@query("known_literals", sql="select config_id, qid, array_to_string(literals, '|') as literals from nested", extra=NESTED)
 def _(d):
-    return P.known_literals(d.policy_subjects, d.policy_tags).withColumn("literals", F.array_join("literals", "|"))
+    """Every third subject has names at several depths of its stored entry."""
+    n = X.strip(F.col("name"))
+    text = F.concat(*[n if p == "\0" else F.lit(p) for p in re.split("(\0)", DETAILS.format(n="\0").replace("' || \0 || '", "\0")[1:-1])])
+    s = d.policy_subjects.withColumn("details", F.when(F.col("subject_id") % 3 == 0, text).otherwise("{broken"))
+    return P.known_literals(s, d.policy_tags).withColumn("literals", F.array_join("literals", "|"))
 
 
 def clauses(c: str) -> str:
@@ -191,11 +203,13 @@ def _(d):
 @query("artifact_reuse", sql="""select s.config_id, s.qid, md5(case when u.config_id is not null and a.code is null then r.instructions else s.instructions end) as instructions_md5, u.config_id is not null and a.code is null as reused
  from placed s left join usable u using (config_id) left join anomalies a using (config_id, qid) left join rewritten r on r.config_id = s.config_id and r.qid = s.qid""", extra=KEYS)
 def _(d):
+    """Accepted rewrites are stored by content key and probed again; those of changed sources (another key) are not found."""
     src, new, lits, bad = rewrite_case(d)
     checked = written(P.validate_rewrite(src, new, lits, bad), "checked")
-    stale = T.bucket(F.col("config_id")) < 30
-    art = P.cache_key(src, "v3").join(checked.select("config_id", "chars_before", "chars_after"), "config_id").withColumn("cache_key", F.when(stale, "old").otherwise(F.col("cache_key")))
-    return P.artifact_reuse(src, new, art, checked, bad, "v3").select("config_id", "qid", F.md5("instructions").alias("instructions_md5"), "reused")
+    store = P.artifact_store(d.spark, work_path(d.spark, "artifacts"))
+    older = src.withColumn("instructions", F.when(T.bucket(F.col("config_id")) < 30, F.concat("instructions", F.lit(" (older)"))).otherwise(F.col("instructions")))
+    P.store_artifacts(store, older, new, checked, "v3")
+    return P.artifact_reuse(src, store, checked, bad, "v3").select("config_id", "qid", F.md5("instructions").alias("instructions_md5"), "reused")
 
 
 # --- processing contract ------------------------------------------------------------------------------------------------

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from assayer import fixed_values as V
 from assayer.operators import evaluate as E, runs as R, sampling as S, training as T
 from assayer.plans import q_sources
-from assayer.plans.q_flow import PERF, RECORD, perf
+from assayer.plans.q_flow import PERF, RECORD, VERD, perf
 from assayer.plans.q_text import ASKED, STATES, article_questions
 from assayer.plans.registry import query
 from assayer.plans.views_sql import WS, bucket, q
-from assayer.session import work_path
+from assayer.session import work_path, written
 from assayer.sources import blobs as B, tables
 from assayer.functions import labels as L, text as X
 
@@ -273,27 +273,47 @@ def _(d):
     return T.read_split(d.spark, path, "val").select("correlation_id", "qid", "label")
 
 
-@query("write_run_records", sql="select run_id, status, count(*) as n from usage group by run_id, status")
+@query("write_run_records", sql="select article_no, run_id, config_id, case when article_no % 5 = 0 then 'retried' else status end as status, output_tokens from usage")
 def _(d):
+    """Every record, written twice, some of them changed by a later attempt; an attempt that never ended shows nothing."""
+    rows = d.usage.select("article_no", "run_id", "config_id", "status", "output_tokens")
     path = work_path(d.spark, "records")
-    R.write_records(d.usage.select("article_no", "run_id", "config_id", "status"), path)
-    return d.spark.read.parquet(path).groupBy("run_id", "status").agg(F.count("*").alias("n"))
+    store = R.write_records(rows, path, ["article_no"])
+    store.put(rows)
+    store.put(rows.filter("article_no % 5 = 0").withColumn("status", F.lit("retried")))
+    store.stage(rows.withColumn("status", F.lit("broken off")))
+    return R.record_store(d.spark, path, rows.schema, ["article_no"]).read()
 
 
 @query("write_run_summary", sql=RECORD, extra=PERF)
 def _(d):
     """The whole record of each run, written and read back."""
     path = work_path(d.spark, "summaries")
-    R.write_records(R.run_record(perf(d)), path)
-    return d.spark.read.parquet(path)
-
-
-@query("write_error_analysis", sql="select run_id, count(*) as failures, max(article_no) as last_article from usage where status = 'failed' group by run_id")
-def _(d):
-    path = work_path(d.spark, "analysis")
-    a = d.usage.filter("status = 'failed'").groupBy("run_id").agg(F.count("*").alias("failures"), F.max("article_no").alias("last_article"))
-    R.write_records(a, path)
-    return d.spark.read.parquet(path)
+    return R.write_records(R.run_record(perf(d)), path, ["scope", "config_id"]).read()
+
+
+RUN_OF = "'run' || (" + bucket("'run|' || correlation_id") + " % 3)"
+
+
+@query("write_error_analysis", sql=f"""with r as (select i.*, {RUN_OF.replace('correlation_id', 'i.correlation_id')} as run_id, v.preferred, a.config_id, a.headline, a.n_chars from issues i join articles a using (correlation_id) left join verdicts v using (correlation_id)),
+ lists as (select correlation_id, string_agg(x, ';' order by x) as mismatches from (select correlation_id, dimension || '|' || item || '|' || coalesce(base, '-') || '|' || coalesce(cand, '-') as x from mism) group by correlation_id)
+ select run_id, case when type = 'disagreement' then 'evaluation' else 'failure' end as entry, r.correlation_id, config_id, md5(headline) as headline_md5, case when type = 'disagreement' then preferred end as preferred,
+ case when type <> 'disagreement' then 'only ' || n_chars || ' characters' end as error, coalesce(l.mismatches, '') as mismatches, null::bigint as total_issues, null::bigint as failures, null::bigint as sample_analyzed, null::bigint as base_preferred, null::bigint as ties from r left join lists l using (correlation_id)
+ union all select run_id, 'rollup', '', null, null, null, null, null, count(*), count(*) filter (where type <> 'disagreement'), count(*) filter (where type = 'disagreement' and preferred is not null),
+ count(*) filter (where type = 'disagreement' and preferred = 'base'), count(*) filter (where type = 'disagreement' and preferred = 'both') from r group by run_id""", extra=VERD)
+def _(d):
+    """The analysis of each run in the store, overwritten by a second attempt: rollup, evaluations with their verdicts, failures."""
+    from assayer.operators import analysis as A
+    from assayer.plans.q_flow import issue_parts, verdicts
+    from assayer.sources.tables import keyed as bucket_of
+    run = F.concat(F.lit("run"), (bucket_of("run", F.col("correlation_id")) % 3).cast("string"))
+    whole = written(A.error_analysis(A.discrepancy_records(*issue_parts(d), d.articles).withColumn("run_id", run), verdicts(d).drop("config_id")), "analysis")
+    store = R.record_store(d.spark, work_path(d.spark, "analyses"), A.ANALYSIS, ["entry", "correlation_id"])
+    store.put(whole.filter("entry = 'rollup'"))
+    store.put(whole, replaces=True)
+    text = F.transform("mismatches", lambda x: F.concat_ws("|", x.dimension, x["item"], F.coalesce(x.base, F.lit("-")), F.coalesce(x.cand, F.lit("-"))))
+    return store.read().select("run_id", "entry", "correlation_id", "config_id", F.md5("headline").alias("headline_md5"), "preferred", "error",
+                               F.array_join(F.array_sort(text), ";").alias("mismatches"), *[F.col("totals")[k].alias(k) for k in ("total_issues", "failures", "sample_analyzed", "base_preferred", "ties")])
 
 
 @query("best_epoch", sql="""select l_suppkey, (array_agg(epoch order by loss, epoch))[1] as best_epoch, min(loss) as best_loss from (select l_suppkey, l_linenumber as epoch, round(avg(l_tax), 6) as loss from lineitem group by all) group by l_suppkey""")
