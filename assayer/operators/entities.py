@@ -11,14 +11,34 @@ from assayer.functions import text as X
 from assayer.operators.joins import join_by_size, once, rows_of
 
 
+#: A run of letters and digits.  Where a surface form stands as a whole word, or in an enumeration, each of its runs is a
+#: whole run of the text too.
+RUN = r"[\p{L}\p{Nd}]+"
+
+
+def runs_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+
+
+def run_key(term: Column) -> Column:
+    """The longest run of a form, the rarest as a rule; empty for a form of signs only, which any text may hold."""
+    lengths = F.transform(runs_of(F.lower(term)), lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))
+    return F.coalesce(F.array_max(lengths).r, F.lit(""))
+
+
 def entity_sets(subjects: DataFrame) -> DataFrame:
-    """Subjects of a configuration with their surface forms, as one ordered array."""
+    """Subjects of a configuration with their surface forms, as one ordered array, and the runs that lead to them."""
     item = F.struct(F.col("pos"), F.col("subject_id"), F.col("name"), X.match_terms(F.col("name")).alias("strict"),
                     X.presence_terms(F.col("name")).alias("presence"))
-    return subjects.groupBy("config_id").agg(F.array_sort(F.collect_list(item)).alias("entities"))
+    keyed = subjects.select("config_id", item.alias("e")).withColumn(
+        "e", F.struct("e.*", F.array_distinct(F.transform("e.presence", run_key)).alias("runs")))
+    sets = keyed.groupBy("config_id").agg(F.array_sort(F.collect_list("e")).alias("entities"))
+    return sets.withColumn("run_index", F.array_distinct(F.flatten(F.transform("entities", lambda e: e.runs))))
 
 
-def evidence_array(full_lc: Column, headline_lc: Column, lead_lc: Column, entities: Column) -> Column:
+def evidence_array(full_lc: Column, headline_lc: Column, lead_lc: Column, entities: Column, met: Column) -> Column:
+    """Evidence per subject.  `met` holds the runs of the index that the text has; a subject none of whose forms can stand
+    there is settled without a look at the text, so a text costs its own length and the forms it may hold."""
     def one(e):
         def flags(hits):
             counted = F.zip_with(e.presence, hits, lambda t, h: F.when(F.array_contains(e.strict, t), F.size(h)).otherwise(0))
@@ -28,7 +48,11 @@ def evidence_array(full_lc: Column, headline_lc: Column, lead_lc: Column, entiti
                 F.aggregate(counted, F.lit(0), lambda acc, n: acc + n).alias("mentions"), F.exists(hits, lambda h: F.size(h) > 0).alias("named"),
                 X.venue_hits(full_lc, hits).alias("venue_only"), X.list_context(full_lc, e.strict).alias("in_list"))
 
-        return X.let(X.hits_per_term(full_lc, e.presence), flags)  # the strict forms are among the presence forms
+        no, zero = F.lit(False), F.lit(0)
+        absent = F.struct(e.subject_id.alias("subject_id"), e["name"].alias("name"), no.alias("in_headline"), no.alias("in_lead"), zero.alias("mentions"),
+                          no.alias("named"), no.alias("venue_only"), no.alias("in_list"))
+        # the strict forms are among the presence forms
+        return F.when(F.arrays_overlap(e.runs, met), X.let(X.hits_per_term(full_lc, e.presence), flags)).otherwise(absent)
 
     def derived(e):
         mention = e.named & ~e.venue_only
@@ -41,17 +65,21 @@ def evidence_array(full_lc: Column, headline_lc: Column, lead_lc: Column, entiti
     return F.transform(F.transform(entities, one), derived)
 
 
-def presence_evidence(articles: DataFrame, sets: DataFrame, keep: tuple = (), set_columns: tuple = ()) -> DataFrame:
+def presence_evidence(articles: DataFrame, sets: DataFrame, keep: tuple = (), set_columns: tuple = (), how: str = "inner") -> DataFrame:
     """Articles with their evidence array and the article-wide figures the rules need.
 
-    sets(config_id, entities, ...): one row per configuration; `set_columns` of it ride along.
+    sets(config_id, entities, run_index, ...): one row per configuration; `set_columns` of it ride along.  The runs of an
+    article meet the index of its configuration once.  With how="left" an article without a configuration stays, with
+    nulls.
     """
     a = articles.select(
         "correlation_id", "config_id", *keep,
         F.lower(F.concat("headline", F.lit(" "), X.clean_body(F.col("body")))).alias("full_lc"),
         F.lower("headline").alias("headline_lc"), F.lower(X.lead(F.col("body"))).alias("lead_lc"))
-    j = join_by_size(a, sets.select("config_id", "entities", *set_columns), ["config_id"])
-    ev = evidence_array(F.col("full_lc"), F.col("headline_lc"), F.col("lead_lc"), F.col("entities"))
+    j = join_by_size(a, sets.select("config_id", "entities", "run_index", *set_columns), ["config_id"], how)
+    met = F.array_intersect(F.concat(runs_of(F.concat_ws(" ", "full_lc", "lead_lc")), F.array(F.lit(""))), F.col("run_index"))
+    j = once(j, met=met)
+    ev = evidence_array(F.col("full_lc"), F.col("headline_lc"), F.col("lead_lc"), F.col("entities"), F.col("met"))
     out = once(j, evidence=ev, adversity=X.adversity(F.col("full_lc"))).select(
         "correlation_id", "config_id", *keep, *set_columns, "evidence", "adversity")
     return out.select(
