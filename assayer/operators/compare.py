@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayer import fixed_values as V
 from assayer.functions import labels as L, text as X
 from assayer.operators import gating
-from assayer.operators.joins import join_by_size
+from assayer.operators.joins import join_by_size, once, rows_of
 
 DIMENSIONS = ("validation", "prominence", "sentiment", "tag")
 
@@ -135,24 +135,74 @@ def article_performance(rows: DataFrame) -> DataFrame:
         F.when(kc > 0, L.rounded((kc - cc) / F.greatest(kc, F.lit(tiny)) * 100.0, 1)).otherwise(0.0).alias("class_savings_pct"))
 
 
-def compare_articles(run: DataFrame, tag_threshold: float = V.TAG_THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Subject and tag facts of a scored run whose rows still carry the archived arrays, without any join.
+def matched_places(left: Column, right: Column) -> Column:
+    """For each of the ids `left` the place of the same id in `right`, or null; ids are unique on either side.
+
+    Both sides are sorted together, so an id of `right` stands right behind the same id of `left`: the work is that of a
+    sort, not a search of one array for each item of the other.
+    """
+    tagged = lambda ids, side: F.transform(ids, lambda x, i: F.struct(x.cast("string").alias("id"), F.lit(side).alias("side"), i.alias("at")))
+    none = F.array().cast("array<string>")
+
+    def found(every):
+        def one(x, i):
+            after = F.get(every, i + 1)
+            return F.struct(x.side.alias("side"), x.at.alias("at"), F.when((after.id == x.id) & (after.side == 1), after.at).alias("other"))
+        return F.transform(F.array_sort(F.filter(F.transform(every, one), lambda x: x.side == 0)), lambda x: x.other)
 
-    run needs subject_results ARRAY<STRUCT<subject_id, is_valid, prominence, sentiment>> and
-    base_tags ARRAY<STRUCT<tag_id, result>> next to the cascade's columns.
+    return X.let(F.array_sort(F.concat(tagged(F.coalesce(left, none), 0), tagged(F.coalesce(right, none), 1))), found)
+
+
+def article_facts(run: DataFrame, tag_threshold: float = V.TAG_THRESHOLD) -> DataFrame:
+    """The scored run with its facts in the article's row: subject_facts of compared subjects, tag_facts of all tags.
+
+    run needs subject_results ARRAY<STRUCT<subject_id, is_valid, prominence, sentiment>> and base_tags
+    ARRAY<STRUCT<tag_id, result>> next to the cascade's columns.  A subject without an archived result is not compared, and
+    its tags count as refused.
     """
-    s = gating.subject_decisions(run, ("subject_results",))
-    archived = F.get(F.filter("subject_results", lambda x: x.subject_id == F.col("subject_id").cast("string")), F.lit(0))
-    s = s.withColumn("b", archived).filter(F.col("b").isNotNull())
-    s = s.select("correlation_id", "config_id", "subject_id", "name", F.col("b.is_valid").alias("is_valid"),
-                 F.col("b.prominence").alias("base_prominence"), F.col("b.sentiment").alias("base_sentiment"),
-                 "p_valid", "prominence", "sentiment", "prominence_conf", "sentiment_conf")
-    t = gating.tag_decisions(run, ("subject_results", "base_tags"))
-    known = F.exists("subject_results", lambda x: x.subject_id == F.col("subject_id").cast("string"))
-    base = F.get(F.filter("base_tags", lambda x: x.tag_id == F.col("tag_id")), F.lit(0)).result
-    t = t.select("correlation_id", "config_id", "subject_id", "tag_id", base.alias("base_result"),
-                 (F.coalesce(known, F.lit(False)) & (F.col("p_valid") >= V.VALIDATION_THRESHOLD)).alias("val_cand"), "p_tag")
-    return with_matches(s), tag_matches(t, tag_threshold)
+    ids = lambda c, f: F.transform(F.coalesce(c, F.array().cast(run.schema[c].dataType)), lambda x: x[f])
+    facts = once(gating.decision_arrays(run), subject_at=matched_places(F.transform("subjects", lambda s: s.subject_id.cast("string")), ids("subject_results", "subject_id")),
+                 base_tag_at=matched_places(F.col("tag_ids"), ids("base_tags", "tag_id")))
+
+    def subject(s, k):
+        at = F.get("subject_at", k)
+        b, ok = F.get("subject_results", at), F.coalesce(s.p_valid, F.lit(0.0)) >= V.VALIDATION_THRESHOLD
+        conf = lambda c: F.when(ok, F.coalesce(c, F.lit(0.0))).otherwise(1.0)
+        sides = F.struct(
+            s.subject_id.alias("subject_id"), s["name"].alias("name"), F.coalesce(b.is_valid, F.lit(False)).alias("val_base"), ok.alias("val_cand"),
+            F.coalesce(s.p_valid, F.lit(0.0)).alias("val_prob"), F.coalesce(F.lower(b.prominence), F.lit("")).alias("prom_base"),
+            forced(ok, s.prominence, "passing").alias("prom_cand"), conf(s.prominence_conf).alias("prom_conf"), F.coalesce(F.lower(b.sentiment), F.lit("")).alias("sent_base"),
+            forced(ok, s.sentiment, "neutral").alias("sent_cand"), conf(s.sentiment_conf).alias("sent_conf"))
+        fact = X.let(sides, lambda x: F.struct(
+            *[x[c].alias(c) for c in SIDES], (x.val_base == x.val_cand).alias("val_match"), (x.prom_base == x.prom_cand).alias("prom_match"), (x.sent_base == x.sent_cand).alias("sent_match")))
+        return F.when(at.isNotNull(), fact)
+
+    facts = once(facts, judged=F.transform("subjects", subject))
+
+    def tag(t):
+        base = F.coalesce(F.get("base_tags", F.get("base_tag_at", t.tag_at)).result, F.lit(False))
+        cand = F.coalesce(F.get("judged", t.entity_at).val_cand, F.lit(False)) & F.coalesce(t.p_tag >= tag_threshold, F.lit(False))
+        return F.struct(t.subject_id.alias("subject_id"), t.tag_id.alias("tag_id"), base.alias("base_result"), cand.alias("cand_result"),
+                        t.p_tag.alias("cand_prob"), (base == cand).alias("match"))
+
+    return once(facts, subject_facts=F.filter("judged", lambda x: x.isNotNull()), tag_facts=F.transform("tags", tag))
+
+
+SIDES = ("subject_id", "name", "val_base", "val_cand", "val_prob", "prom_base", "prom_cand", "prom_conf", "sent_base", "sent_cand", "sent_conf")
+
+
+def compare_articles(run: DataFrame, tag_threshold: float = V.TAG_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Subject and tag facts of a scored run, a row each, without any join."""
+    facts = article_facts(run, tag_threshold)
+    return (rows_of(facts, "subject_facts", "subject_id", "correlation_id", "config_id"), rows_of(facts, "tag_facts", "subject_id", "correlation_id", "config_id"))
+
+
+def fact_counts() -> list[Column]:
+    """Six counts of an article's facts."""
+    n = lambda arr, f: F.coalesce(F.size(F.filter(arr, f)), F.lit(0)).cast("bigint")
+    return [n("subject_facts", lambda j: j.val_match).alias("val_correct"), n("subject_facts", lambda j: j.prom_match).alias("prom_correct"),
+            n("subject_facts", lambda j: j.sent_match).alias("sent_correct"), n("subject_facts", lambda j: F.lit(True)).alias("subjects"),
+            n("tag_facts", lambda t: t.match).alias("tag_correct"), n("tag_facts", lambda t: F.lit(True)).alias("tag_total")]
 
 
 def run_counts_once(run: DataFrame, keys: list[str], tag_threshold: float = V.TAG_THRESHOLD) -> DataFrame:
@@ -161,47 +211,58 @@ def run_counts_once(run: DataFrame, keys: list[str], tag_threshold: float = V.TA
     The two fact tables of compare_articles would score every article twice when both are read; here the
     decisions of an article are made inside arrays and only the six counts are grouped.
     """
-    facts = gating.decision_arrays(run)
-    base = lambda s: F.get(F.filter("subject_results", lambda x: x.subject_id == s.subject_id.cast("string")), F.lit(0))
-
-    def judged(s):
-        b = base(s)
-        ok = s.p_valid >= V.VALIDATION_THRESHOLD
-        return F.struct(
-            s.subject_id.alias("subject_id"), b.isNotNull().alias("known"), ok.alias("ok"),
-            (F.coalesce(b.is_valid, F.lit(False)) == ok).alias("val"),
-            (F.coalesce(F.lower(b.prominence), F.lit("")) == forced(ok, s.prominence, "passing")).alias("prom"),
-            (F.coalesce(F.lower(b.sentiment), F.lit("")) == forced(ok, s.sentiment, "neutral")).alias("sent"))
-
-    s = facts.select("*", F.filter(F.transform("subjects", judged), lambda x: x.known).alias("judged"))
-
-    def tag_match(t):
-        accepted = F.exists("judged", lambda j: (j.subject_id == t.subject_id) & j.ok)
-        b = F.get(F.filter("base_tags", lambda x: x.tag_id == t.tag_id), F.lit(0)).result
-        return F.coalesce(b, F.lit(False)) == (accepted & F.coalesce(t.p_tag >= tag_threshold, F.lit(False)))
-
-    n = lambda arr, f: F.size(F.filter(arr, f)).cast("bigint")
-    rows = s.select(
-        *keys, n("judged", lambda j: j.val).alias("val_correct"), n("judged", lambda j: j.prom).alias("prom_correct"),
-        n("judged", lambda j: j.sent).alias("sent_correct"), F.size("judged").cast("bigint").alias("subjects"),
-        n("tags", tag_match).alias("tag_correct"), F.size("tags").cast("bigint").alias("tag_total"))
-    return rows
-
-
-def article_cost_rows(run: DataFrame, excluded_text: str = "", override: float | None = None) -> DataFrame:
-    """Latency and cost per article of a scored run."""
+    return article_facts(run, tag_threshold).select(*keys, *fact_counts())
+
+
+def comparison_records(run: DataFrame, tag_threshold: float = V.TAG_THRESHOLD, override: float | None = None) -> DataFrame:
+    """One whole record per article of a scored run: facts of subjects and tags, accuracies, time, both costs, savings.
+
+    run also carries headline, llm_tokens, llm_cached_tokens, llm_cost_usd, stage_timings, validation_result and the
+    excluded_text of its configuration (the summary and rejection prompts, which the classification does not need).  An
+    article without a configuration has status `skipped`, empty facts and no cost.
+    """
+    r = article_facts(run, tag_threshold)
+    counts = dict(zip(("val_correct", "prom_correct", "sent_correct", "subject_total", "tag_correct", "tag_total"), fact_counts()))
+    r = r.select("*", *[c.alias(k) for k, c in counts.items()])
+    acc = {f"{d}_accuracy": L.pct(F.col(f"{d}_correct"), F.col("tag_total" if d == "tag" else "subject_total"), 1, 100.0) for d in ("val", "prom", "sent", "tag")}
+    r = article_cost_rows(r.select("*", *[c.alias(k) for k, c in acc.items()]), override, ("headline", "status", "subject_facts", "tag_facts", *counts, *acc))
+    ok = F.col("status") == "ok"
+    money = [c for c in r.columns if c.endswith(("_usd", "_pct", "_multiple", "_ms", "_ratio", "_source", "_tokens"))]
+    return r.select(*[F.when(ok, F.col(c)).alias(c) if c in money else c for c in r.columns])
+
+
+def candidate_view(facts: DataFrame) -> DataFrame:
+    """(correlation_id, subjects): the candidate's decision in the layout of the archived one, tags under their subject."""
+    tag = lambda t: F.struct(t.tag_id.alias("tag_id"), t.cand_result.alias("result"), t.cand_prob.alias("probability"))
+
+    def subject(j, k):
+        return F.when(j.isNotNull(), F.struct(
+            j.subject_id.cast("string").alias("subject_id"), j["name"].alias("name"), j.val_cand.alias("is_valid"), j.val_prob.alias("validation_probability"),
+            j.prom_cand.alias("prominence"), j.prom_conf.alias("prominence_confidence"), j.sent_cand.alias("sentiment"), j.sent_conf.alias("sentiment_confidence"),
+            F.transform(F.get("places", k).tag_nos, lambda n: tag(F.get("tag_facts", n))).alias("tags")))
+
+    return facts.select("correlation_id", F.filter(F.transform("judged", subject), lambda s: s.isNotNull()).alias("subjects"))
+
+
+def article_cost_rows(facts: DataFrame, override: float | None = None, keep: tuple = ()) -> DataFrame:
+    """Latency and cost per article of a compared run.
+
+    The classification's share of the archived cost counts the input without cached tokens and without the summary and
+    rejection prompts, and as output only the compared subjects and tags.
+    """
     first = F.get(F.filter("stage_timings", lambda x: F.lower(x.stage).contains("llm")), F.lit(0))
     tokens = F.col("first_tokens") + F.col("second_tokens")
     cost, source = baseline_cost(F.col("llm_cost_usd"), F.col("llm_tokens.input"), F.col("llm_tokens.output"), override)
-    subjects = F.transform(F.coalesce("subject_results", F.array()), lambda x: F.struct(
-        x.subject_id.alias("subject_id"), x.is_valid.alias("is_valid"), F.lower(x.prominence).alias("prominence"), F.lower(x.sentiment).alias("sentiment")))
-    tags = F.transform(F.filter("questions", lambda q: q.kind == "tag"), lambda q: F.struct(
-        q.subject_id.cast("string").alias("subject_id"), q.tag_id.alias("tag_id"),
-        F.exists(F.coalesce("base_tags", F.array()), lambda b: (b.tag_id == q.tag_id) & b.result).alias("result")))
-    reply = classification_json(F.lit(None), subjects, tags)
-    rows = run.select(
-        "correlation_id", "config_id", F.coalesce(first.duration_ms, F.lit(0.0)).alias("base_duration_ms"),
+    subjects = F.transform("subject_facts", lambda x: F.struct(
+        x.subject_id.cast("string").alias("subject_id"), x.val_base.alias("is_valid"), x.prom_base.alias("prominence"), x.sent_base.alias("sentiment")))
+    tags = F.transform("tag_facts", lambda x: F.struct(x.subject_id.cast("string").alias("subject_id"), x.tag_id.alias("tag_id"), x.base_result.alias("result")))
+    none = F.lit("")
+    reply = classification_json(F.col("validation_result"), subjects, tags)
+    excluded = F.coalesce("excluded_text", none)
+    rows = facts.select(
+        "correlation_id", "config_id", *keep, F.coalesce(first.duration_ms, F.lit(0.0)).alias("base_duration_ms"),
         (F.col("first_ms") + F.col("second_ms")).alias("cand_duration_ms"), cost.alias("base_cost_usd"), source.alias("base_cost_source"),
-        classification_cost(F.col("llm_tokens.input"), F.lit(0), F.lit(excluded_text), reply).alias("base_class_cost_usd"),
+        comparable_input(F.col("llm_tokens.input"), F.col("llm_cached_tokens"), excluded).alias("class_input_tokens"), X.char_tokens(reply).alias("class_output_tokens"),
+        classification_cost(F.col("llm_tokens.input"), F.col("llm_cached_tokens"), excluded, reply).alias("base_class_cost_usd"),
         L.usage_cost(tokens).alias("cand_cost_usd"), tokens.alias("cand_input_tokens"))
     return article_performance(rows)

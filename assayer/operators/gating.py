@@ -77,59 +77,81 @@ def sentiment_recalibration(choice: Column, p: Column, valid: Column, adversity:
         F.struct(choice.alias("choice"), p.alias("probabilities")))
 
 
-def by_qid(answers: Column, qid: Column) -> Column:
-    return F.get(F.filter(answers, lambda a: a.qid == qid), F.lit(0))
-
-
 def subject_qid(subject_id: Column, kind: str) -> Column:
     return F.concat(F.lit("subj_"), subject_id.cast("string"), F.lit(f"_{kind}"))
 
 
-def _gate_array(evidence: Column, first: Column) -> Column:
-    def one(e):
-        p = by_qid(first, subject_qid(e.subject_id, "valid")).noul
+def _gate_array(evidence: Column, places: Column, first: Column) -> Column:
+    def one(e, k):
+        p = F.get(first, F.get(places, k).valid_at).noul
         t = effective_threshold(e.in_lead, e.unmatched)
         return F.struct(e.subject_id.alias("subject_id"), F.when(e.certified, 1.0).otherwise(F.coalesce(p, F.lit(0.0))).alias("noul"),
                         t.alias("effective_threshold"), (e.certified | F.coalesce(p >= t, F.lit(True))).alias("passed"))
     return F.transform(evidence, one)
 
 
-def config_sets(question_sets: DataFrame, entity_sets: DataFrame) -> DataFrame:
-    """Everything a run needs of a configuration in one row: its questions and its subjects' surface forms."""
-    wanted = ("qid", "subject_id", "tag_id", "kind", "qtype", "instructions", "criteria_labels", "criteria_texts")
-    q = question_sets.select("config_id", F.transform("questions", lambda x: F.struct(*[x[c].alias(c) for c in wanted])).alias("questions"))
-    return q.join(entity_sets, "config_id")
+SET_COLUMNS = ("questions", "places", "tag_ids")
 
 
-def cascade(articles: DataFrame, sets: DataFrame, factory, keep: tuple = ()) -> DataFrame:
+def config_sets(question_sets: DataFrame, entity_sets: DataFrame) -> DataFrame:
+    """Everything a run needs of a configuration in one row, with the places at which its parts find each other.
+
+    questions: in order, each with the places of its subject (entity_at), of that subject's validation question
+    (valid_at) and, for a tag, in tag_ids (tag_at).  places: for each subject, in the order of entities, where its
+    questions stand, and the numbers of its tags among the tag questions.  So no later step searches an array.
+    """
+    wanted = ("qid", "subject_id", "tag_id", "kind", "qtype", "instructions", "criteria_labels", "criteria_texts", "valid_at")
+    e = entity_sets.select("config_id", F.posexplode("entities").alias("entity_at", "e")).select("config_id", "entity_at", F.col("e.subject_id").alias("subject_id"))
+    q = question_sets.select("config_id", F.posexplode("questions").alias("place", "q")).select("config_id", "place", *[F.col(f"q.{c}") for c in wanted])
+    q = q.join(e, ["config_id", "subject_id"], "left")
+    is_tag = F.col("kind") == "tag"
+    by_config = Window.partitionBy("config_id")
+    tag_at = F.when(is_tag, F.dense_rank().over(by_config.orderBy(~is_tag, "tag_id")) - 1)
+    tag_no = F.when(is_tag, F.count_if(is_tag).over(by_config.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")
+    q = q.withColumn("tag_at", tag_at).withColumn("tag_no", tag_no)
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("place"))).alias(f"{kind}_at")
+    of_subject = q.groupBy("config_id", "subject_id").agg(at("validation"), at("prominence"), at("sentiment"), F.array_sort(F.collect_list("tag_no")).alias("tag_nos"))
+    places = e.join(of_subject, ["config_id", "subject_id"], "left").groupBy("config_id").agg(F.array_sort(F.collect_list(F.struct(
+        "entity_at", F.col("validation_at").alias("valid_at"), "prominence_at", "sentiment_at", "tag_nos"))).alias("places"))
+    sets = q.groupBy("config_id").agg(
+        F.array_sort(F.collect_list(F.struct("place", F.struct(*wanted, "entity_at", "tag_at").alias("q")))).alias("questions"),
+        F.array_sort(F.collect_set(F.when(is_tag, F.col("tag_id")))).alias("tag_ids"))
+    sets = sets.withColumn("questions", F.transform("questions", lambda x: x.q))
+    return sets.join(entity_sets, "config_id").join(places, "config_id")
+
+
+def cascade(articles: DataFrame, sets: DataFrame, factory, keep: tuple = (), set_columns: tuple = ()) -> DataFrame:
     """Presence, validation, gate, remaining questions: one row per article from start to end.
 
-    `sets` is the table of config_sets, best written once and read back.  Everything an article needs rides in
-    its own row, so both scorer passes form one narrow pipeline: no shuffle between them, nothing to persist,
-    and a lost task is recomputed from its own input alone.
+    `sets` is the table of config_sets, best written once and read back; further columns of it may ride along.  Everything
+    an article needs rides in its own row, so both scorer passes form one narrow pipeline: no shuffle between them,
+    nothing to persist, and a lost task is recomputed from its own input alone.  Answers stand at the places of their
+    questions.  An article without a configuration stays, unasked, with status `skipped`.
     """
     a = articles.withColumn("state", X.distilled_state(F.col("headline"), F.col("body")))
-    r = presence_evidence(a, sets, ("state", *keep), ("questions",))
-    open_valid = F.filter("questions", lambda q: (q.kind == "validation") & ~F.exists(
-        "evidence", lambda e: (e.subject_id == q.subject_id) & e.certified))
-    r = scoring.score(r.withColumn("ask", open_valid), factory, "ask", "first").drop("ask")
-    r = once(r, gate=_gate_array(F.col("evidence"), F.col("first")))
-    rest = F.filter("questions", lambda q: (q.kind != "validation") & F.exists(
-        "gate", lambda g: (g.subject_id == q.subject_id) & g.passed))
-    return scoring.score(r.withColumn("ask", rest), factory, "ask", "second").drop("ask")
+    r = presence_evidence(a, sets, ("state", *keep), (*SET_COLUMNS, *set_columns), "left")
+    r = r.withColumn("status", F.when(F.col("questions").isNull(), "skipped").otherwise("ok"))
+    named = lambda q: F.coalesce(F.get(F.col("evidence"), q.entity_at).certified, F.lit(False))
+    r = once(r, ask=F.transform("questions", lambda q: (q.kind == "validation") & ~named(q)))
+    r = scoring.score(r, factory, "questions", "first", "ask").drop("ask")
+    r = once(r, gate=_gate_array(F.col("evidence"), F.col("places"), F.col("first")))
+    passed = lambda q: F.coalesce(F.get(F.col("gate"), q.entity_at).passed, F.lit(False))
+    r = once(r, ask=F.transform("questions", lambda q: (q.kind != "validation") & passed(q)))
+    return scoring.score(r, factory, "questions", "second", "ask").drop("ask")
 
 
 def decision_arrays(run: DataFrame, consistent: bool = False) -> DataFrame:
     """The run with its final decisions as arrays `subjects` and `tags`: gate defaults, recalibration, rules.
 
-    By default later steps use the plain threshold even where the gate used another one; `consistent` makes
-    them use the gate's own outcome.
+    `subjects` has the order of the configuration's subjects, `tags` that of its tag questions.  By default later steps use
+    the plain threshold even where the gate used another one; `consistent` makes them use the gate's own outcome.
     """
     (p_probs, p_conf), (s_probs, s_conf) = V.RUN_GATE["prominence"], V.RUN_GATE["sentiment"]
     gate_probs = F.create_map(*[x for k, v in s_probs.items() for x in (F.lit(k), F.lit(v))])
 
-    def subject(e, g):
-        pr, se = by_qid(F.col("second"), subject_qid(e.subject_id, "prominence")), by_qid(F.col("second"), subject_qid(e.subject_id, "sentiment"))
+    def subject(e, k):
+        g, place = F.get("gate", k), F.get("places", k)
+        pr, se = F.get("second", place.prominence_at), F.get("second", place.sentiment_at)
         valid = g.passed if consistent else g.noul >= V.VALIDATION_THRESHOLD
         answer = F.struct(
             F.when(g.passed, pr.choice).otherwise("passing").alias("p"), F.when(g.passed, pr.confidence).otherwise(p_conf).alias("pc"),
@@ -146,13 +168,13 @@ def decision_arrays(run: DataFrame, consistent: bool = False) -> DataFrame:
 
         return X.let(answer, final)
 
-    def tag(q):
-        g = F.get(F.filter("gate", lambda x: x.subject_id == q.subject_id), F.lit(0))
-        return F.struct(q.subject_id.alias("subject_id"), q.tag_id.alias("tag_id"), g.noul.alias("p_valid"),
-                        F.when(g.passed, by_qid(F.col("second"), q.qid).noul).otherwise(0.0).alias("p_tag"))
+    def tag(q, i):
+        g = F.get("gate", q.entity_at)
+        return F.when(q.kind == "tag", F.struct(
+            q.subject_id.alias("subject_id"), q.tag_id.alias("tag_id"), q.entity_at.alias("entity_at"), q.tag_at.alias("tag_at"), g.noul.alias("p_valid"),
+            F.when(g.passed, F.get("second", i).noul).otherwise(0.0).alias("p_tag")))
 
-    return once(run, subjects=F.zip_with("evidence", "gate", subject),
-                tags=F.transform(F.filter("questions", lambda q: q.kind == "tag"), tag))
+    return once(run, subjects=F.transform("evidence", subject), tags=F.filter(F.transform("questions", tag), lambda t: t.isNotNull()))
 
 
 def subject_decisions(run: DataFrame, keep: tuple = (), consistent: bool = False) -> DataFrame:
@@ -165,40 +187,35 @@ def tag_decisions(run: DataFrame, keep: tuple = ()) -> DataFrame:
     return rows_of(decision_arrays(run), "tags", "subject_id", "correlation_id", "config_id", *keep)
 
 
-def _default_answers(questions: Column, shut: Column) -> Column:
-    """Answers of questions that are not asked: the subject did not pass, so its labels take the default."""
-    def labelled(q, kind, choice):
+def _default_answer(q: Column) -> Column:
+    """The answer of a question that is not asked: the subject did not pass, so its labels take the default."""
+    def labelled(kind, choice):
         probs, conf = V.SERVED_GATE[kind]
         m = F.create_map(*[x for k, v in probs.items() for x in (F.lit(k), F.lit(v))])
         return F.struct(q.qid.alias("qid"), F.lit("choice").alias("type"), F.lit(None).cast("double").alias("noul"), F.lit(choice).alias("choice"),
                         m.alias("probabilities"), F.lit(conf).alias("confidence"))
 
-    def one(q):
-        tag = F.struct(q.qid.alias("qid"), F.lit("noul").alias("type"), F.lit(0.0).alias("noul"), F.lit(None).cast("string").alias("choice"),
-                       F.lit(None).cast("map<string,double>").alias("probabilities"), F.lit(1.0).alias("confidence"))
-        return F.when(q.kind == "prominence", labelled(q, "prominence", "passing")).when(q.kind == "sentiment", labelled(q, "sentiment", "neutral")).otherwise(tag)
-
-    return F.transform(F.filter(questions, shut), one)
+    tag = F.struct(q.qid.alias("qid"), F.lit("noul").alias("type"), F.lit(0.0).alias("noul"), F.lit(None).cast("string").alias("choice"),
+                   F.lit(None).cast("map<string,double>").alias("probabilities"), F.lit(1.0).alias("confidence"))
+    return F.when(q.kind == "prominence", labelled("prominence", "passing")).when(q.kind == "sentiment", labelled("sentiment", "neutral")).otherwise(tag)
 
 
 def two_stage_cascade(requests: DataFrame, factory, threshold: float = V.VALIDATION_THRESHOLD) -> DataFrame:
     """The form used when serving: one plain threshold, other defaults, no presence evidence.
 
-    requests(correlation_id, config_id, state, questions) gains `answers` with one answer per question.  Without
-    both kinds of questions everything is asked at once and nothing is gated.
+    requests(correlation_id, config_id, state, questions), the questions as question_sets gives them, gains `answers` with
+    one answer per question, in their order.  Without both kinds of questions everything is asked at once and nothing is
+    gated.
     """
     staged = F.exists("questions", lambda q: q.kind == "validation") & F.exists("questions", lambda q: q.kind != "validation")
-    r = once(requests, ask=F.filter("questions", lambda q: ~staged | (q.kind == "validation")), staged=staged)
-    r = scoring.score(r, factory, "ask", "first").drop("ask")
-
-    def passed(q):
-        return F.coalesce(by_qid(F.col("first"), subject_qid(q.subject_id, "valid")).noul >= threshold, F.lit(False))
-
-    later = lambda q: F.col("staged") & (q.kind != "validation")
-    r = once(r, ask=F.filter("questions", lambda q: later(q) & passed(q)), shut=_default_answers(F.col("questions"), lambda q: later(q) & ~passed(q)))
-    r = scoring.score(r, factory, "ask", "second")
-    return r.select("correlation_id", "config_id", F.concat("first", "shut", "second").alias("answers"),
-                    (F.col("first_tokens") + F.col("second_tokens")).alias("tokens"))
+    r = once(requests, staged=staged)
+    r = once(r, ask=F.transform("questions", lambda q: ~F.col("staged") | (q.kind == "validation")))
+    r = scoring.score(r, factory, "questions", "first", "ask").drop("ask")
+    passed = lambda q: F.coalesce(F.get(F.col("first"), q.valid_at).noul >= threshold, F.lit(False))
+    r = once(r, ask=F.transform("questions", lambda q: F.col("staged") & (q.kind != "validation") & passed(q)))
+    r = scoring.score(r, factory, "questions", "second", "ask")
+    answers = F.transform("questions", lambda q, i: F.coalesce(F.get(F.col("first"), i), F.get(F.col("second"), i), _default_answer(q)))
+    return r.select("correlation_id", "config_id", answers.alias("answers"), (F.col("first_tokens") + F.col("second_tokens")).alias("tokens"))
 
 
 def merge_answers(*stages: DataFrame) -> DataFrame:

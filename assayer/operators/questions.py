@@ -1,6 +1,6 @@
 """Typed questions per subject and tag, and their fan-out over articles."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import fixed_values as V
 from assayer.functions import text as X
@@ -60,9 +60,16 @@ def build_questions(subjects: DataFrame, tags: DataFrame, verbose: bool = False,
 
 
 def question_sets(questions: DataFrame) -> DataFrame:
-    """All questions of a configuration as one ordered array (bounded by the configuration)."""
-    item = F.struct("pos", "slot", "qid", "subject_id", "tag_id", "kind", "qtype", "instructions", "criteria_labels", "criteria_texts")
-    return questions.groupBy("config_id").agg(F.array_sort(F.collect_list(item)).alias("questions"))
+    """All questions of a configuration as one ordered array (bounded by the configuration).
+
+    valid_at is the place in it of the validation question of the same subject, so that answers are found by place.
+    """
+    place = F.row_number().over(Window.partitionBy("config_id").orderBy("pos", "slot", "qid")) - 1
+    placed = questions.withColumn("_place", place)
+    placed = placed.withColumn("valid_at", F.max(F.when(F.col("kind") == "validation", F.col("_place"))).over(Window.partitionBy("config_id", "subject_id")))
+    item = F.struct("_place", "pos", "slot", "qid", "subject_id", "tag_id", "kind", "qtype", "instructions", "criteria_labels", "criteria_texts", "valid_at")
+    sets = placed.groupBy("config_id").agg(F.array_sort(F.collect_list(item)).alias("questions"))
+    return sets.withColumn("questions", F.transform("questions", lambda q: q.dropFields("_place")))
 
 
 def question_fanout(articles: DataFrame, questions: DataFrame) -> DataFrame:

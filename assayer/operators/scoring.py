@@ -25,12 +25,16 @@ ANSWERS = T.ArrayType(T.StructType([
 REPLY = T.StructType([T.StructField("answers", ANSWERS), T.StructField("tokens", T.LongType()), T.StructField("ms", T.DoubleType())])
 
 
-def score(requests: DataFrame, factory, questions: str, out: str) -> DataFrame:
-    """Add `out` (answers), `<out>_tokens` and `<out>_ms`; an article without questions is not sent to the model."""
+def score(requests: DataFrame, factory, questions: str, out: str, mask: str | None = None) -> DataFrame:
+    """Add `out` (answers), `<out>_tokens` and `<out>_ms`; an article without questions is not sent to the model.
+
+    With `mask` (a column of booleans, one for each question) only the questions it marks are asked, and `out` has one
+    place for each question, null where none was asked, so an answer is found by its question's place.
+    """
     key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
 
     @F.arrow_udf(REPLY)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         import types
         from pyspark.sql.pandas.types import to_arrow_type
 
@@ -38,17 +42,22 @@ def score(requests: DataFrame, factory, questions: str, out: str) -> DataFrame:
         if key not in cache:
             cache[key] = factory()
         model, reply_type = cache[key], to_arrow_type(REPLY)
-        for ids, states, asks in batches:
-            ids, states, asks = ids.to_pylist(), states.to_pylist(), asks.to_pylist()
+        for ids, states, asks, masks in batches:
+            ids, states, asks, masks = (x.to_pylist() for x in (ids, states, asks, masks))
             todo = [i for i, a in enumerate(asks) if a]
-            rows = [{"answers": [], "tokens": 0, "ms": 0.0} for _ in asks]
+            rows = [{"answers": [None] * len(m or []), "tokens": 0, "ms": 0.0} for m in masks]
             for i, (a, t, m) in zip(todo, model([ids[i] for i in todo], [states[i] for i in todo], [asks[i] for i in todo])):
+                if masks[i] is not None:
+                    given = iter(a)
+                    a = [next(given) if asked else None for asked in masks[i]]
                 rows[i] = {"answers": a, "tokens": t, "ms": m}
             yield pa.array(rows, reply_type)
 
     # The argument comes out of a generator, as lambdas inside a Python call are not planned; and a model call is
     # never repeated or moved, so filters on its answers stay above it.
-    r = once(requests, _ask=F.col(questions)).withColumn("_reply", run.asNondeterministic()("correlation_id", "state", "_ask"))
+    asked = F.col(questions) if mask is None else F.filter(questions, lambda _, i: F.get(F.col(mask), i))
+    marks = F.lit(None).cast("array<boolean>") if mask is None else F.col(mask)
+    r = once(requests, _ask=asked, _mask=marks).withColumn("_reply", run.asNondeterministic()("correlation_id", "state", "_ask", "_mask"))
     return r.select(*requests.columns, F.col("_reply.answers").alias(out), F.col("_reply.tokens").alias(f"{out}_tokens"), F.col("_reply.ms").alias(f"{out}_ms"))
 
 

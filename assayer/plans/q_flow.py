@@ -48,7 +48,8 @@ EVIDENCE = {
 def sets(d):
     """Questions and surface forms per configuration, written once and read by every later step."""
     e = E.entity_sets(d.config_subjects.withColumn("pos", F.col("subject_id")))
-    return written(G.config_sets(Q.question_sets(article_questions(d)), e), "config-sets")
+    prompts = F.concat(F.lit("Sum up the story for "), "config_id", F.lit(". Say why it was rejected."))  # summary and rejection prompts
+    return written(G.config_sets(Q.question_sets(article_questions(d)), e).withColumn("excluded_text", prompts), "config-sets")
 
 
 def evidence(d):
@@ -302,12 +303,15 @@ def archived(d):
     every = F.flatten(F.transform(F.col("scored_attributes.tag_groups"), lambda g: g.tags))
     base_tags = L.last_wins(F.filter(every, lambda t: t.evaluation_type == "llm"), "tag_id")
     subjects = L.last_wins(F.col("subject_results"), "subject_id")
-    return B.inbound(parsed, subjects.alias("subject_results"), base_tags.alias("base_tags"), F.col("llm_tokens"), F.col("llm_cost_usd"), F.col("stage_timings"))
+    return B.inbound(parsed, subjects.alias("subject_results"), base_tags.alias("base_tags"), *ARCHIVED)
 
 
-def blob_run(d):
+ARCHIVED = ("llm_tokens", "llm_cached_tokens", "llm_cost_usd", "stage_timings", "validation_result")
+
+
+def blob_run(d, configs=None):
     """Archived records through the cascade; the archived decision rides in the same row, so comparing needs no join."""
-    return G.cascade(archived(d), sets(d), S.hash_scorer, ("subject_results", "base_tags", "llm_tokens", "llm_cost_usd", "stage_timings"))
+    return G.cascade(archived(d), sets(d) if configs is None else configs, S.hash_scorer, ("headline", "subject_results", "base_tags", *ARCHIVED), ("excluded_text",))
 
 
 RUN = {
@@ -325,12 +329,87 @@ RUN = {
 }
 
 
-@query("compare_articles", sql="""select correlation_id, config_id, subject_id, name, val_base, val_cand, val_prob, prom_base, prom_cand, prom_conf, sent_base, sent_cand, sent_conf, val_match, prom_match, sent_match from scm""", extra=RUN)
+RECORDS = {
+    **RUN,
+    "asked_counts": "select correlation_id, count(*) filter (where not certified) as n1, 4 * count(*) filter (where passed) as n2 from dec group by correlation_id",
+    "subject_lists": """select correlation_id, count(*) as subject_total, count(*) filter (where val_match) as val_correct, count(*) filter (where prom_match) as prom_correct, count(*) filter (where sent_match) as sent_correct,
+ string_agg('{"subject_id":"' || subject_id || '","is_valid":' || val_base || ',"prominence":"' || prom_base || '","sentiment":"' || sent_base || '"}', ',' order by subject_id) as js,
+ string_agg(concat_ws('|', subject_id, name, val_base, val_cand, prom_base, prom_cand, sent_base, sent_cand, val_match, prom_match, sent_match), ';' order by subject_id) as txt from scm group by correlation_id""",
+    "tag_lists": """select correlation_id, count(*) as tag_total, count(*) filter (where match) as tag_correct,
+ string_agg('{"subject_id":"' || subject_id || '","tag_id":"' || tag_id || '","result":' || base_result || '}', ',' order by subject_id, tag_id desc) as js,
+ string_agg(concat_ws('|', subject_id, tag_id, base_result, cand_result, match), ';' order by subject_id, tag_id desc) as txt from tcm group by correlation_id""",
+    "totals": f"""select k.correlation_id, k.config_id, k.headline, case when k.doc_id % 3 = 2 then 0 else k.n_chars * 0.5 end::double as base_duration_ms, (c.n1 + c.n2) * 2.5::double as cand_duration_ms,
+ case when k.doc_id % 10 = 0 then k.n_chars / 1e6 else 0.007 end::double as base_cost_usd, case when k.doc_id % 10 = 0 then 'recorded_in_blob' else 'flat_override' end as base_cost_source,
+ greatest(0, k.n_chars - k.doc_id % 40 - round_even((length('Sum up the story for ' || k.config_id || '. Say why it was rejected.') + length({q(V.EXCLUDED_HEADINGS)})) / 4.0, 0)::bigint)::bigint as class_input_tokens,
+ round_even(length('{{"validation_result":' || coalesce((k.quality = 1)::varchar, 'null') || ',"subjects":[' || coalesce(s.js, '') || '],"tags":[' || coalesce(t.js, '') || ']}}') / 4.0, 0)::bigint as class_output_tokens,
+ (length(x.state) // 4 * ((c.n1 > 0)::int + (c.n2 > 0)::int))::bigint as cand_input_tokens, coalesce(s.val_correct, 0) as val_correct, coalesce(s.prom_correct, 0) as prom_correct, coalesce(s.sent_correct, 0) as sent_correct,
+ coalesce(s.subject_total, 0) as subject_total, coalesce(t.tag_correct, 0) as tag_correct, coalesce(t.tag_total, 0) as tag_total, coalesce(s.txt, '') as subjects, coalesce(t.txt, '') as tags
+ from kept k join states x using (correlation_id) left join asked_counts c using (correlation_id) left join subject_lists s using (correlation_id) left join tag_lists t using (correlation_id)""",
+    "priced": "select *, class_input_tokens / 1e6 * 0.30::double + class_output_tokens / 1e6 * 2.50::double as base_class_cost_usd, cand_input_tokens / 1e6 * 0.042::double as cand_cost_usd from totals",
+}
+COSTS = """base_cost_source, round(base_cost_usd, 9) as base_cost_usd, class_input_tokens, class_output_tokens, round(base_class_cost_usd, 9) as base_class_cost_usd, round(cand_cost_usd, 9) as cand_cost_usd, cand_input_tokens, base_duration_ms, cand_duration_ms,
+ case when base_duration_ms > 0 then round(base_duration_ms / greatest(cand_duration_ms, 1.0), 2) else 1.0 end::double as speedup_ratio, round(base_cost_usd - cand_cost_usd, 9) as savings_usd,
+ case when base_cost_usd > 0 then round((base_cost_usd - cand_cost_usd) / greatest(base_cost_usd, 0.00001) * 100.0, 1) else 0 end::double as savings_pct, case when cand_cost_usd > 0 then round(base_class_cost_usd / greatest(cand_cost_usd, 0.00000001), 1) end as class_cost_multiple,
+ case when base_class_cost_usd > 0 then round((base_class_cost_usd - cand_cost_usd) / greatest(base_class_cost_usd, 0.00000001) * 100.0, 1) else 0 end::double as class_savings_pct"""
+COST_COLUMNS = ("base_cost_source", "base_cost_usd", "class_input_tokens", "class_output_tokens", "base_class_cost_usd", "cand_cost_usd", "cand_input_tokens", "base_duration_ms", "cand_duration_ms",
+                "speedup_ratio", "savings_usd", "savings_pct", "class_cost_multiple", "class_savings_pct")
+
+
+def costs(rows):
+    return [F.round(c, 9).alias(c) if c in ("base_cost_usd", "base_class_cost_usd", "cand_cost_usd") else F.col(c) for c in COST_COLUMNS]
+
+
+def listed(array: str, *fields):
+    return F.coalesce(F.array_join(F.transform(array, lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields])), ";"), F.lit("")).alias(array.replace("_facts", "s"))
+
+
+ACC4 = ", ".join(f"case when {n} > 0 then round({d}_correct * 100.0::double / {n}, 1) else 100.0 end::double as {d}_accuracy" for d, n in (("val", "subject_total"), ("prom", "subject_total"), ("sent", "subject_total"), ("tag", "tag_total")))
+
+
+@query("compare_articles", sql=f"select correlation_id, config_id, headline, 'ok' as status, subjects, tags, val_correct, prom_correct, sent_correct, subject_total, tag_correct, tag_total, {ACC4}, {COSTS} from priced", extra=RECORDS)
+def _(d):
+    """The whole comparison record of each article: facts, accuracies, time and both costs."""
+    r = K.comparison_records(blob_run(d))
+    return r.select("correlation_id", "config_id", "headline", "status", listed("subject_facts", "subject_id", "name", "val_base", "val_cand", "prom_base", "prom_cand", "sent_base", "sent_cand", "val_match", "prom_match", "sent_match"),
+                    listed("tag_facts", "subject_id", "tag_id", "base_result", "cand_result", "match"), "val_correct", "prom_correct", "sent_correct", "subject_total", "tag_correct", "tag_total",
+                    "val_accuracy", "prom_accuracy", "sent_accuracy", "tag_accuracy", *costs(r))
+
+
+@query("run_subject_facts", sql="""select correlation_id, config_id, subject_id, name, val_base, val_cand, val_prob, prom_base, prom_cand, prom_conf, sent_base, sent_cand, sent_conf, val_match, prom_match, sent_match from scm""", extra=RUN)
 def _(d):
     s = K.compare_articles(blob_run(d))[0]
     return s.withColumn("prom_conf", F.round("prom_conf", 6)).withColumn("sent_conf", F.round("sent_conf", 6))
 
 
+@query("run_tag_facts", sql="select correlation_id, config_id, subject_id, tag_id, base_result, cand_result, match from tcm", extra=RUN)
+def _(d):
+    return K.compare_articles(blob_run(d))[1].drop("cand_prob")
+
+
+@query("candidate_outputs", sql="""select k.correlation_id, coalesce(txt, '') as subjects from kept k left join (select correlation_id, string_agg(concat_ws('|', subject_id, name, val_cand, prom_cand, prom_conf, sent_cand, sent_conf, tags), ';' order by subject_id) as txt
+ from scm join (select correlation_id, subject_id, string_agg(tag_id || '=' || cand_result, ',' order by tag_id desc) as tags from tcm group by all) using (correlation_id, subject_id) group by correlation_id) using (correlation_id)""", extra=RUN)
+def _(d):
+    """The candidate's decision in the layout of the archived one."""
+    v = K.candidate_view(K.article_facts(blob_run(d)))
+    tags = lambda s: F.array_join(F.transform(s.tags, lambda t: F.concat(t.tag_id, F.lit("="), t.result.cast("string"))), ",")
+    conf = lambda c: F.round(c, 6).cast("string")
+    return v.select("correlation_id", F.coalesce(F.array_join(F.transform("subjects", lambda s: F.concat_ws(
+        "|", s.subject_id, s["name"], s.is_valid.cast("string"), s.prominence, conf(s.prominence_confidence), s.sentiment, conf(s.sentiment_confidence), tags(s))), ";"), F.lit("")).alias("subjects"))
+
+
+MISSING = "src3"
+
+
+@query("scored_run_records", sql=f"""select k.correlation_id, k.config_id, case when k.config_id = '{MISSING}' then 'skipped' else 'ok' end as status, case when k.config_id = '{MISSING}' then 'no published configuration' end as reason,
+ case when k.config_id = '{MISSING}' then 0 else coalesce(s.n, 0) end as subject_total, case when k.config_id = '{MISSING}' then 0 else coalesce(t.n, 0) end as tag_total, case when k.config_id <> '{MISSING}' then 'priced' else 'free' end as cost
+ from kept k left join (select correlation_id, count(*) as n from scm group by 1) s using (correlation_id) left join (select correlation_id, count(*) as n from tcm group by 1) t using (correlation_id)""", extra=RUN)
+def _(d):
+    """Every archived record of a run in which one configuration can't be resolved: its articles stay, as skipped ones."""
+    r = K.comparison_records(blob_run(d, sets(d).filter(F.col("config_id") != MISSING)))
+    return r.select("correlation_id", "config_id", "status", F.when(F.col("status") == "skipped", "no published configuration").alias("reason"), "subject_total", "tag_total",
+                    F.when(F.col("cand_cost_usd").isNull(), "free").otherwise("priced").alias("cost"))
+
+
 @query("run_summary", sql=accuracy_sql("config_id", "null"), extra=RUN)
 def _(d):
     """Flagship: archived records to agreement per configuration, scored once and summed with map-side combine."""
@@ -342,10 +421,10 @@ def run_counts_both(d):
     return K.run_counts_once(blob_run(d), ["config_id"])
 
 
-@query("article_cost", sql="""select correlation_id, source as base_cost_source, round(case when doc_id % 10 = 0 then n_chars / 1e6 else 0.007 end, 9)::double as base_cost_usd, case when doc_id % 3 = 2 then 0 else n_chars * 0.5 end::double as base_duration_ms
- from (select *, case when doc_id % 10 = 0 then 'recorded_in_blob' else 'flat_override' end as source from kept)""", extra=q_sources.EXTRA)
+@query("article_cost", sql=f"select correlation_id, config_id, {COSTS} from priced", extra=RECORDS)
 def _(d):
-    return K.article_cost_rows(blob_run(d)).select("correlation_id", "base_cost_source", F.round("base_cost_usd", 9).alias("base_cost_usd"), "base_duration_ms")
+    r = K.article_cost_rows(K.article_facts(blob_run(d)))
+    return r.select("correlation_id", "config_id", *costs(r))
 
 
 # --- cost and run summaries over the usage records ------------------------------------------------------------------

@@ -154,13 +154,16 @@ def _(d):
     return B.preview(B.parse_blobs(raw(d)), V.PREVIEW_CHARS)
 
 
-@query("normalised_outputs", sql="""select k.correlation_id, count(b.subject_id) as n_subjects, coalesce(sum(case when b.is_valid then 1 else 0 end), 0)::bigint as n_valid,
- case when k.quality is null then 0 else 2 end as n_groups from kept k left join baseline_subjects b using (correlation_id) group by k.correlation_id, k.quality""", extra=EXTRA)
+@query("normalised_outputs", sql="""select k.correlation_id, any_value(k.quality = 1) as validation_result, coalesce(string_agg(concat_ws('|', b.subject_id, s.name, b.is_valid, b.prominence, b.sentiment), ';' order by b.subject_id), '') as subjects,
+ coalesce(any_value('g1:toxic=' || (k.toxic = 0) || ',kw=' || (k.toxic = 1) || ';g2:toxic=' || (k.toxic = 1)), '') as tag_groups, case any_value(k.doc_id) % 4 when 0 then '{"note":"ok","subjects":[1]}' when 1 then 'not json {' end as raw_response
+ from kept k left join baseline_subjects b using (correlation_id) left join subjects s on s.subject_id = b.subject_id group by k.correlation_id""", extra=EXTRA)
 def _(d):
+    """The archived decision in its normalised layout, with the parsed reply; every value, not sizes."""
     v = B.baseline_view(B.parse_blobs(raw(d)))
-    return v.select("correlation_id", F.coalesce(F.size("subjects"), F.lit(0)).cast("bigint").alias("n_subjects"),
-                    F.coalesce(F.size(F.filter("subjects", lambda s: s.is_valid)), F.lit(0)).cast("bigint").alias("n_valid"),
-                    F.coalesce(F.size("tag_groups"), F.lit(0)).alias("n_groups"))
+    subjects = F.transform("subjects", lambda s: F.concat_ws("|", s.subject_id, s["name"], s.is_valid.cast("string"), s.prominence, s.sentiment))
+    groups = F.transform("tag_groups", lambda g: F.concat(g.group_id, F.lit(":"), F.array_join(F.transform(g.tags, lambda t: F.concat(t.tag_id, F.lit("="), t.result.cast("string"))), ",")))
+    text = lambda a: F.coalesce(F.array_join(a, ";"), F.lit(""))
+    return v.select("correlation_id", "validation_result", text(subjects).alias("subjects"), text(groups).alias("tag_groups"), "raw_response")
 
 
 def replies(d):

@@ -1,6 +1,6 @@
 """Archived records: ingest, parsing and the long forms of their nested parts."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer import schemas
 from assayer.functions import labels as L, text as X
@@ -74,12 +74,15 @@ def llm_stage_duration(blobs: DataFrame) -> DataFrame:
     return blobs.select("correlation_id", F.coalesce(first.duration_ms, F.lit(0.0)).alias("llm_duration_ms"))
 
 
+def parsed_reply() -> Column:
+    return F.try_parse_json(X.filled(X.strip(F.col("llm_raw_response"))))
+
+
 def raw_response(blobs: DataFrame) -> DataFrame:
     """Second parse of the stored model reply: the parsed value, or the text itself where it does not parse."""
-    parsed = F.try_parse_json(X.filled(X.strip(F.col("llm_raw_response"))))
     return blobs.select(
-        "correlation_id", parsed.isNotNull().alias("is_json"),
-        F.coalesce(F.to_json(parsed), F.col("llm_raw_response")).alias("raw_response"))
+        "correlation_id", parsed_reply().isNotNull().alias("is_json"),
+        F.coalesce(F.to_json(parsed_reply()), F.col("llm_raw_response")).alias("raw_response"))
 
 
 def index_entries(blobs: DataFrame) -> DataFrame:
@@ -109,8 +112,8 @@ def baseline_view(blobs: DataFrame) -> DataFrame:
         "correlation_id", "validation_result", "rejection_reason", "summary",
         F.transform("subject_results", lambda s: F.struct(
             s.subject_id.alias("subject_id"), s["name"].alias("name"), s.is_valid.alias("is_valid"),
-            s.prominence.alias("prominence"), s.sentiment.alias("sentiment"))).alias("subjects"),
-        F.col("scored_attributes.tag_groups").alias("tag_groups"))
+            s.prominence.alias("prominence"), s.sentiment.alias("sentiment"), s.tags.alias("tags"))).alias("subjects"),
+        F.col("scored_attributes.tag_groups").alias("tag_groups"), F.coalesce(F.to_json(parsed_reply()), F.col("llm_raw_response")).alias("raw_response"))
 
 
 def answers_long(replies: DataFrame) -> DataFrame:

@@ -250,6 +250,7 @@ class Domain:
             F.when(labelled, F.transform(subject_array(), subject)).alias("subject_results"),
             F.when(labelled, F.struct(groups.alias("tag_groups"))).alias("scored_attributes"),
             F.struct(F.col("n_chars").alias("input"), (d % 300).alias("output")).alias("llm_tokens"),
+            F.when(labelled, F.col("quality") == 1).alias("validation_result"), (d % 40).alias("llm_cached_tokens"),
             F.when(d % 10 == 0, F.col("n_chars") / 1e6).alias("llm_cost_usd"),
             F.when(d % 4 == 0, F.lit('{"subjects": [1], "note": "ok"}')).when(d % 4 == 1, F.lit("not json {")).alias("llm_raw_response"),
             F.array(F.struct(F.lit("DedupStage").alias("stage"), F.lit(3.0).alias("duration_ms")),
