@@ -299,7 +299,10 @@ def _(d):
 
 def archived(d):
     """Archived records with their decisions in the same row."""
-    parsed = B.parse_blobs(q_sources.raw(d))
+    return archived_of(B.parse_blobs(q_sources.raw(d)))
+
+
+def archived_of(parsed):
     every = F.flatten(F.transform(F.col("scored_attributes.tag_groups"), lambda g: g.tags))
     base_tags = L.last_wins(F.filter(every, lambda t: t.evaluation_type == "llm"), "tag_id")
     subjects = L.last_wins(F.col("subject_results"), "subject_id")

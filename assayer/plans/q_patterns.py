@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from assayer import fixed_values as V
 from assayer.functions import labels as L
 from assayer.operators import audit as A, gating as G
-from assayer.operators.joins import join_by_size, spread
+from assayer.operators.joins import spread
 from assayer.plans import q_sources
 from assayer.plans.q_text import AQ, AQID, article_questions
 from assayer.plans.registry import query
@@ -108,12 +108,24 @@ def _(d):
     return B.inbound(B.parse_blobs(d.spark.read.parquet(path))).select("correlation_id", F.length("body").alias("body_chars"))
 
 
-@query("bounded_ingest", sql="select page_id, length(html) as n from pages")
+def in_files(d, rows, files: int, name: str) -> str:
+    """Rows of a given table as several files, for streams that take a file at a time."""
+    path = work_path(d.spark, name)
+    rows.repartition(files, F.col(rows.columns[0])).write.parquet(path)
+    return path
+
+
+@query("bounded_ingest", sql="select true as bound_reached, true as stopped_early, count(*)::bigint as after_resume, count(distinct page_id)::bigint as pages from pages")
 def _(d):
-    """Stops after the first whole batch that reaches the bound."""
-    path, mark = work_path(d.spark, "bounded"), work_path(d.spark, "mark")
-    S.bounded_ingest(stream_of(d, "pages"), path, mark, rows=1)
-    return d.spark.read.parquet(path).select("page_id", F.length("html").alias("n"))
+    """Twelve files, a file a batch, a bound of a few rows: the first run stops with files left, a second one takes the rest."""
+    pages = d.table("pages").select("page_id", F.length("html").alias("n"))
+    folder, path, mark = in_files(d, pages, 12, "page-files"), work_path(d.spark, "bounded"), work_path(d.spark, "mark")
+    stream = lambda: d.spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    seen = S.bounded_ingest(stream(), path, mark, rows=3, poll_seconds=0.02)
+    before = d.spark.read.parquet(path).count()
+    S.ingest(stream(), path, mark)
+    return d.spark.read.parquet(path).agg(F.lit(seen >= 3).alias("bound_reached"), F.lit(before < pages.count()).alias("stopped_early"),
+                                          F.count("*").alias("after_resume"), F.count_distinct("page_id").alias("pages"))
 
 
 @query("resume_ingest", sql="select event_id, event_type from events")
@@ -125,30 +137,21 @@ def _(d):
     return d.spark.read.parquet(path).select("event_id", "event_type")
 
 
-@query("stream_sequences", sql=f"select a.correlation_id, x.qid, x.kind from articles a join (select *, {AQID} as qid from aq) x using (config_id)", extra={"aq": AQ})
-def _(d):
-    path, mark = work_path(d.spark, "sequences"), work_path(d.spark, "mark")
-    questions = article_questions(d).select("config_id", "qid", "kind")
-    keys = stream_of(d, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("correlation_id"), F.col("source").alias("config_id"))
-    S.stream_rows(keys, lambda s: join_by_size(s, questions, ["config_id"]), path, mark)
-    return d.spark.read.parquet(path).select("correlation_id", "qid", "kind")
-
-
 @query("stream_latest", sql="select config_id, correlation_id, id, created_at from (select *, row_number() over (partition by config_id, correlation_id order by created_at desc, id desc) rn from audit_log) where rn = 1")
 def _(d):
     path, mark = work_path(d.spark, "latest"), work_path(d.spark, "mark")
     log = stream_of(d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("config_id"),
                                         F.concat(F.lit("c"), F.get_json_object("props", "$.k")).alias("correlation_id"))
     S.stream_latest(log, path, mark)
-    return S.read_latest(d.spark, path).select("config_id", "correlation_id", "id", "created_at")
+    return S.read_latest(d.spark, path, log.schema).select("config_id", "correlation_id", "id", "created_at")
 
 
 @query("stream_progress", sql="""select run_id, config_id, count(*) filter (where status = 'ok') as processed, count(*) filter (where status = 'failed') as failed, count(*) filter (where status = 'skipped') as skipped
  from usage group by run_id, config_id""")
 def _(d):
-    path, mark = work_path(d.spark, "progress"), work_path(d.spark, "mark")
-    k = F.col("o_custkey") % 20
-    rec = stream_of(d, "orders").select(F.col("o_orderpriority").alias("run_id"), F.concat(F.lit("cfg"), k.cast("string")).alias("config_id"),
-                                        F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "skipped").otherwise("ok").alias("status"))
-    S.stream_progress(rec, path, mark)
+    """Counters from records of which every seventh arrives twice, over several batches."""
+    twice = F.explode(F.sequence(F.lit(1), F.when(F.col("article_no") % 7 == 0, 2).otherwise(1)))
+    rows = d.usage.select("article_no", "run_id", "config_id", "status", F.col("recorded_at").cast("timestamp").alias("recorded_at"), twice.alias("copy")).drop("copy")
+    folder, path, mark = in_files(d, rows, 3, "record-files"), work_path(d.spark, "progress"), work_path(d.spark, "mark")
+    S.stream_progress(d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), path, mark, ["article_no"], "recorded_at", "20 years", merge_every=2)
     return S.read_progress(d.spark, path)

@@ -12,6 +12,7 @@ from assayer.plans.views_sql import WS, bucket, q
 from assayer.session import work_path, written
 from assayer.sources import blobs as B, tables
 from assayer.functions import labels as L, text as X
+from assayer.streaming import streams as S_
 
 KEY = ["correlation_id", "qid"]
 LABEL3 = "case prominence when 'primary' then 0 when 'significant' then 1 else 2 end"
@@ -105,6 +106,20 @@ def _(d):
     return shown(T.sequences(windows(d)))
 
 
+@query("stream_sequences", sql=SHOWN, extra=windows_sql(V.HEAD_MAX_LEN))
+def _(d):
+    """The same sequences from records that arrive in four files, two a batch, with a restart in between."""
+    from assayer.plans.q_flow import archived_of, sets
+    folder, path, mark = work_path(d.spark, "record-lines"), work_path(d.spark, "sequences"), work_path(d.spark, "mark")
+    q_sources.raw(d).select("payload").repartition(4).write.text(folder)
+    stream = lambda: d.spark.readStream.format("text").option("maxFilesPerTrigger", 2).load(folder).withColumnRenamed("value", "payload")
+    articles = lambda parsed: archived_of(parsed).withColumn("state", X.distilled_state(F.col("headline"), F.col("body"))).select("correlation_id", "config_id", "state", "subject_results", "base_tags")
+    configs = sets(d)
+    for _i in range(2):  # the second run finds nothing new
+        S_.stream_sequences(stream(), articles, configs, T.whitespace_tokenizer, path, mark)
+    return shown(T.sequences(S_.read_windows(d.spark, path)))
+
+
 @query("sequence_windows", sql="""select correlation_id, qid, len(body)::bigint as state_tokens, count(*) as windows, min(state_start) as first_token, max(state_start + len(ids) - len(head))::bigint as end_token,
  sum(len(ids) - len(head))::bigint as window_tokens from windowed group by correlation_id, qid, body, head""", extra=windows_sql(V.HEAD_MAX_LEN))
 def _(d):

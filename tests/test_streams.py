@@ -66,17 +66,59 @@ def test_latest_across_batches(spark, tmp_path):
     for vals in ((row(1, 1, "old"), row(2, 3, "newest")), (row(3, 2, "late"),)):
         spark.sql(f"select * from values {', '.join(vals)} as t(id, created_at, config_id, correlation_id, status)").select(
             F.col("id").cast("long"), "created_at", "config_id", "correlation_id", "status").write.mode("append").parquet(str(src))
-        S.stream_latest(spark.readStream.schema(schema).parquet(str(src)), out, mark)
-    assert [r.status for r in S.read_latest(spark, out).collect()] == ["newest"]
+        log = spark.readStream.schema(schema).parquet(str(src))
+        S.stream_latest(log, out, mark)
+    assert [r.status for r in S.read_latest(spark, out, log.schema).collect()] == ["newest"]
 
 
-def test_progress_across_batches(spark, tmp_path):
+RECORD = "article_no LONG, run_id STRING, config_id STRING, status STRING, at TIMESTAMP"
+
+
+def progress(spark, src, out, mark, rows, **more):
+    spark.sql("select * from values " + ", ".join(f"({n}, '{r}', '{c}', '{s}', timestamp'2024-01-{day:02d} {hour:02d}:00:00')" for n, r, c, s, day, hour in rows) + " as t(article_no, run_id, config_id, status, at)").selectExpr(
+        "cast(article_no as bigint) as article_no", "run_id", "config_id", "status", "at").coalesce(1).write.mode("append").parquet(src)
+    S.stream_progress(spark.readStream.schema(RECORD).parquet(src), out, mark, ["article_no"], "at", "6 hours", **more)
+    return sorted(map(tuple, S.read_progress(spark, out).collect())), [tuple(r) for r in S.read_batch_log(spark, out).orderBy("batch_id").collect()]
+
+
+def test_progress_counts_once_reports_late_and_forgets(spark, tmp_path):
     src, out, mark = str(tmp_path / "in"), str(tmp_path / "p"), str(tmp_path / "mark")
-    schema = "run_id STRING, config_id STRING, status STRING"
-    for rows in ([("r", "k", "ok"), ("r", "k", "failed")], [("r", "k", "ok"), ("r", "z", "skipped")]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-        S.stream_progress(spark.readStream.schema(schema).parquet(src), out, mark)
-    assert sorted(map(tuple, S.read_progress(spark, out).collect())) == [("r", "k", 2, 1, 0), ("r", "z", 0, 0, 1)]
+    got, _ = progress(spark, src, out, mark, [(1, "r", "k", "ok", 1, 0), (2, "r", "k", "failed", 1, 1), (2, "r", "k", "failed", 1, 1)])
+    assert got == [("r", "k", 1, 1, 0)]
+    got, log = progress(spark, src, out, mark, [(1, "r", "k", "ok", 1, 0), (3, "r", "z", "skipped", 1, 3)], merge_every=1)  # record 1 again, in another batch
+    assert got == [("r", "k", 1, 1, 0), ("r", "z", 0, 0, 1)] and max(r[3] for r in log) == 3
+    got, log = progress(spark, src, out, mark, [(4, "s", "k", "ok", 9, 0)])  # eight days on: the run before is over
+    got, log = progress(spark, src, out, mark, [(5, "s", "k", "ok", 9, 1), (9, "r", "k", "ok", 1, 2)])  # and one record of it comes late
+    assert got == [("r", "k", 1, 1, 0), ("r", "z", 0, 0, 1), ("s", "k", 2, 0, 0)]
+    assert sum(r[2] for r in log) == 1 and log[-1][3] == 2  # one late record; only the open run's records are state
+
+
+def test_folds_do_not_depend_on_their_rhythm(spark, tmp_path):
+    src, out, mark = str(tmp_path / "in"), str(tmp_path / "p"), str(tmp_path / "mark")
+    for i, every in enumerate((3, 1, 2, 5, 1, 2)):
+        got, _ = progress(spark, src, out, mark, [(i, "r", "k", "ok", 1, i)], merge_every=every)
+        assert got == [("r", "k", i + 1, 0, 0)]
+
+
+def test_sequences_from_a_stream(spark, tmp_path):
+    """Several files and a restart give the table of the batch; broken texts are kept apart."""
+    from assayer.operators import training as T
+    from tests.test_policy import flow
+    sets, src = flow(spark), tmp_path / "in"
+    src.mkdir()
+    record = lambda i: {"correlation_id": f"c{i}", "config_id": "k", "headline": f"Acme {i}", "body": "word " * (300 * i), "subject_results": [{"subject_id": "1", "is_valid": True, "prominence": "passing", "sentiment": "neutral"}]}
+    articles = lambda parsed: parsed.selectExpr("correlation_id", "config_id", "body as state", "subject_results", "cast(array() as array<struct<tag_id: string, result: boolean>>) as base_tags")
+    run = lambda: S.stream_sequences(B.stream_files(spark, str(src), 2), articles, sets, T.whitespace_tokenizer, str(tmp_path / "out"), str(tmp_path / "mark"))
+    for lo, hi in ((0, 3), (3, 7)):
+        for i in range(lo, hi):
+            (src / f"b{i}.json").write_text(json.dumps(record(i)) if i != 4 else "{bad")
+        run()
+    run()
+    payloads = spark.createDataFrame([(json.dumps(record(i)),) for i in range(7) if i != 4], "payload STRING")
+    want = T.encode_windows(articles(B.parse_blobs(payloads)), sets, T.whitespace_tokenizer).collect()
+    got = S.read_windows(spark, str(tmp_path / "out")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want))) and len(got) > 18
+    assert [r.payload for r in spark.read.parquet(str(tmp_path / "out" / "dead_letters")).collect()] == ["{bad"]
 
 
 def test_newest_rows_are_merged_and_complete(spark, tmp_path):
@@ -86,9 +128,10 @@ def test_newest_rows_are_merged_and_complete(spark, tmp_path):
         spark.createDataFrame(rows, "config_id STRING, correlation_id STRING, id LONG, created_at LONG").coalesce(1).write.mode("append").parquet(src)
     log = lambda: spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
     S.stream_latest(log(), out, mark, merge_every=3)
-    got = {r.correlation_id: r.id for r in S.read_latest(spark, out).collect()}
+    newest = lambda: {r.correlation_id: r.id for r in S.read_latest(spark, out, log().schema).collect()}
+    got = newest()
     assert got == {"k0": 6} | {f"k{i}": i for i in range(1, 7)}
     assert sorted(p.name for p in (tmp_path / "latest" / "merged").iterdir()) == ["2", "5"]
     spark.createDataFrame([("cfg", "k2", 9, 9)], "config_id STRING, correlation_id STRING, id LONG, created_at LONG").coalesce(1).write.mode("append").parquet(src)
-    S.stream_latest(log(), out, mark, merge_every=3)
-    assert {r.correlation_id: r.id for r in S.read_latest(spark, out).collect()} == got | {"k2": 9}
+    S.stream_latest(log(), out, mark, merge_every=1)
+    assert newest() == got | {"k2": 9}
