@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer import fixed_values as V
+from assayer.session import written
 from assayer.operators import contract as C, gating as G, policy as P, questions as Q, scoring as S, training as T
 
 SUBJECTS = "config_id STRING, pos INT, subject_id LONG, name STRING, entity_definition STRING, validation_prompt STRING, prominence_prompt STRING, sentiment_prompt STRING"
@@ -202,6 +203,119 @@ def test_tokenizing(spark):
     assert short < set(rows)
 
 
+def test_windows_lose_no_token(spark):
+    """Whatever the lengths: the windows of a state cover it from end to end and share the stated overlap."""
+    import random
+    rng = random.Random(4)
+    sets = flow(spark)
+    states = [("", 0), ("one", 1)] + [(" ".join(f"w{i}" for i in range(n)), n) for n in (1, 30, 31, 32, 500, *(rng.randrange(1, 400) for _ in range(20)))] + [(None, 0)]
+    a = spark.createDataFrame([(f"c{i}", "k", s, [("1", True, "passing", "neutral")], [("t", True)]) for i, (s, _) in enumerate(states)],
+                              "correlation_id STRING, config_id STRING, state STRING, subject_results ARRAY<STRUCT<subject_id: STRING, is_valid: BOOLEAN, prominence: STRING, sentiment: STRING>>, base_tags ARRAY<STRUCT<tag_id: STRING, result: BOOLEAN>>")
+    encode, refused = T.whitespace_tokenizer(), 0
+    for max_len, overlap in ((1024, 128), (170, 16), (170, 0), (170, 500), (40, 4)):
+        rows = T.encode_windows(a, sets, T.whitespace_tokenizer, max_len=max_len, overlap=overlap)
+        by = {}
+        for r in T.sequences(rows).collect():
+            by.setdefault((r.correlation_id, r.qid), []).append(r)
+        lost = T.quarantined(rows).collect()
+        refused += len(lost)
+        assert all(r.reason in (T.HEAD_TOO_LONG, T.NO_ROOM) and r.head_tokens >= max_len for r in lost)
+        assert len(by) + len(lost) == len(states) * 5  # three subject questions and the tag of both subjects
+        for (c, _), ws in by.items():
+            body, ws = encode(states[int(c[1:])][0] or ""), sorted(ws, key=lambda r: r.window)
+            head = ws[0].head_tokens
+            room = max_len - head
+            seen = set()
+            for k, w in enumerate(ws):
+                assert len(w.ids) <= max_len and w.windows == len(ws) and w.window == k and list(w.ids[:head]) == list(ws[0].ids[:head])
+                assert list(w.ids[head:]) == body[w.state_start:w.state_start + room]
+                assert k == 0 or w.state_start == ws[k - 1].state_start + max(1, room - overlap)
+                assert all(w.ids[m] == 1 for m in w.markers[:1])
+                seen |= set(range(w.state_start, w.state_start + len(w.ids) - head))
+            assert seen == set(range(len(body))) and ws[0].state_tokens == len(body)
+    assert refused
+
+
+def test_temperatures_are_the_minimum(spark):
+    import math
+    import random
+    from assayer.operators import evaluate as E
+    rng = random.Random(8)
+    rows = [("validation" if i % 2 else "prominence", rng.randrange(2 if i % 2 else 3), [rng.gauss(0, 3) for _ in range(2 if i % 2 else 3)]) for i in range(400)]
+    rows = [(k, l, [x + (2.0 if j == l and rng.random() < 0.7 else 0) for j, x in enumerate(z)]) for k, l, z in rows]
+    fit = {r.qtype: r for r in E.fit_temperature(spark.createDataFrame(rows, "kind STRING, label INT, logits ARRAY<DOUBLE>")).collect()}
+
+    def loss(kinds, t):
+        return sum(math.log(sum(math.exp((x - max(z)) / t) for x in z)) - (z[l] - max(z)) / t for k, l, z in rows if k in kinds)
+
+    for qtype, kinds in (("noul", ("validation",)), ("choice", ("prominence",))):
+        t = fit[qtype].temperature
+        lo, hi = 0.1, 8.0
+        for _ in range(200):
+            a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+            lo, hi = (lo, b) if loss(kinds, a) < loss(kinds, b) else (a, hi)
+        assert abs(t - lo) < 2e-4 and fit[qtype].n == 200
+    assert (fit["score"].n, fit["score"].temperature) == (0, 1.0)
+    sure = [("tag", 1, [0.0, 5.0])] * 10  # the loss only falls with the temperature
+    assert {r.qtype: r.temperature for r in E.fit_temperature(spark.createDataFrame(sure, "kind STRING, label INT, logits ARRAY<DOUBLE>")).collect()}["noul"] == 0.1
+    wrong = [("tag", 0, [0.0, 5.0])] * 10
+    assert {r.qtype: r.temperature for r in E.fit_temperature(spark.createDataFrame(wrong, "kind STRING, label INT, logits ARRAY<DOUBLE>")).collect()}["noul"] == 8.0
+
+
+def test_names_at_any_depth(spark):
+    import json
+    docs = {1: {"name": " A ", "aliases": ["B", "", 7, None, {"name": "C", "note": "no"}, [["D", {"alias_x": {"deep": "no", "name": ["E"]}}]]], "tags": {"alias": "no"}, "Former_Alias": "F"},
+            2: {"aliases": {"x": "no"}}, 3: "just text", 4: ["no key"], 5: {"name": {"name": {"name": {"name": "G"}}}}}
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in docs.items()] + [(6, "{broken"), (7, None)], "subject_id INT, details STRING")
+    got = {r.subject_id: r.names for r in P.alias_names(rows, "details", ["subject_id"]).collect()}
+    assert got == {1: ["A", "B", "C", "D", "E", "F"], 5: ["G"]}
+    s = subjects(spark, (1, "Acme", "")).withColumn("details", F.lit(json.dumps(docs[1])))
+    lits = {r.qid: r.literals for r in P.known_literals(s, tags(spark, (1, "t", "T", "llm", "x"))).collect()}
+    assert lits["subj_1_valid"] == ["A", "Acme", "B", "C", "D", "E", "F"] and lits["tag_1_t"] == ["A", "Acme", "B", "C", "D", "E", "F", "T"]
+
+
+def test_many_subjects_in_one_configuration(spark):
+    """2,000 subjects: few are looked at in a text, and the evidence is that of looking at them all."""
+    import time
+    from assayer.operators import entities as E
+    words = ["alpha", "brava", "charly", "deltic", "echoes", "foxtro", "golfer", "hotelo", "indigo", "juliet"]
+    names = [f"{words[i % 10]}{i} {words[i // 10 % 10]} Corp" if i % 3 else f"{words[i % 10]}{i}-{words[i // 7 % 10]}z (A{i}B)" for i in range(2000)]
+    s = spark.createDataFrame([("k", i, i, n) for i, n in enumerate(names)], "config_id STRING, pos INT, subject_id INT, name STRING")
+    sets = E.entity_sets(s)
+    body = " ".join(f"and {names[i * 37]}, at the conference (x, {names[i * 11].upper()}) said; a+{names[i]}+b" for i in range(40)) + " filler words of prose" * 2000
+    a = spark.createDataFrame([(f"c{i}", "k", names[i], body) for i in range(6)], "correlation_id STRING, config_id STRING, headline STRING, body STRING")
+    t0 = time.time()
+    fast = {r.correlation_id: r for r in E.presence_evidence(a, sets).collect()}
+    took = time.time() - t0
+    every = sets.withColumn("entities", F.transform("entities", lambda e: e.withField("runs", F.array(F.lit(""))))).withColumn("run_index", F.array(F.lit("")))
+    slow = {r.correlation_id: r for r in E.presence_evidence(a.limit(1), every).collect()}
+    assert all(fast[c].evidence == slow[c].evidence for c in slow) and sum(e.mentions > 0 for e in fast["c0"].evidence) > 60
+    assert took < 60
+
+
+def test_a_large_configuration_is_decided_in_linear_time(spark):
+    """100 subjects with 20 tags each; twice the tags take less than four times as long."""
+    import time
+    from assayer.operators import compare as K, entities as E
+
+    def run(n_tags):
+        s = subjects(spark, *[(i, f"Subject{i}", "") for i in range(100)]).withColumn("subject_id", F.col("subject_id").cast("int"))
+        t = tags(spark, *[(i, f"t{j}", f"T{j}", "llm", "x") for i in range(100) for j in range(n_tags)]).withColumn("subject_id", F.col("subject_id").cast("int"))
+        sets = written(G.config_sets(Q.question_sets(Q.build_questions(s, t)), E.entity_sets(s)).withColumn("excluded_text", F.lit("")), "large-config")
+        a = spark.range(24).select(F.concat(F.lit("c"), "id").alias("correlation_id"), F.when(F.col("id") == 0, "unknown").otherwise("k").alias("config_id"), F.concat(F.lit("Subject"), F.col("id")).alias("headline"), F.lit("Subject5 and Subject7").alias("body"),
+                                   F.expr("transform(sequence(0, 99, 2), i -> struct(cast(i as string) as subject_id, true as is_valid, 'passing' as prominence, 'neutral' as sentiment))").alias("subject_results"),
+                                   F.expr(f"transform(sequence(0, {n_tags - 1}, 3), i -> struct(concat('t', i) as tag_id, true as result))").alias("base_tags"))
+        t0 = time.time()
+        counts = K.run_counts_once(G.cascade(a, sets, S.hash_scorer, ("subject_results", "base_tags"), ("excluded_text",)), ["correlation_id"]).collect()
+        return time.time() - t0, {r.correlation_id: (r.subjects, r.tag_total) for r in counts}
+
+    run(5)
+    small, _ = run(20)
+    large, counts = run(40)
+    assert counts["c1"] == (50, 4000) and counts["c0"] == (0, 0) and len(counts) == 24
+    assert large < 4 * small + 2
+
+
 def test_training_and_run_see_the_same_state(spark):
     """Both flows build the state with one function, from the same columns."""
     import inspect

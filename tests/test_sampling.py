@@ -107,3 +107,39 @@ def test_latest_version_ignores_names(spark):
 def test_first_lowest_epoch(spark):
     df = spark.createDataFrame([(1, 0.5), (2, 0.3), (3, 0.3)], "epoch INT, loss DOUBLE")
     assert T.best_epoch(df).first().best_epoch == 2
+
+
+def test_ranks_by_radix_refinement(spark):
+    """A million keys, a bound of a thousand: no two ranks alike, most of them in small cells, the same ranks at any bound."""
+    rows = spark.range(1_000_000).withColumn("g", F.when(F.col("id") % 1000 == 0, None).when(F.col("id") % 10 == 1, "small").otherwise("large"))
+    h = rows.withColumn("_h", S.hash_key(5, "id"))
+    levels = S.cells(h, ["g"], lambda t: t, 100)
+    assert len(levels) == 2 and [d for d, _ in levels] == [3, 6]
+    assert max(t.agg(F.max("_n")).first()[0] for _, t in levels) <= 100 and sum(t.agg(F.sum("_n")).first()[0] for _, t in levels) == 1_000_000
+    ranked = S.hash_rank(rows, ["g"], ["id"], 5, bound=100)
+    g = {r.g: r for r in ranked.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.max("group_rows").alias("all")).collect()}
+    assert {k: (r.n, r.d, r.lo, r.hi, r["all"]) for k, r in g.items()} == {k: (n, n, 1, n, n) for k, n in ((None, 1000), ("small", 100_000), ("large", 899_000))}
+    few = rows.filter("id < 20000")
+    one, other = ({(r.id, r.rank) for r in S.hash_rank(few, [], ["id"], 5, bound=b).collect()} for b in (3, 10**9))
+    assert one == other and len(one) == 20_000
+
+
+def test_a_quota_refines_only_what_it_needs(spark):
+    rows = spark.range(50_000)
+    want = {r.id for r in S.hash_rank(rows, [], ["id"], 9).filter("rank <= 7").collect()}
+    got = S.hash_rank(rows, [], ["id"], 9, n=7, bound=2)
+    assert {r.id for r in got.collect()} == want and len(want) == 7
+    levels = S.cells(rows.withColumn("_h", S.hash_key(9, "id")), [], lambda t: t.filter("_before < 7"), 2)
+    assert sum(t.count() for _, t in levels) < 40
+
+
+def test_positions_are_dense_on_any_number_of_partitions(spark):
+    from assayer.operators.ranking import numbered
+    rows = spark.range(5000).select((F.col("id") % 50).alias("rank_in_config"), F.floor(F.col("id") / 50).alias("config_pos"), F.lit("x").alias("row"))
+    want = [(k % 100, k // 100) for k in range(5000)]
+    for n in (3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = numbered(rows.repartition(n), [F.col("rank_in_config"), F.col("config_pos")]).collect()
+        assert [(r.config_pos, r.rank_in_config) for r in sorted(got, key=lambda r: r.position)] == want and {r.position for r in got} == set(range(1, 5001))
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert numbered(rows.limit(0), [F.col("config_pos")]).count() == 0
