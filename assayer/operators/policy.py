@@ -105,7 +105,7 @@ def canonical_json(prefix: str = "") -> Column:
     c = lambda n: F.col(prefix + n)
     body = F.to_json(F.struct(c("qtype").alias("type"), c("instructions").alias("instructions"),
                               F.map_from_arrays(c("criteria_labels"), c("criteria_texts")).alias("criteria")))
-    return F.concat(F.lit('"'), c("qid"), F.lit('":'), body)
+    return F.concat(F.lit('"'), F.col("qid"), F.lit('":'), body)
 
 
 def map_chars(questions: DataFrame) -> DataFrame:
@@ -134,8 +134,8 @@ def lost_literals(literals: Column, text: Column) -> Column:
     return F.filter(literals, lambda x: ~text.contains(x))
 
 
-def violations(diff: DataFrame, literals: DataFrame, defective: DataFrame) -> DataFrame:
-    """Every rule a rewritten question breaks, as an ordered array of codes; empty means acceptable."""
+def judged(diff: DataFrame, literals: DataFrame, defective: DataFrame) -> DataFrame:
+    """(config_id, qid, codes, chars_before, chars_after): both sides of a question meet once, for its rules and its sizes."""
     d = diff.join(literals, ["config_id", "qid"], "left").join(defective.select("config_id", "qid", F.lit(True).alias("defective")), ["config_id", "qid"], "left")
     s_text, r_text = all_text("s_"), all_text("r_")
     d = d.withColumn("s_text", s_text).withColumn("r_text", r_text).withColumn("s_lc", F.lower("s_text")).withColumn("r_lc", F.lower("r_text"))
@@ -162,15 +162,21 @@ def violations(diff: DataFrame, literals: DataFrame, defective: DataFrame) -> Da
         F.when(F.col("change") != "kept", F.array("change"))
         .when(F.coalesce("defective", F.lit(False)), F.when(same, none).otherwise(F.array(F.lit("not_verbatim"))))
         .otherwise(found))
-    return d.select("config_id", "qid", codes.alias("codes"))
+    chars = lambda side: F.when(F.col(f"{side}_place").isNotNull(), F.length(canonical_json(f"{side}_")))
+    return d.select("config_id", "qid", codes.alias("codes"), chars("s").alias("chars_before"), chars("r").alias("chars_after"))
+
+
+def violations(diff: DataFrame, literals: DataFrame, defective: DataFrame) -> DataFrame:
+    """Every rule a rewritten question breaks, as an ordered array of codes; empty means acceptable."""
+    return judged(diff, literals, defective).select("config_id", "qid", "codes")
 
 
 def validate_rewrite(source: DataFrame, rewritten: DataFrame, literals: DataFrame, defective: DataFrame) -> DataFrame:
     """One row per configuration: number of broken questions, sizes, and whether the rewrite may be used."""
-    v = violations(question_diff(source, rewritten), literals, defective)
-    bad = v.groupBy("config_id").agg(F.count_if(F.size("codes") > 0).alias("broken"))
-    sizes = rewrite_sizes(source, rewritten)
-    return bad.join(sizes, "config_id").withColumn("accepted", (F.col("broken") == 0) & (F.col("chars_after") < F.col("chars_before")))
+    size = lambda c: (F.coalesce(F.sum(c), F.lit(0)) + F.count(c) + 1)  # parts, commas and braces; an empty map has two braces
+    v = judged(question_diff(source, rewritten), literals, defective).groupBy("config_id").agg(
+        F.count_if(F.size("codes") > 0).alias("broken"), F.count("chars_before").alias("_asked"), size("chars_before").alias("chars_before"), F.greatest(size("chars_after"), F.lit(2)).alias("chars_after"))
+    return v.filter("_asked > 0").drop("_asked").withColumn("accepted", (F.col("broken") == 0) & (F.col("chars_after") < F.col("chars_before")))
 
 
 def rewrite_sizes(source: DataFrame, rewritten: DataFrame) -> DataFrame:

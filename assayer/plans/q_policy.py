@@ -100,8 +100,8 @@ def short_sql(c: str) -> str:
 ORDER = "row_number() over (partition by config_id order by pos, slot, qid)::int as place"
 REW = {
     **QUESTIONS, **SRC, **LITS,
-    "placed": f"select *, {ORDER} from questions",
-    "changed": f"select *, {FAULT} as f, pos = 1 and slot = 0 as hit, {short_sql('instructions')} as ins from questions",
+    "placed": f"select *, {ORDER} from long_questions",
+    "changed": f"select *, {FAULT} as f, pos = 1 and slot = 0 as hit, {short_sql('instructions')} as ins from long_questions",
     "rewritten": f"""select config_id, qid, {ORDER}, case when hit and f between 5 and 9 then 'score' else qtype end as qtype,
  case when a.code is not null and not (hit and f between 35 and 39) then instructions when hit and f between 15 and 19 then 'Relevant?' when hit and f between 20 and 24 then ins || ' Respond with JSON.' when hit and f between 25 and 29 then '  '
   when hit and f between 30 and 34 then ins || repeat(' More text.', 500) else ins end as instructions,
@@ -141,8 +141,8 @@ REW["checked"] = "select config_id, broken, chars_before, chars_after, broken =
 
 
 def rewrite_case(d):
-    """Source, rewritten and defective questions; the built questions are written once, as four readers use them."""
-    src = written(P.places(Q.build_questions(d.policy_subjects, d.policy_tags)), "questions")
+    """Source, rewritten and defective questions of the long map, which is the one that is rewritten; written once, as four readers use them."""
+    src = written(P.places(Q.build_questions(d.policy_subjects, d.policy_tags, verbose=True)), "questions")
     bad = written(P.detect_anomalies(d.policy_subjects, d.policy_tags), "anomalies")
     f, hit = T.bucket(F.concat("config_id", F.lit("|f"))), (F.col("pos") == 1) & (F.col("slot") == 0)
     on = lambda lo, hi: hit & f.between(lo, hi)
@@ -197,7 +197,7 @@ KEYS = {**REW, "keyed_configs": f"select config_id, sha256('v3|' || string_agg(s
 
 @query("artifact_key", sql="select config_id, cache_key from keyed_configs", extra=KEYS)
 def _(d):
-    return P.cache_key(P.places(Q.build_questions(d.policy_subjects, d.policy_tags)), "v3")
+    return P.cache_key(P.places(Q.build_questions(d.policy_subjects, d.policy_tags, verbose=True)), "v3")
 
 
 @query("artifact_reuse", sql="""select s.config_id, s.qid, md5(case when u.config_id is not null and a.code is null then r.instructions else s.instructions end) as instructions_md5, u.config_id is not null and a.code is null as reused
