@@ -1,7 +1,7 @@
 """WARC archives with revisit records: digests decide which of equal payloads is stored, the others refer to it.
 
-Headers (digest, id, size) are aggregated by payload digest, pages join the first of their digest, and Spark's text sink
-writes one WARC record a row: its line separator is the blank lines that end a record.  Reading parses whole gzip files
+Headers (digest, id, url, size) are resolved by payload digest and give the revisit records; the other pages are written
+where they are read, and Spark's text sink writes one WARC record a row: its line separator is the blank lines that end a record.  Reading parses whole gzip files
 by Content-Length, a bounded number of records per file.
 """
 
@@ -14,10 +14,14 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from assayer.llm.shared import small_or_shuffled
+from assayer.session import written
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_BYTES = 100
-RECORDS_PER_FILE = 20_000
+#: Records of a file at most, and bytes of their payloads before compression.
+RECORDS_PER_FILE, FILE_BYTES = 20_000, 256 << 20
 CREATED = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -31,13 +35,22 @@ def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 def resolved(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """headers() and record_type, refers_to: of equal payloads of at least min_bytes the smallest page_id is the response
-    and the others revisit it.  Rows that repeat that page_id are responses too; a null page_id never is the first."""
-    first = (pages.select("payload_digest", "payload_bytes", "page_id").where(F.col("payload_bytes") >= min_bytes)
-             .groupBy("payload_digest").agg(F.min("page_id").alias("first_id")))
-    revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    return pages.join(first, "payload_digest", "left").select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    and the others revisit it.  Rows that repeat that page_id are responses too; a null page_id never is the first.
+
+    Only headers are shuffled: (page_id, url, size, digest) are written once, resolved by digest, and give the revisit
+    records, which have no payload.  The pages that are no revisits pass through where they are, as long as the revisits'
+    ids and digests are few enough to broadcast; beyond that the two meet in a shuffle.
+    """
+    narrow = written(pages.select("page_id", "url", "payload_bytes", "payload_digest"), "warc-headers")
+    first = narrow.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
+    again = narrow.join(first, "payload_digest").where(F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")))
+    again = written(again.select("page_id", "url", F.lit(None).cast("string").alias("payload"), "payload_bytes", "payload_digest",
+                                 F.lit("revisit").alias("record_type"), F.col("first_id").alias("refers_to")), "warc-revisits")
+    keys = again.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).distinct()
+    keys = small_or_shuffled(keys, again.count() * 5)  # an id and 64 digits take as much as five rows of two numbers
+    kept = pages.join(keys, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left_anti")
+    kept = kept.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return kept.unionByName(again)
 
 
 def _line(name: str, value: Column) -> Column:
@@ -58,8 +71,14 @@ def record(created: str = CREATED) -> Column:
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write_archives(rows: DataFrame, path: str, created: str = CREATED, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write resolved rows as gzip-compressed WARC files through Spark's committer, so a task that runs again leaves one copy."""
+def write_archives(rows: DataFrame, path: str, created: str = CREATED, records_per_file: int | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Write resolved rows as gzip-compressed WARC files through Spark's committer, so a task that runs again leaves one copy.
+
+    A file holds at most RECORDS_PER_FILE records, and of records of the average stored size no more than file_bytes.
+    """
+    if records_per_file is None:
+        stored = rows.agg(F.avg(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0))).first()[0] or 0
+        records_per_file = max(1, min(RECORDS_PER_FILE, int(file_bytes // (stored + 500))))
     (rows.select(record(created).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", records_per_file).text(path))
 

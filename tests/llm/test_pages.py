@@ -44,6 +44,7 @@ def test_archive_files_are_records(spark, pages):
     path = tempfile.mkdtemp(prefix="warc-", dir="/tmp") + "/out"
     warc.write_archives(warc.resolved(warc.headers(pages)), path, records_per_file=4)
     files = [r.content for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").collect()]
+    files = [f for f in files if gzip.decompress(f)]  # Spark writes a file for a table's first part, also if that is empty
     assert len(files) >= 4 and all(gzip.decompress(f).startswith(b"WARC/1.1\r\nWARC-Type: ") and gzip.decompress(f).endswith(b"\r\n\r\n") for f in files)
     assert warc.read_archives(spark, path).count() == len(PAGES)
 

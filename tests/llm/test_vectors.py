@@ -140,3 +140,37 @@ def test_nearest_of_few_and_none(spark):
     assert got[0][3] == 0 and got[1][3] == 5 ** 0.5
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
     assert hnsw.nearest(df, df.limit(0)).count() == 0
+
+
+def recall(spark, x, shard_rows, every):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest(df, df.where(f"vec_id % {every} = 0"), shard_rows=shard_rows).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    hit = 0
+    for qid, scores in got.items():
+        far = np.sort(np.sqrt(((np.delete(x, qid, 0) - x[qid]) ** 2).sum(1)))[:10]
+        hit += (np.sort(scores) <= far[-1] * (1 + 1e-9)).sum()
+    assert len(got) == -(-len(x) // every)
+    return hit / (10 * len(got))
+
+
+def test_recall_away_from_the_origin_and_among_near_copies(spark):
+    """Production constants, several shards of 3,000: a tight cluster of norm 160, and thousands of near copies beside others."""
+    rng = np.random.default_rng(6)
+    far = rng.normal(size=(1, 64))
+    far = far / np.linalg.norm(far) * 160 + rng.normal(size=(6000, 64)) * 0.01
+    assert recall(spark, far, 3000, 40) >= 0.95
+    mixed = np.concatenate([rng.normal(size=(3000, 64)) + 5, rng.normal(size=(1, 64)) + rng.normal(size=(4000, 64)) * 1e-3])
+    assert recall(spark, mixed, 3000, 40) >= 0.95
+
+
+def test_recall_in_a_large_shard(spark):
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(300, 32)) * 3)[np.arange(30_000) % 300] + rng.normal(size=(30_000, 32)) * 0.3 + 40
+    assert recall(spark, x, 30_000, 300) >= 0.95
+
+
+def test_shards_grow_with_the_table():
+    rows = lambda n: min(hnsw.SHARD_ROWS_AT_MOST, max(hnsw.SHARD_ROWS, int((hnsw.SHARD_ROWS * n) ** 0.5)))
+    assert [-(-n // rows(n)) for n in (10, 3000, 12_000, 10**6, 10**9)] == [1, 1, 2, 19, 5000]
