@@ -22,7 +22,8 @@ from assayer.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LEAF_ROWS = 512
+#: Rows of a leaf: a share of the largest label, so that trees divide labels of every size, between these bounds.
+LEAF_SHARE, LEAF_ROWS_AT_LEAST, LEAF_ROWS = 8, 16, 512
 #: A node of which more than this share lies within the margin of its median is a ball of near copies that no cut
 #: divides; it becomes one leaf as it is, compared block by block.
 TIGHT = 0.4
@@ -72,9 +73,14 @@ def _projector(trees: int, depth: int, seed: int, margin: float | None, cosine:
     return project
 
 
-def leaves(points: DataFrame, trees: int | None, leaf_rows: int, margin: float | None, seed: int, cosine: float) -> DataFrame:
-    """(id, leaf) for every leaf of every tree that a point lies in.  points: id, grp, vec (unit length)."""
-    most = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+def leaf_size(most: int) -> int:
+    """Rows of a leaf if the largest label has `most`."""
+    return max(LEAF_ROWS_AT_LEAST, min(LEAF_ROWS, most // LEAF_SHARE))
+
+
+def leaves(points: DataFrame, trees: int | None, leaf_rows: int, margin: float | None, seed: int, cosine: float, most: int) -> DataFrame:
+    """(id, leaf) for every leaf of every tree that a point lies in.  points: id, grp, vec (unit length); `most` is the
+    number of rows of the largest group."""
     if most <= leaf_rows:  # every group is one leaf, so one tree finds all that others would
         return points.select("id", F.xxhash64("grp").alias("leaf"))
     trees = trees_of(most, leaf_rows) if trees is None else trees
@@ -147,7 +153,7 @@ def _comparer(least: float):
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label",
-                           cosine: float = 0.93, trees: int | None = None, leaf_rows: int = LEAF_ROWS, margin: float | None = None, seed: int = 17) -> DataFrame:
+                           cosine: float = 0.93, trees: int | None = None, leaf_rows: int | None = None, margin: float | None = None, seed: int = 17) -> DataFrame:
     """One row per row of df: (id_col, n_links, component_id, kept).
 
     Vectors of equal, non-null group and equal length are linked if their cosine, in double precision, is at least
@@ -155,6 +161,9 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     whether the id is that.  Equal vectors are one class and count with its size.  Vectors that are null, empty or zero
     or hold null or non-finite components, and rows of null group or null id, link with nothing: n_links 0, component_id
     their id.  Repeated ids with equal vectors count as copies of each other.  Further columns are ignored.
+
+    leaf_rows follows from the largest label if not given.  Vectors of a label that all lie nearer to each other than a
+    projection can tell (a common cosine above about 0.87) are one ball, all of whose pairs are compared, block by block.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).alias("grp"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.withColumn("grp", F.when(usable(F.col("vec")) & F.col("id").isNotNull() & F.col("grp").isNotNull(), F.xxhash64("grp", F.size("vec"))))
@@ -162,7 +171,9 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     classes = written(rows.where("grp is not null").groupBy("cls", "grp", "vec").agg(F.min("id").alias("id"), F.count("*").alias("w")), "forest-classes")
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     points = classes.select("id", "grp", F.transform("vec", lambda x: x / length).alias("vec"))
-    placed = written(leaves(points, trees, leaf_rows, margin, seed, cosine).distinct(), "forest-leaves")
+    most = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    leaf_rows = leaf_rows or leaf_size(most)
+    placed = written(leaves(points, trees, leaf_rows, margin, seed, cosine, most).distinct(), "forest-leaves")
     sizes = placed.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     own = placed.groupBy("id").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     dealt = in_blocks(placed, ["leaf"], "id", sizes, leaf_rows).join(classes.select("id", "vec", "w").join(own, "id"), "id")

@@ -88,6 +88,15 @@ def test_given_vectors(spark):
     assert forest.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_trees_divide_small_labels_too(spark):
+    """The given labels have some fifty vectors each: they are cut by trees, not compared as a whole."""
+    assert [forest.leaf_size(n) for n in (0, 50, 218, 3000, 10**6)] == [16, 16, 27, 375, 512]
+    df = table(spark, "/root/testdata/sf0.01", "embeddings").selectExpr("vec_id as id", "cast(label as bigint) as grp", "cast(embedding as array<double>) as vec")
+    most = max(r["count"] for r in df.groupBy("grp").count().collect())
+    placed = forest.leaves(df, None, forest.leaf_size(most), None, 17, 0.93, most)
+    assert most > forest.leaf_size(most) and placed.select("leaf").distinct().count() > 2 * df.select("grp").distinct().count()
+
+
 def test_repeated_rows_link_as_copies(spark):
     df = frame(spark, cloud(n=300, ball=20)).where("vec_id < 300")
     one = {r.vec_id: r for r in forest.near_duplicate_vectors(df).collect()}
