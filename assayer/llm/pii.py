@@ -36,9 +36,10 @@ PATTERNS = (
     ("card", "(?<![\\p{L}\\p{N}.+\\-])(?:\\d{4}[ \\-]?){3}\\d{1,7}(?![\\p{L}\\p{N}]|[.\\-]\\d)"),
     ("phone", "(?<![\\p{L}\\p{N}])(?:\\+\\d{1,3}[ .\\-]?\\(\\d{1,4}\\)[ .\\-]?\\d{2,5}(?:[.\\-]?\\d{2,5}){0,3}"
               "|\\+\\d{1,3}(?:(?: \\d{2,5}){2,5}|(?:\\.\\d{2,5}){2,5}|(?:-\\d{2,5}){2,5})|\\+\\d{7,15}"
-              "|\\(\\d{3}\\) ?\\d{3}[ .\\-]\\d{4}|\\d{3}[ .\\-]\\d{3}[ .\\-]\\d{4})(?!\\p{N})"),
+              "|\\(\\d{3}\\) ?\\d{3}[ .\\-]\\d{4}|\\d{3}[ .\\-]\\d{3}[ .\\-]\\d{4}|0\\d{2,4}[ /\\-]\\d{5,8}(?![.\\-]\\d))(?!\\p{N})"),
     ("ssn", "(?<![\\p{L}\\p{N}\\-])\\d{3}-\\d{2}-\\d{4}(?![\\p{L}\\p{N}\\-])"),
     ("ip", "(?<![\\p{L}\\p{N}.])(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)(?![\\p{L}\\p{N}]|\\.\\d)"),
+    ("ip6", "(?<![\\p{L}\\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){2,6})(?![\\p{L}\\p{N}:])"),
     ("person", f"(?<!\\p{{L}}){_TITLE} {_NAME}(?: (?!{_TITLE} ){_NAME})*+"),
 )
 ANY = "|".join(p for _, p in PATTERNS)
@@ -77,6 +78,7 @@ def parts_of(kind: Column, entity: Column) -> Column:
     return (F.when(kind == "person", names)
             .when(kind == "email", one(kind, F.lower(entity)))
             .when(kind.isin("secret", "ip"), one(kind, entity))
+            .when(kind == "ip6", one(kind, F.lower(entity)))
             .when((kind == "phone") & entity.startswith("+"), one(kind, F.concat(F.lit("+"), _plain(entity))))
             .otherwise(one(kind, F.upper(_plain(entity)))))
 
@@ -154,6 +156,7 @@ def surrogate(key: str) -> Column:
     return (F.when(kind.startswith("given_") | (kind == "surname"), _syllables(key, ENDINGS))
             .when(kind == "email", F.concat(more, _spelled(key, F.substring(canon, F.lit(1), F.length(canon) - F.length(zone)), F.lit(0)), zone))
             .when(kind == "ip", octets)
+            .when(kind == "ip6", F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), _pick("0123456789abcdef", _draw(key, i, 16))).otherwise(c)), ""))
             .when((kind == "card") & valid, F.concat(body, _check_digit(body)))
             .when(kind == "card", digits)
             .when(kind == "iban", _spelled(key, canon, F.lit(2)))
@@ -202,7 +205,7 @@ def _rebuilt(kind: Column, entity: Column, parts: Column, fakes: Column) -> Colu
     cased = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("\\p{Lu}"), F.upper(F.substring(first, i + 1, F.lit(1)))).otherwise(F.substring(first, i + 1, F.lit(1)))), "")
     return (F.when(kind == "person", F.concat_ws(" ", words[0], F.transform(parts, lambda p: F.initcap(fake(p)))))
             .when(kind == "email", F.when(F.length(first) == F.length(entity), cased).otherwise(first))
-            .when(kind.isin("ip", "secret"), first)
+            .when(kind.isin("ip", "ip6", "secret"), first)
             .otherwise(_filled(entity, first)))
 
 

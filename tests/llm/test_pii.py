@@ -143,3 +143,14 @@ def test_no_python_on_the_way(spark, sf):
 def test_linear_on_long_runs(spark):
     df = spark.createDataFrame([(1, "a." * 100_000 + "@" + " 1" * 50_000 + "-" * 50_000)], "doc_id long, text string")
     assert pii.pseudonymised(df, "k").select(F.length("text")).first()[0] == 350_001
+
+
+def test_numbers_of_other_forms(spark):
+    """National numbers and IPv6 addresses are replaced in their form; times, ratios and short numbers stay."""
+    text = "call 0171 2345678 or 030/1234567; host 2001:db8:0:1::ff and fe80::1:2; at 12:30:45, ratio 1:2."
+    rows = pii.pseudonymised(spark.createDataFrame([(1, text), (2, "at 12:30:45 or 1:2:3:4"), (3, "version 0171 23")], "doc_id long, text string"), "k").collect()
+    by = {r.doc_id: r for r in rows}
+    out = by[1].text
+    assert not any(gone in out for gone in ("0171 2345678", "030/1234567", "2001:db8:0:1::ff", "fe80::1:2"))
+    assert re.fullmatch(r"call \d{4} \d{7} or \d{3}/\d{7}; host [0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]:[0-9a-f]::[0-9a-f]{2} and [0-9a-f]{4}::[0-9a-f]:[0-9a-f]; at 12:30:45, ratio 1:2\.", out), out
+    assert by[1].n_entities == 4 and by[2].n_entities == 0 and by[3].n_entities == 0
