@@ -98,7 +98,7 @@ FOOTER = (
     r"share\s+this\s+article|follow\s+us\s+on|copyright\s+©|all\s+rights\s+reserved)[:\s-]"
 )
 ANY_QUOTED = r'"([^"\n]+)"|' + r"'([^'\n]+)'|“([^”\n]+)”|‘([^’\n]+)’"
-NUMBER = r"(?<!\w)[$€£]?\d+(?:[,.]\d+)*(?:%|[–—-]\d+(?:[,.]\d+)*)?(?!\w)"
+NUMBER = r"(?<![\w])(?:[$€£])?\d+(?:[,.]\d+)*(?:%|[–—-]\d+(?:[,.]\d+)*)?(?![\w])"
 CONFIGURATOR = (
     r"\b(?:configurator|administrator|config owner)\b|"
     r"\b(?:please\s+)?(?:configure|specify|define|enter|supply)\s+(?:the\s+)?"

@@ -9,6 +9,9 @@ from assayer import fixed_values as V
 WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
+#: What ends a line, and white space that does not.
+LINE_END, BLANK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]", r"[ \t\x1F\p{Zs}]"
+
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
@@ -45,9 +48,9 @@ def fill(template: str, **values: Column) -> Column:
 
 
 def sanitize_heading(c: Column) -> Column:
-    """Drop leading heading marks on every line, then trim."""
-    lines = F.regexp_replace(F.coalesce(c, F.lit("")), r"\R", "\n")
-    return strip(F.regexp_replace(lines, r"(?m)^[^\S\n]*#+[^\S\n]*", ""))
+    """Drop leading heading marks on every line, then trim; lines end as in `LINE_END`, blanks are those of Unicode."""
+    lines = F.regexp_replace(F.coalesce(c, F.lit("")), LINE_END, "\n")
+    return strip(F.regexp_replace(lines, rf"(?m)^{BLANK}*#+{BLANK}*", ""))
 
 
 def paragraphs(body: Column) -> Column:

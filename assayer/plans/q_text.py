@@ -10,7 +10,7 @@ from assayer.plans.registry import query
 from assayer.plans.views_sql import WS, q, strip, words_in
 from assayer.sources import configs as C
 
-HEADINGS = f"""regexp_replace(regexp_replace(t, '\\r\\n|[\\n\\x{{0B}}\\x{{0C}}\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), '(?m)^[^\\S\\n]*#+[^\\S\\n]*', '', 'g')"""
+HEADINGS = f"""regexp_replace(regexp_replace(t, '\\r\\n|[\\n\\x{{0B}}\\x{{0C}}\\r\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), '(?m)^[ \\t\\x{{1F}}\\p{{Zs}}]*#+[ \\t\\x{{1F}}\\p{{Zs}}]*', '', 'g')"""
 
 
 def heading_sql(c: str) -> str:
@@ -22,13 +22,13 @@ STATE = """'Headline: ' || headline || repeat(chr(10), 3) || 'Lead Paragraph:' |
  || array_to_string(p[2:], repeat(chr(10), 2))"""
 STATES = {"states": f"select *, {STATE} as state from (select *, {PARAS} as p from articles)"}
 
-ROUGH = """select conv_id, turn, case turn % 4 when 0 then '## ' || text when 1 then '  # ' || replace(text, chr(10), chr(10) || '### ') when 2 then chr(9) || text || chr(10) else text end as t from conversations"""
+ROUGH = """select conv_id, turn, case turn % 4 when 0 then '## ' || text when 1 then '  # ' || replace(text, chr(10), chr(28) || chr(160) || chr(8195) || '### ') when 2 then chr(9) || text || chr(10) else text end as t from conversations"""
 
 
 @query("sanitize_heading", sql=f"select conv_id, turn, md5({heading_sql('t')}) as clean_md5 from rough", extra={"rough": ROUGH})
 def _(d):
     t, k = F.col("text"), F.col("turn") % 4
-    rough = (F.when(k == 0, F.concat(F.lit("## "), t)).when(k == 1, F.concat(F.lit("  # "), F.regexp_replace(t, "\n", "\n### ")))
+    rough = (F.when(k == 0, F.concat(F.lit("## "), t)).when(k == 1, F.concat(F.lit("  # "), F.regexp_replace(t, "\n", "\x1c\xa0\u2003### ")))
              .when(k == 2, F.concat(F.lit("\t"), t, F.lit("\n"))).otherwise(t))
     return d.table("conversations").select("conv_id", "turn", F.md5(X.sanitize_heading(rough)).alias("clean_md5"))
 

@@ -154,3 +154,11 @@ def test_label_index_and_one_hot(spark):
     assert one(spark, lambda v: L.label_index(F.lit("sentiment"), v), " Neutral ") == 2
     assert one(spark, lambda v: L.label_index(F.lit("prominence"), v), "none") is None
     assert one(spark, lambda v: L.one_hot(v, F.lit(4)), 1) == [0.0, 1.0, 0.0, 0.0]
+
+
+def test_headings_on_every_kind_of_line(spark):
+    """Lines and blanks are those of Unicode, so the result is that of plain Python."""
+    import re
+    texts = ["  ## a\x1c\xa0 # b\x85### c\x1e#d  #e", "x\r\n# y\r#z\x0b # q\x1f# r", "#", "\u3000#\u3000k", "", "\u2028 ## \u2029"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING").orderBy("i").select(X.sanitize_heading(F.col("t"))).collect()]
+    assert got == ["\n".join(re.sub(r"^\s*#+\s*", "", line) for line in t.splitlines()).strip() for t in texts]
