@@ -16,6 +16,10 @@ from assayer.operators.joins import join_by_size, once, rows_of
 RUN = r"[\p{L}\p{Nd}]+"
 
 
+#: Entries of an index that cost less to look for one by one than to cut a text into its runs.
+SHORT_INDEX = 32
+
+
 def runs_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
 
@@ -77,8 +81,10 @@ def presence_evidence(articles: DataFrame, sets: DataFrame, keep: tuple = (), se
         F.lower(F.concat("headline", F.lit(" "), X.clean_body(F.col("body")))).alias("full_lc"),
         F.lower("headline").alias("headline_lc"), F.lower(X.lead(F.col("body"))).alias("lead_lc"))
     j = join_by_size(a, sets.select("config_id", "entities", "run_index", *set_columns), ["config_id"], how)
-    met = F.array_intersect(F.concat(runs_of(F.concat_ws(" ", "full_lc", "lead_lc")), F.array(F.lit(""))), F.col("run_index"))
-    j = once(j, met=met)
+    # a short index is looked for in the text, entry by entry; a long one meets the text's runs, whatever its length
+    there = F.filter("run_index", lambda r: F.col("full_lc").contains(r) | F.col("lead_lc").contains(r))
+    shared = F.array_intersect(F.concat(runs_of(F.concat_ws(" ", "full_lc", "lead_lc")), F.array(F.lit(""))), F.col("run_index"))
+    j = once(j, met=F.when(F.size("run_index") <= SHORT_INDEX, there).otherwise(shared))
     ev = evidence_array(F.col("full_lc"), F.col("headline_lc"), F.col("lead_lc"), F.col("entities"), F.col("met"))
     out = once(j, evidence=ev, adversity=X.adversity(F.col("full_lc"))).select(
         "correlation_id", "config_id", *keep, *set_columns, "evidence", "adversity")

@@ -45,15 +45,19 @@ EVIDENCE = {
 }
 
 
+def entities(d):
+    return E.entity_sets(d.config_subjects.withColumn("pos", F.col("subject_id")))
+
+
 def sets(d):
     """Questions and surface forms per configuration, written once and read by every later step."""
-    e = E.entity_sets(d.config_subjects.withColumn("pos", F.col("subject_id")))
+    e = entities(d)
     prompts = F.concat(F.lit("Sum up the story for "), "config_id", F.lit(". Say why it was rejected."))  # summary and rejection prompts
     return written(G.config_sets(Q.question_sets(article_questions(d)), e).withColumn("excluded_text", prompts), "config-sets")
 
 
 def evidence(d):
-    return E.evidence_rows(E.presence_evidence(d.articles_spread, sets(d)))
+    return E.evidence_rows(E.presence_evidence(d.articles_spread, written(entities(d), "entity-sets")))
 
 
 @query("mention_counts", sql="select correlation_id, subject_id, mentions from evidence", extra=EVIDENCE)
