@@ -3,7 +3,7 @@
 Counts of 1- to 3-grams of the lower-cased letters are hashed to a fixed number of dimensions, weighted by 1 + log tf and
 inverse document frequency, and scaled to unit length.  Each language's training vectors are clustered by cosine; a text
 takes the language of its nearest centroid.  A text that lies much farther from it than training texts of its length did
-is rejected.
+is rejected.  Centroids are fitted on a bounded sample; document frequencies and rejection floors cover all training texts.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ DIMS = 4096
 CENTROIDS = 4
 #: Bounds of the labelled sample that the centroids are fitted on: texts of a language, and languages, the most frequent.
 PER_LANGUAGE, LANGUAGES = 500, 200
-#: A text is rejected below this share of the lowest training cosine at its length.
-REJECT = 0.5
+#: A text is rejected below this share of the training cosine that only LOWEST of the training texts of its length miss.
+REJECT, LOWEST = 0.5, 0.001
+#: Classes of length (powers of two of grams) and steps of the cosine in which training texts are counted.
+SIZES, STEPS = 40, 1000
 CHUNK = 1 << 20
 UNKNOWN = "und"
 
@@ -83,32 +85,35 @@ class Model:
         cos = weighted(counts, self.idf) @ self.centroids.T
         best = cos.argmax(1)
         score = np.clip(cos.max(1).astype(float), 0, 1)
-        size = np.log2(np.maximum(counts.sum(1), 1)).astype(int).clip(0, len(self.floors) - 1)
-        return [self.langs[i] for i in best], score, score >= self.floors[size]
+        return [self.langs[i] for i in best], score, score >= self.floors[size_class(counts)]
 
 
-def fit(counts: np.ndarray, langs: list[str], k: int = CENTROIDS, reject: float = REJECT, seed: int = 3) -> Model:
-    """Model from counted texts and their languages."""
+def idf_of(frequency: np.ndarray, texts: int) -> np.ndarray:
+    return np.log((1 + texts) / (1 + frequency)).astype(np.float32) + 1
+
+
+def size_class(counts: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(counts.sum(1), 1)).astype(int).clip(0, SIZES - 1)
+
+
+def fit(counts: np.ndarray, langs: list[str], idf: np.ndarray, k: int = CENTROIDS, seed: int = 3) -> Model:
+    """Centroids of counted texts and their languages; a model without floors, which rejects nothing."""
     if not len(langs):
-        return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(40))
-    idf = np.log((1 + len(langs)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
+        return Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(SIZES))
     x, names = weighted(counts, idf), np.array(langs)
     parts = {l: _clusters(x[names == l], k, seed) for l in sorted(set(langs))}
-    centroids = np.concatenate(list(parts.values()))
-    owner = [l for l, c in parts.items() for _ in c]
-    near = (x @ centroids.T).max(1)
-    size = np.log2(np.maximum(counts.sum(1), 1)).astype(int)
-    return Model(idf, centroids, owner, floors_of(near, size, reject))
-
-
-def floors_of(near: np.ndarray, size: np.ndarray, reject: float) -> np.ndarray:
-    """Least cosine by the size class of a text: a share of the lowest training cosine in it.  A class of fewer than five
-    texts borrows from the nearest filled one; below that, a cosine shrinks as the root of the number of grams."""
-    filled = [s for s in range(40) if (size == s).sum() >= 5]
-    if not filled:
-        return np.zeros(40)
-    own = {s: reject * near[size == s].min() for s in filled}
-    nearest = [min(filled, key=lambda f: (abs(f - s), f)) for s in range(40)]
+    return Model(idf, np.concatenate(list(parts.values())), [l for l, c in parts.items() for _ in c], np.zeros(SIZES))
+
+
+def floors_of(counted: np.ndarray, reject: float = REJECT, lowest: float = LOWEST) -> np.ndarray:
+    """Least cosine by the size class of a text: a share of the cosine step that more than `lowest` of the class's training
+    texts have reached from below.  counted: texts by class and step.  A class of fewer than five texts borrows from the
+    nearest filled one; below that, a cosine shrinks as the root of the number of grams."""
+    filled = np.flatnonzero(counted.sum(1) >= 5)
+    if not len(filled):
+        return np.zeros(SIZES)
+    own = {s: reject * int((counted[s].cumsum() > lowest * counted[s].sum()).argmax()) / STEPS for s in filled}
+    nearest = [min(filled, key=lambda f: (abs(f - s), f)) for s in range(SIZES)]
     return np.array([own[f] * 0.5 ** (max(0, f - s) / 2) for s, f in enumerate(nearest)])
 
 
@@ -121,15 +126,37 @@ def lettered(text: Column) -> Column:
     return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
 
 
+def _tallied(rows: DataFrame, shape: tuple[int, ...], tally) -> np.ndarray:
+    """Counts over all texts of rows (column `text`): each task adds tally(gram counts) up in one array of this shape and
+    hands on its filled places, which Spark sums."""
+    size = int(np.prod(shape))
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                total += tally(gram_counts([t.encode("utf-8", "surrogatepass") for t in batch.column(0).slice(lo, 256).to_pylist()]))
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(total[place])], names=["place", "n"])
+
+    got = rows.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, np.int64)
+    out[got["place"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out.reshape(shape)
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           languages: int = LANGUAGES) -> Model:
     """Centroids from a bounded sample: about per_language rows of each language, chosen by a hash of the id, for the
-    `languages` most frequent languages; texts of any further language take the nearest of these, or are rejected."""
+    `languages` most frequent languages; texts of any further language take the nearest of these, or are rejected.
+    Document frequencies and floors are counted over all training texts of the learned languages."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & lettered(F.col(text_col)))
-    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
-        return fit(np.zeros((0, DIMS)), [])
+        return fit(np.zeros((0, DIMS)), [], np.ones(DIMS, np.float32))
+    rows = rows.where(F.col("lang").isin([r["lang"] for r in sizes]))
+    idf = idf_of(_tallied(rows, (DIMS,), lambda x: (x > 0).sum(0)), sum(r["count"] for r in sizes))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
     dealt = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.where(dealt < share[F.col("lang")]).limit(3 * per_language * len(sizes))
@@ -149,7 +176,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     x = np.zeros((len(got), DIMS), np.float32)
     for i, (slots, counts) in enumerate(zip(got["slots"], got["counts"])):
         x[i, slots] = counts
-    return fit(x, list(got["lang"]))
+    model = fit(x, list(got["lang"]), idf)
+    if not model.langs:
+        return model
+
+    def near(x):
+        step = ((weighted(x, idf) @ model.centroids.T).max(1).clip(0, 1) * STEPS).astype(int)
+        return np.bincount(size_class(x) * (STEPS + 1) + step, minlength=SIZES * (STEPS + 1))
+
+    model.floors = floors_of(_tallied(rows, (SIZES, STEPS + 1), near))
+    return model
 
 
 def language_of(text: Column, model: Model) -> Column:

@@ -2,7 +2,7 @@
 
 A text's strength is a linear score of shape features.  The weights are learned from preference pairs (a good and a bad
 labelled text) by logistic loss on their feature differences.  The cut is the score quantile at which as many labelled
-texts lie below as are labelled bad; scores are logistic in the distance from the cut.
+texts lie below as are labelled bad, taken over all of them; scores are logistic in the distance from the cut.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.llm.langid import held_out
 from assayer.llm.minhash import word_hashes
+from assayer.llm.shared import BROADCAST_ROWS
+from assayer.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -106,7 +108,7 @@ class Model:
 
 
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 11) -> Model:
-    """Weights from preference pairs by Newton steps on the logistic loss of their differences."""
+    """Weights from preference pairs by Newton steps on the logistic loss of their differences, and the cut among x."""
     if not good.any() or good.all():  # no preference to learn: everything passes
         zero = np.zeros(NAMES)
         return Model(zero, zero + 1, np.zeros((2, NAMES)), np.zeros(4 * NAMES), 1.0, -1.0)
@@ -129,10 +131,11 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Model from at most `labelled` labelled rows, those with the smallest hash of the id."""
+    """Weights from at most `labelled` labelled rows, those with the smallest hash of the id; the cut from all labelled texts."""
     known = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("_good"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(labelled)  # a top-k per task, then of those
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(F.broadcast(known), "_id")
+    known = written(known, "quality-labels")
+    drawn = known.orderBy(F.xxhash64("_id"), "_id").limit(labelled)  # a top-k per task, then of those
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
     def run(batches):
         for batch in batches:
@@ -141,23 +144,44 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col:
                 x = shape([(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["good", "x"])
 
-    got = rows.select("_good", "_text").mapInArrow(run, "good int, x array<double>").limit(3 * labelled).toPandas()
+    got = texts.join(F.broadcast(drawn), "_id").select("_good", "_text").mapInArrow(run, "good int, x array<double>").limit(3 * labelled).toPandas()
     if not len(got):
         return fit(np.zeros((0, NAMES)), np.zeros(0, bool))
     x, good = np.stack(got["x"].to_numpy()), got["good"].to_numpy() == 1
     order = np.lexsort((*x.T, good))  # the same whatever came first
-    return fit(x[order], good[order])
-
-
-def score_of(text: Column, model: Model) -> Column:
-    """The score of a text (0 to 1, higher is better); a document passes at CUT or above."""
+    model = fit(x[order], good[order])
+    if good.any() and not good.all():
+        model.cut = _cut(texts, known, model)
+    return model
+
+
+def _cut(texts: DataFrame, known: DataFrame, model: Model) -> float:
+    """The quantile of the strengths of all labelled texts at the share of the bad among them, to 1e-4 of the ranks."""
+    if known.count() <= BROADCAST_ROWS:  # only labelled texts are looked at
+        strengths = texts.join(F.broadcast(known), "_id").select("_good", _judged(F.col("_text"), model.strength).alias("s"))
+    else:  # strengths are shuffled, texts are not
+        strengths = texts.where(~held_out("_id")).select("_id", _judged(F.col("_text"), model.strength).alias("s")).join(known, "_id").select("_good", "s")
+    strengths = written(strengths, "quality-strengths")
+    bad = strengths.agg(F.avg((F.col("_good") != 1).cast("double"))).first()[0]
+    low = strengths.agg(F.percentile_approx("s", F.lit(bad), 10_000)).first()[0]
+    above = strengths.where(F.col("s") > low).agg(F.min("s")).first()[0]
+    return low if above is None else low + (1 - bad) * (above - low)
+
+
+def _judged(text: Column, judge) -> Column:
+    """judge(features) of a text, as a double."""
     @F.arrow_udf("double")
-    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            out = [model.score(shape([(t or "").encode("utf-8", "surrogatepass") for t in texts.slice(lo, ROWS).to_pylist()])) for lo in range(0, len(texts), ROWS)]
+            out = [judge(shape([(t or "").encode("utf-8", "surrogatepass") for t in texts.slice(lo, ROWS).to_pylist()])) for lo in range(0, len(texts), ROWS)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    return score(F.coalesce(text.cast("string"), F.lit("")))
+    return run(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def score_of(text: Column, model: Model) -> Column:
+    """The score of a text (0 to 1, higher is better); a document passes at CUT or above."""
+    return _judged(text, model.score)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
