@@ -15,11 +15,14 @@ from assayer.sources import blobs as B
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of one name pattern as a stream."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """A Parquet table of that name in a folder as a stream, be it one file or a folder of part files.
+
+    The last letter is written as a pattern: a path without one has to be a folder.
+    """
+    r = spark.readStream.schema(schema)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
-    return r.parquet(folder)
+    return r.parquet(f"{folder.rstrip('/')}/{name[:-1]}[{name[-1]}]")
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -32,6 +32,20 @@ def test_ingest_is_incremental(spark, tmp_path):
     assert B.inbound(B.parse_blobs(spark.read.parquet(out))).select("body").distinct().collect()[0].body == "b"
 
 
+def test_a_table_streams_as_one_file_and_as_a_folder(spark, tmp_path):
+    rows = spark.range(100)
+    rows.repartition(3).write.parquet(str(tmp_path / "folder.parquet"))
+    rows.repartition(3).write.parquet(str(tmp_path / "other.parquet"))
+    (part,) = [p for p in (tmp_path / "other.parquet").iterdir() if p.name.startswith("part-00000")]
+    (tmp_path / "file.parquet").write_bytes(part.read_bytes())
+    for name in ("folder", "file"):
+        out, mark = str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-mark")
+        for _ in range(2):  # the second run finds nothing new
+            S.ingest(S.table_stream(spark, str(tmp_path), f"{name}.parquet", rows.schema, 1), out, mark)
+        want = spark.read.parquet(str(tmp_path / f"{name}.parquet"))
+        assert sorted(r.id for r in spark.read.parquet(out).collect()) == sorted(r.id for r in want.collect())
+
+
 def test_bounded_ingest_stops_early(spark, tmp_path):
     src, out, mark = folder(tmp_path, 12), str(tmp_path / "bronze"), str(tmp_path / "mark")
     seen = S.bounded_ingest(B.stream_files(spark, str(src), 1), out, mark, rows=2, poll_seconds=0.02)
