@@ -22,6 +22,11 @@ ANSWERS = T.ArrayType(T.StructType([
     T.StructField("confidence", T.DoubleType())]))
 
 
+#: Articles handed to a model at once.  An Arrow batch may hold 10,000 of them, whose questions as Python objects take gigabytes.
+BATCH_ROWS = 256
+#: Distinct lists of questions that a worker keeps as Python objects.
+KEPT_LISTS = 2_000
+
 REPLY = T.StructType([T.StructField("answers", ANSWERS), T.StructField("tokens", T.LongType()), T.StructField("ms", T.DoubleType())])
 
 
@@ -30,11 +35,14 @@ def score(requests: DataFrame, factory, questions: str, out: str, mask: str | No
 
     With `mask` (a column of booleans, one for each question) only the questions it marks are asked, and `out` has one
     place for each question, null where none was asked, so an answer is found by its question's place.
+
+    The model gets at most BATCH_ROWS articles at a time.  Articles that are asked the same share one list of questions,
+    which it must not change: a list becomes Python objects once and is then found by comparing it where Arrow holds it.
     """
     key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
 
     @F.arrow_udf(REPLY)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         import types
         from pyspark.sql.pandas.types import to_arrow_type
 
@@ -42,22 +50,39 @@ def score(requests: DataFrame, factory, questions: str, out: str, mask: str | No
         if key not in cache:
             cache[key] = factory()
         model, reply_type = cache[key], to_arrow_type(REPLY)
-        for ids, states, asks, masks in batches:
-            ids, states, asks, masks = (x.to_pylist() for x in (ids, states, asks, masks))
-            todo = [i for i, a in enumerate(asks) if a]
-            rows = [{"answers": [None] * len(m or []), "tokens": 0, "ms": 0.0} for m in masks]
-            for i, (a, t, m) in zip(todo, model([ids[i] for i in todo], [states[i] for i in todo], [asks[i] for i in todo])):
-                if masks[i] is not None:
-                    given = iter(a)
-                    a = [next(given) if asked else None for asked in masks[i]]
-                rows[i] = {"answers": a, "tokens": t, "ms": m}
-            yield pa.array(rows, reply_type)
+        lists: dict[tuple, tuple[pa.Array, list]] = {}
+
+        def questions_of(config, asks: pa.Array, i: int, mask: list | None) -> list | None:
+            if not asks[i].is_valid:
+                return None
+            given, at = asks[i].values, (config, None if mask is None else tuple(mask))
+            if at not in lists or not given.equals(lists[at][0]):
+                if len(lists) >= KEPT_LISTS:
+                    lists.clear()
+                # a copy: a slice would hold on to its whole batch
+                lists[at] = pa.concat_arrays([given, given[:0]]), given.to_pylist()
+            return lists[at][1]
+
+        for columns in batches:
+            for at in range(0, len(columns[0]), BATCH_ROWS):
+                configs, ids, states, asks, masks = (c.slice(at, BATCH_ROWS) for c in columns)
+                configs, ids, states, masks = (x.to_pylist() for x in (configs, ids, states, masks))
+                asked = [questions_of(c, asks, i, m) for i, (c, m) in enumerate(zip(configs, masks))]
+                todo = [i for i, a in enumerate(asked) if a]
+                rows = [{"answers": [None] * len(m or []), "tokens": 0, "ms": 0.0} for m in masks]
+                for i, (a, t, m) in zip(todo, model([ids[i] for i in todo], [states[i] for i in todo], [asked[i] for i in todo])):
+                    if masks[i] is not None:
+                        given = iter(a)
+                        a = [next(given) if wanted else None for wanted in masks[i]]
+                    rows[i] = {"answers": a, "tokens": t, "ms": m}
+                yield pa.array(rows, reply_type)
 
     # The argument comes out of a generator, as lambdas inside a Python call are not planned; and a model call is
     # never repeated or moved, so filters on its answers stay above it.
     asked = F.col(questions) if mask is None else F.filter(questions, lambda _, i: F.get(F.col(mask), i))
     marks = F.lit(None).cast("array<boolean>") if mask is None else F.col(mask)
-    r = once(requests, _ask=asked, _mask=marks).withColumn("_reply", run.asNondeterministic()("correlation_id", "state", "_ask", "_mask"))
+    config = F.col("config_id").cast("string") if "config_id" in requests.columns else F.lit(None).cast("string")  # where to look for a list first
+    r = once(requests, _ask=asked, _mask=marks).withColumn("_reply", run.asNondeterministic()(config, "correlation_id", "state", "_ask", "_mask"))
     return r.select(*requests.columns, F.col("_reply.answers").alias(out), F.col("_reply.tokens").alias(f"{out}_tokens"), F.col("_reply.ms").alias(f"{out}_ms"))
 
 

@@ -352,3 +352,25 @@ def test_stand_in_answers_depend_on_the_state():
     ask = [{"qid": "subj_1_valid", "qtype": "noul"}, {"qid": "subj_1_sentiment", "qtype": "choice", "criteria_labels": ["a", "b", "c"]}]
     seen, empty, again = (S.hash_scorer()(["c1"], [s], [ask])[0][0] for s in ("whole text", "", "whole text"))
     assert seen == again and seen != empty
+
+
+def test_scorer_gets_few_articles_at_a_time_and_each_its_own_questions(spark):
+    """600 articles in one Arrow batch: no call has more than BATCH_ROWS, and lists are kept apart by what they hold."""
+    def counting():
+        return lambda ids, states, asks: [([{"qid": q["qid"], "type": "choice", "choice": f"{len(ids)}|{q['instructions']}|{s}", "confidence": 1.0} for q in a], 1, 1.0) for s, a in zip(states, asks)]
+
+    i = F.col("id")
+    text = F.concat(F.lit("i"), (i % 7).cast("string"))  # one configuration name, questions that differ all the same
+    question = lambda n: F.struct(F.lit(n).alias("qid"), F.concat(text, F.lit(n)).alias("instructions"))
+    r = spark.range(0, 600, 1, 1).select(i.cast("string").alias("correlation_id"), F.lit("k").alias("config_id"), F.concat(F.lit("s"), i.cast("string")).alias("state"),
+                                         F.array(question("a"), question("b")).alias("questions"), F.array(i % 2 == 0, i % 3 == 0).alias("mask"))
+    sizes = set()
+    for x in S.score(r, counting, "questions", "out", "mask").collect():
+        n = int(x.correlation_id)
+        assert [a is not None for a in x.out] == [n % 2 == 0, n % 3 == 0]
+        for name, a in zip("ab", x.out):
+            if a:
+                size, asked, state = a.choice.split("|")
+                sizes.add(int(size))
+                assert (asked, state) == (f"i{n % 7}{name}", f"s{n}")
+    assert max(sizes) <= S.BATCH_ROWS
