@@ -162,3 +162,24 @@ def test_headings_on_every_kind_of_line(spark):
     texts = ["  ## a\x1c\xa0 # b\x85### c\x1e#d  #e", "x\r\n# y\r#z\x0b # q\x1f# r", "#", "\u3000#\u3000k", "", "\u2028 ## \u2029"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING").orderBy("i").select(X.sanitize_heading(F.col("t"))).collect()]
     assert got == ["\n".join(re.sub(r"^\s*#+\s*", "", line) for line in t.splitlines()).strip() for t in texts]
+
+
+def test_whole_words_and_lists_as_plain_patterns_have_them(spark):
+    """The patterns that start with the name find what a plain reading of the text finds."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    pieces = ["kia", "kiakia", "c++", "kiá", "and", "sand", " ", ", ", ",", "(", ")", "\n", "x", "ü", "_", "\u0301", "\U0001f600", "band "]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 24))) for _ in range(400)]
+    names = ("kia", "kiakia", "c++", "and")
+    rows = spark.createDataFrame([(i, t, n) for i, t in enumerate(texts) for n in names], "i int, t string, n string")
+    old_windows = F.regexp_extract_all("t", F.concat(F.lit("(?Us)(?=("), *[F.col("n") if x == "n" else F.lit(x) for x in (r"\b\Q", "n", r"\E\b")], F.lit(r".{0,25}))\b\Q"), F.col("n"), F.lit(r"\E\b")), F.lit(1))
+    quoted = F.concat(F.lit(r"\Q"), F.col("n"), F.lit(r"\E"))
+    enum = F.concat(F.lit(r"(?U)(?:,\s*|\band\s+)"), quoted, F.lit(r"(?:,\s*|\band\s+|\s*\))"))
+    paren = F.concat(F.lit(r"(?U)\(\s*(?:[^)]*,\s*)?"), quoted, F.lit(r"(?:,\s*[^)]*)?\)"))
+    got = rows.select("*", X.word_windows(F.col("t"), F.col("n")).alias("w"), old_windows.alias("w0"), X.word_count(F.col("t"), F.col("n")).alias("c"),
+                      X.list_context(F.col("t"), F.array("n")).alias("l"), (F.regexp_like("t", enum) | F.regexp_like("t", paren)).alias("l0")).collect()
+    assert len(got) == 1600 and any(r.w for r in got) and any(r.l for r in got)
+    for r in got:
+        assert (r.w, r.c, r.l) == (r.w0, len(r.w0), r.l0), r
