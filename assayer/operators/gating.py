@@ -263,11 +263,16 @@ def link_action(score: Column) -> Column:
     return F.when(level <= 0, "leave").when(level == 1, "flag").otherwise("merge")
 
 
+#: Pairs of a document's term and a query's that one task scores: some hundred MB of scores, whatever the tables hold.
+PAIRS_A_TASK = 4_000_000
+
+
 def lexical_candidates(docs: DataFrame, queries: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 top-n documents per query.
 
     Only counts of terms that some query uses are shuffled, once, by document.  There a document's scores are complete,
-    so no (query, document) pair is shuffled but each task's n best of a query.
+    so no (query, document) pair is shuffled but each task's n best of a query.  Documents are dealt over so many tasks that
+    each scores about PAIRS_A_TASK pairs of a document's term and a query's, counted before.
     """
     word = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     q_terms = queries.select("query_id", F.explode(F.array_distinct(word)).alias("term"))
@@ -280,8 +285,10 @@ def lexical_candidates(docs: DataFrame, queries: DataFrame, n: int, k1: float =
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weight = df.select("term", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
     weighted = written(q_terms.join(weight, "term"), "query-terms")
+    pairs = weighted.groupBy("term").agg(F.count("*").alias("queries")).join(df, "term").agg(F.sum(F.col("queries") * F.col("df"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS_A_TASK))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-    parts = join_by_size(tf.repartition("doc_id"), weighted, ["term"]).select("query_id", "doc_id", part.alias("part"))
+    parts = join_by_size(tf.repartition(tasks, "doc_id"), weighted, ["term"]).select("query_id", "doc_id", part.alias("part"))
     hits = parts.groupBy("query_id", "doc_id").agg(L.rounded(F.sum("part"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -1,5 +1,7 @@
 """Question assembly, rewrite checks, boolean tags and rules on small fixtures."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,3 +376,14 @@ def test_scorer_gets_few_articles_at_a_time_and_each_its_own_questions(spark):
                 sizes.add(int(size))
                 assert (asked, state) == (f"i{n % 7}{name}", f"s{n}")
     assert max(sizes) <= S.BATCH_ROWS
+
+
+def test_lexical_scores_are_dealt_over_more_tasks_as_pairs_grow(spark, monkeypatch):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("red "), F.when(F.col("id") % 3 == 0, "blue blue").otherwise("green"), F.lit(" w"), F.col("id").cast("string")).alias("text"))
+    queries = spark.createDataFrame([(1, "blue w3"), (2, "green red"), (3, "w7")], "query_id int, text string")
+    found = lambda: sorted(map(tuple, G.lexical_candidates(docs, queries, 4).collect()))
+    want = found()
+    monkeypatch.setattr(G, "PAIRS_A_TASK", 5)
+    assert found() == want and len(want) == 9
+    plan = G.lexical_candidates(docs, queries, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(int(n) for n in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", plan)) >= 20
