@@ -26,7 +26,9 @@ BINS = 192
 #: shingles.  Smaller sets fill few bins, so their agreement is uneven: they are always confirmed.
 SLACK, SIGNED_WELL = 0.12, 64
 #: Bytes of text hashed at once by one task; its arrays take about 64 times that.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
+#: Rows whose texts, sets and signatures a task holds at once; an Arrow batch may have 10,000.
+SIGN_ROWS = 256
 ODD, A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
@@ -125,7 +127,7 @@ def _signer(k: int, rows: int):
     salt = mix(np.arange(BINS // rows, dtype=np.uint64) + np.uint64(99))
 
     def sign(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, SIGN_ROWS) for whole in batches for at in range(0, whole.num_rows, SIGN_ROWS)):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             sizes, fps, bands, sketches = [], [], [], []
             for s in shingle_sets(texts, k):

@@ -262,3 +262,17 @@ def test_quality_on_held_out_documents(spark, odd):
     assert len(out) == odd.count() and all(0 <= r.quality_score <= 1 for r in out)
     assert quality.scored(odd.limit(0), model).count() == 0
     assert all(r.quality_score >= quality.CUT for r in quality.scored(odd, quality.train(docs, labels.limit(0))).collect())
+
+
+def test_signatures_are_made_of_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from assayer.llm import minhash as M
+
+    texts = [f"w{i} a b c d w{i * 7}" if i % 5 else None for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(range(1000), pa.int64()), pa.array(texts)], names=["id", "content", "text"])
+    sign = M._signer(3, M.band_rows(0.85))
+    parts = list(sign([batch]))
+    assert max(p.num_rows for p in parts) <= 256
+    single = [row for i in range(1000) for p in sign([batch.slice(i, 1)]) for row in p.to_pylist()]
+    assert [row for p in parts for row in p.to_pylist()] == single
