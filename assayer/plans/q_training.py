@@ -106,13 +106,23 @@ def _(d):
     return shown(T.sequences(windows(d)))
 
 
+#: Bytes of text that go into one file of records; a task writes a file.
+RECORD_FILE_BYTES = 64 * 1024 * 1024
+
+
+def record_files(text_bytes: int) -> int:
+    """An even number of files that grows with the texts, so that none does."""
+    return max(4, 2 * -(-text_bytes // (2 * RECORD_FILE_BYTES)))
+
+
 @query("stream_sequences", sql=SHOWN, extra=windows_sql(V.HEAD_MAX_LEN))
 def _(d):
-    """The same sequences from records that arrive in four files, two a batch, with a restart in between."""
+    """The same sequences from records that arrive in files, four at least, half of them a batch, with a restart in between."""
     from assayer.plans.q_flow import archived_of, sets
     folder, path, mark = work_path(d.spark, "record-lines"), work_path(d.spark, "sequences"), work_path(d.spark, "mark")
-    q_sources.raw(d).select("payload").repartition(4).write.text(folder)
-    stream = lambda: d.spark.readStream.format("text").option("maxFilesPerTrigger", 2).load(folder).withColumnRenamed("value", "payload")
+    files = record_files(d.table("documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    q_sources.raw(d).select("payload").repartition(files).write.text(folder)
+    stream = lambda: d.spark.readStream.format("text").option("maxFilesPerTrigger", files // 2).load(folder).withColumnRenamed("value", "payload")
     articles = lambda parsed: archived_of(parsed).withColumn("state", X.distilled_state(F.col("headline"), F.col("body"))).select("correlation_id", "config_id", "state", "subject_results", "base_tags")
     configs = sets(d)
     for _i in range(2):  # the second run finds nothing new

@@ -149,3 +149,9 @@ def test_newest_rows_are_merged_and_complete(spark, tmp_path):
     spark.createDataFrame([("cfg", "k2", 9, 9)], "config_id STRING, correlation_id STRING, id LONG, created_at LONG").coalesce(1).write.mode("append").parquet(src)
     S.stream_latest(log(), out, mark, merge_every=1)
     assert newest() == got | {"k2": 9}
+
+
+def test_records_go_to_more_files_as_texts_grow():
+    from assayer.plans import q_training as Q
+
+    assert [Q.record_files(n) for n in (0, 1 << 20, 4 * Q.RECORD_FILE_BYTES, 4 * Q.RECORD_FILE_BYTES + 1, 6_000_000_000)] == [4, 4, 4, 6, 90]
