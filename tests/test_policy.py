@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayer import fixed_values as V
 from assayer.session import written
 from assayer.operators import contract as C, gating as G, policy as P, questions as Q, scoring as S, training as T
+from assayer.sources.tables import Domain
 
 SUBJECTS = "config_id STRING, pos INT, subject_id LONG, name STRING, entity_definition STRING, validation_prompt STRING, prominence_prompt STRING, sentiment_prompt STRING"
 TAGS = "config_id STRING, pos INT, subject_id LONG, tag_pos INT, tag_id STRING, tag_name STRING, evaluation_type STRING, prompt_text STRING"
@@ -387,3 +388,45 @@ def test_lexical_scores_are_dealt_over_more_tasks_as_pairs_grow(spark, monkeypat
     assert found() == want and len(want) == 9
     plan = G.lexical_candidates(docs, queries, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert max(int(n) for n in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", plan)) >= 20
+
+
+FORM_TEXTS = ["", "return exactly one", "returns exactly", "xreturn exactly", "return\n exactly.", "please respond  with json", "respondwith", "output only", "output\texactly it", "outputs only",
+              "true only", "true \n only x", "untrue only", "only  only", "include only", "neutral only.", "no other text", "no  explanation", "piano other text", "no other context", "api choice", "rapi choice",
+              "api\nchoice!", "xjson json_", "(json)", "return return exactly exactly", "output return exactly only", "true only only true only", "include api choice if it is not json, unless before"]
+
+
+def test_forms_are_found_and_taken_out_as_their_patterns_say(spark):
+    t = spark.createDataFrame([(x,) for x in FORM_TEXTS], "t STRING")
+    plain = F.col("t")
+    for p in V.OUTPUT_FORMS:
+        plain = F.regexp_replace(plain, p, "")
+    each = [P.has_form(F.col("t"), s) == F.col("t").rlike(p) for s, p in zip(V.OUTPUT_FORM_SEARCH, V.OUTPUT_FORMS, strict=True)]
+    rows = t.select("t", F.array(*each).alias("same"), (P.without_forms(F.col("t")) == plain).alias("out")).collect()
+    assert [r.t for r in rows if not (all(r.same) and r.out)] == []
+
+
+def test_words_that_settle_a_check_match_its_pattern(spark):
+    for words, pattern in [(V.NEGATIONS, V.NEGATION_KEPT), *[([m], kept) for m, (_, _, kept) in V.POLICY_MARKERS.items()]]:
+        texts = [f(w) for w in words for f in (str, lambda w: f"x\n{w}.", lambda w: f"x{w}", lambda w: f"{w}x {w}_")]
+        t = spark.createDataFrame([(x,) for x in texts], "t STRING")
+        assert t.filter(P.keeps(F.col("t"), words, pattern) != F.col("t").rlike(pattern)).count() == 0
+
+
+def test_both_texts_of_a_question_are_dealt_out_once(spark):
+    src, rew = (P.places(spark.createDataFrame(x, QS)) for x in (SOURCE, GOOD))
+    lits = spark.createDataFrame([("k", "a", ["Acme"])], "config_id STRING, qid STRING, literals ARRAY<STRING>")
+    bad = spark.createDataFrame([("k", "b")], "config_id STRING, qid STRING")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = P.validate_rewrite(src, rew, lits, bad)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    deals = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "qid" in line.split("ENSURE")[0].split("hashpartitioning")[1].split("),")[0]]
+    assert len(deals) == 4  # source, literals, defective and rewritten questions; not what came of their joins
+
+
+def test_policies_are_made_by_all_tasks(spark):
+    d = Domain(spark, "/root/testdata/sf0.001")
+    n = spark.sparkContext.defaultParallelism
+    assert d.policy_subjects.rdd.getNumPartitions() >= n and d.policy_tags.rdd.getNumPartitions() >= n
