@@ -91,3 +91,16 @@ def test_artifacts_are_written_once_and_found_by_content(spark, tmp_path):
     parts = P.parts_of(store, P.cache_key(one, "v1"))
     plan = store.read(parts)._jdf.queryExecution().executedPlan().toString()
     assert len(parts) == 1 and f"PartitionFilters: [isnotnull(part" in plan and f"= {parts[0]})" in plan.split("PartitionFilters")[1]
+
+
+def test_files_of_a_write_grow_with_parts_not_with_tasks(spark, tmp_path):
+    df = spark.range(4000).selectExpr("cast(id % 16 as string) as r", "id as n", "repeat('x', 9) as t").repartition(8)
+    store = Store(spark, str(tmp_path / "s"), "r string, n long, t string", ["n"], ["r"])
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many tasks as a large table has
+    try:
+        store.put(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    names = [f for _, _, fs in os.walk(tmp_path / "s" / "data") for f in fs if f.endswith(".parquet")]
+    assert store.read().count() == 4000 and len(names) == 16
