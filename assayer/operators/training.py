@@ -72,8 +72,8 @@ def whitespace_tokenizer():
 
 
 def labelled_questions(subject_results: Column, base_tags: Column, questions: Column) -> Column:
-    """The questions of an article that its archive answers, with label and target, inside the article's row."""
-    def one(q):
+    """The questions of an article that its archive answers, with their place and label, inside the article's row."""
+    def one(q, place):
         s = F.get(F.filter(subject_results, lambda x: x.subject_id == q.subject_id.cast("string")), F.lit(0))
         t = F.get(F.filter(base_tags, lambda x: x.tag_id == q.tag_id), F.lit(0))
         value = (
@@ -81,18 +81,59 @@ def labelled_questions(subject_results: Column, base_tags: Column, questions: Co
             .when(q.kind == "prominence", s.prominence).when(q.kind == "sentiment", s.sentiment)
             .otherwise(F.when(t.isNotNull(), F.coalesce(t.result, F.lit(False)).cast("string"))))
         code = F.when(q.qtype == "choice", 0).when(q.qtype == "score", 1).otherwise(2)
-        return F.struct(q.qid.alias("qid"), q.kind.alias("kind"), code.alias("qtype"), L.label_index(q.kind, value).alias("label"),
-                        q.instructions.alias("instructions"), q.criteria_labels.alias("criteria_labels"), q.criteria_texts.alias("criteria_texts"))
+        return F.struct(place.alias("place"), q.qid.alias("qid"), q.kind.alias("kind"), code.alias("qtype"), L.label_index(q.kind, value).alias("label"))
 
     return F.filter(F.transform(questions, one), lambda x: x.label.isNotNull())
 
 
 #: Why a question of an article gives no sequence.
 HEAD_TOO_LONG, NO_ROOM = "question and options exceed the head budget", "no room for the state beside the head"
-WINDOWS = """correlation_id string, config_id string, qid string, kind string, qtype int, label int, window int, windows int, state_start long, state_tokens long,
- head_tokens long, ids array<long>, markers array<long>, reason string"""
-#: Token ids that the tokenizer step gathers before it hands them on.
-FLUSH_IDS = 1 << 20
+HEADS = "array<struct<head: array<bigint>, markers: array<bigint>>>"
+#: Texts that the tokenizer step encodes before it hands their ids on.
+BATCH_ROWS = 256
+
+
+def with_heads(sets: DataFrame, factory) -> DataFrame:
+    """(config_id, questions, heads): ids of each question's text and the places of its options in them, at its place.
+
+    Of the questions only what names them stays: their texts are encoded here, once for each configuration."""
+    named = F.transform("questions", lambda q: F.struct(*[q[c].alias(c) for c in ("qid", "subject_id", "tag_id", "kind", "qtype")]))
+    texts = F.transform("questions", lambda q: F.struct(*[q[c].alias(c) for c in ("instructions", "criteria_labels", "criteria_texts")]))
+
+    @F.arrow_udf(HEADS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode, ids = factory(), pa.list_(pa.int64())
+        kind = pa.list_(pa.struct([("head", ids), ("markers", ids)]))
+
+        def head_of(q) -> dict:
+            head, marks = encode(q["instructions"]), []
+            for label, text in zip(q["criteria_labels"], q["criteria_texts"]):
+                marks.append(len(head))
+                head = [*head, 1, *encode(f"{label}: {text}")]
+            return {"head": head, "markers": marks}
+
+        for batch in batches:
+            for at in range(0, len(batch), BATCH_ROWS):
+                yield pa.array([[head_of(q) for q in asked.as_py() or ()] for asked in batch.slice(at, BATCH_ROWS)], kind)
+
+    rows = once(sets, _named=named, _texts=texts)
+    return rows.select(F.col("config_id"), F.col("_named").alias("questions"), run.asNondeterministic()("_texts").alias("heads"))
+
+
+def token_ids(text: Column, factory) -> Column:
+    """Ids of a text; a missing one has none.  Only the text goes to the tokenizer, and only its ids come back."""
+    @F.arrow_udf("array<bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+
+        encode = factory()
+        for batch in batches:
+            for at in range(0, len(batch), BATCH_ROWS):
+                ids = [np.asarray(encode(t.as_py() or ""), np.int64) for t in batch.slice(at, BATCH_ROWS)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+
+    return run.asNondeterministic()(text)
 
 
 def encode_windows(articles: DataFrame, sets: DataFrame, factory, max_len: int = V.MAX_LEN, head_len: int = V.HEAD_MAX_LEN, overlap: int = V.WINDOW_OVERLAP) -> DataFrame:
@@ -105,66 +146,27 @@ def encode_windows(articles: DataFrame, sets: DataFrame, factory, max_len: int =
     of the options in ids, state_start is the window's first token in the state.  A question whose head takes more than
     head_len tokens, or leaves no room, gives one row with its reason and no ids.
 
-    An article goes to the tokenizer once with all its questions; windows leave the worker as they are made, so neither a
-    long state nor many questions are held at once.
+    The tokenizer gets the questions of a configuration once and each state once; heads and states meet as ids, and a
+    window is cut from them when its row is made, so neither a long state nor many questions are held at once.
     """
-    j = join_by_size(articles, sets.select("config_id", "questions"), ["config_id"])
+    j = join_by_size(articles, with_heads(sets.select("config_id", "questions"), factory), ["config_id"])
     j = once(j, labelled=labelled_questions(F.col("subject_results"), F.col("base_tags"), F.col("questions")))
-    j = j.select(F.col("correlation_id").cast("string"), F.col("config_id").cast("string"), "state", "labelled").filter(F.size("labelled") > 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        encode, heads, rows, held = factory(), {}, [], 0
-
-        def flush() -> pa.RecordBatch:
-            ids = [np.asarray(r[-3] if r[-3] is not None else (), np.int64) for r in rows]
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.int32())
-            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64()), mask=pa.array([r[-3] is None for r in rows], pa.bool_()))
-            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows))[:11], [pa.string()] * 4 + [pa.int32()] * 4 + [pa.int64()] * 3)]
-            columns += [ids, pa.array([r[-2] for r in rows], pa.list_(pa.int64())), pa.array([r[-1] for r in rows], pa.string())]
-            rows.clear()
-            return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in WINDOWS.split(",")])
-
-        def head_of(q) -> tuple[list[int], list[int]]:
-            key = (q["instructions"], *q["criteria_labels"], *q["criteria_texts"])
-            if key not in heads:
-                if len(heads) > 50_000:
-                    heads.clear()
-                head, marks = encode(q["instructions"]), []
-                for label, text in zip(q["criteria_labels"], q["criteria_texts"]):
-                    marks.append(len(head))
-                    head = [*head, 1, *encode(f"{label}: {text}")]
-                heads[key] = head, marks
-            return heads[key]
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                article, config, state, asked = (batch.column(c)[i].as_py() for c in range(4))
-                body = encode(state or "")
-                for q in asked:
-                    head, marks = head_of(q)
-                    room = max_len - len(head)
-                    reason = HEAD_TOO_LONG if len(head) > head_len else NO_ROOM if room < 1 else None
-                    key = (article, config, q["qid"], q["kind"], q["qtype"], q["label"])
-                    if reason:
-                        rows.append((*key, None, 0, None, len(body), len(head), None, None, reason))
-                        continue
-                    step = max(1, room - overlap)
-                    n = 1 + max(0, -(-(len(body) - room) // step))
-                    for w in range(n):
-                        at = w * step
-                        ids = head + body[at:at + room]
-                        rows.append((*key, w, n, at, len(body), len(head), ids, marks, None))
-                        held += len(ids)
-                        if held > FLUSH_IDS:
-                            yield flush()
-                            held = 0
-            if rows:
-                yield flush()
-                held = 0
-
-    return j.mapInArrow(run, WINDOWS)
+    j = j.select(F.col("correlation_id").cast("string"), F.col("config_id").cast("string"), "state", "labelled", "heads").filter(F.size("labelled") > 0)
+    j = j.withColumn("body", token_ids(F.col("state"), factory)).drop("state")
+    j = j.select("correlation_id", "config_id", "heads", "body", F.inline("labelled"))
+    head = F.get("heads", F.col("place"))
+    j = j.select("correlation_id", "config_id", "qid", "kind", "qtype", "label", "body", F.size("body").cast("bigint").alias("state_tokens"),
+                 head.head.alias("head"), head.markers.alias("markers"), F.size(head.head).cast("bigint").alias("head_tokens"))
+    room = F.lit(max_len) - F.col("head_tokens")
+    j = j.withColumn("reason", F.when(F.col("head_tokens") > head_len, HEAD_TOO_LONG).when(room < 1, NO_ROOM))
+    step = F.greatest(F.lit(1).cast("bigint"), room - overlap)
+    more = F.greatest(F.lit(0), F.ceil((F.col("state_tokens") - room) / step))
+    j = j.withColumn("windows", F.when(F.col("reason").isNull(), 1 + more).otherwise(0).cast("int"))
+    j = j.withColumn("window", F.explode_outer(F.when(F.col("windows") > 0, F.sequence(F.lit(0), F.col("windows") - 1))))
+    start = F.col("window") * step
+    ids = F.when(F.col("reason").isNull(), F.concat("head", F.slice("body", (start + 1).cast("int"), room.cast("int"))))
+    return j.select("correlation_id", "config_id", "qid", "kind", "qtype", "label", "window", "windows", start.alias("state_start"), "state_tokens", "head_tokens",
+                    ids.alias("ids"), F.when(F.col("reason").isNull(), F.col("markers")).alias("markers"), "reason")
 
 
 def sequences(windows: DataFrame) -> DataFrame:

@@ -430,3 +430,30 @@ def test_policies_are_made_by_all_tasks(spark):
     d = Domain(spark, "/root/testdata/sf0.001")
     n = spark.sparkContext.defaultParallelism
     assert d.policy_subjects.rdd.getNumPartitions() >= n and d.policy_tags.rdd.getNumPartitions() >= n
+
+
+def test_tokenizer_gets_states_without_questions(spark, tmp_path):
+    """An article takes only its state to Python, however many questions it is asked; each question goes there once a configuration."""
+    log = str(tmp_path / "seen")
+
+    def factory():
+        plain = T.whitespace_tokenizer()
+
+        def encode(text):
+            with open(log, "a") as f:
+                f.write(repr(text) + "\n")
+            return plain(text)
+        return encode
+
+    a = spark.createDataFrame([(f"c{i}", "k", f"state {i}", [("1", True, "passing", "neutral")], [("t", True)]) for i in range(40)],
+                              "correlation_id STRING, config_id STRING, state STRING, subject_results ARRAY<STRUCT<subject_id: STRING, is_valid: BOOLEAN, prominence: STRING, sentiment: STRING>>, base_tags ARRAY<STRUCT<tag_id: STRING, result: BOOLEAN>>").repartition(8)
+    sets = flow(spark)
+    assert len(sets.collect()) == 1
+    rows = T.encode_windows(a, sets, factory)
+    assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    rows.collect()
+    seen = open(log).read().splitlines()
+    states = [s for s in seen if s.startswith("'state ")]
+    assert len(states) == len(set(states)) == 40
+    others = [s for s in seen if not s.startswith("'state ")]
+    assert max(map(others.count, set(others))) <= 4  # the size of the heads is measured before they are joined; options that read the same count each time
