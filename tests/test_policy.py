@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayer import fixed_values as V
 from assayer.session import written
 from assayer.operators import contract as C, gating as G, policy as P, questions as Q, scoring as S, training as T
+from assayer.plans import q_policy
 from assayer.sources.tables import Domain
 
 SUBJECTS = "config_id STRING, pos INT, subject_id LONG, name STRING, entity_definition STRING, validation_prompt STRING, prominence_prompt STRING, sentiment_prompt STRING"
@@ -426,6 +427,23 @@ def test_both_texts_of_a_question_are_dealt_out_once(spark):
     assert len(deals) == 4  # source, literals, defective and rewritten questions; not what came of their joins
 
 
+def test_places_among_kept_questions_are_those_of_their_own_map(spark):
+    q = spark.createDataFrame([("k" if i % 3 else "m", f"q{i % 5}_{i}", i % 7, i % 2, None if i % 11 == 0 else i) for i in range(60)], "config_id STRING, qid STRING, pos INT, slot INT, n INT")
+    kept = F.col("n") % 4 != 1  # null for some, which a filter drops
+    both = P.places(q, kept=kept)
+    assert both.drop("kept_place").exceptAll(P.places(q)).isEmpty()
+    own = lambda df, c: sorted((r.config_id, r.qid, r[c]) for r in df.collect())
+    assert own(both.filter("kept_place is not null"), "kept_place") == own(P.places(q.filter(kept)), "place")
+
+
+def test_rewritten_questions_are_read_and_not_dealt_out_again(spark):
+    """Places and faulty questions are known before the questions are written."""
+    src, new, _, _ = q_policy.rewrite_case(Domain(spark, "/root/testdata/sf0.001"))
+    for side in (src, new):
+        assert "Exchange" not in side._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, new.select("config_id", "qid", "place").collect())) == sorted(map(tuple, P.places(new.drop("place")).select("config_id", "qid", "place").collect()))
+
+
 def test_policies_are_made_by_all_tasks(spark):
     d = Domain(spark, "/root/testdata/sf0.001")
     n = spark.sparkContext.defaultParallelism
