@@ -183,3 +183,19 @@ def test_whole_words_and_lists_as_plain_patterns_have_them(spark):
     assert len(got) == 1600 and any(r.w for r in got) and any(r.l for r in got)
     for r in got:
         assert (r.w, r.c, r.l) == (r.w0, len(r.w0), r.l0), r
+
+
+RULE_TEXTS = ["", "Include \"Foo\". Exclude \"Foo\".", "INCLUDE 'a'\nexclude 'a'", "Return\n true for “x”; return  false for “x”!", "It qualifies: ‘y’. It does not qualify: ‘y’.", "Include Foo. Exclude Foo.",
+              "include \"a\" exclude \"a\"", "İnclude 'a'. exclude 'a'.", "includes 'a'. excludes 'a'.", "include 'a'. Exclude 'a'", "Include 'a' only", "'a' 'a'", "qualify 'a'. do not qualify 'a'"]
+
+
+def test_contradictions_are_looked_for_only_where_both_rules_and_a_quote_stand(spark, monkeypatch):
+    t = spark.createDataFrame([(x,) for x in [None, *RULE_TEXTS]], "t STRING")
+    guarded = [tuple(r) for r in t.select("t", X.rule_contradiction(F.col("t"))).collect()]
+    monkeypatch.setattr(X, "holds_any", lambda c, words: F.lit(True))
+    assert guarded == [tuple(r) for r in t.select("t", X.rule_contradiction(F.col("t"))).collect()]
+    assert guarded[0][1] is None and {r for _, r in guarded[1:]} == {True, False}
+    monkeypatch.undo()
+    monkeypatch.setattr(V, "POSITIVE_RULE", "(")  # no pattern: an error where it is used
+    for text in ("Stories of the maker", "Include \"Foo\"", "Include Foo. Exclude Foo."):
+        assert one(spark, X.rule_contradiction, text) is False
