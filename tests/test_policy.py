@@ -444,6 +444,17 @@ def test_rewritten_questions_are_read_and_not_dealt_out_again(spark):
     assert sorted(map(tuple, new.select("config_id", "qid", "place").collect())) == sorted(map(tuple, P.places(new.drop("place")).select("config_id", "qid", "place").collect()))
 
 
+def test_rewrites_order_and_keep_short_sources_not_worded_texts(spark):
+    """Places are found on, and the written table holds, what the questions are made of; the wording is the same."""
+    d = Domain(spark, "/root/testdata/sf0.001")
+    src, new, _, _ = q_policy.rewrite_case(d)
+    for side in (src, new):
+        kept = spark.read.parquet(*side.inputFiles()).columns
+        assert "qid" in kept and not {"instructions", "criteria_texts"} & set(kept)
+    plain = P.places(Q.build_questions(d.policy_subjects, d.policy_tags, verbose=True))
+    assert plain.count() == src.count() and plain.exceptAll(src.select(plain.columns)).isEmpty()
+
+
 def test_policies_are_made_by_all_tasks(spark):
     d = Domain(spark, "/root/testdata/sf0.001")
     n = spark.sparkContext.defaultParallelism

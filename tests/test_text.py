@@ -199,3 +199,17 @@ def test_contradictions_are_looked_for_only_where_both_rules_and_a_quote_stand(s
     monkeypatch.setattr(V, "POSITIVE_RULE", "(")  # no pattern: an error where it is used
     for text in ("Stories of the maker", "Include \"Foo\"", "Include Foo. Exclude Foo."):
         assert one(spark, X.rule_contradiction, text) is False
+
+
+def test_contradictions_as_all_literals_of_both_rules_have_them(spark):
+    subjects = ("'Foo'", '"Foo"', "Foo", "'Foo,'", "'Food'", "“Foo”", "' Foo '", "'", "'Foo' and 'Bar'")
+    texts = [f"{a} {s}{end}{b} {o}." for s in subjects for o in subjects for a, b, end in (
+        ("Include", "Exclude", ". "), ("Exclude", "include", "\n"), ("Return true on", "return false on", "! "), ("Include", "and exclude", ", "), ("Includes", "Exclude", ". "))]
+    t = spark.createDataFrame([(x,) for x in [*texts, "", None]], "t STRING")
+
+    def literals(pattern):
+        return F.flatten(F.transform(F.filter(F.split("t", r"(?<=[.!?;])\s+|\n+"), lambda x: F.lower(x).rlike(pattern)), X.quoted_literals))
+
+    plain = F.arrays_overlap(literals(V.POSITIVE_RULE), literals(V.NEGATIVE_RULE))
+    got = t.select("t", X.rule_contradiction(F.col("t")).alias("got"), plain.alias("plain")).collect()
+    assert [r.t for r in got if r.got != r.plain] == [] and 0 < sum(bool(r.got) for r in got) < len(texts)
